@@ -7,8 +7,8 @@ merge created next to them are extended. Positions whose symbols have changed me
 pair comes up. Words do not influence each other, so this gives each word the merges that it would get alone.
 
 The vocabulary is a file of the ``tokenizers`` library; its path is a parameter, and each executor reads it.
-A task holds one Arrow batch and a word cache of at most ``CACHE_WORDS`` entries, so memory does not grow with
-the input, and a lost task is simply run again.
+A task holds one Arrow batch, of which ``CHUNK_BYTES`` are worked on at a time, and a word cache of at most
+``CACHE_WORDS`` entries, so memory does not grow with the input, and a lost task is simply run again.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; null ids decode to the empty
 string; whole texts are encoded, however long; other columns pass through unchanged, and a column that clashes
@@ -19,19 +19,21 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from tidemark.llm.arrow import text_slices, with_columns, with_fields
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 600_000
-#: Characters of text that are split into words at a time.
-CHUNK_CHARS = 24_000_000
+#: Words whose ids a Python worker keeps.
+CACHE_WORDS = 300_000
+#: Bytes of text that are encoded at a time.
+CHUNK_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -66,8 +68,6 @@ class Vocabulary:
         keys = self.left * self.size + self.right
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of_key = keys[order], order
-        self.word = regex.compile(PATTERN)
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where the vocabulary has no merge for it."""
@@ -149,41 +149,72 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return symbols[:n][alive], counts[np.concatenate(([0], ends))]
 
 
-class Encoder:
-    """Encodes lists of texts; keeps the ids of words it has seen, as little-endian unsigned 32-bit integers."""
+class TextEncoder:
+    """Ids of texts from those of their distinct words, which a subclass finds.
 
-    def __init__(self, path: str) -> None:
-        self.v = vocabulary(path)
+    With the byte-level pre-tokenizer, a single space between two other characters always begins a new word. So
+    texts are split at spaces, and only distinct pieces are split further. Texts in which white space of any kind
+    touches a space or an end are given to the word pattern whole.
+    """
+
+    def __init__(self, special: list[str]) -> None:
+        self.special = special
+        self.pattern = regex.compile(PATTERN)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.cache: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
-        if self.v.split_special and any(s in text for s in self.v.special):
-            parts = self.v.split_special.split(text)
-            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.v.word.findall(part))]
-        return self.v.word.findall(text)
+    def word_ids(self, words: list[str]) -> Iterable[bytes]:
+        raise NotImplementedError
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
+    def words(self, text: str) -> list[str]:
+        """The words of a text in order; a special token is a word of its own."""
+        if self.cut and any(s in text for s in self.special):
+            parts = self.cut.split(text)
+            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.pattern.findall(part))]
+        return self.pattern.findall(text)
+
+    def _learn(self, split: dict[str, list[str]]) -> dict[str, bytes]:
+        """The ids of each piece, from those of its words."""
+        words = set().union(*split.values())
+        new = list(words - self.cache.keys())
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in words if w in self.cache}
-        ids, at = merge_words([w.encode() for w in new], self.v)
+            self.cache.clear()
+            new = list(words)
+        self.cache.update(zip(new, self.word_ids(new), strict=True))
+        known = self.cache.__getitem__
+        return {piece: known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts)) for piece, parts in split.items()}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned integers; null counts as empty."""
+        rows = [(text or "").split(" ") for text in texts]
+        pieces = set().union(*rows)
+        odd = {p for p in pieces if not p or p[0].isspace() or p[-1].isspace()}
+        whole = {i for i, row in enumerate(rows) if odd and not odd.isdisjoint(row)}
+        split = {" " + p: self.words(" " + p) for p in pieces - odd}
+        split |= {p: self.words(p) for p in {row[0] for row in rows} - odd}
+        split |= {texts[i]: self.words(texts[i]) for i in whole if texts[i]}
+        ids = self._learn(split) | {"": b"", None: b""}
+        later = {p: ids[" " + p] for p in pieces - odd}.__getitem__
+        return [ids[texts[i]] if i in whole else ids[row[0]] + b"".join(map(later, row[1:])) for i, row in enumerate(rows)]
+
+
+class Encoder(TextEncoder):
+    """BPE by the pair occurrence index; ids take four bytes."""
+
+    def __init__(self, path: str) -> None:
+        self.v = vocabulary(path)
+        super().__init__(list(self.v.special))
+
+    def word_ids(self, words: list[str]) -> Iterable[bytes]:
+        ids, at = merge_words([b"" if w in self.v.special else w.encode() for w in words], self.v)
         raw, cuts = ids.astype("<u4").tobytes(), (at * 4).tolist()
-        self.cache.update(zip(new, map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-        self.cache |= {s: int(i).to_bytes(4, "little") for s, i in self.v.special.items() if s in words}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        start = 0
-        while start < len(texts):
-            split, size = [], 0
-            while start < len(texts) and (not split or size < CHUNK_CHARS):
-                text = texts[start] or ""
-                split.append(self.words(text))
-                size += len(text)
-                start += 1
-            self._learn(set().union(*split))
-            for words in split:
-                yield b"".join(map(self.cache.__getitem__, words))
+        found = map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))
+        return (self.v.special[w].to_bytes(4, "little") if w in self.v.special else x for w, x in zip(words, found, strict=True))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
@@ -191,27 +222,20 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join(map(v.token_bytes.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
 
 
-def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), column], names=[*names, name])
-
-
-def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
+def _lists(rows: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)]) // 4
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with the token ids of column ``text`` as an array of int in column ``out``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
-            rows = list(encoder.encode(batch.column(text).to_pylist()))
-            ends = np.cumsum([0, *map(len, rows)]) // 4
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
-            yield _with(batch, out, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
+        for batch in text_slices(batches, text, CHUNK_BYTES):
+            yield with_columns(batch, {out: _lists(encoder(path).encode(batch.column(text).to_pylist()))})
 
-    return df.mapInArrow(run, _schema(df, out, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(run, with_fields(df, {out: "array<int>"}))
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -224,6 +248,19 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
             flat, lengths = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy()
             ends = np.cumsum(lengths)
             texts = [decode(flat[e - n : e], v) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield _with(batch, out, pa.array(texts, pa.string()))
+            yield with_columns(batch, {out: pa.array(texts, pa.string())})
+
+    return df.mapInArrow(run, with_fields(df, {out: "string"}))
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode_column`` of what it gave, in one pass over the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in text_slices(batches, text, CHUNK_BYTES):
+            rows = encoder(path).encode(batch.column(text).to_pylist())
+            texts = [decode(np.frombuffer(row, "<u4"), v) for row in rows]
+            yield with_columns(batch, {ids: _lists(rows), decoded: pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, _schema(df, out, T.StringType()))
+    return df.mapInArrow(run, with_fields(df, {ids: "array<int>", decoded: "string"}))
