@@ -8,17 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe
-from tidemark.llm.shared import documents
+from tidemark.llm import bpe, token_files
+from tidemark.llm.shared import documents, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded to ids and decoded again, with digests of both."""
-    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE).drop("text")
-    decoded = bpe.decode_column(coded, BYTE_BPE)
-    return decoded.select(
+    return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -26,8 +24,16 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts written as token-id files and read back, with each document's place and checksum."""
+    folder = new_folder(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), BYTE_BPE, folder)
+    return token_files.read_checksums(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op5_token_files": op5_token_files,
 }
 
 ORACLES: dict[str, str] = {}
