@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, token_files
+from tidemark.llm import bpe, ngram_join, token_files
 from tidemark.llm.shared import documents, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share at least nine tenths of their three-word shingles."""
+    return ngram_join.similar_components(documents(spark, sf_dir), ngram_join.Join(width=3, percent=90))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded to ids and decoded again, with digests of both."""
     return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE).select(
@@ -32,8 +37,28 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_token_files": op5_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+#: Lower-cases A-Z alone.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": rf"""
+        WITH RECURSIVE split AS (
+          SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2])) END) AS s FROM split),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        common AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+          FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common WHERE 100 * shared >= 90 * (na + nb - shared)),
+        reach(doc_id, seen) AS (
+          SELECT doc_id, doc_id FROM documents UNION SELECT links.b, seen FROM reach JOIN links ON links.a = reach.doc_id)
+        SELECT sets.doc_id, len(s) AS n_shingles, min(seen) AS component_id
+        FROM sets JOIN reach ON reach.doc_id = sets.doc_id GROUP BY sets.doc_id, len(s)""",
+}
