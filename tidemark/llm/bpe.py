@@ -7,8 +7,8 @@ merge created next to them are extended. Positions whose symbols have changed me
 pair comes up. Words do not influence each other, so this gives each word the merges that it would get alone.
 
 The vocabulary is a file of the ``tokenizers`` library; its path is a parameter, and each executor reads it.
-A task holds one Arrow batch, of which ``CHUNK_BYTES`` are worked on at a time, and a word cache of at most
-``CACHE_WORDS`` entries, so memory does not grow with the input, and a lost task is simply run again.
+A task holds one Arrow batch, of which ``CHUNK_BYTES`` are worked on at a time, and a word table of bounded size,
+so memory does not grow with the input, and a lost task is simply run again.
 
 Defined results: a null or empty text has no ids and decodes to the empty string; null ids decode to the empty
 string; whole texts are encoded, however long; other columns pass through unchanged, and a column that clashes
@@ -19,21 +19,18 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.arrow import text_slices, with_columns, with_fields
+from tidemark.llm.byte_words import TableEncoder, gather
 
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 300_000
 #: Bytes of text that are encoded at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,6 +55,9 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.special.items():
             self.token_bytes[i] = content.encode()
+        self.bytes = np.frombuffer(b"".join(self.token_bytes), np.uint8)
+        self.byte_sizes = np.array(list(map(len, self.token_bytes)), np.int64)
+        self.byte_at = np.cumsum(self.byte_sizes) - self.byte_sizes
         self.symbol = np.full(256, -1, np.int64)
         for c, b in alphabet.items():
             self.symbol[b] = ids[c]
@@ -130,8 +130,8 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
         after[p] = beyond
         before[beyond] = p
         before[n] = n
-        touched = np.unique(np.concatenate((before[p], p)))
-        touched = touched[touched < n]
+        touched = np.sort(np.concatenate((before[p], p)))
+        touched = touched[(touched < n) & np.append(True, touched[1:] != touched[:-1])]
         touched = touched[after[touched] < n]
         if not len(touched):
             continue
@@ -149,67 +149,20 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return symbols[:n][alive], counts[np.concatenate(([0], ends))]
 
 
-class TextEncoder:
-    """Ids of texts from those of their distinct words, which a subclass finds.
-
-    With the byte-level pre-tokenizer, a single space between two other characters always begins a new word. So
-    texts are split at spaces, and only distinct pieces are split further. Texts in which white space of any kind
-    touches a space or an end are given to the word pattern whole.
-    """
-
-    def __init__(self, special: list[str]) -> None:
-        self.special = special
-        self.pattern = regex.compile(PATTERN)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.cache: dict[str, bytes] = {}
-
-    def word_ids(self, words: list[str]) -> Iterable[bytes]:
-        raise NotImplementedError
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text in order; a special token is a word of its own."""
-        if self.cut and any(s in text for s in self.special):
-            parts = self.cut.split(text)
-            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.pattern.findall(part))]
-        return self.pattern.findall(text)
-
-    def _learn(self, split: dict[str, list[str]]) -> dict[str, bytes]:
-        """The ids of each piece, from those of its words."""
-        words = set().union(*split.values())
-        new = list(words - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        self.cache.update(zip(new, self.word_ids(new), strict=True))
-        known = self.cache.__getitem__
-        return {piece: known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts)) for piece, parts in split.items()}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned integers; null counts as empty."""
-        rows = [(text or "").split(" ") for text in texts]
-        pieces = set().union(*rows)
-        odd = {p for p in pieces if not p or p[0].isspace() or p[-1].isspace()}
-        whole = {i for i, row in enumerate(rows) if odd and not odd.isdisjoint(row)}
-        split = {" " + p: self.words(" " + p) for p in pieces - odd}
-        split |= {p: self.words(p) for p in {row[0] for row in rows} - odd}
-        split |= {texts[i]: self.words(texts[i]) for i in whole if texts[i]}
-        ids = self._learn(split) | {"": b"", None: b""}
-        later = {p: ids[" " + p] for p in pieces - odd}.__getitem__
-        return [ids[texts[i]] if i in whole else ids[row[0]] + b"".join(map(later, row[1:])) for i, row in enumerate(rows)]
-
-
-class Encoder(TextEncoder):
-    """BPE by the pair occurrence index; ids take four bytes."""
+class Encoder(TableEncoder):
+    """BPE of distinct words by the pair occurrence index."""
 
     def __init__(self, path: str) -> None:
         self.v = vocabulary(path)
         super().__init__(list(self.v.special))
 
-    def word_ids(self, words: list[str]) -> Iterable[bytes]:
-        ids, at = merge_words([b"" if w in self.v.special else w.encode() for w in words], self.v)
-        raw, cuts = ids.astype("<u4").tobytes(), (at * 4).tolist()
-        found = map(raw.__getitem__, map(slice, cuts[:-1], cuts[1:]))
-        return (self.v.special[w].to_bytes(4, "little") if w in self.v.special else x for w, x in zip(words, found, strict=True))
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [b"" if w in self.v.special else w.encode() for w in words]
+        ids, at = merge_words(plain, self.v)
+        if b"" in plain:
+            rows = [[self.v.special[w]] if w in self.v.special else ids[a:b] for w, a, b in zip(words, at[:-1], at[1:], strict=True)]
+            return np.concatenate(rows).astype(np.int32), np.array(list(map(len, rows)), np.int32)
+        return ids.astype(np.int32), np.diff(at).astype(np.int32)
 
 
 @lru_cache(maxsize=1)
@@ -217,15 +170,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def decode(ids: np.ndarray, v: Vocabulary) -> str:
-    """The text of some ids; bytes that are no UTF-8 become replacement characters."""
-    return b"".join(map(v.token_bytes.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+def decode(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> pa.Array:
+    """The texts of some ids one after another; bytes that are no UTF-8 become replacement characters."""
+    raw, sizes = gather(v.bytes, v.byte_at[ids], v.byte_sizes[ids])
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[bounds]
+    data = raw.tobytes()
+    inner = ends[ends < len(data)]
+    try:
+        data.decode()
+        split = (raw[inner] & 0xC0 == 0x80).any()
+    except UnicodeDecodeError:
+        split = True
+    if split:
+        return pa.array([data[a:b].decode(errors="replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
 
 
-def _lists(rows: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)]) // 4
-    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(rows))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -233,7 +195,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, text, CHUNK_BYTES):
-            yield with_columns(batch, {out: _lists(encoder(path).encode(batch.column(text).to_pylist()))})
+            yield with_columns(batch, {out: _lists(*encoder(path).encode(batch.column(text).to_pylist()))})
 
     return df.mapInArrow(run, with_fields(df, {out: "array<int>"}))
 
@@ -245,10 +207,9 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
         v = vocabulary(path)
         for batch in batches:
             column = batch.column(ids)
-            flat, lengths = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy()
-            ends = np.cumsum(lengths)
-            texts = [decode(flat[e - n : e], v) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            yield with_columns(batch, {out: pa.array(texts, pa.string())})
+            lengths = column.value_lengths().fill_null(0).to_numpy()
+            texts = decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lengths]), v)
+            yield with_columns(batch, {out: texts})
 
     return df.mapInArrow(run, with_fields(df, {out: "string"}))
 
@@ -259,8 +220,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in text_slices(batches, text, CHUNK_BYTES):
-            rows = encoder(path).encode(batch.column(text).to_pylist())
-            texts = [decode(np.frombuffer(row, "<u4"), v) for row in rows]
-            yield with_columns(batch, {ids: _lists(rows), decoded: pa.array(texts, pa.string())})
+            found, bounds = encoder(path).encode(batch.column(text).to_pylist())
+            yield with_columns(batch, {ids: _lists(found, bounds), decoded: decode(found, bounds, v)})
 
     return df.mapInArrow(run, with_fields(df, {ids: "array<int>", decoded: "string"}))
