@@ -16,9 +16,9 @@ empty table gives no blocks.
 from __future__ import annotations
 
 import os
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import text_slices
-from tidemark.llm.bpe import CHUNK_BYTES, TextEncoder
+from tidemark.llm.bpe import CHUNK_BYTES
+from tidemark.llm.byte_words import TableEncoder
 from tidemark.llm.elias_fano import EliasFano
 
 #: A block is closed at so many ids or documents.
@@ -36,7 +37,7 @@ BLOCK_IDS, BLOCK_DOCS = 1 << 20, 8192
 BLOCK_SCHEMA = "shard int, block int, n_docs int, n_ids long, id_bytes int, doc_ids binary, no_doc_id binary, ids binary, bound_bits int, bound_low binary, bound_high binary, bound_samples binary"
 
 
-class LibraryEncoder(TextEncoder):
+class LibraryEncoder(TableEncoder):
     """The tokenizers library on each distinct word once; on whole texts if its words aren't the byte-level ones."""
 
     def __init__(self, path: str) -> None:
@@ -48,14 +49,19 @@ class LibraryEncoder(TextEncoder):
         self.library.no_padding()
         before = str(self.library.pre_tokenizer)
         self.by_word = self.library.normalizer is None and before.startswith("ByteLevel") and "add_prefix_space=False" in before and "use_regex=True" in before
-        self.code = "H" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
-        super().__init__([t.content for t in self.library.get_added_tokens_decoder().values()])
+        small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
+        super().__init__([t.content for t in self.library.get_added_tokens_decoder().values()], np.uint16 if small else np.uint32)
 
-    def word_ids(self, words: list[str]) -> Iterable[bytes]:
-        return (array(self.code, e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False))
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+        return np.fromiter(chain.from_iterable(rows), self.kind, int(sizes.sum())), sizes
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        return super().encode(texts) if self.by_word else list(self.word_ids([text or "" for text in texts]))
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if self.by_word:
+            return super().encode(texts)
+        ids, sizes = self.word_ids([text or "" for text in texts])
+        return ids, np.cumsum([0, *sizes])
 
 
 @lru_cache(maxsize=1)
@@ -80,14 +86,16 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0, doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        width = array(encoder.code).itemsize
-        end = array(encoder.code, [end_id]).tobytes()
+        width = np.dtype(encoder.kind).itemsize
+        end = np.array([end_id], encoder.kind).tobytes()
         shard, block = TaskContext.get().partitionId(), 0
         docs, rows, size = [], [], 0
         for batch in text_slices(batches, text, CHUNK_BYTES):
-            for doc, raw in zip(batch.column(doc_id).to_pylist(), encoder.encode(batch.column(text).to_pylist()), strict=True):
+            found, bounds = encoder.encode(batch.column(text).to_pylist())
+            raw, cuts = found.tobytes(), (bounds * width).tolist()
+            for doc, a, b in zip(batch.column(doc_id).to_pylist(), cuts[:-1], cuts[1:], strict=True):
                 docs.append(doc)
-                rows.append(raw + end)
+                rows.append(raw[a:b] + end)
                 size += len(rows[-1])
                 if size >= BLOCK_IDS * width or len(docs) == BLOCK_DOCS:
                     yield pa.RecordBatch.from_pylist([_block(shard, block, docs, rows, width)], arrow)
