@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, ngram_join, token_files
+from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, sharding, token_files
 from tidemark.llm.shared import documents, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(documents(spark, sf_dir), ngram_join.Join(width=3, percent=90))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts and the row of each that stays."""
+    return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded to ids and decoded again, with digests of both."""
     return bpe.round_trip(documents(spark, sf_dir).select("doc_id", "text"), BYTE_BPE).select(
@@ -36,10 +41,27 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_checksums(spark, folder)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in forty shards that match the mixture of sources, row counts at most one apart."""
+    text = F.coalesce("text", F.lit(""))
+    rows = documents(spark, sf_dir).select("doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    dealt = sharding.interleaved_shards(rows, 40, identity=("doc_id", "text_crc32", "size"))
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of all sources by weights 5, 2, 1 takes of each document."""
+    sized = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count("text").alias("size"))
+    return mixing.mix_sources(sized, weights=(5, 2, 1), budget=1.5, cap=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_token_files": op5_token_files,
+    "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
 }
 
 #: Lower-cases A-Z alone.
@@ -61,4 +83,38 @@ ORACLES: dict[str, str] = {
           SELECT doc_id, doc_id FROM documents UNION SELECT links.b, seen FROM reach JOIN links ON links.a = reach.doc_id)
         SELECT sets.doc_id, len(s) AS n_shingles, min(seen) AS component_id
         FROM sets JOIN reach ON reach.doc_id = sets.doc_id GROUP BY sets.doc_id, len(s)""",
+    "op2_exact_dedup": f"""
+        WITH texts AS (SELECT doc_id, {_LOWER} AS t FROM documents)
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+          doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
+        FROM texts WINDOW same AS (PARTITION BY t)""",
+    "op8_mixing": r"""
+        WITH docs AS (
+          SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        sizes AS (
+          SELECT source, CAST(sum(size) AS DOUBLE) AS s, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM docs GROUP BY source),
+        need AS (SELECT *, list_extract([5.0::DOUBLE, 2.0, 1.0], (k - 1) % 3 + 1) AS w FROM sizes),
+        sorted AS (
+          SELECT *, s * 2 / w AS need, coalesce(sum(s * 2) OVER before, 0) AS full_size, coalesce(sum(w) OVER before, 0) AS full_weight,
+            sum(w) OVER () AS all_weight, sum(s) OVER () * 1.5::DOUBLE AS budget
+          FROM need WINDOW before AS (ORDER BY s * 2 / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        levels AS (SELECT *, (budget - full_size) / (all_weight - full_weight) AS level FROM sorted),
+        chosen AS (SELECT level FROM levels WHERE level <= need ORDER BY need, level LIMIT 1),
+        goals AS (SELECT source, k, CAST(s AS BIGINT) AS source_size, least(s * 2, coalesce(w * (SELECT level FROM chosen), s * 2)) AS target FROM levels),
+        ends AS (
+          SELECT *, CASE WHEN row_number() OVER (ORDER BY k DESC) = 1 THEN 2147483648
+            ELSE CAST(floor(sum(target) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 2147483648) AS BIGINT) END AS e FROM goals WHERE target > 0),
+        shares AS (SELECT k, lag(e, 1, 0) OVER (ORDER BY k) AS b, e FROM ends),
+        slots AS (
+          SELECT i, ((i % 2147483648) * 1327217885) % 2147483648 AS point
+          FROM (SELECT unnest(range(CAST((SELECT ceil(sum(target) / 64) FROM goals) AS BIGINT))) AS i)),
+        counts AS (SELECT k, count(*) * 64 AS words FROM slots JOIN shares ON point >= b AND point < e GROUP BY k),
+        laid AS (
+          SELECT d.*, g.k, g.source_size, g.target,
+            coalesce(sum(size) OVER (PARTITION BY g.k ORDER BY md5(concat_ws(':', 'mix0', doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0,
+            coalesce(sum(size) OVER (PARTITION BY g.k ORDER BY md5(concat_ws(':', 'mix1', doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s1
+          FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, laid.source, size, source_size, target,
+          CAST(greatest(0, least(size, coalesce(words, 0) - s0)) + greatest(0, least(size, coalesce(words, 0) - source_size - s1)) AS BIGINT) AS taken
+        FROM laid LEFT JOIN counts ON counts.k = laid.k""",
 }

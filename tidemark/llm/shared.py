@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that a bucket of a global order holds on average.
-BUCKET_ROWS = 4096
+#: Rows that a bucket of a global order holds on average, until there are MOST_BUCKETS.
+BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,21 +42,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bucket_count(rows: int) -> int:
-    """A count of buckets for so many rows; it depends on nothing else, so ranks come out alike on any cluster."""
-    return max(1, -(-rows // BUCKET_ROWS))
+def shuffle_key(seed: str, *columns: str) -> Column:
+    """A text that orders rows in a seeded shuffle: the MD5 of the seed and the columns."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns)))
 
 
-def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
+def buckets(rows: int) -> int:
+    """How many buckets to deal so many rows into; ranks and sums don't depend on it."""
+    return min(MOST_BUCKETS, max(1, -(-rows // BUCKET_ROWS)))
+
+
+def key_bucket(key: str, count: int) -> Column:
+    """The bucket of a ``shuffle_key``, ascending with it."""
+    return F.floor(F.conv(F.substring(key, 1, 7), 16, 10).cast("long") * count / (1 << 28)).cast("int")
+
+
+def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column], value: Column, out: str, total: str | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the rows before each row, within ``groups``, in the order
-    of (``bucket``, ``order``). ``bucket`` must ascend with the order. One task holds a bucket of a group at most;
-    the offsets come from one row per group and bucket, which are summed per group.
+    of (``bucket``, ``order``), and with ``total``: the sum over the whole group. ``bucket`` must ascend with the
+    order. One task holds a bucket of a group at most; the offsets come from one row per group and bucket.
     """
-    totals = df.groupBy(*groups, bucket).agg(F.sum(value).alias("_total"))
+    sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*groups, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = sums.select(
+        *(F.col(c).alias(f"_of_{c}") for c in (*groups, bucket)),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_sum").over(Window.partitionBy(*groups)).alias(total)] if total else []),
+    )
     within = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    same = [local[c].eqNullSafe(offsets[c]) for c in (*groups, bucket)]
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*groups, bucket)]
     joined = local.join(offsets, same, "left")
-    return joined.select(*(local[c] for c in df.columns), (F.col("_before") + F.col("_offset")).cast("long").alias(out))
+    place = (F.col("_before") + F.col("_offset")).cast("long").alias(out)
+    return joined.select(*df.columns, place, *([F.col(total).cast("long").alias(total)] if total else []))
