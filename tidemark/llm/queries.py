@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, ngram_join, sharding, token_files
+from tidemark.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, sharding, token_files
 from tidemark.llm.shared import documents, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,12 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best neighbours of every hundredth vector by integer inner product."""
+    vectors = maxscore.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), scale=1024)
+    return maxscore.top_k(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts written as token-id files and read back, with each document's place and checksum."""
     folder = new_folder(spark, "token-files")
@@ -55,13 +61,23 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sized, weights=(5, 2, 1), budget=1.5, cap=2)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by profiles from the documents outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    held_out = language_id.fold("doc_id", 5) == 0
+    profiles = language_id.learn(docs.where(~held_out))
+    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_maxscore": op4_maxscore,
     "op5_token_files": op5_token_files,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 #: Lower-cases A-Z alone.
@@ -88,6 +104,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
           doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
         FROM texts WINDOW same AS (PARTITION BY t)""",
+    "op4_maxscore": """
+        WITH sound AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10""",
     "op8_mixing": r"""
         WITH docs AS (
           SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
