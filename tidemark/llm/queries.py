@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, sharding, token_files
+from tidemark.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, quality_gam, sharding, token_files
 from tidemark.llm.shared import documents, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,16 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_checksums(spark, folder)
 
 
+def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every text by a model of the labels outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    held_out = language_id.fold("doc_id", 4) == 2
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    model = quality_gam.learn(docs, labels)
+    scored = quality_gam.score(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in forty shards that match the mixture of sources, row counts at most one apart."""
     text = F.coalesce("text", F.lit(""))
@@ -75,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_round_trip": op3_bpe_round_trip,
     "op4_maxscore": op4_maxscore,
     "op5_token_files": op5_token_files,
+    "op6_quality_gam": op6_quality_gam,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
