@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, quality_gam, sharding, token_files
+from tidemark.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, pii_crf, quality_gam, sharding, token_files
 from tidemark.llm.shared import documents, new_folder
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,6 +71,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(sized, weights=(5, 2, 1), budget=1.5, cap=2)
 
 
+def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: counts and a digest of the patterns' spans, and all spans."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii_crf.find(docs, pii_crf.learn(docs)).drop("text")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every text by profiles from the documents outside the held-out fold."""
     docs = documents(spark, sf_dir)
@@ -88,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_gam": op6_quality_gam,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op9_pii_crf": op9_pii_crf,
     "op10_language_id": op10_language_id,
 }
 
