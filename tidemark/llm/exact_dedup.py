@@ -196,3 +196,12 @@ def exact_groups(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     local = written(_local(docs, budget), "local-groups")
     found = local.drop("content", "hash", "size").join(_merged(local, budget), ["task", "local"])
     return found.select("doc_id", "keep_id", "group_size", (F.col("best") & F.col("holds_best")).alias("kept"), "text_sha256")
+
+
+def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts."""
+    kept = exact_groups(docs, budget).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.withColumn("_sha", F.sha2(lower, 256))
+    rows = rows.join(kept, F.col("_sha").eqNullSafe(F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["_sha", "doc_id"]).select(*docs.columns)
