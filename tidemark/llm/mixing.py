@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import buckets, key_bucket, running, shuffle_key
+from tidemark.llm.shared import buckets, key_bucket, running, shuffle_key, written
 
 BLOCK_TOKENS = 64
 #: 2**31 over the golden ratio, odd; and the cells of the points by which slots meet shares.
@@ -99,8 +99,9 @@ def mix(docs: DataFrame, goals: DataFrame, epochs: int = 2, block: int = BLOCK_T
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = BLOCK_TOKENS, seed: str = "mix") -> DataFrame:
     """For every row of ``docs`` (doc_id, source, size): doc_id, source, size, source_size, target, taken; taken counts
     the words that the mix takes of it, repeats included."""
+    docs = written(docs.select("doc_id", "source", "size"), "sizes")  # texts are counted once, however often sizes are read
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sizes, weights, budget, cap)
+    goals = written(targets(sizes, weights, budget, cap), "targets")
     pieces = mix(docs, goals, cap, block, seed)
     taken = pieces.groupBy("source", "row_at").agg(F.sum(F.col("end") - F.col("first")).alias("taken"))
     taken = taken.select(F.col("source").alias("_source"), F.col("row_at").alias("_row_at"), "taken")
