@@ -10,7 +10,8 @@ shingles share a count). It decides the order alone, so it can make the join slo
 Before that, documents are contracted: those with equal sets count as one, and those that agree in a band of
 least hashes are compared with one leader of the band. Links found so are true links, and pairs within a component
 needn't be looked for any more; so a group of thousands of near copies costs a comparison or a few each, not all
-pairs. Candidates for a shingle that very many sets have in their prefixes are split over a grid of tasks.
+pairs. Pairs that a shingle brings together are dropped on the spot if their sizes, the places of the shingle or
+the parities of their sets show that they can't be linked. Candidates for a shingle that very many sets have in their prefixes are split over a grid of tasks.
 
 Texts are read again where they are needed and never shuffled whole: before a join, documents that no pair has are
 dropped by a bitmap of fixed size (it may let some through, which the join drops).
@@ -128,25 +129,29 @@ def _ordered(s: np.ndarray, seed: int, classes: np.ndarray, most: int) -> np.nda
 
 
 def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple[np.ndarray, np.ndarray], keep: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, n, p0, p1, ...): each document's prefix under each order; ``sides``: the grid's side for the shingles of p0, null if all are 1."""
+    """(doc_id, n, parity0, parity1, p0, p1, ...): each document's prefix under each order; ``sides``: the grid's side
+    for the shingles of p0, null if all are 1. The parities say of 128 classes of shingles whether the set has an odd
+    number of each: two sets differ by at least as many shingles as their parities by bits."""
     shared = docs.sparkSession.sparkContext.broadcast((*rarity, keep))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, sides, bits = shared.value
         for batch in text_slices(_kept(batches, bits), "text", CHUNK_BYTES):
-            sizes, grid, prefixes = [], [], [[] for _ in seeds]
+            sizes, grid, parities, prefixes = [], [], [], [[] for _ in seeds]
             for s in shingle_sets(batch.column("text"), join.width):
                 sizes.append(len(s))
+                parities.append(np.packbits(np.bincount((mix(s, 31) & np.uint64(127)).astype(np.int64), minlength=128) & 1))
                 for seed, out in zip(seeds, prefixes, strict=True):
                     out.append(_ordered(s, seed, classes, join.prefix(len(s))))
                 side = sides[(prefixes[0][-1] >> np.uint64(44)).astype(np.int64)]
                 grid.append(side.tolist() if (side > 1).any() else None)
             arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(_signed(np.concatenate(out)))) for out in prefixes]
-            names = ["doc_id", "n", "sides", *(f"p{i}" for i in range(len(seeds)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(grid, pa.list_(pa.int32())), *arrays], names=names)
+            names = ["doc_id", "n", "parity0", "parity1", "sides", *(f"p{i}" for i in range(len(seeds)))]
+            parity = np.concatenate(parities).view(np.int64).reshape(-1, 2).T.copy()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), *map(pa.array, parity), pa.array(grid, pa.list_(pa.int32())), *arrays], names=names)
 
     fields = "".join(f", p{i} array<long>" for i in range(len(seeds)))
-    return docs.mapInArrow(run, f"doc_id long, n int, sides array<int>{fields}")
+    return docs.mapInArrow(run, f"doc_id long, n int, parity0 long, parity1 long, sides array<int>{fields}")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -216,27 +221,36 @@ def _leader_pairs(sets: DataFrame) -> DataFrame:
 
 
 def _candidates(postings: DataFrame, join: Join) -> DataFrame:
-    """Pairs of sets in different components that share a shingle of the first order's prefixes, where sizes and places allow a link."""
+    """Pairs of sets in different components that share a shingle of the first order's prefixes, where sizes, places and parities allow a link."""
 
-    def pairs(token: np.ndarray, cell: np.ndarray, doc: np.ndarray, part: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[np.ndarray]:
+    def pairs(token: np.ndarray, cell: np.ndarray, part: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, parity0: np.ndarray, parity1: np.ndarray) -> Iterator[np.ndarray]:
         rest = n - pos
-        at, step = np.arange(len(token)), 0
+        # Rows of a shingle are in the order of components, and each meets those after its own component's.
+        new = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
+        begins = np.append(0, np.flatnonzero(new) + 1)[: len(token)]
+        at = np.arange(len(token))
+        to = np.repeat(np.append(begins[1:], len(token)), np.diff(np.append(begins, len(token))))
         while len(at):
-            step += 1
-            at = at[at + step < len(token)]
-            to = at + step
+            inside = to < len(token)
+            at, to = at[inside], to[inside]
             same = (token[at] == token[to]) & (cell[at] == cell[to])
             at, to = at[same], to[same]
+            both = n[at] + n[to]
+            least = -(-join.percent * both // (100 + join.percent))  # shingles that must be common
             # At the first shingle that two sets share, no more than the rest of either can be common.
-            fits = (part[at] != part[to]) & (np.minimum(rest[at], rest[to]) * (100 + join.percent) >= join.percent * (n[at] + n[to]))
+            fits = np.minimum(rest[at], rest[to]) >= least
+            fits &= np.bitwise_count(parity0[at] ^ parity0[to]).astype(np.int64) + np.bitwise_count(parity1[at] ^ parity1[to]) <= both - 2 * least
             if fits.any():
                 a, b = doc[at[fits]], doc[to[fits]]
                 yield np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            to = to + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None  # the last shingle's rows, as it may go on in the next batch
         for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            sizes = batch.column(4).to_numpy()
+            columns += [sizes >> 32, sizes & 0xFFFFFFFF, *(batch.column(i).to_numpy().view(np.uint64) for i in (5, 6))]
             if kept is not None:
                 columns = [np.concatenate(x) for x in zip(kept, columns, strict=True)]
             new = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
@@ -250,18 +264,18 @@ def _candidates(postings: DataFrame, join: Join) -> DataFrame:
         for x in found:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
-    ordered = postings.repartition("token", "cell").sortWithinPartitions("token", "cell")
+    ordered = postings.repartition("token", "cell").sortWithinPartitions("token", "cell", "part")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def _postings(prefixes: DataFrame, parts: DataFrame) -> DataFrame:
     """A row for each shingle of each distinct set's prefix; those of a hot shingle go to all cells of a row and a column of its grid."""
-    rows = prefixes.join(parts, "doc_id").select("doc_id", "part", "n", "sides", F.posexplode("p0").alias("pos", "token"))
+    rows = prefixes.join(parts, "doc_id").select("doc_id", "part", "n", "parity0", "parity1", "sides", F.posexplode("p0").alias("pos", "token"))
     side = F.coalesce(F.get("sides", F.col("pos")), F.lit(1))
     own = F.pmod(F.xxhash64("doc_id"), side).cast("int")
     cells = F.transform(F.sequence(F.lit(0), side - 1), lambda j: F.least(own, j) * side + F.greatest(own, j))
     rows = rows.withColumn("cell", F.explode(F.when(side == 1, F.array(F.lit(0))).otherwise(cells)))
-    return rows.select("token", F.col("cell").cast("long").alias("cell"), "doc_id", "part", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"))
+    return rows.select("token", "cell", "part", "doc_id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "parity0", "parity1")
 
 
 def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
