@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import rolling
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = (rolling,)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
