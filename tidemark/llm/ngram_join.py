@@ -129,29 +129,30 @@ def _ordered(s: np.ndarray, seed: int, classes: np.ndarray, most: int) -> np.nda
 
 
 def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple[np.ndarray, np.ndarray], keep: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, n, parity0, parity1, p0, p1, ...): each document's prefix under each order; ``sides``: the grid's side
-    for the shingles of p0, null if all are 1. The parities say of 128 classes of shingles whether the set has an odd
+    """(doc_id, n, common, parity0, parity1, p0, p1, ...): each document's prefix under each order; ``sides``: the grid's
+    side for the shingles of p0, null if all are 1; ``common``: how frequent its shingles are on average. The parities say of 128 classes of shingles whether the set has an odd
     number of each: two sets differ by at least as many shingles as their parities by bits."""
     shared = docs.sparkSession.sparkContext.broadcast((*rarity, keep))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, sides, bits = shared.value
         for batch in text_slices(_kept(batches, bits), "text", CHUNK_BYTES):
-            sizes, grid, parities, prefixes = [], [], [], [[] for _ in seeds]
+            sizes, grid, parities, common, prefixes = [], [], [], [], [[] for _ in seeds]
             for s in shingle_sets(batch.column("text"), join.width):
                 sizes.append(len(s))
+                common.append(float(classes[(s >> np.uint64(44)).astype(np.int64)].mean()) if len(s) else 0.0)
                 parities.append(np.packbits(np.bincount((mix(s, 31) & np.uint64(127)).astype(np.int64), minlength=128) & 1))
                 for seed, out in zip(seeds, prefixes, strict=True):
                     out.append(_ordered(s, seed, classes, join.prefix(len(s))))
                 side = sides[(prefixes[0][-1] >> np.uint64(44)).astype(np.int64)]
                 grid.append(side.tolist() if (side > 1).any() else None)
             arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(_signed(np.concatenate(out)))) for out in prefixes]
-            names = ["doc_id", "n", "parity0", "parity1", "sides", *(f"p{i}" for i in range(len(seeds)))]
+            names = ["doc_id", "n", "common", "parity0", "parity1", "sides", *(f"p{i}" for i in range(len(seeds)))]
             parity = np.concatenate(parities).view(np.int64).reshape(-1, 2).T.copy()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), *map(pa.array, parity), pa.array(grid, pa.list_(pa.int32())), *arrays], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(common), *map(pa.array, parity), pa.array(grid, pa.list_(pa.int32())), *arrays], names=names)
 
     fields = "".join(f", p{i} array<long>" for i in range(len(seeds)))
-    return docs.mapInArrow(run, f"doc_id long, n int, parity0 long, parity1 long, sides array<int>{fields}")
+    return docs.mapInArrow(run, f"doc_id long, n int, common double, parity0 long, parity1 long, sides array<int>{fields}")
 
 
 def _bit(ids: np.ndarray) -> np.ndarray:
@@ -211,10 +212,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
 
 
 def _leader_pairs(sets: DataFrame) -> DataFrame:
-    """Each set paired with the leader of each of its bands."""
+    """Each set paired with the leader of each of its bands: the one with the most common shingles, as the text that
+    others were made from has few of its own and is like most of them."""
     found = None
     for i in range(len(BANDS)):
-        leads = sets.groupBy(f"band{i}").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias("b"), F.count("*").alias("_n")).where("_n > 1")
+        leads = sets.groupBy(f"band{i}").agg(F.max(F.struct("common", F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias("b"), F.count("*").alias("_n")).where("_n > 1")
         pairs = sets.select("doc_id", f"band{i}").join(leads, f"band{i}").select(F.col("doc_id").alias("a"), "b")
         found = pairs if found is None else found.unionByName(pairs)
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -290,11 +292,11 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     sets = written(real.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("doc_id"), *bands), "sets")
     same = real.select("n", "key1", "key2", F.col("doc_id").alias("a")).join(sets.select("n", "key1", "key2", F.col("doc_id").alias("b")), ["n", "key1", "key2"]).select("a", "b").where("a <> b")
 
-    near = written(_verified(written(_leader_pairs(sets), "leaders"), docs, join), "near")
+    first = written(_prefixes(docs, join, ORDERS[:1], rarity), "prefixes")
+    near = written(_verified(written(_leader_pairs(sets.join(first.select("doc_id", "common"), "doc_id")), "leaders"), docs, join), "near")
     roots = components(near)
     parts = sets.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("part"))
 
-    first = _prefixes(docs, join, ORDERS[:1], rarity)
     found = written(_candidates(_postings(first, parts), join), "candidates")
     others = _prefixes(docs, join, ORDERS[1:], rarity, _bitmap(found))
     sides = [others.select(F.col("doc_id").alias(c), *(F.col(f"p{i}").alias(f"{c}{i}") for i in range(len(ORDERS) - 1))) for c in ("a", "b")]
