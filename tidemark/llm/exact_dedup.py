@@ -18,6 +18,7 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 from pathlib import Path
 from typing import Any
 
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.arrow import text_slices
 from tidemark.llm.shared import written
@@ -199,9 +201,34 @@ def exact_groups(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts."""
-    kept = exact_groups(docs, budget).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.withColumn("_sha", F.sha2(lower, 256))
-    rows = rows.join(kept, F.col("_sha").eqNullSafe(F.col("_kept_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_sha", "doc_id"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, whole: one of each group of equal texts, as ``exact_groups`` keeps it. Rows that
+    are no partition's best never leave it, so a row is shuffled once at most."""
+    names, schema = docs.columns, docs.schema
+    doc, text = names.index("doc_id"), names.index("text")
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
+        for batch in text_slices(batches, "text", OUT_BYTES):
+            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                content = (row[text] or "").encode().translate(_LOWER)
+                yield int.from_bytes(sha256(content).digest()[:8], "little"), content, row
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        kinds = pa.schema([first.schema.field(n) for n in names] + [pa.field("_hash", pa.int64())])
+        held, size = [], 0
+        with tempfile.TemporaryDirectory() as scratch:
+            for contents, found in grace(records(chain([first], batches)), budget // 2, Path(scratch, "spill")):
+                hashes = {entry: int.from_bytes(sha256(contents[entry]).digest()[:8], "little", signed=True) for entry, _ in found}
+                for entry, members in _by_entry(found).items():
+                    held.append((*members[_best([m[doc] for m in members])], hashes[entry]))
+                    size += len(contents[entry])
+                    if size >= OUT_BYTES or len(held) >= OUT_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.types, strict=True)], schema=kinds)
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    hashed = T.StructType([*schema.fields, T.StructField("_hash", T.LongType())])
+    return docs.mapInArrow(best, hashed).repartition("_hash").drop("_hash").mapInArrow(lambda batches: (b.select(names) for b in best(batches)), schema)
