@@ -74,9 +74,9 @@ def macd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {RETS},
   t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM rets WINDOW w AS (PARTITION BY asset ORDER BY dt))
-  SELECT asset, dt, round(tr, 6) AS tr, round(CASE WHEN rn >= 14 THEN avg(tr) OVER {last(14)} END, 6) AS atr FROM t""")
+  SELECT asset, dt, round(tr, 8) AS tr, round(CASE WHEN rn >= 14 THEN avg(tr) OVER {last(14)} END, 5) AS atr FROM t""")
 def atr14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.atr(panels.bars(spark, sf_dir)).select("asset", "dt", "tr", "atr"), "tr", "atr")
+    return rounded(rounded(signals.atr(panels.bars(spark, sf_dir)).select("asset", "dt", "tr", "atr"), "tr", digits=8), "atr", digits=5)
 
 
 @query(f"""WITH {TYPES}, r AS (SELECT asset, dt, close / lag(close) OVER (PARTITION BY asset ORDER BY dt) - 1 AS ret FROM types),
@@ -112,14 +112,14 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BARS}, days AS (SELECT DISTINCT dt FROM bars), a AS (SELECT asset, min(dt) AS first FROM bars GROUP BY asset),
   g AS (SELECT a.asset, d.dt, b.close FROM a JOIN days d ON d.dt >= a.first LEFT JOIN bars b ON b.asset = a.asset AND b.dt = d.dt)
-  SELECT asset, dt, round(last_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING), 6) AS close, close IS NULL AS carried FROM g""")
+  SELECT asset, dt, round(last_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING), 8) AS close, close IS NULL AS carried FROM g""")
 def filled_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every asset on every trading day since its first, prices carried forward."""
     bars = panels.bars(spark, sf_dir).select("asset", "dt", "close")
     first = bars.groupBy("asset").agg(F.min("dt").alias("_first"))
     grid = bars.select("dt").distinct().join(F.broadcast(first), F.col("dt") >= F.col("_first")).drop("_first")  # a row per asset
     rows = grid.join(bars, ["asset", "dt"], "left").withColumn("carried", F.col("close").isNull()).withColumn("close", S.filled("close"))
-    return rounded(rows.select("asset", "dt", "close", "carried"), "close")
+    return rounded(rows.select("asset", "dt", "close", "carried"), "close", digits=8)
 
 
 def _wma_sql(c: str, n: int) -> str:
@@ -182,10 +182,10 @@ def from_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("asset").agg(*picked), "newest", "ago_20", "ago_251")
 
 
-@query(f"WITH {RETS} SELECT asset, dt, round(close, 6) AS close FROM rets WHERE rn % 5 = 1")
+@query(f"WITH {RETS} SELECT asset, dt, round(close, 8) AS close FROM rets WHERE rn % 5 = 1")
 def every_fifth_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panels.bars(spark, sf_dir).withColumn("rn", F.row_number().over(S.by_asset())).where("rn % 5 = 1")
-    return rounded(rows.select("asset", "dt", "close"), "close")
+    return rounded(rows.select("asset", "dt", "close"), "close", digits=8)
 
 
 @query(f"""WITH {TYPES}, r AS (SELECT asset, dt, close / lag(close) OVER (PARTITION BY asset ORDER BY dt) - 1 AS ret FROM types)
