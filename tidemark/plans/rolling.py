@@ -10,17 +10,24 @@ from tidemark.operators import signals
 from tidemark.plans.sql import BARS, RETS, SERIES, TYPES, last
 from tidemark.sources import panels
 
-QUERIES, ORACLES = {}, {}
 
+def registry():
+    """A dict of queries, one of their DuckDB equivalents, and the decorator that fills them."""
+    queries, oracles = {}, {}
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = sql
+            return f
 
-    return add
+        return add
+
+    return queries, oracles, query
+
+
+QUERIES, ORACLES, query = registry()
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import rolling
+from tidemark.plans import metrics, rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (rolling,)
+MODULES = (rolling, metrics)
 
 
 def queries() -> dict[str, Query]:
