@@ -43,7 +43,7 @@ def percentile_ranking(factors: DataFrame, inverted: tuple[str, ...] = ("cvar",)
     rows = factors.where("value is not null")
     p = percentile_of_score("value", ["band", "metric"])
     rows = rows.withColumn("p", F.when(F.col("metric").isin(*inverted), 100 - p).otherwise(p))
-    found = rows.groupBy("asset", "band").agg(F.avg("p").alias("percentile"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "p")))).alias("by_metric"))
+    found = rows.groupBy("asset", "band").agg(F.round(F.avg("p"), 9).alias("percentile"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "p")))).alias("by_metric"))
     order = Window.partitionBy("band").orderBy(F.desc("percentile"), "asset")
     return found.withColumn("rank", F.row_number().over(order))
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import metrics, rolling
+from tidemark.plans import decisions, metrics, rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (rolling, metrics)
+MODULES = (rolling, metrics, decisions)
 
 
 def queries() -> dict[str, Query]:
