@@ -4,7 +4,7 @@ Multiple-global-order filtering. Under any one order of all shingles, two sets t
 shingle among the first few of each (the prefix). The join finds pairs that share prefix shingles under a first
 order, keeps those that also do under each further order, and verifies what is left on the whole texts. All orders
 put rare shingles first; they differ in how shingles of about the same frequency follow each other. How rare a
-shingle is comes from a table of ``SLOTS`` counts over all documents (a fixed 4 MB, whatever the input; colliding
+shingle is comes from a table of ``SLOTS`` counts over all documents (a fixed 16 MB, whatever the input; colliding
 shingles share a count). It decides the order alone, so it can make the join slower, never wrong.
 
 Before that, documents are contracted: those with equal sets count as one, and those that agree in a band of
@@ -23,6 +23,7 @@ texts are taken whole; other columns are not looked at; an empty table gives an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +37,8 @@ from tidemark.llm.components import components
 from tidemark.llm.shared import written
 from tidemark.llm.shingles import mix, shingle_sets
 
-#: Counts of shingles by hash: their number, and how many go into one row.
-SLOTS, SLOTS_A_ROW = 1 << 20, 1 << 14
+#: Counts of shingles by hash: their number, and how many go into one row. A task counts so many shingles at a time.
+SLOTS, SLOTS_A_ROW, COUNTED = 1 << 24, 1 << 18, 1 << 22
 #: Orders of the shingles, by the seed that breaks ties of frequency.
 ORDERS = (101, 102, 103)
 #: Bands of least hashes, two seeds each.
@@ -71,8 +72,19 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _summaries(docs: DataFrame, join: Join) -> DataFrame:
     """For each document its set's size, 128 bits that stand for the set, and its bands' least hashes; and each task's slot counts."""
 
+    names = ["doc_id", "n", "key1", "key2", *(f"band{i}" for i in range(len(BANDS))), "slot_row", "counts"]
+
+    def counted(slots: np.ndarray) -> pa.RecordBatch:
+        slots = np.sort(slots)
+        first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+        slots, counts = slots[first], np.diff(np.append(first, len(slots)))
+        cuts = np.searchsorted(slots, np.arange(0, SLOTS + 1, SLOTS_A_ROW))
+        rows = [(i, _packed(slots[a:b] % SLOTS_A_ROW, counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+        empty = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([*[empty] * (4 + len(BANDS)), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        held, size = [], 0
         for batch in text_slices(batches, "text", CHUNK_BYTES):
             rows, seen = [], []
             for s in shingle_sets(batch.column("text"), join.width):
@@ -81,70 +93,86 @@ def _summaries(docs: DataFrame, join: Join) -> DataFrame:
                     key = [mix(s, k).sum(dtype=np.uint64) for k in (1, 2)]
                     bands = [mix(mix(s, a).min() * np.uint64(3) + mix(s, b).min(), a) if len(s) else np.uint64(0) for a, b in BANDS]
                 rows.append([*key, *bands])
-            counts += np.bincount((np.concatenate(seen) >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
-            columns = _signed(np.array(rows, np.uint64).T.copy())
+            held.append(_slot(np.concatenate(seen)))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counted(np.concatenate(held))
+                held, size = [], 0
+            columns = np.array(rows, np.uint64).T.copy().view(np.int64)
             n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(list(map(len, seen)), pa.int64()), *map(pa.array, columns), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=["doc_id", "n", "key1", "key2", *(f"band{i}" for i in range(len(BANDS))), "slot_row", "counts"],
-            )
-        parts = counts.reshape(-1, SLOTS_A_ROW)
-        used = np.flatnonzero(parts.any(axis=1))
-        empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [*[empty] * (4 + len(BANDS)), pa.array(used, pa.int32()), pa.array([parts[i].astype("<i8").tobytes() for i in used], pa.binary())],
-            names=["doc_id", "n", "key1", "key2", *(f"band{i}" for i in range(len(BANDS))), "slot_row", "counts"],
-        )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, seen)), pa.int64()), *map(pa.array, columns), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        if size:
+            yield counted(np.concatenate(held))
 
     bands = "".join(f", band{i} long" for i in range(len(BANDS)))
     return docs.mapInArrow(run, f"doc_id long, n long, key1 long, key2 long{bands}, slot_row int, counts binary")
 
 
-def _rarity(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Each slot's class of frequency (in steps of a half power of two), and the side of the grid for its shingles."""
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.uint32)
+
+
+def _packed(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending slots and their counts in few bytes."""
+    return zlib.compress(np.concatenate((np.diff(slots, prepend=0), counts)).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64).reshape(2, -1)
+    return np.cumsum(both[0]), both[1]
+
+
+def _rarity(summaries: DataFrame) -> tuple[np.ndarray, int]:
+    """Each slot's class of frequency, in steps of a quarter power of two, and the class from which on a shingle is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(raw.as_py(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot_row", "counts"])
+                slots, counts = _unpacked(raw.as_py())
+                sums.setdefault(row, np.zeros(SLOTS_A_ROW, np.int64))[slots] += counts
+        classes = [np.minimum(4 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], names=["slot_row", "classes"])
 
+    classes = np.zeros(SLOTS, np.uint8)
     parts = summaries.where("slot_row is not null").select("slot_row", "counts").repartition("slot_row")
-    counts = np.zeros(SLOTS, np.int64)
-    for row in parts.mapInArrow(run, "slot_row int, counts binary").collect():  # SLOTS numbers, whatever the input
-        counts[row.slot_row * SLOTS_A_ROW :][:SLOTS_A_ROW] = np.frombuffer(row.counts, "<i8")
-    usual = counts.mean()
-    sides = np.where(counts > GRID_SETS + 4 * usual, counts // GRID_SETS + 1, 1)
-    return (2 * np.log2(counts + 1)).astype(np.uint8), sides.astype(np.int32)
+    for row in parts.mapInArrow(run, "slot_row int, classes binary").collect():  # SLOTS bytes, whatever the input
+        classes[row.slot_row * SLOTS_A_ROW :][:SLOTS_A_ROW] = np.frombuffer(row.classes, np.uint8)
+    usual = (2 ** (classes / 4.0)).mean()
+    return classes, int(np.ceil(4 * np.log2(GRID_SETS + 4 * usual)))
+
+
+def _sides(classes: np.ndarray, hot: int) -> np.ndarray:
+    """The side of the grid over which shingles of some classes are split: 1 below the hot class."""
+    return np.where(classes < hot, 1, np.ceil(2 ** (np.minimum(classes, 120) / 4.0) / GRID_SETS)).astype(np.int32)
 
 
 def _ordered(s: np.ndarray, seed: int, classes: np.ndarray, most: int) -> np.ndarray:
     """The first ``most`` shingles of a set: rare ones first, then by a hash of their own for each seed."""
-    key = (classes[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(s, seed) >> np.uint64(8))
+    key = (classes[_slot(s)].astype(np.uint64) << np.uint64(56)) | (mix(s, seed) >> np.uint64(8))
     if most < len(s):
         part = np.argpartition(key, most - 1)[:most]
         s, key = s[part], key[part]
     return s[np.argsort(key)]
 
 
-def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple[np.ndarray, np.ndarray], keep: np.ndarray | None = None) -> DataFrame:
+def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple[np.ndarray, int], keep: np.ndarray | None = None) -> DataFrame:
     """(doc_id, n, common, parity0, parity1, p0, p1, ...): each document's prefix under each order; ``sides``: the grid's
     side for the shingles of p0, null if all are 1; ``common``: how frequent its shingles are on average. The parities say of 128 classes of shingles whether the set has an odd
     number of each: two sets differ by at least as many shingles as their parities by bits."""
     shared = docs.sparkSession.sparkContext.broadcast((*rarity, keep))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, sides, bits = shared.value
+        classes, hot, bits = shared.value
         for batch in text_slices(_kept(batches, bits), "text", CHUNK_BYTES):
             sizes, grid, parities, common, prefixes = [], [], [], [], [[] for _ in seeds]
             for s in shingle_sets(batch.column("text"), join.width):
                 sizes.append(len(s))
-                common.append(float(classes[(s >> np.uint64(44)).astype(np.int64)].mean()) if len(s) else 0.0)
+                common.append(float(classes[_slot(s)].mean()) if len(s) else 0.0)
                 parities.append(np.packbits(np.bincount((mix(s, 31) & np.uint64(127)).astype(np.int64), minlength=128) & 1))
                 for seed, out in zip(seeds, prefixes, strict=True):
                     out.append(_ordered(s, seed, classes, join.prefix(len(s))))
-                side = sides[(prefixes[0][-1] >> np.uint64(44)).astype(np.int64)]
+                side = _sides(classes[_slot(prefixes[0][-1])], hot)
                 grid.append(side.tolist() if (side > 1).any() else None)
             arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(_signed(np.concatenate(out)))) for out in prefixes]
             names = ["doc_id", "n", "common", "parity0", "parity1", "sides", *(f"p{i}" for i in range(len(seeds)))]
