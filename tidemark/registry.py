@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import backtests, decisions, market, metrics, rolling
+from tidemark.plans import backtests, decisions, market, metrics, rolling, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (rolling, metrics, decisions, backtests, market)
+MODULES = (rolling, metrics, decisions, backtests, market, streams)
 
 
 def queries() -> dict[str, Query]:
