@@ -33,8 +33,8 @@ def month_ends(start: str, end: str) -> Column:
 def rankings(panel: DataFrame, assets: DataFrame, dates: DataFrame, momentum: float = -0.1) -> DataFrame:
     """(dt, asset, rank, score) for each day of ``dates`` (dt): assets by their newest score then. Assets whose last 63
     returns sum to ``momentum`` or less, or that have too short a history, are left out."""
-    rows = ranking.scored(panel).withColumn("recent", F.sum("ret").over(S.last(63)))
-    rows = rows.where(F.col("recent") > momentum).select("asset", "dt", "score")
+    whole = panel.withColumn("recent", S.simple_return()).withColumn("recent", F.sum("recent").over(S.last(63)))
+    rows = ranking.scored(whole).where(F.col("recent") > momentum).select("asset", "dt", "score")
     grid = dates.select("dt").distinct().crossJoin(F.broadcast(assets.select("asset")))  # a row per asset
     found = relational.as_of(grid.select("asset", "dt", F.lit(1).alias("wanted")), rows, ["asset"]).where("score is not null").select("dt", "asset", "score")
     return ranking.ranked(found, ["dt"], assets)
