@@ -11,7 +11,7 @@ nor the whole order is ever in one task, and they don't depend on how the input
 Defined results: null sources are a source of their own; a null text has no bytes and the checksum of the empty
 text; rows that agree in everything are told apart by nothing and take their places in an arbitrary order among
 themselves; with fewer rows than shards, some shards are empty; equal texts are not kept together, as the law
-and the mixture decide every cut; extra columns pass through.
+and the mixture decide every cut; extra columns pass through, but for ones named shard or slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,4 +34,5 @@ def interleaved_shards(rows: DataFrame, shards: int, source: str = "source", ide
     ordered = running(placed, [], "_bucket", [F.col("_share"), F.col(source).asc_nulls_last(), *ties], F.lit(1), "_place")
     exact = F.expr(f"cast((_place * {shards}) div {max(count, 1)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {count} + {shards - 1}) div {shards}")
-    return ordered.withColumn("shard", exact).withColumn("slot", F.col("_place") - first).select(*rows.columns, "shard", "slot")
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    return ordered.withColumn("shard", exact).withColumn("slot", F.col("_place") - first).select(*kept, "shard", "slot")
