@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import chain
 from pathlib import Path
@@ -33,7 +33,7 @@ from tidemark.llm.arrow import text_slices
 from tidemark.llm.shared import written
 
 #: Bytes of distinct contents that a task keeps in memory before it spills.
-BUDGET_BYTES = 48 << 20
+BUDGET_BYTES = 32 << 20
 #: Files that a bucket is spilled to; hash bits that choose among them.
 FANOUT_BITS = 4
 OUT_ROWS, OUT_BYTES = 2000, 4 << 20
@@ -41,9 +41,11 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class ContentTable:
-    """Open addressing with linear probing: hash and complete content decide, and each distinct content is kept once."""
+    """Open addressing with linear probing: hash and complete content decide, and each distinct content is kept once.
+    Contents are compared in the form that ``normal`` gives them."""
 
-    def __init__(self) -> None:
+    def __init__(self, normal: Callable[[bytes], bytes]) -> None:
+        self.normal = normal
         self.contents: list[bytes] = []
         self.hashes: list[int] = []
         self.bytes = 0
@@ -61,7 +63,7 @@ class ContentTable:
         """The number of this content's entry; a new one if it isn't there yet."""
         at = h & len(self.slots) - 1
         while (entry := int(self.slots[at])) >= 0:
-            if self.hashes[entry] == h and self.contents[entry] == content:
+            if self.hashes[entry] == h and (self.contents[entry] == content or self.normal(self.contents[entry]) == self.normal(content)):
                 return entry
             at = at + 1 & len(self.slots) - 1
         self.slots[at] = entry = len(self.contents)
@@ -77,16 +79,29 @@ class ContentTable:
 Record = tuple[int, bytes, Any]
 
 
-def grace(records: Iterator[Record], budget: int, folder: Path, level: int = 0) -> Iterator[tuple[list[bytes], list[tuple[int, Any]]]]:
-    """For each bucket, its distinct contents and for each record the number of its content and what goes with it."""
-    table, rows = ContentTable(), []
+def as_it_is(content: bytes) -> bytes:
+    return content
+
+
+def lower(content: bytes) -> bytes:
+    return content.translate(_LOWER)
+
+
+def grace(records: Iterator[Record], budget: int, folder: Path, normal: Callable[[bytes], bytes] = as_it_is, level: int = 0) -> Iterator[list[tuple[int, bytes, Any]]]:
+    """For each bucket, the number of its content, the content and what goes with it for each record. Records whose
+    contents are the same to the byte share them."""
+    table, rows = ContentTable(normal), []
     for h, content, more in records:
-        rows.append((table.entry(h, content), more))
+        entry = table.entry(h, content)
+        own = table.contents[entry]
+        rows.append((entry, own if own == content else content, more))
+        if own != content:
+            table.bytes += len(content)
         if table.bytes > budget and (level + 1) * FANOUT_BITS <= 60:
             break
     else:
         if rows:
-            yield table.contents, rows
+            yield rows
         return
     folder.mkdir()
     paths = [folder / str(i) for i in range(1 << FANOUT_BITS)]
@@ -96,15 +111,15 @@ def grace(records: Iterator[Record], budget: int, folder: Path, level: int = 0)
     def spill(h: int, content: bytes, more: Any) -> None:
         pickle.dump((h, content, more), files[h >> shift & mask], protocol=5)
 
-    for entry, more in rows:
-        spill(table.hashes[entry], table.contents[entry], more)
+    for entry, content, more in rows:
+        spill(table.hashes[entry], content, more)
     del table, rows
     for record in records:
         spill(*record)
     for f in files:
         f.close()
     for i, path in enumerate(paths):
-        yield from grace(_spilled(path), budget, folder / f"below{i}", level + 1)
+        yield from grace(_spilled(path), budget, folder / f"below{i}", normal, level + 1)
         path.unlink()
 
 
@@ -135,11 +150,12 @@ def _best(ids: list[int | None]) -> int:
     return max(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
 
 
-def _by_entry(rows: list[tuple[int, Any]]) -> dict[int, list[Any]]:
-    groups: dict[int, list[Any]] = {}
-    for entry, more in rows:
-        groups.setdefault(entry, []).append(more)
-    return groups
+def _by_entry(rows: list[tuple[int, bytes, Any]]) -> Iterator[list[tuple[bytes, Any]]]:
+    """The records of each distinct content."""
+    groups: dict[int, list[tuple[bytes, Any]]] = {}
+    for entry, content, more in rows:
+        groups.setdefault(entry, []).append((content, more))
+    return iter(groups.values())
 
 
 def _local(docs: DataFrame, budget: int) -> DataFrame:
@@ -149,19 +165,19 @@ def _local(docs: DataFrame, budget: int) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
         for batch in text_slices(batches, "text", OUT_BYTES):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                content = (text or b"").translate(_LOWER)
+                content = lower(text or b"")
                 digest = sha256(content)
                 yield int.from_bytes(digest.digest()[:8], "little"), content, (doc, digest.hexdigest())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         task, local = TaskContext.get().partitionId(), 0
         with tempfile.TemporaryDirectory() as scratch:
-            for contents, found in grace(records(batches), budget, Path(scratch, "spill")):
-                for entry, members in _by_entry(found).items():
-                    best = _best([doc for doc, _ in members])
-                    h = int.from_bytes(bytes.fromhex(members[0][1][:16]), "little", signed=True)
-                    for i, (doc, digest) in enumerate(members):
-                        yield (doc, digest, task, local, i == best, h, *((len(members), contents[entry]) if i == best else (None, None)))
+            for found in grace(records(batches), budget, Path(scratch, "spill")):
+                for members in _by_entry(found):
+                    best = _best([doc for _, (doc, _) in members])
+                    h = int.from_bytes(bytes.fromhex(members[0][1][1][:16]), "little", signed=True)
+                    for i, (content, (doc, digest)) in enumerate(members):
+                        yield (doc, digest, task, local, i == best, h, *((len(members), content) if i == best else (None, None)))
                     local += 1
 
     schema = "doc_id long, text_sha256 string, task long, local long, best boolean, hash long, size long, content binary"
@@ -180,12 +196,12 @@ def _merged(local: DataFrame, budget: int) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         with tempfile.TemporaryDirectory() as scratch:
-            for _, found in grace(records(batches), budget, Path(scratch, "spill")):
-                for members in _by_entry(found).values():
-                    members.sort(key=lambda m: m[1:3])
+            for found in grace(records(batches), budget, Path(scratch, "spill")):
+                for group in _by_entry(found):
+                    members = sorted((m for _, m in group), key=lambda m: m[1:3])
                     best, size = _best([m[0] for m in members]), sum(m[3] for m in members)
-                    for i, (_, task, group, _) in enumerate(members):
-                        yield task, group, members[best][0], size, i == best, None
+                    for i, (_, task, local, _) in enumerate(members):
+                        yield task, local, members[best][0], size, i == best, None
 
     dealt = local.where("best").select("hash", "content", "doc_id", "task", "local", "size").repartition("hash")
     schema = "task long, local long, keep_id long, group_size long, holds_best boolean, nothing binary"
@@ -204,31 +220,38 @@ def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, whole: one of each group of equal texts, as ``exact_groups`` keeps it. Rows that
     are no partition's best never leave it, so a row is shuffled once at most."""
     names, schema = docs.columns, docs.schema
-    doc, text = names.index("doc_id"), names.index("text")
+    others = [n for n in names if n != "text"]
+    doc = others.index("doc_id")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
         for batch in text_slices(batches, "text", OUT_BYTES):
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                content = (row[text] or "").encode().translate(_LOWER)
-                yield int.from_bytes(sha256(content).digest()[:8], "little"), content, row
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for text, *row in zip(texts, *(batch.column(n).to_pylist() for n in others), strict=True):
+                yield int.from_bytes(sha256(lower(text or b"")).digest()[:8], "little"), text or b"", (text is None, row)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is None:
             return
-        kinds = pa.schema([first.schema.field(n) for n in names] + [pa.field("_hash", pa.int64())])
+        kinds = pa.schema([*(first.schema.field(n) for n in others), pa.field("text", pa.binary()), pa.field("_hash", pa.int64())])
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+            return pa.RecordBatch.from_arrays([made.column(n).cast(pa.string()) if n == "text" else made.column(n) for n in (*names, "_hash")], names=[*names, "_hash"])
+
         held, size = [], 0
         with tempfile.TemporaryDirectory() as scratch:
-            for contents, found in grace(records(chain([first], batches)), budget // 2, Path(scratch, "spill")):
-                hashes = {entry: int.from_bytes(sha256(contents[entry]).digest()[:8], "little", signed=True) for entry, _ in found}
-                for entry, members in _by_entry(found).items():
-                    held.append((*members[_best([m[doc] for m in members])], hashes[entry]))
-                    size += len(contents[entry])
+            for found in grace(records(chain([first], batches)), budget, Path(scratch, "spill"), lower):
+                for members in _by_entry(found):
+                    content, (missing, row) = members[_best([row[doc] for _, (_, row) in members])]
+                    h = int.from_bytes(sha256(lower(content)).digest()[:8], "little", signed=True)
+                    held.append((*row, None if missing else content, h))
+                    size += len(content)
                     if size >= OUT_BYTES or len(held) >= OUT_ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.types, strict=True)], schema=kinds)
+                        yield table(held)
                         held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds.types, strict=True)], schema=kinds)
+            yield table(held)
 
     hashed = T.StructType([*schema.fields, T.StructField("_hash", T.LongType())])
     return docs.mapInArrow(best, hashed).repartition("_hash").drop("_hash").mapInArrow(lambda batches: (b.select(names) for b in best(batches)), schema)
