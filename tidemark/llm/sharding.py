@@ -3,7 +3,7 @@
 Within each source, rows are ranked in a seeded shuffle, and a row's fractional rank is (rank + 1/2) over the
 source's rows. In the order of fractional ranks every stretch holds each source in its share of all rows, so
 cutting that order into pieces of equal length gives shards that all match the mixture: of any source, a shard has
-its exact share to within about one row, and the shards' counts differ by one at most (the law "rows").
+its exact share to within a row, and its share of as many rows as there are sources, and the shards' counts differ by one at most (the law "rows").
 
 Ranks come from buckets of the shuffle and of the fractional ranks (``shared.running``), so neither a hot source
 nor the whole order is ever in one task, and they don't depend on how the input is partitioned.
