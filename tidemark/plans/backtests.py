@@ -53,9 +53,9 @@ def _conditional_sql(scenarios: str) -> str:
 
 
 def _grid(spark: SparkSession, every: tuple[int, ...], buffers: tuple[int, ...]) -> DataFrame:
-    """Every pair of check interval and buffer: a cross join of two short lists."""
-    a, b = spark.createDataFrame([(x,) for x in every], "every int"), spark.createDataFrame([(x,) for x in buffers], "buffer int")
-    return a.crossJoin(b).withColumn("scenario", F.format_string("%d/%d", "every", "buffer"))
+    """Every pair of check interval and buffer, from two short lists."""
+    one = spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, every))).alias("every"))
+    return one.withColumn("buffer", F.explode(F.array(*map(F.lit, buffers)))).withColumn("scenario", F.format_string("%d/%d", "every", "buffer"))
 
 
 def _conditional(spark: SparkSession, sf_dir: str, every: tuple[int, ...], buffers: tuple[int, ...]) -> DataFrame:
