@@ -121,12 +121,12 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.zipped_from_end(a, b).select("place", "a_close", "b_close"), "a_close", "b_close", digits=8)
 
 
-@query(f"""WITH {RETS}, {ASSETS}, x AS (SELECT asset, count(*) AS n, 'measured' AS name FROM bars WHERE asset < 'Brand#2' GROUP BY asset)
+@query(f"""WITH {RETS}, {ASSETS}, x AS (SELECT asset, count(*) AS n, CASE WHEN count(*) > 1530 THEN 'long' END AS name FROM bars GROUP BY asset)
   SELECT a.asset, region, kind, coalesce(x.name, a.name) AS name, n FROM assets a LEFT JOIN x USING (asset)""")
 def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata with later sources winning where they have a value."""
     base = panels.assets(spark, sf_dir).select("asset", "region", "kind", "name")
-    counts = panels.bars(spark, sf_dir).where("asset < 'Brand#2'").groupBy("asset").agg(F.count("*").alias("n"), F.lit("measured").alias("name"))
+    counts = panels.bars(spark, sf_dir).groupBy("asset").agg(F.count("*").alias("n"), F.when(F.count("*") > 1530, "long").alias("name"))
     return relational.merged_left(base, counts)
 
 
