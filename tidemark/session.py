@@ -29,3 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """The path of a new folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Bytes of an Arrow batch that goes to Python: rows differ in size by orders of magnitude, so a count of rows bounds nothing.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's limit on the bytes of Arrow batches, unless one is set."""
+    key, most = BATCH_BYTES
+    if spark.conf.get(key, None) in (None, str((1 << 31) - 1)):
+        spark.conf.set(key, most)
