@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, language_id, mixing, ngram_join
 from tidemark.llm.shared import documents, written
+from tidemark.session import bounded_batches
 
 #: A text whose profile is at less than this likeness from all languages' is in none of them.
 LEAST_LIKENESS = 0.2
@@ -25,6 +26,7 @@ LEAST_LIKENESS = 0.2
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the corpus's languages; profiles are learned from those with a language."""
+    bounded_batches(spark)
     profiles = language_id.learn(docs)
     found = language_id.predict(docs, profiles)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LIKENESS)).select(*docs.columns)
@@ -32,11 +34,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    bounded_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five-word shingles, a similarity of 0.8 or more."""
+    bounded_batches(spark)
     found = ngram_join.similar_components(docs, ngram_join.Join(width=5, percent=80))
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -49,6 +53,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids, and whether they decode to its text."""
+    bounded_batches(spark)
     coded = bpe.round_trip(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("same"))
 

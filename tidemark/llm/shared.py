@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import new_folder
+from tidemark.session import bounded_batches, new_folder
 
 #: Rows that a bucket of a global order holds on average, until there are MOST_BUCKETS.
 BUCKET_ROWS, MOST_BUCKETS = 1024, 1 << 16
@@ -24,6 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
