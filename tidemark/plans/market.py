@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import backtest, explore, metrics, overlays, regimes, risk, signals
+from tidemark.operators import backtest, explore, metrics, overlays, ranking, regimes, risk, signals
 from tidemark.plans.metrics import METRICS
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, SERIES, last
@@ -188,8 +188,6 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline: volatility and beta, risk class, forecast, tail risk, signal, and the rank within the class."""
-    from tidemark.operators import ranking
-
     bars = panels.bars(spark, sf_dir)
     base = risk.volatility(bars).join(risk.best_benchmark(bars, panels.benchmarks(spark, sf_dir)), "asset", "left").withColumn("band", risk.risk_class(F.col("volatility"), F.coalesce("beta", F.lit(1.0)), 9, 12))
     rows = base.join(risk.cvar(bars), "asset").join(backtest.forecasts(bars), "asset").join(signals.kalman_hull(bars).select("asset", "signal"), "asset").join(backtest.walk_forward_hits(bars).select("asset", "hit_rate"), "asset")

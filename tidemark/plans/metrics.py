@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
-from tidemark.operators import metrics, risk, signals
+from tidemark.operators import metrics, ranking, risk, signals
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, TYPE_RETS, last
 from tidemark.sources import panels
@@ -143,7 +143,5 @@ def cvar_t(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT asset, dt, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, ord) AS INTEGER) AS rank FROM c QUALIFY rank <= 20""")
 def quality_rank_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the twenty best assets by score as of the panel's last day."""
-    from tidemark.operators.ranking import top_as_of
-
     bars = panels.bars(spark, sf_dir)
-    return rounded(top_as_of(bars, panels.assets(spark, sf_dir), None, 20).select("asset", "dt", "score", "rank"), "score")
+    return rounded(ranking.top_as_of(bars, panels.assets(spark, sf_dir), None, 20).select("asset", "dt", "score", "rank"), "score")
