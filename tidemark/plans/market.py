@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +17,25 @@ from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
 
-_NAMES = ("gold", "equity", "vix", "us_10y", "aud_usd", "bonds")
+#: Which of the six series that the tables can play stands for which role.
+ROLES = {
+    "high_yield": "equity", "long_bonds": "bonds", "dollar": "aud_usd", "ten_year": "us_10y", "two_year": "bonds", "market": "equity", "prices": "gold", "policy_rate": "us_10y",
+    "financials": "vix", "industrials": "gold", "consumer": "aud_usd", "energy": "us_10y", "technology": "equity", "health": "bonds", "utilities": "us_10y", "staples": "gold",
+    "chip_maker": "gold", "chip_rival": "vix", "chip_rival_2": "bonds", "island": "aud_usd", "peer": "gold", "peer_2": "bonds", "defence": "us_10y", "defence_2": "gold", "defence_3": "vix",
+    "fear": "vix", "gold": "gold", "oil": "us_10y", "sea_oil": "bonds", "gas": "vix", "retail": "bonds", "rival_market": "aud_usd", "currency": "aud_usd", "continent": "bonds",
+}
 
 
 def _features_sql() -> str:
     columns = []
-    for n in _NAMES:
+    for n in sorted(set(ROLES.values())):
         at = lambda p, n=n: f"max(value) FILTER (name = '{n}' AND k = {p})"
-        columns += [f"{at(1)} AS {n}_last", f"{at(30)} AS {n}_at30", f"{at(12)} AS {n}_at12"]
+        own = lambda w, n=n: f"FILTER (name = '{n}' AND k <= {w})"
+        columns += [f"{at(p)} AS {n}_at{p}" for p in overlays.PLACES]
         columns += [f"coalesce(({at(1)} / {at(c + 1)} - 1) * 100, 0) AS {n}_pc{c}" for c in overlays.CHANGES]
-        columns += [f"avg(value) FILTER (name = '{n}' AND k <= {w}) AS {n}_ma{w}" for w in overlays.WINDOWS]
-        columns += [f"stddev_samp(r) FILTER (name = '{n}' AND k <= 30) * sqrt(252) * 100 AS {n}_vol30", f"max(value) FILTER (name = '{n}' AND k <= 252) AS {n}_top"]
+        columns += [f"CASE WHEN count(value) {own(w)} = {w} THEN avg(value) {own(w)} END AS {n}_ma{w}" for w in overlays.MEANS]
+        columns += [f"CASE WHEN count(r) {own(w)} = {w} THEN stddev_samp(r) {own(w)} END * sqrt(252) * 100 AS {n}_vol{w}" for w in overlays.WINDOWS]
+        columns += [f"CASE WHEN count(value) {own(252)} = 252 THEN max(value) {own(252)} END AS {n}_top", f"count(*) FILTER (name = '{n}') AS {n}_n"]
     return f"""{SERIES}, ks AS (SELECT *, value / lag(value) OVER (PARTITION BY name ORDER BY dt) - 1 AS r, row_number() OVER (PARTITION BY name ORDER BY dt DESC) AS k FROM series),
       f AS (SELECT {", ".join(columns)} FROM ks)"""
 
@@ -34,39 +44,65 @@ def _n(x: str, c: float, s: float) -> str:
     return f"greatest(0.0::DOUBLE, least(100.0::DOUBLE, {c} + ({x}) / {s}::DOUBLE * 50))"
 
 
-_MACRO = f"""{_features_sql()}, a AS (SELECT *, bonds_pc30 - equity_pc30 AS spread, coalesce(((bonds_pc30 - equity_pc30) / nullif(bonds_pc60 - equity_pc60, 0) - 1) * 100, 0) AS widening,
-    (us_10y_last - bonds_last) / bonds_last * 100 AS slope, (us_10y_last - us_10y_at30) / us_10y_at30 * 100 AS turn, (gold_last / gold_at12 - 1) * 100 AS inflation FROM f),
-  b AS (SELECT 0.40 * (0.7 * {_n("spread", 50, 5)} + 0.3 * {_n("widening", 50, 50)}) + 0.35 * (0.75 * {_n("0.6 * aud_usd_pc20 + 0.4 * aud_usd_pc60", 50, 3)} + 12.5)
-      + 0.25 * (CASE WHEN slope < -5 THEN 80 WHEN slope < 0 THEN 65 WHEN slope < 5 THEN 45 ELSE 30 END + CASE WHEN turn < -10 THEN 10 ELSE 0 END) AS systematic,
-    0.45 * {_n("equity_pc60 - bonds_pc60", 50, 5)} + 0.35 * {_n("equity_pc60 - gold_pc60", 50, 5)} + 0.20 * ((CAST(equity_pc60 > 0 AS INTEGER) + CAST(gold_pc60 > 0 AS INTEGER) + CAST(aud_usd_pc60 > 0 AS INTEGER)) / 3 * 100) AS growth,
-    0.45 * {_n("us_10y_pc60 - inflation", 50, 10)} + 0.30 * CASE WHEN inflation > 8 THEN 85 WHEN inflation > 4 THEN 75 WHEN inflation > 2 THEN 50 WHEN inflation > 0 THEN 30 ELSE 15 END + 0.25 * {_n("us_10y_pc20", 50, 10)} AS policy FROM a),
-  r AS (SELECT *, CASE WHEN systematic > 70 AND growth < 40 THEN 'CRISIS' WHEN systematic < 40 AND growth > 60 THEN 'GOLDILOCKS' ELSE 'TRANSITIONAL' END AS regime FROM b),
-  mac AS (SELECT *, CASE regime WHEN 'CRISIS' THEN 0.6 WHEN 'GOLDILOCKS' THEN 0.25 ELSE 0.4 END * (100 - systematic) + CASE regime WHEN 'CRISIS' THEN 0.2 WHEN 'GOLDILOCKS' THEN 0.5 ELSE 0.35 END * growth
-    + CASE regime WHEN 'CRISIS' THEN 0.2 WHEN 'GOLDILOCKS' THEN 0.25 ELSE 0.25 END * (100 - policy) AS composite FROM r)"""
-_GEO = f"""{_features_sql()}, l AS (SELECT *, (vix_last / vix_ma50 - 1) * 100 AS lev FROM f),
-  p AS (SELECT 0.40 * {_n("equity_pc30 - gold_pc30", 50, 8)} + 0.30 * {_n("aud_usd_pc30", 50, 8)} + 0.30 * {_n("bonds_pc30 - equity_pc30", 50, 5)} AS tension,
-    0.30 * least(100, CASE WHEN lev < -20 THEN 20 WHEN lev < 0 THEN 40 WHEN lev < 20 THEN 60 ELSE 85 END + greatest(0, least(15, (vix_last / vix_ma20 - 1) * 50)))
-      + 0.40 * (0.6 * {_n("gold_pc30 - equity_pc30", 50, 5)} + 0.4 * {_n("bonds_pc30", 50, 5)}) + 0.30 * {_n("(gold_last / gold_ma50 - 1) * 100", 50, 10)} AS conflict,
-    0.35 * {_n("bonds_pc30 - equity_pc30", 50, 5)} + 0.35 * {_n("equity_pc60 - aud_usd_pc60", 50, 10)} + 0.30 * {_n("aud_usd_vol30", 50, 100)} AS trade,
-    0.40 * CASE WHEN us_10y_last < bonds_last THEN 80 ELSE 20 END + 0.35 * least(100, (equity_top - equity_last) / equity_top * 500) + 0.25 * {_n("equity_pc60 - gold_pc60", 50, 10)} AS stress,
-    0.40 * {_n("equity_pc30 - bonds_pc30", 50, 5)} + 0.35 * least(100, abs(gold_last - us_10y_last) / us_10y_last * 100) + 0.25 * {_n("gold_vol30", 50, 100)} AS energy FROM l),
-  geo AS (SELECT *, 0.30 * tension + 0.25 * conflict + 0.20 * trade + 0.15 * stress + 0.10 * energy AS composite FROM p),
-  gl AS (SELECT *, CASE WHEN composite < 20 THEN 'LOW' WHEN composite < 35 THEN 'MODERATE' WHEN composite < 50 THEN 'ELEVATED' WHEN composite < 65 THEN 'HIGH' ELSE 'SEVERE' END AS level FROM geo)"""
-
-
-@query(f"WITH {_MACRO} SELECT round(systematic, 6) AS systematic, round(growth, 6) AS growth, round(policy, 6) AS policy, regime, round(composite, 6) AS composite, round(0.75 + composite / 100 * 0.5, 6) AS multiplier FROM mac")
+class _Named(dict):
+    """Replaces role.feature in a formula by its column."""
+
+    def fill(self, text: str) -> str:
+        return re.sub(r"\b([a-z_0-9]+)\.(at\d+|pc\d+|ma\d+|vol\d+|top|n)\b", lambda m: f"{ROLES[m[1]]}_{m[2]}", text)
+
+
+_fill = _Named().fill
+_excess = lambda r: f"coalesce(({r}.vol30 / CASE WHEN {r}.vol252 > 0 THEN {r}.vol252 END - 1) * 100, 0)"
+_SECTOR_LIST = ", ".join(f"{{'v': -{s}.pc20, 'i': {i}, 's': '{s}'}}" for i, s in enumerate(overlays.SECTORS))
+_MACRO = _fill(f"""
+  so AS (SELECT *, list_sort([{_SECTOR_LIST}]) AS o, (ten_year.at1 - two_year.at1) * 100 AS points, ten_year.at1 - (prices.at1 / prices.at12 - 1) * 100 AS rate, (prices.at1 / prices.at12 - 1) * 100 AS infl,
+    ten_year.at60 - (prices.at60 / prices.at72 - 1) * 100 AS rate_before, long_bonds.pc30 - high_yield.pc30 AS gap, long_bonds.pc60 - high_yield.pc60 AS gap_before, policy_rate.at1 - policy_rate.at3 AS ps, policy_rate.at1 - policy_rate.at6 AS pl FROM f),
+  sl AS (SELECT *, [o[1].s, o[2].s, o[3].s] AS lead, -(o[1].v + o[2].v + o[3].v) / 3 + (o[6].v + o[7].v + o[8].v) / 3 AS breadth FROM so),
+  b AS (SELECT 0.40 * (0.70 * {_n("gap", 50, 5)} + 0.30 * {_n("coalesce((gap / nullif(gap_before, 0) - 1) * 100, 0)", 50, 50)}) + 0.35 * (0.75 * {_n("0.60 * dollar.pc20 + 0.40 * dollar.pc60", 50, 3)} + 12.5)
+      + 0.25 * CASE WHEN ten_year.n < 30 OR two_year.n < 30 THEN 50 ELSE 0.70 * CASE WHEN points > 100 THEN 25 + least(75, (points - 100) / 2) WHEN points > 0 THEN 25 + points / 100 * 25 ELSE greatest(0, 25 + points / 2) END
+        + 0.30 * {_n("points - (ten_year.at30 - two_year.at30) * 100", 50, 25)} END AS systematic,
+    0.45 * {_n("industrials.pc60 - market.pc60", 50, 5)} + 0.35 * {_n("(industrials.pc60 + consumer.pc60 + financials.pc60) / 3 - (utilities.pc60 + health.pc60 + staples.pc60) / 3", 50, 5)}
+      + 0.20 * (0.75 * CASE WHEN list_has_any(lead, ['financials', 'industrials']) THEN 75 WHEN list_has_any(lead, ['technology', 'consumer']) THEN 60 WHEN list_has_any(lead, ['energy']) THEN 50 ELSE 25 END + 0.25 * {_n("breadth", 0, 10)}) AS growth,
+    0.45 * CASE WHEN prices.n < 12 THEN 50 ELSE 0.70 * CASE WHEN rate < -1 THEN greatest(0, 50 - (rate + 1) / 2 * 50) WHEN rate < 2 THEN 50 - rate / 2 * 25 ELSE greatest(0, 25 - (rate - 2) / 3 * 25) END
+        + 0.30 * {_n("-CASE WHEN prices.n > 72 THEN rate - rate_before ELSE 0 END", 50, 0.5)} END
+      + 0.30 * CASE WHEN prices.n < 12 THEN 50 ELSE 0.70 * CASE WHEN infl < 0 THEN 85 WHEN infl < 2 THEN 75 WHEN infl < 4 THEN 50 WHEN infl < 6 THEN 30 ELSE 15 END
+        + 0.30 * {_n("-((prices.at1 / prices.at3 - 1) * 400 - (prices.at3 / prices.at6 - 1) * 400)", 50, 2)} END
+      + 0.25 * CASE WHEN policy_rate.n < 6 THEN 50 ELSE greatest(0, least(100, CASE WHEN ps < -0.25 THEN 75 WHEN ps > 0.25 THEN 25 WHEN policy_rate.at1 < 2 THEN 65 WHEN policy_rate.at1 > 4 THEN 35 ELSE 50 END
+        - (CASE WHEN policy_rate.n > 6 THEN pl ELSE 0 END - CASE WHEN policy_rate.n > 3 THEN ps ELSE 0 END) * 10)) END AS policy FROM sl),
+  r AS (SELECT *, CASE WHEN systematic > 60 OR growth < 30 OR (systematic > 50 AND growth < 40) THEN 'CRISIS' WHEN systematic < 40 AND growth > 60 AND policy > 55 THEN 'GOLDILOCKS' ELSE 'TRANSITIONAL' END AS regime FROM b),
+  rs AS (SELECT *, CASE regime WHEN 'CRISIS' THEN greatest(0, 30 - growth / 3) WHEN 'GOLDILOCKS' THEN least(100, 70 + (growth - 60) / 2) ELSE 50 END AS regime_score FROM r),
+  mac AS (SELECT *, CASE regime WHEN 'CRISIS' THEN 0.45 * systematic + 0.25 * growth + 0.20 * policy + 0.10 * regime_score WHEN 'GOLDILOCKS' THEN 0.20 * systematic + 0.40 * growth + 0.25 * policy + 0.15 * regime_score
+    ELSE 0.35 * systematic + 0.30 * growth + 0.25 * policy + 0.10 * regime_score END AS composite FROM rs)""")
+_GEO = _fill(f"""
+  p AS (SELECT 0.40 * {_n("(chip_rival.pc30 + chip_rival_2.pc30) / 2 - chip_maker.pc30", 50, 8)} + 0.30 * (0.60 * {_n("(peer.pc30 + peer_2.pc30) / 2 - island.pc30", 0, 5)} + 0.40 * {_n(_excess("island"), 0, 50)})
+      + 0.30 * {_n("(defence.pc30 + defence_2.pc30 + defence_3.pc30) / 3 - market.pc30", 50, 5)} AS tension,
+    0.30 * (0.60 * CASE WHEN fear.at1 < 16 THEN fear.at1 / 16 * 30 WHEN fear.at1 < 20 THEN 30 + (fear.at1 - 16) / 4 * 20 WHEN fear.at1 < 30 THEN 50 + (fear.at1 - 20) / 10 * 30 ELSE least(100, 80 + (fear.at1 - 30) / 10 * 20) END
+        + 0.40 * least(100, greatest(0, coalesce((fear.at1 / CASE WHEN fear.ma20 > 0 THEN fear.ma20 END - 1) * 100, 0) * 2)))
+      + 0.40 * (0.60 * {_n("gold.pc30 - market.pc30", 50, 5)} + 0.40 * {_n("long_bonds.pc30", 50, 3)})
+      + 0.30 * (0.40 * {_n("coalesce((oil.at1 / CASE WHEN oil.ma50 > 0 THEN oil.ma50 END - 1) * 100, 0)", 50, 15)} + 0.30 * {_n("abs(sea_oil.at1 - oil.at1 - 5)", 0, 10)} + 0.30 * {_n(_excess("gas"), 0, 50)}) AS conflict,
+    0.35 * {_n("0.60 * (market.pc30 - (industrials.pc30 + consumer.pc30 + retail.pc30) / 3) + 0.40 * ((health.pc30 + utilities.pc30) / 2 - market.pc30)", 50, 5)} + 0.35 * {_n("market.pc60 - rival_market.pc60", 50, 10)}
+      + 0.30 * (0.70 * {_n("(currency.at1 - 7) / 7 * 100", 50, 5)} + 0.30 * {_n("greatest(0, coalesce(currency.vol252 - currency.vol30, 0))", 0, 2)}) AS trade,
+    0.40 * CASE WHEN ten_year.at1 - two_year.at1 < 0 THEN least(100, abs(ten_year.at1 - two_year.at1) * 100) ELSE 0 END + 0.35 * least(100, coalesce(abs((market.at1 / market.top - 1) * 100 / 20) * 100, 100))
+      + 0.25 * {_n("market.pc60 - industrials.pc60", 50, 10)} AS stress,
+    0.40 * {_n("market.pc30 - continent.pc30", 50, 5)} + 0.35 * least(100, abs(sea_oil.at1 - oil.at1 - 4) / 8 * 100) + 0.25 * {_n(_excess("energy"), 0, 50)} AS security FROM f),
+  geo AS (SELECT *, 0.30 * tension + 0.25 * conflict + 0.20 * trade + 0.15 * stress + 0.10 * security AS composite FROM p),
+  gl AS (SELECT *, CASE WHEN composite < 20 THEN 'LOW' WHEN composite < 35 THEN 'MODERATE' WHEN composite < 50 THEN 'HIGH' WHEN composite < 65 THEN 'SEVERE' ELSE 'EXTREME' END AS level FROM geo)""")
+
+
+@query(f"WITH {_features_sql()}, {_MACRO} SELECT round(systematic, 6) AS systematic, round(growth, 6) AS growth, round(policy, 6) AS policy, regime, round(regime_score, 6) AS regime_score, round(composite, 6) AS composite, round(0.75 + composite / 100 * 0.5, 6) AS multiplier FROM mac")
 def macro_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(overlays.macro(panels.series(spark, sf_dir)), "systematic", "growth", "policy", "composite", "multiplier")
+    return rounded(overlays.macro(panels.series(spark, sf_dir), ROLES), "systematic", "growth", "policy", "regime_score", "composite", "multiplier")
 
 
-@query(f"WITH {_GEO} SELECT round(tension, 6) AS tension, round(conflict, 6) AS conflict, round(trade, 6) AS trade, round(stress, 6) AS stress, round(energy, 6) AS energy, round(composite, 6) AS composite, level FROM gl")
+@query(f"WITH {_features_sql()}, {_GEO} SELECT round(tension, 6) AS tension, round(conflict, 6) AS conflict, round(trade, 6) AS trade, round(stress, 6) AS stress, round(security, 6) AS security, round(composite, 6) AS composite, level FROM gl")
 def geo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(overlays.geopolitical(panels.series(spark, sf_dir)), "tension", "conflict", "trade", "stress", "energy", "composite")
+    return rounded(overlays.geopolitical(panels.series(spark, sf_dir), ROLES), "tension", "conflict", "trade", "stress", "security", "composite")
 
 
-@query()
+@query(f"""WITH {_features_sql()}, {_MACRO}, {_GEO} SELECT round(mac.composite, 6) AS macro, regime, round(gl.composite, 6) AS geo, level,
+  CASE WHEN mac.composite < 40 OR gl.composite > 65 THEN 'DEFENSIVE' WHEN mac.composite > 60 AND gl.composite < 35 THEN 'AGGRESSIVE' ELSE 'BALANCED' END AS advice FROM mac, gl""")
 def combined_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(overlays.combined(panels.series(spark, sf_dir)), "macro", "geo")
+    return rounded(overlays.combined(panels.series(spark, sf_dir), ROLES), "macro", "geo")
 
 
 def _regime_sql() -> str:
