@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.test_oracles import SF, TABLES, compared
@@ -63,6 +64,16 @@ def test_stages_equal_plain_versions(spark):
     assert len(last) == len(rows[4]) and all(r.same and r.n_tokens == len(r.ids) for r in last)
 
 
+def test_columns_named_like_helpers_pass_through(spark):
+    names = ["score", "lang_pred", "Lang_Pred_", "_hash", "_times", "_copy", "size", "taken", "component_id", "n"]
+    docs = odd_documents(spark).where("doc_id is not null").select("*", *(F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "named")
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n}:{r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.encode(spark, docs, SF).where("not same").count() == 0
+
+
 def test_pipeline_runs_over_whole_tables(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.count() > 0 and found.where("not same").count() == 0

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.arrow import text_slices
-from tidemark.llm.shared import written
+from tidemark.llm.shared import unused_name, written
 
 #: Bytes of distinct contents that a task keeps in memory before it spills.
 BUDGET_BYTES = 32 << 20
@@ -220,7 +220,7 @@ def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, whole: one of each group of equal texts, as ``exact_groups`` keeps it. Rows that
     are no partition's best never leave it, so a row is shuffled once at most."""
     names, schema = docs.columns, docs.schema
-    others = [n for n in names if n != "text"]
+    others, hashed = [n for n in names if n != "text"], unused_name(docs, "_hash")
     doc = others.index("doc_id")
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
@@ -233,11 +233,11 @@ def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
         first = next(batches, None)
         if first is None:
             return
-        kinds = pa.schema([*(first.schema.field(n) for n in others), pa.field("text", pa.binary()), pa.field("_hash", pa.int64())])
+        kinds = pa.schema([*(first.schema.field(n) for n in others), pa.field("text", pa.binary()), pa.field(hashed, pa.int64())])
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
-            return pa.RecordBatch.from_arrays([made.column(n).cast(pa.string()) if n == "text" else made.column(n) for n in (*names, "_hash")], names=[*names, "_hash"])
+            return pa.RecordBatch.from_arrays([made.column(n).cast(pa.string()) if n == "text" else made.column(n) for n in (*names, hashed)], names=[*names, hashed])
 
         held, size = [], 0
         with tempfile.TemporaryDirectory() as scratch:
@@ -253,5 +253,5 @@ def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
         if held:
             yield table(held)
 
-    hashed = T.StructType([*schema.fields, T.StructField("_hash", T.LongType())])
-    return docs.mapInArrow(best, hashed).repartition("_hash").drop("_hash").mapInArrow(lambda batches: (b.select(names) for b in best(batches)), schema)
+    wider = T.StructType([*schema.fields, T.StructField(hashed, T.LongType())])
+    return docs.mapInArrow(best, wider).repartition(hashed).drop(hashed).mapInArrow(lambda batches: (b.select(names) for b in best(batches)), schema)

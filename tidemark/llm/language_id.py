@@ -108,8 +108,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
     return found
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE) -> DataFrame:
-    """``docs`` with lang_pred and score: one minus the distance over the greatest possible."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", size: int = PROFILE, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns, which replace columns of the same names: the language, and its score, which is one
+    minus the distance over the greatest possible."""
     names = sorted(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +131,9 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
                 best = int(distances.argmin())
                 langs.append(names[best])
                 scores.append(1 - float(distances[best]) / (size * len(own)))
-            yield with_columns(batch, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield with_columns(batch, {out[0]: pa.array(langs, pa.string()), out[1]: pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, with_fields(docs, {"lang_pred": "string", "score": "double"}))
+    return docs.mapInArrow(run, with_fields(docs, {out[0]: "string", out[1]: "double"}))
 
 
 def fold(doc_id: str, parts: int) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import buckets, key_bucket, running, shuffle_key, written
+from tidemark.llm.shared import buckets, key_bucket, running, shuffle_key, unused_name, written
 
 BLOCK_TOKENS = 64
 #: 2**31 over the golden ratio, odd; and the cells of the points by which slots meet shares.
@@ -118,7 +118,8 @@ def repeated(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     none to ``cap`` times. A document that a block's end cuts stays whole. Rows that share a doc_id count as one."""
     sized = docs.select("doc_id", "source", word_count(text).alias("size"))
     taken = mix_sources(sized, **how).where("size > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    rows = docs.join(taken.where("_times > 0"), "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    times, copy = unused_name(docs, "_times"), unused_name(docs, "_copy")
+    rows = docs.join(taken.where("_times > 0").withColumnRenamed("_times", times), "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*docs.columns)
 
 

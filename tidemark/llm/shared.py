@@ -28,6 +28,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the columns of ``df``, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_key(seed: str, *columns: str) -> Column:
     """A text that orders rows in a seeded shuffle: the MD5 of the seed and the columns."""
     return F.md5(F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns)))
