@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, exact_dedup, language_id, mixing, ngram_join
-from tidemark.llm.shared import documents, written
+from tidemark.llm.shared import documents, unused_name, written
 from tidemark.session import bounded_batches
 
 #: A text whose profile is at less than this likeness from all languages' is in none of them.
@@ -28,8 +28,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in one of the corpus's languages; profiles are learned from those with a language."""
     bounded_batches(spark)
     profiles = language_id.learn(docs)
-    found = language_id.predict(docs, profiles)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LIKENESS)).select(*docs.columns)
+    lang, score = unused_name(docs, "lang_pred"), unused_name(docs, "score")
+    found = language_id.predict(docs, profiles, out=(lang, score))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_LIKENESS)).select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
