@@ -206,6 +206,34 @@ def test_field_adds_what_patterns_miss(spark):
     assert [tuple(s)[:3] for s in pii_crf.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), None).collect()[0].spans] == plain_spans(text)
 
 
+@pytest.fixture(scope="module")
+def field(spark):
+    return pii_crf.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+LONG = "research.university-of-somewhere.example.org"
+
+
+@pytest.mark.parametrize(
+    "address",
+    [f"{local}{at}{domain}" for local in ("jo.smith", "alexandra.konstantinopoulos-oldenburg") for at in ("[at]", " [at] ", "(at)", " (at) ", "[AT]", " (At) ") for domain in ("example.org", LONG)],
+)
+def test_spelt_addresses_are_found_whole(field, address):
+    for before, after in (("", ""), ("please write to ", " for more about it"), ("\n", "\n"), ("mail: ", ", thanks")):
+        text = before + address + after
+        assert [(k, text[a:b]) for k, a, b, _ in field.spans(text)] == [("email", address)]
+
+
+def test_windows_have_the_entities_of_whole_texts(field):
+    rng = random.Random(3)
+    pieces = ["a", "word", "x" * 40, " ", " ", "  ", "\n", ".", "@", "+", "-", "(", "[", "]", ")", "[at]", " (AT) ", "(at ", "5", "1234", "0" * 30, ",", "é", "some more words in between ", "a.b.c.d.e.f.g.h.i.j.k.l.m.n.o.p", "1.2.3-4"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))
+        found = pii_crf.windows(text)
+        assert all(a < b for a, b in found) and all(x[1] < y[0] for x, y in zip(found, found[1:], strict=False))
+        assert [(k, a + s, b + s) for s, e in found for k, a, b in field.entities(text[s:e])] == field.entities(text)
+
+
 def test_running_sums(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["a", "b", None]), rng.randrange(1000), rng.randrange(5)) for _ in range(400)]

@@ -1,8 +1,10 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
-Base spans come from fixed patterns and always stay. Round each run of characters that can belong to personal data
-a window of tokens is cut, and the field scores every way to split the window into segments: an entity of a kind
-and at most ``MOST_TOKENS`` tokens, or a single token that is none. A segment's score comes from features of the
+Base spans come from fixed patterns and always stay. Round each trigger (digits, "@", or "at" after a bracket in any
+case of letters) a window of whole tokens is cut, as far as an entity of at most ``MOST_TOKENS`` tokens with that
+trigger can reach, however many characters that is. No entity crosses a window's ends, so the windows have the
+entities that the field would find in the whole text at once. The field scores every way to split a window into
+segments: an entity of a kind and at most ``MOST_TOKENS`` tokens, or a single token that is none. A segment's score comes from features of the
 whole span (its digits, separators, check sum, shape, neighbours), and dynamic programming over the bounded lengths
 finds the best split, so boundaries and kinds are chosen jointly. Entities of that split that touch no base span
 and whose own score beats leaving their tokens outside by ``MARGIN`` are added.
@@ -33,7 +35,7 @@ from tidemark.llm.arrow import text_slices, with_columns, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 LEARN_WINDOWS, EPOCHS, RATE, RIDGE = 240, 20, 1.0, 0.003
-MOST_TOKENS, MARGIN, CONTEXT = 24, 3.0, 24
+MOST_TOKENS, MARGIN = 24, 3.0
 CHUNK_BYTES = 1 << 20
 
 #: The contract's patterns. Where a match can only begin at a run's first character, a look-behind says so, to keep the search linear.
@@ -43,7 +45,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: Every candidate segment of a ``Lattice`` has a token that is a trigger; those with letters have one that isn't digits.
+_TRIGGER = re.compile(r"[0-9]+|@|(?<=[\[(])at(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.DOTALL)
 _INSIDE = frozenset(".@+-()_%[] ")
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -87,32 +90,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def windows(text: str) -> Iterator[tuple[int, int]]:
-    """The stretches round triggers, begun and ended at white space where there is any nearby."""
-    start = end = -1
-    for m in _TRIGGER.finditer(text):
-        if end >= 0 and m.start() - end <= CONTEXT:
-            end = m.end()
-            continue
-        if end >= 0:
-            yield _widened(text, start, end)
-        start, end = m.span()
-    if end >= 0:
-        yield _widened(text, start, end)
+_MARK, _SPACE = r"[.@+()_%\[\]-]", r"(?<![ ])[ ]"
+_PLAIN = rf"(?:[0-9]++|{_MARK}|{_SPACE}){{0,{MOST_TOKENS - 1}}}+"
+_WORDS = rf"(?:[A-Za-z]++|[0-9]++|{_MARK}){{0,{MOST_TOKENS - 1}}}+"
+#: What a segment can have after its digits or spelt "at", and, read backwards, before them; a token more at either end for what stands beside it.
+_AFTER_DIGITS, _AFTER_AT = re.compile(_PLAIN), re.compile(rf"(?:[A-Za-z]++|[0-9]++|{_MARK}|{_SPACE}){{0,{MOST_TOKENS - 1}}}+")
+_BEFORE_DIGITS, _BEFORE_AT = re.compile(_PLAIN), re.compile(rf"(?:[\[(][ ])?+{_WORDS}{_PLAIN}")
+_BESIDE = re.compile(r"[A-Za-z]++|[0-9]++|.", re.DOTALL)
 
 
-def _widened(text: str, start: int, end: int) -> tuple[int, int]:
-    a, b = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
-    space = re.search(r"\s", text[a:start]) if a else None
-    a += space.end() if space else 0
-    back = re.search(r"\s\S*$", text[end:b]) if b < len(text) else None
-    return a, end + back.start() if back else b
+def windows(text: str) -> list[tuple[int, int]]:
+    """The stretches of whole tokens that triggers' segments can reach, with the tokens beside them; joined where they meet."""
+    found: list[tuple[int, int]] = []
+    back, n = "", len(text)
+    for m in _TRIGGER.finditer(text):
+        back = back or text[::-1]
+        digits = text[m.start()].isdigit()
+        a = n - (_BEFORE_DIGITS if digits else _BEFORE_AT).match(back, n - m.start()).end()
+        b = (_AFTER_DIGITS if digits else _AFTER_AT).match(text, m.end()).end()
+        if a:
+            a = n - _BESIDE.match(back, n - a).end()
+        for _ in range(2):  # a dot's own neighbour counts too
+            if b < n:
+                b = _BESIDE.match(text, b).end()
+        while found and a <= found[-1][1]:  # a spelt address may reach back over several
+            before = found.pop()
+            a, b = min(a, before[0]), max(b, before[1])
+        found.append((a, b))
+    return found
 
 
 _SHAPES = {
     "one_at": lambda s, d: s.count("@") == 1 and s[0] != "@" and s[-1] != "@",
-    "spelt_at": lambda s, d: "[at]" in s or "(at)" in s,
-    "domain": lambda s, d: bool(re.search(r"[A-Za-z0-9](\.|[\[(]dot[\])])[A-Za-z]{2,}$", s)),
+    "spelt_at": lambda s, d: "[at]" in s.lower() or "(at)" in s.lower(),
+    "domain": lambda s, d: bool(re.search(r"[A-Za-z0-9](\.|[\[(](?i:dot)[\])])[A-Za-z]{2,}$", s)),
     "letters": lambda s, d: any(c.isalpha() for c in s),
     "spaces": lambda s, d: " " in s,
     "four_parts": lambda s, d: bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in s.split(".")),
@@ -167,8 +178,8 @@ class Lattice:
                     break
                 digit |= x.isdigit()
                 letters |= x.isalpha()
-                spelt |= x == "@" or x.lower() == "at" and t[j - 2] in "[("
-                if letters and " " in t[i:j] and not spelt and x == " ":
+                spelt |= x == "@" or x.lower() == "at" and j > 1 and t[j - 2] in "[("
+                if letters and not spelt and x == " " and not (j + 1 < n and t[j] in "[(" and t[j + 1].lower() == "at"):
                     break
                 if x.isalnum() and (spelt if letters else digit):
                     spans.append((i, j))
