@@ -59,7 +59,7 @@ def test_stages_equal_plain_versions(spark):
     root = {d: c for d, _, c in plain_components(rows[2], 5, 80)}
     assert sorted(rows[3], key=str) == sorted(((d, t) for d, t in rows[2] if d is None or root[d] == d), key=str)
     taken = {r.doc_id: -(-r.taken // r["size"]) for r in mixing.mix_sources(kept[3].select("doc_id", "source", mixing.word_count("text").alias("size"))).collect()}
-    assert all(sum(x == (d, t) for x in rows[4]) == taken[d] for d, t in rows[3] if d is not None)
+    assert all(sum(x == (d, t) for x in rows[4]) == taken[d] for d, t in rows[3])
     last = kept[-1].collect()
     assert len(last) == len(rows[4]) and all(r.same and r.n_tokens == len(r.ids) for r in last)
 

@@ -131,3 +131,14 @@ def test_repeated_keeps_whole_rows(spark):
     assert found.columns == df.columns
     times = found.groupBy("doc_id").count().toPandas()
     assert times["count"].max() <= 2 and 999 not in set(times.doc_id)
+
+
+def test_repeated_counts_rows_without_or_with_equal_ids(spark):
+    rows = [((None, 7, i)[i % 3], f"w{i} " * (1 + i % 90), "ab"[i % 2], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    found = mixing.repeated(df, weights=(1,), budget=2.0, cap=2).collect()
+    assert len(found) == 600 and all(found.count(r) == 2 for r in df.collect())
+    some = mixing.repeated(df, weights=(5, 2, 1), budget=1.5, cap=2)
+    counts = [n for _, n in mixing.mix_sources(df.select("doc_id", "source", mixing.word_count("text").alias("size"))).select("doc_id", F.ceil(F.col("taken") / F.col("size"))).collect()]
+    again = mixing.repeated(df.repartition(7), weights=(5, 2, 1), budget=1.5, cap=2)
+    assert some.count() == sum(counts) and some.where("doc_id is null").count() > 0 and some.exceptAll(again).count() == again.exceptAll(some).count() == 0

@@ -11,8 +11,8 @@ reruns agree and neither a hot source nor the schedule is ever in one task. Slot
 first bits of their points, an equality join that is even however unequal the shares are.
 
 Defined results: a null text has size 0; documents of size 0 are never taken; null is a source of its own, after
-all others; rows that share a doc_id are taken separately; an empty table gives an empty mix; extra columns stay
-out of the result.
+all others; rows that share a doc_id, or have none, are taken separately, ``repeated`` included; an empty table gives
+an empty mix; extra columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -96,30 +96,34 @@ def mix(docs: DataFrame, goals: DataFrame, epochs: int = 2, block: int = BLOCK_T
     return pieces.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block"))).drop("_source", "_block")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = BLOCK_TOKENS, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, block: int = BLOCK_TOKENS, seed: str = "mix", keys: tuple[str, ...] = ()) -> DataFrame:
     """For every row of ``docs`` (doc_id, source, size): doc_id, source, size, source_size, target, taken; taken counts
-    the words that the mix takes of it, repeats included."""
-    docs = written(docs.select("doc_id", "source", "size"), "sizes")  # texts are counted once, however often sizes are read
+    the words that the mix takes of it, repeats included. ``keys``: columns that tell rows of equal doc_id and size
+    apart; they order them and stay in the result."""
+    docs = written(docs.select("doc_id", "source", "size", *keys), "sizes")  # texts are counted once, however often sizes are read
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = written(targets(sizes, weights, budget, cap), "targets")
-    pieces = mix(docs, goals, cap, block, seed)
+    pieces = mix(docs.drop(*keys), goals, cap, block, seed)
     taken = pieces.groupBy("source", "row_at").agg(F.sum(F.col("end") - F.col("first")).alias("taken"))
     taken = taken.select(F.col("source").alias("_source"), F.col("row_at").alias("_row_at"), "taken")
     parts = buckets(docs.count())
     rows = docs.withColumn("_key", shuffle_key(f"{seed}0", "doc_id")).withColumn("_bucket", key_bucket("_key", parts))
-    rows = running(rows, ["source"], "_bucket", [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), "row_at")
+    rows = running(rows, ["source"], "_bucket", [F.col(c) for c in ("_key", "doc_id", "size", *keys)], F.col("size"), "row_at")
     rows = rows.join(taken, F.col("source").eqNullSafe(F.col("_source")) & (F.col("row_at") == F.col("_row_at")) & (F.col("size") > 0), "left")
     goals = F.broadcast(goals.select(F.col("source").alias("_of"), "source_size", "target"))  # a row per source
-    return rows.join(goals, F.col("source").eqNullSafe(F.col("_of"))).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return rows.join(goals, F.col("source").eqNullSafe(F.col("_of"))).select("doc_id", "source", "size", *keys, "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def repeated(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """``docs`` (doc_id, source and more) with each document once for every epoch in which the mix takes words of it:
-    none to ``cap`` times. A document that a block's end cuts stays whole. Rows that share a doc_id count as one."""
-    sized = docs.select("doc_id", "source", word_count(text).alias("size"))
-    taken = mix_sources(sized, **how).where("size > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times, copy = unused_name(docs, "_times"), unused_name(docs, "_copy")
-    rows = docs.join(taken.where("_times > 0").withColumnRenamed("_times", times), "doc_id").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    none to ``cap`` times. A document that a block's end cuts stays whole. Each row has a count of its own, whether its
+    doc_id is null, shared or neither: rows are written once with a key, by which their counts find them again."""
+    row, times, copy = unused_name(docs, "_row"), unused_name(docs, "_times"), unused_name(docs, "_copy")
+    kept = written(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    sized = kept.select("doc_id", "source", word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), F.col(row).alias("row_key"))
+    taken = mix_sources(sized, **how, keys=("text_hash", "row_key")).where("taken > 0")
+    taken = taken.select(F.col("row_key").alias(row), F.ceil(F.col("taken") / F.col("size")).cast("int").alias(times))
+    rows = kept.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return rows.select(*docs.columns)
 
 
