@@ -90,6 +90,17 @@ def test_files(spark, tmp_path, monkeypatch):
     assert sums == {(r.start, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in found}
 
 
+def test_single_documents_equal_all_of_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "BLOCK_IDS", 500)
+    folder = str(tmp_path / "single")
+    token_files.write(spark.createDataFrame(list(enumerate([*ODD[:11], "a few words"] * 2)), "doc_id long, text string"), PATH, folder)
+    want = [r.ids for r in token_files.read(spark, folder).orderBy("start").collect()]
+    blocks = spark.read.parquet(folder).select("shard", "block", "n_docs").orderBy("shard", "block").collect()
+    assert [token_files.read_one(spark, folder, b["shard"], b.block, i).tolist() for b in blocks for i in range(b.n_docs)] == want
+    with pytest.raises(IndexError):
+        token_files.read_one(spark, folder, blocks[0]["shard"], blocks[0].block, blocks[0].n_docs)
+
+
 def test_no_files(spark, tmp_path):
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), PATH, str(tmp_path / "none"))
     assert token_files.read(spark, str(tmp_path / "none")).collect() == []

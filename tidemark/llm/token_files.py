@@ -118,6 +118,17 @@ def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder, "ids_crc32 long", _as_checksums)
 
 
+def read_one(spark: SparkSession, folder: str, shard: int, block: int, place: int) -> np.ndarray:
+    """The ids of one document: that at ``place`` in its block, whose two offsets come by select without decoding the rest."""
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder).where((F.col("shard") == shard) & (F.col("block") == block))
+    found = blocks.select("n_docs", "id_bytes", "ids", "bound_bits", "bound_low", "bound_high", "bound_samples").first()
+    if found is None or not 0 <= place < found.n_docs:
+        raise IndexError(f"no document {place} in block {block} of shard {shard}")
+    bounds = EliasFano(found.n_docs + 1, found.bound_bits, *map(bytes, (found.bound_low, found.bound_high, found.bound_samples)))
+    start, end = bounds.select(place), bounds.select(place + 1)
+    return np.frombuffer(bytes(found.ids), f"<u{found.id_bytes}", end - start, start * found.id_bytes)
+
+
 def _as_lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
 
