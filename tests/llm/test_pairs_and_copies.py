@@ -85,6 +85,30 @@ def test_grid_loses_no_pair(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == plain_components(rows, 3, 80)
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+MORSE = [thue_morse(n, letters) for n in (1024, 2048, 8192) for letters in ("ab", "ba")]
+
+
+def test_words_of_the_same_letters_in_another_order_are_others(spark):
+    texts = [*MORSE, *(f"{a} {b}" for a, b in zip(MORSE[::2], MORSE[1::2], strict=True)), *(f"{b} {a}" for a, b in zip(MORSE[::2], MORSE[1::2], strict=True)), "abcdefgh ijklmnop", "ijklmnop abcdefgh", "abcdefghijklmnop", "ijklmnopabcdefgh"]
+    rows = list(enumerate(texts))
+    found = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.Join(3, 90)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == plain_components(rows, 3, 90)
+    assert len({int(x) for x in shingles.words(pa.array(MORSE))[0]}) == len(MORSE)
+
+
+def test_words_with_equal_numbers_are_told_apart(monkeypatch):
+    monkeypatch.setattr(shingles.Lanes, "numbers", lambda self: (self.sizes % 2).astype(np.uint64))
+    texts = ["a b c a bb", "b a dddd a bb", "a b c", "a b", "a b", "b a", "", None, "A\tb c"]
+    sets, plain = list(shingles.exact_sets(pa.array(texts), 3)), plain_sets(texts, 3)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j]) and len(sets[i]) == len(plain[i])
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, byte_words, token_files
 from tidemark.llm.elias_fano import EliasFano
+from tidemark.llm.shingles import Lanes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -41,6 +42,20 @@ def test_encoders_equal_the_library(encoder):
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ids_of(t) for t in texts]
 
 
+MORSE = ["".join(letters[bin(i).count("1") % 2] for i in range(n)) for n in (1024, 2048, 8192) for letters in ("ab", "ba")]
+
+
+@pytest.mark.parametrize("equal_numbers", [False, True])
+@pytest.mark.parametrize("kind", [bpe.Encoder, token_files.LibraryEncoder])
+def test_words_with_the_same_letters_keep_their_own_ids(monkeypatch, kind, equal_numbers):
+    if equal_numbers:
+        monkeypatch.setattr(Lanes, "numbers", lambda self: (self.sizes % 2).astype(np.uint64))
+    encoder = kind(PATH)
+    for texts in (MORSE, MORSE[::-1], [f"{a} {b} {b}" for a, b in zip(MORSE[::2], MORSE[1::2], strict=True)], ODD, ["abc cba bac", "cba abc"]):
+        ids, bounds = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [ids_of(t) for t in texts]
+
+
 def test_words_are_forgotten_and_found_again(monkeypatch):
     monkeypatch.setattr(byte_words, "CACHE_WORDS", 5)
     encoder = bpe.Encoder(PATH)

@@ -7,7 +7,8 @@ Its pattern is ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}
 - at the last white space before something else;
 - after a contraction that begins a run of other characters by itself.
 
-A word is known by a 64-bit hash of its characters and its length; ids are looked up by hash in sorted arrays.
+Words are looked up by a 64-bit number in sorted arrays. Their contents are kept there too and compared on every hit,
+so a word never gets another's ids.
 """
 
 from __future__ import annotations
@@ -17,29 +18,40 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from tidemark.llm.shingles import mix
+from tidemark.llm.shingles import Lanes
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose ids a Python worker keeps, about 40 bytes each.
-CACHE_WORDS = 1_500_000
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Words whose ids a Python worker keeps, about 60 bytes each, and the lanes of their contents, of three characters.
+CACHE_WORDS, CACHE_LANES = 600_000, 3_000_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """The class and a random odd number for each code point."""
+def _classes() -> np.ndarray:
+    """The class of each code point."""
     kinds = np.full(0x110000, _OTHER, np.uint8)
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     for kind, pattern in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_SPACE, r"\s+")):
         for found in regex.finditer(pattern, every):
             kinds[ord(found[0][0]) : ord(found[0][-1]) + 1] = kind
-    return kinds, mix(np.arange(0x110000, dtype=np.uint64), 5) | np.uint64(1)
+    return kinds
+
+
+def word_lanes(points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Lanes:
+    """The contents of the words that begin at ``starts``, three code points of 21 bits to a lane."""
+    counts = (sizes + 2) // 3
+    lane = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    at, left = np.repeat(starts, counts) + 3 * lane, np.repeat(sizes, counts) - 3 * lane
+    padded = np.concatenate((points, np.zeros(2, points.dtype)))
+    lanes = padded[at].astype(np.uint64)
+    for i in (1, 2):
+        lanes |= np.where(left > i, padded[at + i], 0).astype(np.uint64) << np.uint64(21 * i)
+    return Lanes(lanes, counts, sizes)
 
 
 def word_starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Whether a word begins at each code point of some texts one after another; text i begins at ``bounds[i]``."""
-    kinds = _tables()[0][points]
+    kinds = _classes()[points]
     n = len(points)
     heads = bounds[:-1][bounds[:-1] < bounds[1:]]
     begins = np.ones(n, bool)
@@ -83,17 +95,20 @@ class TableEncoder:
 
     def _forget(self) -> None:
         self.hashes, self.at, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
+        self.contents = Lanes(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and the number of each word's ids. Special tokens are words of their own."""
         raise NotImplementedError
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, contents: Lanes, words: list[str]) -> None:
         ids, sizes = self.word_ids(words)
         at = np.concatenate((self.at, len(self.flat) + np.cumsum(sizes) - sizes))
         hashes, sizes = np.concatenate((self.hashes, hashes)), np.concatenate((self.sizes, sizes))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.at, self.sizes, self.flat = hashes[order], at[order], sizes[order], np.concatenate((self.flat, ids))
+        both = [np.concatenate(x) for x in zip((self.contents.lanes, self.contents.counts, self.contents.sizes), (contents.lanes, contents.counts, contents.sizes), strict=True)]
+        self.contents = Lanes(*both).take(order)
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
@@ -118,17 +133,24 @@ class TableEncoder:
             starts = np.flatnonzero(begins)
             ends = np.append(starts[1:], len(points))
             lengths = ends - starts
-            powers = np.cumprod(np.full(int(lengths.max()), _STEP, np.uint64))
-            place = np.arange(len(points), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
-            hashes = mix(np.add.reduceat(_tables()[1][points] * powers[place], starts) + lengths.astype(np.uint64))
+            contents = word_lanes(points, starts, lengths)
+            hashes = contents.numbers()
             distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            if len(self.hashes) + len(distinct) > CACHE_WORDS:
+            own = contents.take(first)
+            if len(self.hashes) + len(distinct) > CACHE_WORDS or len(self.contents.lanes) + len(own.lanes) > CACHE_LANES:
                 self._forget()
             new = first[~self._places(distinct)[1]]
             if len(new):
-                self._learn(hashes[new], [whole[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+                self._learn(hashes[new], contents.take(new), [whole[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = self._places(distinct)[0]
-            ids, sizes = gather(self.flat, self.at[at][which], self.sizes[at][which])
+            known = contents.equal(own, which) & own.equal(self.contents, at)[which]
+            flat, places, sizes = self.flat, self.at[at][which], self.sizes[at][which]
+            odd = np.flatnonzero(~known)
+            if len(odd):  # words whose number is another word's: next to never
+                more, counts = self.word_ids([whole[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+                places[odd], sizes[odd] = len(flat) + np.cumsum(counts) - counts, counts
+                flat = np.concatenate((flat, more))
+            ids, sizes = gather(flat, places, sizes)
             upto = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(starts, bounds)]
         else:
             ids, upto = np.zeros(0, self.kind), np.zeros(len(texts) + 1, np.int64)

@@ -7,14 +7,19 @@ put rare shingles first; they differ in how shingles of about the same frequency
 shingle is comes from a table of ``SLOTS`` counts over all documents (a fixed 16 MB, whatever the input; colliding
 shingles share a count). It decides the order alone, so it can make the join slower, never wrong.
 
-Before that, documents are contracted: those with equal sets count as one, and those that agree in a band of
-least hashes are compared with one leader of the band. Links found so are true links, and pairs within a component
-needn't be looked for any more; so a group of thousands of near copies costs a comparison or a few each, not all
-pairs. Pairs that a shingle brings together are dropped on the spot if their sizes, the places of the shingle or
-the parities of their sets show that they can't be linked. Candidates for a shingle that very many sets have in their prefixes are split over a grid of tasks.
-
-Texts are read again where they are needed and never shuffled whole: before a join, documents that no pair has are
-dropped by a bitmap of fixed size (it may let some through, which the join drops).
+Before that, documents are contracted. Those with the same words in the same order count as one: the first of each
+task stands for its copies there, so a group of copies enters a shuffle with a row per task. Those that agree in a
+band of least hashes, or in all of their set, are compared with a leader, on two levels: a band's documents are dealt
+over ``SALTS`` parts, each has a leader of its own, and the parts' leaders are compared with the band's. So a group of
+thousands of near copies costs a comparison or a few each, not all pairs, and no band is one task's. Links found so are
+true links, and pairs within a component needn't be looked for any more. Pairs that a shingle brings together are
+dropped on the spot if their sizes, the places of the shingle or the parities of their sets show that they can't be
+linked. Candidates for a shingle that very many sets have in their prefixes are split over a grid of tasks.
+
+Shingles are 64-bit numbers until pairs are verified; there the words themselves are compared, so no link is owed to
+numbers that agree by chance. (A link could be missed only if two different shingles of one text had one number.)
+Texts are read again where they are needed. Before that, documents that aren't wanted are dropped by a bitmap that
+is sized by the number of those that are, up to ``MOST_BITS`` (it may let some through, which the join drops).
 
 Defined results: null texts and texts without words have an empty set, are linked with nothing and are their own
 component; a row without doc_id has no component (null) and links nothing; rows that share a doc_id are one node;
@@ -26,6 +31,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +41,23 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrow import text_slices
 from tidemark.llm.components import components
 from tidemark.llm.shared import written
-from tidemark.llm.shingles import mix, shingle_sets
+from tidemark.llm.shingles import exact_sets, mix, sets_of, shingle_sets, split
 
 #: Counts of shingles by hash: their number, and how many go into one row. A task counts so many shingles at a time.
 SLOTS, SLOTS_A_ROW, COUNTED = 1 << 24, 1 << 18, 1 << 22
 #: Orders of the shingles, by the seed that breaks ties of frequency.
 ORDERS = (101, 102, 103)
-#: Bands of least hashes, two seeds each.
+#: Bands of least hashes, two seeds each; one more band stands for the whole set.
 BANDS = ((11, 12), (13, 14), (15, 16))
+ALL_BANDS = tuple(f"band{i}" for i in range(len(BANDS) + 1))
+#: Parts over which the documents of a band are dealt.
+SALTS = 64
+#: Contents of which a task remembers the first document, about 100 bytes each.
+REMEMBERED = 200_000
 #: A prefix shingle that so many more sets may have than the average slot is split over a grid of tasks.
 GRID_SETS = 4096
 CHUNK_BYTES = 1 << 20
-BITMAP_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
 @dataclass(frozen=True)
@@ -61,6 +72,7 @@ class Join:
         return n - -(-n * self.percent // 100) + 1 if n else 0
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Of two sets of ``exact_sets``."""
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both) > 0
 
@@ -70,9 +82,10 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _summaries(docs: DataFrame, join: Join) -> DataFrame:
-    """For each document its set's size, 128 bits that stand for the set, and its bands' least hashes; and each task's slot counts."""
+    """For each document its set's size, 128 bits of the SHA-256 of its words, the first document of this task with the
+    same words, and its bands; and each task's slot counts."""
 
-    names = ["doc_id", "n", "key1", "key2", *(f"band{i}" for i in range(len(BANDS))), "slot_row", "counts"]
+    names = ["doc_id", "n", "key1", "key2", "same_as", *ALL_BANDS, "slot_row", "counts"]
 
     def counted(slots: np.ndarray) -> pa.RecordBatch:
         slots = np.sort(slots)
@@ -81,31 +94,41 @@ def _summaries(docs: DataFrame, join: Join) -> DataFrame:
         cuts = np.searchsorted(slots, np.arange(0, SLOTS + 1, SLOTS_A_ROW))
         rows = [(i, _packed(slots[a:b] % SLOTS_A_ROW, counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
         empty = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([*[empty] * (4 + len(BANDS)), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([*[empty] * (len(names) - 2), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        firsts: dict[bytes, int] = {}
         for batch in text_slices(batches, "text", CHUNK_BYTES):
-            rows, seen = [], []
-            for s in shingle_sets(batch.column("text"), join.width):
+            rows, seen, keys, same_as = [], [], [], []
+            contents, bounds = split(batch.column("text"))
+            lane_bounds = np.append(contents.first, len(contents.lanes))[bounds].tolist()
+            for s in sets_of(contents.numbers(), bounds, join.width):
                 seen.append(s)
                 with np.errstate(over="ignore"):
-                    key = [mix(s, k).sum(dtype=np.uint64) for k in (1, 2)]
                     bands = [mix(mix(s, a).min() * np.uint64(3) + mix(s, b).min(), a) if len(s) else np.uint64(0) for a, b in BANDS]
-                rows.append([*key, *bands])
+                    rows.append([*bands, mix(mix(s, 1).sum(dtype=np.uint64), 2)])
+            for doc, a, b, c, d in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), lane_bounds[:-1], lane_bounds[1:], strict=True):
+                key = sha256(contents.lanes[c:d].tobytes() + contents.sizes[a:b].tobytes()).digest()[:16]
+                keys.append(key)
+                if doc is not None and key not in firsts and len(firsts) >= REMEMBERED:
+                    firsts.clear()
+                same_as.append(None if doc is None else firsts.setdefault(key, doc))
             held.append(_slot(np.concatenate(seen)))
             size += len(held[-1])
             if size >= COUNTED:
                 yield counted(np.concatenate(held))
                 held, size = [], 0
             columns = np.array(rows, np.uint64).T.copy().view(np.int64)
+            key1, key2 = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T.copy()
             n = len(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(map(len, seen)), pa.int64()), *map(pa.array, columns), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            sizes = pa.array(list(map(len, seen)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(key1), pa.array(key2), pa.array(same_as, pa.int64()), *map(pa.array, columns), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if size:
             yield counted(np.concatenate(held))
 
-    bands = "".join(f", band{i} long" for i in range(len(BANDS)))
-    return docs.mapInArrow(run, f"doc_id long, n long, key1 long, key2 long{bands}, slot_row int, counts binary")
+    bands = "".join(f", {band} long" for band in ALL_BANDS)
+    return docs.mapInArrow(run, f"doc_id long, n long, key1 long, key2 long, same_as long{bands}, slot_row int, counts binary")
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -183,20 +206,24 @@ def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple
     return docs.mapInArrow(run, f"doc_id long, n int, common double, parity0 long, parity1 long, sides array<int>{fields}")
 
 
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64), 7) % np.uint64(BITMAP_BITS)).astype(np.int64)
+def _bit(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64), 7) % np.uint64(size)).astype(np.int64)
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which every document of ``pairs`` has its bit set."""
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap in which every document of ``ids`` (columns of doc_ids) has its bit set: eight to sixteen bits a row of
+    ``ids``, ``MOST_BITS`` at most. Each task's part of it is a row only for the stretches it uses."""
+    size = 1 << max(LEAST_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, (8 * len(ids.columns) * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITMAP_BITS, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            bits[_bit(np.concatenate([c.to_numpy() for c in batch.columns]))] = True
+            bits[_bit(np.concatenate([c.to_numpy() for c in batch.columns]), size)] = True
         packed = np.packbits(bits).reshape(-1, 4096)
         used = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["part", "bits"])
+        for start in range(0, len(used), 256):
+            some = used[start : start + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -206,8 +233,8 @@ def _bitmap(pairs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
 
     schema = "part int, bits binary"
-    packed = np.zeros((BITMAP_BITS // 8 // 4096, 4096), np.uint8)
-    for row in pairs.select("a", "b").mapInArrow(run, schema).repartition("part").mapInArrow(merge, schema).collect():
+    packed = np.zeros((size // 8 // 4096, 4096), np.uint8)
+    for row in ids.mapInArrow(run, schema).repartition("part").mapInArrow(merge, schema).collect():  # MOST_BITS at most
         packed[row.part] = np.frombuffer(row.bits, np.uint8)
     return packed.ravel()
 
@@ -218,7 +245,7 @@ def _kept(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterato
         ids = batch.column("doc_id")
         keep = np.asarray(ids.is_valid())
         if bits is not None:
-            bit = _bit(ids.fill_null(0).to_numpy())
+            bit = _bit(ids.fill_null(0).to_numpy(), 8 * len(bits))
             keep &= (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
         if keep.any():
             yield batch.filter(pa.array(keep))
@@ -226,28 +253,31 @@ def _kept(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterato
 
 def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs))  # of fixed size
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select("a", "b")))  # of bounded size
     wanted = docs.mapInArrow(lambda batches: _kept(batches, bits.value), docs.schema)
     left = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(text_slices(batches, "text_a", CHUNK_BYTES), "text_b", CHUNK_BYTES):
-            sets = zip(shingle_sets(batch.column("text_a"), join.width), shingle_sets(batch.column("text_b"), join.width), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([join.linked(x, y) for x, y in sets], pa.bool_()))
+            sets = list(exact_sets(pa.concat_arrays([batch.column("text_a"), batch.column("text_b")]), join.width))
+            n = batch.num_rows
+            yield batch.select(["a", "b"]).filter(pa.array([join.linked(x, y) for x, y in zip(sets[:n], sets[n:], strict=True)], pa.bool_()))
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _leader_pairs(sets: DataFrame) -> DataFrame:
-    """Each set paired with the leader of each of its bands: the one with the most common shingles, as the text that
-    others were made from has few of its own and is like most of them."""
-    found = None
-    for i in range(len(BANDS)):
-        leads = sets.groupBy(f"band{i}").agg(F.max(F.struct("common", F.xxhash64("doc_id", F.lit(i)), "doc_id"))["doc_id"].alias("b"), F.count("*").alias("_n")).where("_n > 1")
-        pairs = sets.select("doc_id", f"band{i}").join(leads, f"band{i}").select(F.col("doc_id").alias("a"), "b")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Each set paired with the leader of its part of each of its bands, and that with the band's: the one with the most
+    common shingles, as the text that others were made from has few of its own and is like most of them."""
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.col(band).alias("band")) for i, band in enumerate(ALL_BANDS)))
+    rows = sets.select("doc_id", "common", F.inline(bands)).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SALTS)).cast("int"))
+    rank = F.struct("common", F.xxhash64("doc_id", "i").alias("tie"), F.col("doc_id").alias("lead"))
+    parts = rows.groupBy("i", "band", "salt").agg(F.max(rank).alias("first"), F.count("*").alias("rows"))
+    tops = parts.groupBy("i", "band").agg(F.max("first")["lead"].alias("b"), F.count("*").alias("parts")).where("parts > 1")
+    inner = rows.join(parts.where("rows > 1"), ["i", "band", "salt"]).select(F.col("doc_id").alias("a"), F.col("first.lead").alias("b"))
+    outer = parts.join(tops, ["i", "band"]).select(F.col("first.lead").alias("a"), "b")
+    return inner.unionByName(outer).where("a <> b").distinct()
 
 
 def _candidates(postings: DataFrame, join: Join) -> DataFrame:
@@ -316,17 +346,19 @@ def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
     rarity = _rarity(summaries)
     rows = summaries.where("slot_row is null")
     real = rows.where("n > 0 and doc_id is not null")
-    bands = [F.first(f"band{i}").alias(f"band{i}") for i in range(len(BANDS))]
-    sets = written(real.groupBy("n", "key1", "key2").agg(F.min("doc_id").alias("doc_id"), *bands), "sets")
-    same = real.select("n", "key1", "key2", F.col("doc_id").alias("a")).join(sets.select("n", "key1", "key2", F.col("doc_id").alias("b")), ["n", "key1", "key2"]).select("a", "b").where("a <> b")
+    firsts = real.where("same_as = doc_id")
+    bands = [F.first(band).alias(band) for band in ALL_BANDS]
+    sets = written(firsts.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), *bands), "sets")
+    copies = firsts.select("key1", "key2", F.col("doc_id").alias("a")).join(sets.select("key1", "key2", F.col("doc_id").alias("b")), ["key1", "key2"]).select("a", "b")
+    same = real.select(F.col("doc_id").alias("a"), F.col("same_as").alias("b")).unionByName(copies).where("a <> b")
 
-    first = written(_prefixes(docs, join, ORDERS[:1], rarity), "prefixes")
+    first = written(_prefixes(docs, join, ORDERS[:1], rarity, _bitmap(sets.select("doc_id"))), "prefixes")
     near = written(_verified(written(_leader_pairs(sets.join(first.select("doc_id", "common"), "doc_id")), "leaders"), docs, join), "near")
     roots = components(near)
     parts = sets.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("part"))
 
     found = written(_candidates(_postings(first, parts), join), "candidates")
-    others = _prefixes(docs, join, ORDERS[1:], rarity, _bitmap(found))
+    others = _prefixes(docs, join, ORDERS[1:], rarity, _bitmap(found.select("a", "b")))
     sides = [others.select(F.col("doc_id").alias(c), *(F.col(f"p{i}").alias(f"{c}{i}") for i in range(len(ORDERS) - 1))) for c in ("a", "b")]
     shared = found.join(sides[0], "a").join(sides[1], "b")
     for i in range(len(ORDERS) - 1):
