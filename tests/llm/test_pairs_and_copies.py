@@ -2,11 +2,13 @@
 
 import random
 import re
+import tracemalloc
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, ngram_join, shingles
 from tidemark.llm.components import components
@@ -176,14 +178,34 @@ def test_exact_groups(spark, budget):
 
 def test_grace_spills_and_cleans(tmp_path):
     records = [(hash(("h", i % 50)) & (1 << 64) - 1, f"content {i % 50}".encode() * 20, i) for i in range(500)]
-    found = [(content, more) for rows in exact_dedup.grace(iter(records), 1000, tmp_path / "s") for _, content, more in rows]
-    assert sorted(found, key=lambda x: x[1]) == [(c, i) for _, c, i in records]
-    same_hash = [(5, f"c{i}".encode() * 100, i) for i in range(40)]
-    found = [(content, more) for rows in exact_dedup.grace(iter(same_hash), 500, tmp_path / "t") for _, content, more in rows]
-    assert sorted(found, key=lambda x: x[1]) == [(c, i) for _, c, i in same_hash]
+    same_hash = [(5, f"c{i % 40}".encode() * 100, i) for i in range(80)]
+    for name, rows, budget in (("s", records, 1000), ("t", same_hash, 500)):
+        found = [x[1:] for x in exact_dedup.grace(iter(rows), budget, tmp_path / name) if x]
+        assert sorted(found, key=lambda x: x[1]) == [(c, i) for _, c, i in rows]
+        numbers, bucket = {}, 0
+        for x in exact_dedup.grace(iter(rows), budget, tmp_path / f"{name}2"):
+            if x is None:
+                bucket += 1
+            else:
+                assert numbers.setdefault((bucket, x[0]), x[1]) == x[1]
+        assert len(numbers) == len(set(numbers.values())) == len({c for _, c, _ in rows}) and bucket > 1
+        groups = list(exact_dedup.grace_groups(iter(rows), budget, tmp_path / f"{name}3"))
+        assert sorted(map(sorted, groups)) == sorted([i for _, c, i in rows if c == x] for x in {c for _, c, _ in rows})
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
 
 
+def test_copies_take_no_memory(spark, tmp_path):
+    tracemalloc.start()
+    rows = sum(1 for x in exact_dedup.grace(((7, b"", i) for i in range(400_000)), 1 << 20, tmp_path / "s") if x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400_000 and peak < 1 << 20
+    n = 300_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text")).coalesce(1)
+    found = exact_dedup.exact_groups(docs).agg(F.count("*"), F.min("group_size"), F.max("keep_id"), F.sum(F.col("kept").cast("int"))).first()
+    assert tuple(found) == (n, n, n - 1, 1)
+
+
 def test_nothing_to_dedup(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(empty).collect() == [] and exact_dedup.deduplicated(empty).collect() == []

@@ -1,11 +1,14 @@
 """Exact deduplication by a Grace hash: complete contents are compared, in buckets that fit into memory.
 
 Each input partition is deduplicated first, so that a group of copies, however large, enters the shuffle with one
-row per partition. The rows that are left are dealt by hash; each task builds an open-addressing table of distinct
-contents, and once these exceed a budget it partitions all its records to spill files by further bits of the
-hash and goes on with each file in turn, again and again if need be. Spill files are scratch of one task in a
-folder of its own, gone when it ends; nothing else reads them. What the first stage found is a written table in
-the shared folder, so both later reads see the same rows even if executors are lost.
+row per partition. The rows that are left are dealt by hash. A task builds an open-addressing table of distinct
+contents; once these exceed a budget, records with further contents are partitioned to spill files by bits of the hash,
+and each file is gone through in turn in the same way, again and again if need be. Records of a content that is in the
+table are passed on at once and never kept, so memory holds distinct contents alone, however many copies there are.
+Where all records of a content are needed together (a row for each partition that has it), they count into the budget
+and are spilled with it. Spill files are scratch of one task in a folder of its own, gone when it ends; nothing else
+reads them. What the first stage found is a written table in the shared folder, so both later reads see the same rows
+even if executors are lost.
 
 Defined results: null counts as the empty text; among equal texts the row with the largest doc_id stays (rows
 without doc_id come last; of rows with equal doc_id, one stays); whole texts are compared; extra columns stay
@@ -59,13 +62,24 @@ class ContentTable:
                 at = at + 1 & len(self.slots) - 1
             self.slots[at] = entry
 
-    def entry(self, h: int, content: bytes) -> int:
-        """The number of this content's entry; a new one if it isn't there yet."""
+    def _place(self, h: int, content: bytes) -> int:
+        """The slot that holds this content's entry, or the free one where it belongs."""
         at = h & len(self.slots) - 1
         while (entry := int(self.slots[at])) >= 0:
             if self.hashes[entry] == h and (self.contents[entry] == content or self.normal(self.contents[entry]) == self.normal(content)):
-                return entry
+                break
             at = at + 1 & len(self.slots) - 1
+        return at
+
+    def find(self, h: int, content: bytes) -> int:
+        """The number of this content's entry, -1 if it isn't there."""
+        return int(self.slots[self._place(h, content)])
+
+    def entry(self, h: int, content: bytes) -> int:
+        """The number of this content's entry; a new one if it isn't there yet."""
+        at = self._place(h, content)
+        if (entry := int(self.slots[at])) >= 0:
+            return entry
         self.slots[at] = entry = len(self.contents)
         self.contents.append(content)
         self.hashes.append(h)
@@ -87,40 +101,73 @@ def lower(content: bytes) -> bytes:
     return content.translate(_LOWER)
 
 
-def grace(records: Iterator[Record], budget: int, folder: Path, normal: Callable[[bytes], bytes] = as_it_is, level: int = 0) -> Iterator[list[tuple[int, bytes, Any]]]:
-    """For each bucket, the number of its content, the content and what goes with it for each record. Records whose
-    contents are the same to the byte share them."""
-    table, rows = ContentTable(normal), []
+class _Spill:
+    """The files that a bucket's records are partitioned to, by hash bits of its level."""
+
+    def __init__(self, folder: Path, level: int) -> None:
+        folder.mkdir()
+        self.folder, self.shift = folder, 60 - level * FANOUT_BITS
+        self.paths = [folder / str(i) for i in range(1 << FANOUT_BITS)]
+        self.files = [p.open("wb") for p in self.paths]
+
+    def add(self, record: Record) -> None:
+        pickle.dump(record, self.files[record[0] >> self.shift & (1 << FANOUT_BITS) - 1], protocol=5)
+
+    def buckets(self) -> Iterator[tuple[Iterator[Record], Path]]:
+        """Each file's records, and a folder for what they may be spilled to."""
+        for f in self.files:
+            f.close()
+        for i, path in enumerate(self.paths):
+            yield _spilled(path), self.folder / f"below{i}"
+            path.unlink()
+
+
+def grace(records: Iterator[Record], budget: int, folder: Path, normal: Callable[[bytes], bytes] = as_it_is, level: int = 0) -> Iterator[tuple[int, bytes, Any] | None]:
+    """The number of its content, the content and what goes with it for each record, as soon as that is known, and None
+    at the end of a bucket, after which numbers begin again. Records in other spellings of a content keep their own."""
+    table, spill = ContentTable(normal), None
+    for record in records:
+        h, content, more = record
+        if spill is None and table.bytes > budget and (level + 1) * FANOUT_BITS <= 60:
+            spill = _Spill(folder, level)
+        entry = table.find(h, content) if spill else table.entry(h, content)
+        if entry < 0:
+            spill.add(record)
+        else:
+            own = table.contents[entry]
+            yield entry, own if own == content else content, more
+    if table.contents:
+        yield None
+    del table
+    if spill:
+        for below, place in spill.buckets():
+            yield from grace(below, budget, place, normal, level + 1)
+
+
+def grace_groups(records: Iterator[Record], budget: int, folder: Path, level: int = 0) -> Iterator[list[Any]]:
+    """What goes with the records of each distinct content. All of a group is in memory at once; groups that don't fit
+    together are spilled and taken one after another."""
+    table, groups, size = ContentTable(as_it_is), [], 0
     for h, content, more in records:
         entry = table.entry(h, content)
-        own = table.contents[entry]
-        rows.append((entry, own if own == content else content, more))
-        if own != content:
-            table.bytes += len(content)
-        if table.bytes > budget and (level + 1) * FANOUT_BITS <= 60:
+        if entry == len(groups):
+            groups.append([])
+        groups[entry].append(more)
+        size += 150
+        if table.bytes + size > budget and len(groups) > 1 and (level + 1) * FANOUT_BITS <= 60:
             break
     else:
-        if rows:
-            yield rows
+        yield from groups
         return
-    folder.mkdir()
-    paths = [folder / str(i) for i in range(1 << FANOUT_BITS)]
-    files = [p.open("wb") for p in paths]
-    shift, mask = 60 - level * FANOUT_BITS, (1 << FANOUT_BITS) - 1
-
-    def spill(h: int, content: bytes, more: Any) -> None:
-        pickle.dump((h, content, more), files[h >> shift & mask], protocol=5)
-
-    for entry, content, more in rows:
-        spill(table.hashes[entry], content, more)
-    del table, rows
+    spill = _Spill(folder, level)
+    for h, content, group in zip(table.hashes, table.contents, groups, strict=True):
+        for more in group:
+            spill.add((h, content, more))
+    del table, groups
     for record in records:
-        spill(*record)
-    for f in files:
-        f.close()
-    for i, path in enumerate(paths):
-        yield from grace(_spilled(path), budget, folder / f"below{i}", normal, level + 1)
-        path.unlink()
+        spill.add(record)
+    for below, place in spill.buckets():
+        yield from grace_groups(below, budget, place, level + 1)
 
 
 def _spilled(path: Path) -> Iterator[Record]:
@@ -145,22 +192,20 @@ def _in_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _best(ids: list[int | None]) -> int:
-    """The place of the largest id; nulls come last."""
-    return max(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+def _larger(a: int | None, b: int | None) -> bool:
+    """Whether id ``a`` is larger than ``b``; nulls come last."""
+    return a is not None and (b is None or a > b)
 
 
-def _by_entry(rows: list[tuple[int, bytes, Any]]) -> Iterator[list[tuple[bytes, Any]]]:
-    """The records of each distinct content."""
-    groups: dict[int, list[tuple[bytes, Any]]] = {}
-    for entry, content, more in rows:
-        groups.setdefault(entry, []).append((content, more))
-    return iter(groups.values())
+def _best(ids: list[int | None]) -> int:
+    """The place of the largest id, the first of equal ones; nulls come last."""
+    return max(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
 
 
 def _local(docs: DataFrame, budget: int) -> DataFrame:
-    """A row per document with the number of its group within the partition; the group's best row also has the group's size and content."""
-    fields = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("task", pa.int64()), ("local", pa.int64()), ("best", pa.bool_()), ("hash", pa.int64()), ("size", pa.int64()), ("content", pa.binary())]
+    """A row per document with the number of its group within the partition (nth: its place in it), and a row per group
+    with its size, content and largest doc_id, and the place of that (best)."""
+    fields = [("doc_id", pa.int64()), ("text_sha256", pa.string()), ("task", pa.int64()), ("local", pa.int64()), ("nth", pa.int64()), ("best", pa.int64()), ("hash", pa.int64()), ("size", pa.int64()), ("content", pa.binary())]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
         for batch in text_slices(batches, "text", OUT_BYTES):
@@ -170,41 +215,50 @@ def _local(docs: DataFrame, budget: int) -> DataFrame:
                 yield int.from_bytes(digest.digest()[:8], "little"), content, (doc, digest.hexdigest())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        task, local = TaskContext.get().partitionId(), 0
+        task, base = TaskContext.get().partitionId(), 0
+        groups: list[list] = []  # of each content of the bucket: content, hash, rows, largest doc_id, its place
         with tempfile.TemporaryDirectory() as scratch:
             for found in grace(records(batches), budget, Path(scratch, "spill")):
-                for members in _by_entry(found):
-                    best = _best([doc for _, (doc, _) in members])
-                    h = int.from_bytes(bytes.fromhex(members[0][1][1][:16]), "little", signed=True)
-                    for i, (content, (doc, digest)) in enumerate(members):
-                        yield (doc, digest, task, local, i == best, h, *((len(members), content) if i == best else (None, None)))
-                    local += 1
-
-    schema = "doc_id long, text_sha256 string, task long, local long, best boolean, hash long, size long, content binary"
+                if found is None:
+                    for local, (content, h, size, doc, best) in enumerate(groups, base):
+                        yield doc, None, task, local, None, best, h, size, content
+                    base += len(groups)
+                    groups = []
+                    continue
+                number, content, (doc, digest) = found
+                if number == len(groups):
+                    groups.append([content, int.from_bytes(bytes.fromhex(digest[:16]), "little", signed=True), 0, doc, 0])
+                group = groups[number]
+                if _larger(doc, group[3]):
+                    group[3:] = doc, group[2]
+                yield doc, digest, task, base + number, group[2], None, None, None, None
+                group[2] += 1
+
+    schema = "doc_id long, text_sha256 string, task long, local long, nth long, best long, hash long, size long, content binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _in_batches(rows(batches), pa.schema(fields)), schema)
 
 
 def _merged(local: DataFrame, budget: int) -> DataFrame:
-    """For each partition's group (task, local): the whole group's keep_id and group_size, and whether its best row is in this partition."""
-    fields = [("task", pa.int64()), ("local", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("holds_best", pa.bool_()), ("nothing", pa.binary())]
+    """For each partition's group (task, local): the whole group's keep_id and group_size, and the place in this
+    partition's group of the row that stays, null if that is in another partition."""
+    fields = [("task", pa.int64()), ("local", pa.int64()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("kept", pa.int64()), ("nothing", pa.binary())]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[Record]:
         for batch in text_slices(batches, "content", OUT_BYTES):
-            columns = [batch.column(c).to_pylist() for c in ("hash", "content", "doc_id", "task", "local", "size")]
+            columns = [batch.column(c).to_pylist() for c in ("hash", "content", "doc_id", "task", "local", "size", "best")]
             for h, content, *more in zip(*columns, strict=True):
                 yield h % (1 << 64), content, tuple(more)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         with tempfile.TemporaryDirectory() as scratch:
-            for found in grace(records(batches), budget, Path(scratch, "spill")):
-                for group in _by_entry(found):
-                    members = sorted((m for _, m in group), key=lambda m: m[1:3])
-                    best, size = _best([m[0] for m in members]), sum(m[3] for m in members)
-                    for i, (_, task, local, _) in enumerate(members):
-                        yield task, local, members[best][0], size, i == best, None
-
-    dealt = local.where("best").select("hash", "content", "doc_id", "task", "local", "size").repartition("hash")
-    schema = "task long, local long, keep_id long, group_size long, holds_best boolean, nothing binary"
+            for members in grace_groups(records(batches), budget, Path(scratch, "spill")):
+                members.sort(key=lambda m: m[1:3])
+                best, size = _best([m[0] for m in members]), sum(m[3] for m in members)
+                for i, (_, task, local, _, place) in enumerate(members):
+                    yield task, local, members[best][0], size, place if i == best else None, None
+
+    dealt = local.where("content is not null").select("hash", "content", "doc_id", "task", "local", "size", "best").repartition("hash")
+    schema = "task long, local long, keep_id long, group_size long, kept long, nothing binary"
     return dealt.mapInArrow(lambda batches: _in_batches(rows(batches), pa.schema(fields)), schema).drop("nothing")
 
 
@@ -212,8 +266,8 @@ def exact_groups(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id long, text string); texts are
     equal when identical after lower-casing A-Z."""
     local = written(_local(docs, budget), "local-groups")
-    found = local.drop("content", "hash", "size").join(_merged(local, budget), ["task", "local"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("best") & F.col("holds_best")).alias("kept"), "text_sha256")
+    found = local.where("content is null").select("doc_id", "text_sha256", "task", "local", "nth").join(_merged(local, budget), ["task", "local"])
+    return found.select("doc_id", "keep_id", "group_size", F.col("kept").eqNullSafe(F.col("nth")).alias("kept"), "text_sha256")
 
 
 def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
@@ -240,16 +294,23 @@ def deduplicated(docs: DataFrame, budget: int = BUDGET_BYTES) -> DataFrame:
             return pa.RecordBatch.from_arrays([made.column(n).cast(pa.string()) if n == "text" else made.column(n) for n in (*names, hashed)], names=[*names, hashed])
 
         held, size = [], 0
+        groups: list[tuple[bytes, bool, list]] = []  # the best row of each content of the bucket
         with tempfile.TemporaryDirectory() as scratch:
             for found in grace(records(chain([first], batches)), budget, Path(scratch, "spill"), lower):
-                for members in _by_entry(found):
-                    content, (missing, row) = members[_best([row[doc] for _, (_, row) in members])]
-                    h = int.from_bytes(sha256(lower(content)).digest()[:8], "little", signed=True)
-                    held.append((*row, None if missing else content, h))
+                if found is not None:
+                    number, content, (missing, row) = found
+                    if number == len(groups):
+                        groups.append((content, missing, row))
+                    elif _larger(row[doc], groups[number][2][doc]):
+                        groups[number] = content, missing, row
+                    continue
+                for content, missing, row in groups:
+                    held.append((*row, None if missing else content, int.from_bytes(sha256(lower(content)).digest()[:8], "little", signed=True)))
                     size += len(content)
                     if size >= OUT_BYTES or len(held) >= OUT_ROWS:
                         yield table(held)
                         held, size = [], 0
+                groups = []
         if held:
             yield table(held)
 
