@@ -1,22 +1,26 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
-Base spans come from fixed patterns and always stay. Round each trigger (digits, "@", or "at" after a bracket in any
-case of letters) a window of whole tokens is cut, as far as an entity of at most ``MOST_TOKENS`` tokens with that
-trigger can reach, however many characters that is. No entity crosses a window's ends, so the windows have the
-entities that the field would find in the whole text at once. The field scores every way to split a window into
-segments: an entity of a kind and at most ``MOST_TOKENS`` tokens, or a single token that is none. A segment's score comes from features of the
-whole span (its digits, separators, check sum, shape, neighbours), and dynamic programming over the bounded lengths
-finds the best split, so boundaries and kinds are chosen jointly. Entities of that split that touch no base span
-and whose own score beats leaving their tokens outside by ``MARGIN`` are added.
+Base spans come from fixed patterns and always stay. The field scores every way to split a text's tokens into
+segments: an entity of a kind and at most ``MOST_TOKENS`` tokens, or a single token that is none. A segment's score
+comes from features of the whole span (its digits, separators, check sum, shape, neighbours), and dynamic programming
+over the bounded lengths finds the best split, so boundaries and kinds are chosen jointly. Entities of that split
+that touch no base span and whose own score beats leaving their tokens outside by ``MARGIN`` are added: addresses
+spelt with "[at]", phone numbers without country sign, numbers that a base match lost among others, keys and passwords
+(kind ``secret``, which has no base spans). A number of a card's length with a wrong check sum is none.
+
+Tokens, candidate segments and their features are made in numpy, for all texts of a slice of a batch at once, a
+stretch of ``STRETCH`` tokens at a time. A segment that gains nothing over leaving its tokens outside is in no best
+split, so only the others go into the dynamic programme; between them the best split is that of the single tokens.
+So the time is linear in the text and memory that of a stretch, whatever the text holds.
 
 The field is trained here, by gradient steps on the conditional likelihood of at most ``LEARN_WINDOWS`` windows of
-the corpus (those first by a hash): base spans are the truth in them, and some are rewritten in other spellings
-of the same data (a phone number without country sign, an address with "[at]"), so that the span features, not
-the pattern, carry the weight.
+the corpus (those first by a hash), of ``LEARN_TOKENS`` tokens at most: the tokens round a trigger (digits, "@", a
+spelt "at", a word such as "password"). Base spans and values after such a word are the truth in them, and some are
+rewritten in other spellings of the same data, so that the span features, not the pattern, carry the weight.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; whole texts are
-searched in time linear in their length; without any window to learn from, base spans alone are found; extra
-columns pass through.
+searched; without any window to learn from, base spans alone are found; extra columns pass through, but for one
+named like the output, which is replaced.
 """
 
 from __future__ import annotations
@@ -33,9 +37,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import text_slices, with_columns, with_fields
 
+#: Kinds with base patterns, and all kinds that the field knows.
 KINDS = ("email", "ip", "card", "phone")
-LEARN_WINDOWS, EPOCHS, RATE, RIDGE = 240, 20, 1.0, 0.003
-MOST_TOKENS, MARGIN = 24, 3.0
+ALL_KINDS = (*KINDS, "secret")
+LEARN_WINDOWS, LEARN_TOKENS, LEARN_CHARS, EPOCHS, RATE, RIDGE = 320, 60, 600, 40, 1.0, 0.001
+MOST_TOKENS, MARGIN = 24, 1.5
+STRETCH = 4096
 CHUNK_BYTES = 1 << 20
 
 #: The contract's patterns. Where a match can only begin at a run's first character, a look-behind says so, to keep the search linear.
@@ -44,11 +51,14 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-
-#: Every candidate segment of a ``Lattice`` has a token that is a trigger; those with letters have one that isn't digits.
-_TRIGGER = re.compile(r"[0-9]+|@|(?<=[\[(])at(?![A-Za-z])", re.IGNORECASE | re.ASCII)
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s|.", re.DOTALL)
-_INSIDE = frozenset(".@+-()_%[] ")
+#: Words that a secret follows, in lower case, and the secrets that windows are learned from.
+SECRET_WORDS = ("token", "password", "passwd", "secret", "apikey", "key")
+_SECRET = re.compile(r"(?i:\b(?:token|password|passwd|secret|api[_-]?key|key))[ ]?[=:][ ]?[\"']?([A-Za-z0-9]{16,128})(?![A-Za-z0-9])")
+#: Numbers that are nobody's data, which are learned as such whatever the corpus holds.
+PLAIN = (
+    "version 3 of 2024-01-01, page 12, order 12345678", "on 31.12.2023 at 12:30 or 2024-05-17T08:15:00", "release 1.2.3 and 10.0.1, build 20240517", "isbn 978-3-16-148410-0", "a sum of 1,234,567.89 in 1999-2004",
+    "no. 20953013749 of 47853805923911", "meet [at] noon (at) 5 pm", "lines 100 - 250 (2 of 7)", "section 4.2.1.3 and 4.2.10", "commit deadbeef12345678 in file2345", "500 + 1200 = 1700", "key = 5 and token: none",
+)
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
 
@@ -64,6 +74,11 @@ def _digits(span: str) -> str:
     return "".join(c for c in span if "0" <= c <= "9")
 
 
+def _octet(part: str) -> bool:
+    part = part.lstrip("0") or "0"
+    return len(part) <= 3 and int(part) <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns, by kind and then start."""
     found = []
@@ -78,171 +93,303 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("email", start, done))
         at = text.find("@", max(at + 1, done))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(map(_octet, m[0].split("."))):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
-        digits = _digits(m[0])
-        if 16 <= len(digits) <= 19 and luhn(digits):
-            found.append(("card", *m.span()))
+        if m.end() - m.start() <= 37:  # 19 digits and what can stand between them
+            digits = _digits(m[0])
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                found.append(("card", *m.span()))
     for m in _PHONE.finditer(text) if "+" in text else ():
-        if 8 <= len(_digits(m[0])) <= 15:
+        if 8 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
             found.append(("phone", *m.span()))
     return found
 
 
-_MARK, _SPACE = r"[.@+()_%\[\]-]", r"(?<![ ])[ ]"
-_PLAIN = rf"(?:[0-9]++|{_MARK}|{_SPACE}){{0,{MOST_TOKENS - 1}}}+"
-_WORDS = rf"(?:[A-Za-z]++|[0-9]++|{_MARK}){{0,{MOST_TOKENS - 1}}}+"
-#: What a segment can have after its digits or spelt "at", and, read backwards, before them; a token more at either end for what stands beside it.
-_AFTER_DIGITS, _AFTER_AT = re.compile(_PLAIN), re.compile(rf"(?:[A-Za-z]++|[0-9]++|{_MARK}|{_SPACE}){{0,{MOST_TOKENS - 1}}}+")
-_BEFORE_DIGITS, _BEFORE_AT = re.compile(_PLAIN), re.compile(rf"(?:[\[(][ ])?+{_WORDS}{_PLAIN}")
-_BESIDE = re.compile(r"[A-Za-z]++|[0-9]++|.", re.DOTALL)
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """The stretches of whole tokens that triggers' segments can reach, with the tokens beside them; joined where they meet."""
-    found: list[tuple[int, int]] = []
-    back, n = "", len(text)
-    for m in _TRIGGER.finditer(text):
-        back = back or text[::-1]
-        digits = text[m.start()].isdigit()
-        a = n - (_BEFORE_DIGITS if digits else _BEFORE_AT).match(back, n - m.start()).end()
-        b = (_AFTER_DIGITS if digits else _AFTER_AT).match(text, m.end()).end()
-        if a:
-            a = n - _BESIDE.match(back, n - a).end()
-        for _ in range(2):  # a dot's own neighbour counts too
-            if b < n:
-                b = _BESIDE.match(text, b).end()
-        while found and a <= found[-1][1]:  # a spelt address may reach back over several
-            before = found.pop()
-            a, b = min(a, before[0]), max(b, before[1])
-        found.append((a, b))
-    return found
+_LETTERS, _DIGITS, _SPACE_TOKEN, _MARK, _BREAK = range(5)
+_MARKS = ".@+-()_%[]"
 
 
-_SHAPES = {
-    "one_at": lambda s, d: s.count("@") == 1 and s[0] != "@" and s[-1] != "@",
-    "spelt_at": lambda s, d: "[at]" in s.lower() or "(at)" in s.lower(),
-    "domain": lambda s, d: bool(re.search(r"[A-Za-z0-9](\.|[\[(](?i:dot)[\])])[A-Za-z]{2,}$", s)),
-    "letters": lambda s, d: any(c.isalpha() for c in s),
-    "spaces": lambda s, d: " " in s,
-    "four_parts": lambda s, d: bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and all(int(p) <= 255 for p in s.split(".")),
-    "dotted": lambda s, d: "." in s,
-    "luhn": lambda s, d: len(d) >= 12 and luhn(d),
-    "d_few": lambda s, d: 0 < len(d) < 7,
-    "d_phone": lambda s, d: 8 <= len(d) <= 12,
-    "d_long": lambda s, d: 13 <= len(d) <= 15,
-    "d_card": lambda s, d: 16 <= len(d) <= 19,
-    "d_more": lambda s, d: len(d) > 19,
-    "country": lambda s, d: bool(re.match(r"\+[0-9]{1,3}[ (.-]|00[0-9]", s)),
-    "plus": lambda s, d: s[0] == "+",
-    "area": lambda s, d: bool(re.search(r"\([0-9]{2,4}\)", s)),
-    "groups_phone": lambda s, d: bool(re.search(r"[0-9]{3}[ .-][0-9]{4}$", s)),
-    "groups_card": lambda s, d: bool(re.fullmatch(r"[0-9]{4}([ -]?[0-9]{4}){3}", s)),
-    "open_pair": lambda s, d: s.count("(") != s.count(")") or s.count("[") != s.count("]"),
-    "odd_ends": lambda s, d: not (s[0].isalnum() or s[0] in "+(") or not s[-1].isalnum(),
-}
-FEATURES = (*_SHAPES, "left_open", "right_open", "always")
-
-
-def _shape(tokens: list[str], i: int, j: int) -> np.ndarray:
-    """The features of the span of tokens i to j - 1."""
-    s = "".join(tokens[i:j])
-    d = _digits(s)
-    left, right = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
-    open_left, open_right = left.isalnum() or left in "@.+-_%", right.isalnum() or right in "@-_%"
-    open_right |= right == "." and j + 1 < len(tokens) and tokens[j + 1].isalnum()
-    return np.array([*(f(s, d) for f in _SHAPES.values()), open_left, open_right, True], float)
-
-
-def _outside(token: str) -> np.ndarray:
-    """The features of a single token outside entities."""
-    return np.array([token.isdigit(), token.isdigit() and len(token) >= 3, token.isdigit() and len(token) >= 8, token in "@+", True], float)
+@lru_cache(maxsize=1)
+def _char_kinds() -> np.ndarray:
+    """What a code point below 256 is: a letter, a digit, a space, a mark that an entity may hold, or neither."""
+    kinds = np.full(256, _BREAK, np.uint8)
+    kinds[[*range(65, 91), *range(97, 123)]] = _LETTERS
+    kinds[48:58] = _DIGITS
+    kinds[32] = _SPACE_TOKEN
+    kinds[[ord(c) for c in _MARKS]] = _MARK
+    return kinds
+
+
+FEATURES = (
+    "one_at", "spelt_at", "domain", "letters", "spaces", "four_parts", "dotted", "luhn", "d_few", "d_phone", "d_long", "d_card", "d_more", "country",
+    "plus", "area", "groups_phone", "groups_card", "open_pair", "odd_ends", "mixed_run", "after_word", "one_run", "long_run", "left_open", "right_open", "always",
+)
+OUTSIDE = ("digits", "some_digits", "many_digits", "sign", "long_mixed", "always")
 
 
 class Lattice:
-    """A window's tokens, its candidate segments and their features."""
+    """Some text's tokens, its candidate segments and their features.
+
+    Letters, digits: a run of them is a token, and any other character is one by itself. A run of 16 or more letters
+    and digits is one token if both occur in it. No segment crosses a character that entities can't hold."""
 
     def __init__(self, text: str) -> None:
-        found = list(_TOKEN.finditer(text))
-        self.tokens, self.starts = [m[0] for m in found], [m.start() for m in found] + [len(text)]
-        n, t = len(self.tokens), self.tokens
-        spans = []
-        for i in range(n):
-            if t[i].isspace() or not (t[i].isascii() and t[i].isalnum() or t[i] in "+(") :
-                continue
-            digit = spelt = letters = False
-            for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
-                x = t[j - 1]
-                if not (x.isascii() and x.isalnum() or x in _INSIDE) or x == " " and (j > 1 and t[j - 2] == " "):
-                    break
-                digit |= x.isdigit()
-                letters |= x.isalpha()
-                spelt |= x == "@" or x.lower() == "at" and j > 1 and t[j - 2] in "[("
-                if letters and not spelt and x == " " and not (j + 1 < n and t[j] in "[(" and t[j + 1].lower() == "at"):
-                    break
-                if x.isalnum() and (spelt if letters else digit):
-                    spans.append((i, j))
-        self.spans = spans
-        self.shapes = np.array([_shape(t, i, j) for i, j in spans]).reshape(-1, len(FEATURES))
-        self.others = np.array([_outside(x) for x in t]).reshape(-1, 5)
-        self.ending: list[list[int]] = [[] for _ in range(n + 1)]
-        for k, (_, j) in enumerate(spans):
-            self.ending[j].append(k)
-
-    def best(self, inside: np.ndarray, outside: np.ndarray) -> list[tuple[int, int, float]]:
-        """(segment, kind, score over leaving its tokens outside) of the best split."""
-        n = len(self.tokens)
-        score, alone = self.shapes @ inside.T, self.others @ outside
-        upto = np.concatenate(([0], np.cumsum(alone)))
-        top, kind = (score.max(axis=1), score.argmax(axis=1)) if len(score) else (np.zeros(0), np.zeros(0, int))
-        value, back = np.zeros(n + 1), np.full(n + 1, -1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1] + alone[j - 1]
-            for k in self.ending[j]:
-                v = value[self.spans[k][0]] + top[k]
-                if v > value[j]:
-                    value[j], back[j] = v, k
-        chosen, j = [], n
-        while j:
-            k = int(back[j])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = np.where(points < 256, _char_kinds()[np.minimum(points, 255)], _BREAK)
+        n = len(points)
+        begins = np.ones(n, bool)
+        begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] > _DIGITS)
+        word = kinds <= _DIGITS
+        runs = np.flatnonzero(word & np.append(True, ~word[:-1])[:n])
+        run_ends = np.flatnonzero(word & np.append(~word[1:], True)[:n]) + 1
+        upto = np.append(0, np.cumsum(begins))
+        mixed = (run_ends - runs >= 16) & (upto[run_ends] - upto[runs] > 1)
+        marks = np.zeros(n + 1, np.int8)
+        marks[runs[mixed]], marks[run_ends[mixed]] = 1, marks[run_ends[mixed]] - 1
+        whole = np.cumsum(marks)[:n] > 0  # a run that is one token
+        begins &= ~whole
+        begins[runs[mixed]] = True
+        self.starts = np.append(np.flatnonzero(begins), n)
+        starts = self.starts[:-1]
+        self.points = points
+        self.count = len(starts)
+        self.kinds = kinds[starts]
+        self.mixed = whole[starts]
+        self.sizes = np.diff(self.starts).astype(np.int32)
+        self.first = points[starts]
+        digit = kinds == _DIGITS
+        self.char_digits = np.append(np.int32(0), np.cumsum(digit, dtype=np.int32))
+        values = (points[digit] - 48).astype(np.int64)
+        double = 2 * values - 9 * (values > 4)
+        even = np.arange(len(values)) % 2 == 0
+        self.sums = [np.append(0, np.cumsum(np.where(even == side, double, values))) for side in (True, False)]
+        self._places()
+
+    def _is(self, char: str) -> np.ndarray:
+        return (self.first == ord(char)) & ~self.mixed
+
+    def _spelt(self, word: str) -> np.ndarray:
+        """Tokens that are ``word``, in any case of letters."""
+        found = (self.sizes == len(word)) & (self.kinds == _LETTERS) & ~self.mixed
+        at = self.starts[:-1][found]
+        same = np.ones(len(at), bool)
+        for i, c in enumerate(word):
+            same &= (self.points[at + i] | 32) == ord(c)
+        found[found] = same
+        return found
+
+    def _places(self) -> None:
+        """What is said of single tokens, with room behind and before for their neighbours."""
+        n = self.count
+        pad = MOST_TOKENS + 2
+
+        def padded(x: np.ndarray, fill: object = 0) -> np.ndarray:
+            return np.concatenate((np.full(pad, fill, x.dtype), x, np.full(pad, fill, x.dtype)))
+
+        self.pad = pad
+        digits, letters = (self.kinds == _DIGITS) & ~self.mixed, (self.kinds == _LETTERS) & ~self.mixed
+        alnum = digits | letters | self.mixed
+        ends = self.char_digits[self.starts]
+        self.digit_at = np.concatenate((np.zeros(pad, ends.dtype), ends, np.full(pad, ends[-1])))
+        opened, closed = self._is("(") | self._is("["), self._is(")") | self._is("]")
+        at_word = padded(self._spelt("at"))
+        self.p = {
+            "digits": padded(digits), "letters": padded(letters), "alnum": padded(alnum), "mixed": padded(self.mixed), "size": padded(self.sizes),
+            "space": padded(self._is(" ")), "dot": padded(self._is(".")), "sign": padded(self._is("@")), "plus": padded(self._is("+")), "open": padded(opened), "close": padded(closed),
+            "round": padded(self._is("(").astype(np.int8) - self._is(")")), "square": padded(self._is("[").astype(np.int8) - self._is("]")),
+            "dash": padded(self._is("-")), "near_left": padded(alnum | np.isin(self.first, [ord(c) for c in "@.+-_%"])), "near_right": padded(alnum | np.isin(self.first, [ord(c) for c in "@-_%"])),
+            "inside": padded(alnum | (self.kinds == _MARK) | self._is(" ")),
+        }
+        p = self.p
+        p["spelt"] = np.zeros(n + 2 * pad, bool)
+        p["spelt"][1:-1] = at_word[1:-1] & p["open"][:-2] & p["close"][2:]
+        p["may_at"] = np.zeros(n + 2 * pad, bool)
+        p["may_at"][1:] = at_word[1:] & p["open"][:-1]
+        p["dot_word"] = padded(self._spelt("dot"))
+        word = np.zeros(n, bool)
+        for w in SECRET_WORDS:
+            word |= self._spelt(w)
+        # What stands between such a word and its value: spaces, "=", ":" and quotes, four of them at most.
+        between = np.isin(self.first, [ord(c) for c in " =:\"'"]) & ~self.mixed
+        after, reach = np.zeros(n, bool), word
+        for _ in range(4):
+            reach = np.append(False, reach[:-1])[:n] & between
+            after[1:] |= reach[:-1]
+        p["after_word"] = padded(after & ~between)
+        # 255 at most, and the value of a token of digits with up to three of them.
+        at = self.starts[:-1]
+        value = np.full(n, 999)
+        small = digits & (self.sizes <= 3)
+        v = np.zeros(int(small.sum()), np.int64)
+        for i in range(3):
+            more = self.sizes[small] > i
+            v = np.where(more, v * 10 + self.points[np.minimum(at[small] + i, len(self.points) - 1)].astype(np.int64) - 48, v)
+        value[small] = v
+        p["octet"] = padded(value <= 255)
+        zeros = digits & (self.sizes >= 3) & (self.first == 48)
+        zeros[zeros] = self.points[at[zeros] + 1] == 48
+        p["zeros"] = padded(zeros)
+        p["code"] = padded(digits & (self.sizes <= 3))
+        p["fours"] = padded(digits & (self.sizes % 4 == 0))
+        p["gap"] = padded(self._is(" ") | self._is("-"))
+        p["end_gap"] = p["gap"] | p["dot"] | p["open"] & (p["round"] > 0)
+        area = padded(digits & (self.sizes >= 2) & (self.sizes <= 4))
+        p["area"] = np.zeros(n + 2 * pad, bool)
+        p["area"][1:-1] = area[1:-1] & (p["round"][:-2] > 0) & (p["round"][2:] < 0)
+        self.totals = {k: np.append(np.int32(0), np.cumsum(p[k], dtype=np.int32)) for k in ("letters", "space", "dot", "sign", "round", "square", "area", "spelt", "fours", "gap", "digits", "mixed", "may_at")}
+        self.alone = np.stack([digits, digits & (self.sizes >= 3), digits & (self.sizes >= 8), self._is("@") | self._is("+"), self.mixed, np.ones(n, bool)], axis=1).astype(np.float32)
+        # The token up to which a segment that begins here may reach: no further than a character that entities can't hold, or two spaces.
+        stop = ~p["inside"]
+        stop[1:] |= p["space"][1:] & p["space"][:-1]
+        places = np.arange(n + 2 * pad)
+        self.reach = np.minimum.accumulate(np.where(stop, places, n + 2 * pad)[::-1])[::-1]
+
+    def stretches(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The candidate segments and their features, ``STRETCH`` first tokens at a time: first token, end, features."""
+        p, t, pad = self.p, self.totals, self.pad
+        begins = p["alnum"] | p["plus"] | p["open"] & (p["round"] > 0)
+        # A segment holds digits, an "@" or a spelt "at", or is a mixed run; there's one of these soon after where it begins.
+        hot = np.append(0, np.cumsum(p["digits"] | p["sign"] | p["may_at"] | p["mixed"], dtype=np.int64))
+        first = np.flatnonzero(begins)
+        first = first[hot[np.minimum(first + MOST_TOKENS, len(hot) - 1)] > hot[first]]
+        lengths = np.arange(1, MOST_TOKENS + 1)
+        for at in range(0, len(first), STRETCH):
+            i = np.repeat(first[at : at + STRETCH], MOST_TOKENS)
+            j = i + np.tile(lengths, len(i) // MOST_TOKENS)
+            fits = (j <= self.reach[i]) & p["alnum"][j - 1]
+            i, j = i[fits], j[fits]
+
+            def many(name: str, i: np.ndarray = i, j: np.ndarray = j) -> np.ndarray:
+                return t[name][j] - t[name][i]
+
+            letters, spelt = many("letters") > 0, (many("sign") > 0) | (many("may_at") > 0)
+            digits = many("digits") > 0
+            mixed = many("mixed") > 0
+            keep = np.where(mixed, j - i == 1, np.where(letters, spelt, digits))
+            # A spelt address has spaces only round its "at".
+            keep &= ~letters | (many("space") <= 2)
+            i, j = i[keep], j[keep]
+            if len(i):
+                yield i - pad, j - pad, self._features(i, j)
+
+    def _features(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        p, t = self.p, self.totals
+        n = j - i
+
+        def many(name: str) -> np.ndarray:
+            return t[name][j] - t[name][i]
+
+        def between(name: str) -> np.ndarray:
+            """Whether there's such a token with its neighbours in the segment."""
+            return (n >= 3) & (t[name][j - 1] > t[name][i + 1])
+
+        a, b = self.digit_at[i], self.digit_at[j]
+        d = b - a
+        even = (b - 1) % 2 == 0  # of the last digit, which stands for itself
+        luhn_sum = np.where(even, self.sums[1][b] - self.sums[1][a], self.sums[0][b] - self.sums[0][a])
+        signs = many("sign")
+        four = n == 7
+        for k in range(7):
+            four &= p["octet" if k % 2 == 0 else "dot"][np.minimum(i + k, len(p["dot"]) - 1)]
+        last, before = j - 1, j - 2
+        domain = p["letters"][last] & (p["size"][last] >= 2) & (p["dot"][before] & p["alnum"][j - 3] & (n >= 3) | p["close"][before] & p["dot_word"][j - 3] & p["open"][j - 4] & p["alnum"][j - 5] & (n >= 5))
+        country = p["plus"][i] & p["code"][i + 1] & p["end_gap"][i + 2] & (n >= 3) | p["zeros"][i]
+        phone = p["digits"][last] & (p["size"][last] == 4) & (p["gap"][before] | p["dot"][before]) & p["digits"][j - 3] & (p["size"][j - 3] >= 3) & (n >= 3)
+        fours = many("fours")
+        card = (d == 16) & (fours == many("digits")) & (fours + many("gap") == n) & (many("gap") == fours - 1)
+        left, right = p["near_left"][i - 1], p["near_right"][j] | p["dot"][j] & p["alnum"][j + 1]
+        columns = (
+            (signs == 1) & ~p["sign"][i], between("spelt"), domain, many("letters") + many("mixed") > 0, many("space") > 0, four, many("dot") > 0, (d >= 12) & (luhn_sum % 10 == 0), (d > 0) & (d < 7), (d >= 8) & (d <= 12),
+            (d >= 13) & (d <= 15), (d >= 16) & (d <= 19), d > 19, country, p["plus"][i], between("area"), phone, card, (many("round") != 0) | (many("square") != 0),
+            ~(p["alnum"][i] | p["plus"][i] | (p["round"][i] > 0)), p["mixed"][i] & (n == 1), p["after_word"][i], (n == 1) & p["alnum"][i], (n == 1) & (p["size"][i] >= 24), left, right, np.ones(len(i), bool),
+        )
+        return np.stack(columns, axis=1).astype(np.float32)
+
+    def gains(self, inside: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First token, end, kind and gain over leaving its tokens outside of each segment that has a gain."""
+        upto = np.append(0, np.cumsum(np.einsum("ij,j->i", self.alone, outside.astype(np.float32)), dtype=np.float64))
+        found: list[tuple[np.ndarray, ...]] = []
+        for i, j, features in self.stretches():
+            score = np.einsum("ij,kj->ik", features, inside.astype(np.float32))  # in this thread, as Spark's tasks share the cores
+            kind = score.argmax(axis=1)
+            gain = score[np.arange(len(i)), kind] - (upto[j] - upto[i])
+            good = gain > 0
+            found.append((i[good], j[good], kind[good], gain[good]))
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        i, j, kind, gain = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((i, j))
+        return i[order], j[order], kind[order], gain[order]
+
+    def best(self, inside: np.ndarray, outside: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first token, end, kind, gain) of the entities of the best split."""
+        i, j, kind, gain = self.gains(inside, outside)
+        ends = np.append(0, np.unique(j))  # where the best value can change
+        before = (np.searchsorted(ends, i, side="right") - 1).tolist()
+        at = np.searchsorted(ends, j).tolist()
+        value, back = [0.0] * len(ends), [-1] * len(ends)
+        last = 0
+        for k, (b, e, g) in enumerate(zip(before, at, gain.tolist(), strict=True)):
+            if e != last:
+                value[e] = value[e - 1]
+                last = e
+            if value[b] + g > value[e]:
+                value[e], back[e] = value[b] + g, k
+        chosen, e = [], len(ends) - 1
+        while e > 0:
+            k = back[e]
             if k < 0:
-                j -= 1
+                e -= 1
                 continue
-            i = self.spans[k][0]
-            chosen.append((k, int(kind[k]), float(top[k] - upto[j] + upto[i])))
-            j = i
+            chosen.append((int(i[k]), int(j[k]), int(kind[k]), float(gain[k])))
+            e = before[k]
         return chosen[::-1]
 
-    def gradient(self, gold: dict[tuple[int, int], int], inside: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the log-likelihood of the split whose entities are ``gold``: span to kind."""
-        n = len(self.tokens)
-        score, alone = self.shapes @ inside.T, self.others @ outside
-        total = np.logaddexp.reduce(score, axis=1) if len(score) else np.zeros(0)
-        ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-        ahead[0] = behind[n] = 0
-        for j in range(1, n + 1):
-            ahead[j] = ahead[j - 1] + alone[j - 1]
-            for k in self.ending[j]:
-                ahead[j] = np.logaddexp(ahead[j], ahead[self.spans[k][0]] + total[k])
-        for j in range(n, 0, -1):
-            behind[j - 1] = np.logaddexp(behind[j - 1], behind[j] + alone[j - 1])
-            for k in self.ending[j]:
-                i = self.spans[k][0]
-                behind[i] = np.logaddexp(behind[i], behind[j] + total[k])
-        out = -np.exp(np.minimum(0, ahead[:-1] + alone + behind[1:] - ahead[n]))
-        ends = np.array(self.spans).reshape(-1, 2)
-        share = -np.exp(np.minimum(0, (ahead[ends[:, 0]] + behind[ends[:, 1]] - ahead[n])[:, None] + score))
-        covered = np.zeros(n, bool)
-        for k, span in enumerate(self.spans):
-            if span in gold:
-                share[k, gold[span]] += 1
-                covered[span[0] : span[1]] = True
-        out[~covered] += 1
-        return share.T @ self.shapes, out @ self.others
-
-
-def _rewritten(window: str, spans: list[tuple[str, int, int]], pick: int) -> tuple[str, list[tuple[str, int, int]]]:
+    def segments(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All candidate segments with their features; for texts of a few tokens."""
+        parts = list(self.stretches())
+        if not parts:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros((0, len(FEATURES)), np.float32)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def gradient(segments: tuple[np.ndarray, np.ndarray, np.ndarray], alone: np.ndarray, gold: dict[tuple[int, int], int], inside: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the split whose entities are ``gold``: (first token, end) to kind."""
+    n = len(alone)
+    first, end, features = segments
+    score, single = features @ inside.T, alone @ outside
+    total = np.logaddexp.reduce(score, axis=1) if len(score) else np.zeros(0)
+    spans = list(zip(first.tolist(), end.tolist(), strict=True))
+    ending: list[list[int]] = [[] for _ in range(n + 1)]
+    for k, (_, j) in enumerate(spans):
+        ending[j].append(k)
+    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = behind[n] = 0
+    for j in range(1, n + 1):
+        ahead[j] = np.logaddexp.reduce([ahead[j - 1] + single[j - 1], *(ahead[spans[k][0]] + total[k] for k in ending[j])])
+    for j in range(n, 0, -1):
+        behind[j - 1] = np.logaddexp(behind[j - 1], behind[j] + single[j - 1])
+        for k in ending[j]:
+            i = spans[k][0]
+            behind[i] = np.logaddexp(behind[i], behind[j] + total[k])
+    out = -np.exp(np.minimum(0, ahead[:-1] + single + behind[1:] - ahead[n]))
+    share = -np.exp(np.minimum(0, (ahead[first] + behind[end] - ahead[n])[:, None] + score))
+    covered = np.zeros(n, bool)
+    for k, span in enumerate(spans):
+        if span in gold:
+            share[k, gold[span]] += 1
+            covered[span[0] : span[1]] = True
+    out[~covered] += 1
+    return share.T @ features, out @ alone
+
+
+def truth(window: str) -> list[tuple[str, int, int]]:
+    """The spans that a window is learned with."""
+    return base_spans(window) + [("secret", *m.span(1)) for m in _SECRET.finditer(window)]
+
+
+def rewritten(window: str, spans: list[tuple[str, int, int]], pick: int) -> tuple[str, list[tuple[str, int, int]]]:
     """The window with its first fitting span in another spelling, and the spans then."""
     for at, (kind, a, b) in enumerate(spans):
         s = window[a:b]
@@ -259,15 +406,19 @@ def _rewritten(window: str, spans: list[tuple[str, int, int]], pick: int) -> tup
     return window, spans
 
 
-def _gold(lattice: Lattice, spans: list[tuple[str, int, int]]) -> dict[tuple[int, int], int]:
+def _gold(lattice: Lattice, spans: list[tuple[str, int, int]], candidates: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
     """The candidate segments that are spans, by kind; of spans that overlap, the first kind's."""
-    token = {s: i for i, s in enumerate(lattice.starts)}
-    gold, used = {}, np.zeros(len(lattice.tokens) + 1, bool)
+    token = {s: i for i, s in enumerate(lattice.starts.tolist())}
+    gold, used = {}, np.zeros(lattice.count + 1, bool)
     for kind, a, b in spans:
         if a in token and b in token and not used[token[a] : token[b]].any():
-            gold[token[a], token[b]] = KINDS.index(kind)
+            gold[token[a], token[b]] = ALL_KINDS.index(kind)
             used[token[a] : token[b]] = True
-    return {span: kind for span, kind in gold.items() if span in set(lattice.spans)}
+    return {span: kind for span, kind in gold.items() if span in candidates}
+
+
+#: Between the texts of a slice: no entity can hold it.
+_BETWEEN = "\n\n"
 
 
 class Field:
@@ -275,54 +426,57 @@ class Field:
 
     def __init__(self, inside: np.ndarray, outside: np.ndarray) -> None:
         self.inside, self.outside = inside, outside
-        self.known: dict[str, list[tuple[str, int, int]]] = {}
-
-    def entities(self, window: str) -> list[tuple[str, int, int]]:
-        """The entities of the window's best split that beat the margin; windows that recur are looked up."""
-        if window not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            lattice = Lattice(window)
-            best = lattice.best(self.inside, self.outside)
-            spans = [(KINDS[kind], *(lattice.starts[x] for x in lattice.spans[k])) for k, kind, over in best if over >= MARGIN]
-            self.known[window] = spans
-        return self.known[window]
-
-    def spans(self, text: str) -> list[tuple[str, int, int, bool]]:
-        """All spans by kind and then start, each with whether it is a base span."""
-        base = base_spans(text)
-        taken = sorted((a, b) for _, a, b in base)
-        found = [(*s, True) for s in base]
-        at, reach = 0, -1  # base spans are passed in order, as windows are
-        for start, end in windows(text):
-            for kind, a, b in self.entities(text[start:end]):
-                a, b = a + start, b + start
+
+    def entities(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """Of each text, the entities of the best split that beat the margin."""
+        lattice = Lattice(_BETWEEN.join(texts))
+        begins = np.cumsum([0, *(len(t) + len(_BETWEEN) for t in texts)])
+        found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        for i, j, kind, gain in lattice.best(self.inside, self.outside):
+            if gain >= MARGIN:
+                a, b = int(lattice.starts[i]), int(lattice.starts[j])
+                k = int(np.searchsorted(begins, a, side="right")) - 1
+                found[k].append((ALL_KINDS[kind], a - int(begins[k]), b - int(begins[k])))
+        return found
+
+    def spans(self, texts: list[str]) -> list[list[tuple[str, int, int, bool]]]:
+        """Of each text, all spans by kind and then start, each with whether it is a base span."""
+        out = []
+        for text, entities in zip(texts, self.entities(texts), strict=True):
+            base = base_spans(text)
+            taken = sorted((a, b) for _, a, b in base)
+            found = [(*s, True) for s in base]
+            at, reach = 0, -1  # base spans are passed in order, as entities are
+            for kind, a, b in entities:
                 while at < len(taken) and taken[at][0] < b:
                     reach = max(reach, taken[at][1])
                     at += 1
                 if reach <= a:
                     found.append((kind, a, b, False))
-        return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+            out.append(sorted(found, key=lambda s: (ALL_KINDS.index(s[0]), s[1], s[2])))
+        return out
 
 
 def train(examples: list[str]) -> Field | None:
     """The field of some windows; None if there are none."""
     cases = []
-    for window in examples:
-        spans = base_spans(window)
-        pick = zlib.crc32(window.encode())
-        for w, s in {(window, tuple(spans)), (lambda x: (x[0], tuple(x[1])))(_rewritten(window, spans, pick))}:
+    for window in [*examples, *(PLAIN if examples else ())]:
+        spans = truth(window)
+        pick = zlib.crc32(window.encode("utf-8", "surrogatepass"))
+        new, moved = rewritten(window, spans, pick)
+        for w, s in {(window, tuple(spans)), (new, tuple(moved))}:
             lattice = Lattice(w)
-            cases.append((w, lattice, _gold(lattice, list(s))))
+            segments = lattice.segments()
+            cases.append((w, segments, lattice.alone, _gold(lattice, list(s), set(zip(segments[0].tolist(), segments[1].tolist(), strict=True)))))
     if not cases:
         return None
-    cases.sort(key=lambda c: (zlib.crc32(c[0].encode()), c[0]))
-    inside, outside = np.zeros((len(KINDS), len(FEATURES))), np.zeros(5)
+    cases.sort(key=lambda c: (zlib.crc32(c[0].encode("utf-8", "surrogatepass")), c[0]))
+    inside, outside = np.zeros((len(ALL_KINDS), len(FEATURES))), np.zeros(len(OUTSIDE))
     seen_in, seen_out = np.full_like(inside, 1e-6), np.full_like(outside, 1e-6)
     for _ in range(EPOCHS):
         for start in range(0, len(cases), 16):
             part = cases[start : start + 16]
-            steps = [lattice.gradient(gold, inside, outside) for _, lattice, gold in part]
+            steps = [gradient(segments, alone, gold, inside, outside) for _, segments, alone, gold in part]
             g_in, g_out = sum(a for a, _ in steps) / len(part) - RIDGE * inside, sum(b for _, b in steps) / len(part) - RIDGE * outside
             seen_in += g_in**2
             seen_out += g_out**2
@@ -331,10 +485,11 @@ def train(examples: list[str]) -> Field | None:
     return Field(inside, outside)
 
 
+#: Bytes without which a text has no span: digits, "@", brackets, and "=" or ":" before a secret.
 @lru_cache(maxsize=1)
 def _triggers() -> np.ndarray:
     table = np.zeros(256, bool)
-    table[[*range(48, 58), 64, 91, 40]] = True
+    table[[*range(48, 58), *map(ord, "@[(=:")]] = True
     return table
 
 
@@ -348,28 +503,48 @@ def _candidates(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def windows(text: str) -> Iterator[str]:
+    """The stretches that are learned from: the tokens round each trigger, cut to ``LEARN_TOKENS`` and ``LEARN_CHARS``
+    at a token's end. Triggers that a stretch has taken in get none of their own."""
+    lattice = Lattice(text)
+    p, pad = lattice.p, lattice.pad
+    hot = np.flatnonzero((p["digits"] | p["sign"] | p["may_at"] | p["mixed"])[pad : pad + lattice.count])
+    done = 0
+    for t in hot.tolist():
+        if t < done:
+            continue
+        a = max(done, t - LEARN_TOKENS // 3)
+        b = min(lattice.count, a + LEARN_TOKENS)
+        while b > t and lattice.starts[b] - lattice.starts[a] > LEARN_CHARS:
+            a, b = (a + 1, b) if a < t else (a, b - 1)
+        if b > t:
+            yield text[lattice.starts[a] : lattice.starts[b]]
+        done = max(b, t + 1)
+
+
 def learn(docs: DataFrame, text: str = "text", most: int = LEARN_WINDOWS) -> Field | None:
-    """The field of at most ``most`` windows of ``docs``: distinct ones, first by a hash, half of them with base spans."""
+    """The field of at most ``most`` windows of ``docs``: distinct ones, first by a hash, a share of them for each kind
+    of span that is in them and one for windows without."""
+    shares = (*ALL_KINDS, "none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, dict[str, int]] = {True: {}, False: {}}
+        held: dict[str, dict[str, int]] = {kind: {} for kind in shares}
         for batch in text_slices(batches, text, CHUNK_BYTES):
             column = batch.column(text)
             for x in column.filter(pa.array(_candidates(column))).to_pylist():
-                for a, b in windows(x):
-                    if b - a <= 400:
-                        window = x[a:b]
-                        held[bool(base_spans(window))][window] = zlib.crc32(window.encode())
-            for kind, some in held.items():
-                if len(some) > 4 * most:
-                    held[kind] = dict(sorted(some.items(), key=lambda y: (y[1], y[0]))[:most])
+                for window in windows(x):
+                    found = {kind for kind, _, _ in truth(window)}
+                    held[min(found, key=ALL_KINDS.index) if found else "none"][window] = zlib.crc32(window.encode("utf-8", "surrogatepass"))
+                for kind, some in held.items():
+                    if len(some) > 4 * most:
+                        held[kind] = dict(sorted(some.items(), key=lambda y: (y[1], y[0]))[:most])
         rows = [(kind, w, h) for kind, some in held.items() for w, h in sorted(some.items(), key=lambda y: (y[1], y[0]))[:most]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.int64()))], names=["has", "window", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["has", "window", "h"])
 
-    found = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "has boolean, window string, h long").distinct()
+    found = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "has string, window string, h long").distinct()
     examples = []
-    for has in (True, False):
-        examples += [r.window for r in found.where(F.col("has") == has).orderBy("h", "window").limit(most // 2).collect()]
+    for kind in shares:
+        examples += [r.window for r in found.where(F.col("has") == kind).orderBy("h", "window").limit(most // len(shares)).collect()]
     return train(examples)
 
 
@@ -382,10 +557,11 @@ def find(docs: DataFrame, field: Field | None, text: str = "text", out: str = "s
         for batch in text_slices(batches, text, CHUNK_BYTES):
             column = batch.column(text)
             spans: list[list] = [[]] * len(column)
-            for i in np.flatnonzero(_candidates(column)).tolist():
-                x = column[i].as_py()
-                found = own.spans(x) if own else [(*s, True) for s in base_spans(x)]
-                spans[i] = [dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in found]
+            places = np.flatnonzero(_candidates(column)).tolist()
+            texts = [column[i].as_py() for i in places]
+            found = own.spans(texts) if own else [[(*s, True) for s in base_spans(x)] for x in texts]
+            for i, some in zip(places, found, strict=True):
+                spans[i] = [dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in some]
             yield with_columns(batch, {out: pa.array(spans, _SPAN_TYPE)})
 
     return docs.mapInArrow(run, with_fields(docs, {out: "array<struct<kind: string, start: int, end: int, base: boolean>>"}))

@@ -72,7 +72,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every text: counts and a digest of the patterns' spans, and all spans."""
+    """Personal data in every text: counts and a digest of the patterns' spans, all spans, and how many the field added."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = pii_crf.find(docs, pii_crf.learn(docs)).drop("text")
 
@@ -82,7 +82,7 @@ def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     kinds = F.transform(base, lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(k))).cast("long").alias(f"n_{k}") for k in pii_crf.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
