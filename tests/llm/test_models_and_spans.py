@@ -60,22 +60,19 @@ def test_learning_without_rows(spark):
 
 
 def plain_ngrams(text):
-    table, seq = language_id._symbols(), [0]
+    seq = " "
     for c in text or "":
-        v = int(table[ord(c)])
-        if v or seq[-1]:
-            seq.append(v)
-    if seq[-1]:
-        seq.append(0)
-    out = [v for v in seq if v]
-    out += [64 + a * 64 + b for a, b in zip(seq, seq[1:], strict=False)]
-    out += [64 + 4096 + (a * 64 + b) * 64 + c for a, b, c in zip(seq, seq[1:], seq[2:], strict=False) if b]
-    return sorted(out)
+        if c.isalpha() or seq[-1] != " ":
+            seq += c.lower()[0] if c.isalpha() else " "
+    seq += " " if seq[-1] != " " else ""
+    grams = [c for c in seq if c != " "] + [a + b for a, b in zip(seq, seq[1:], strict=False)]
+    grams += [a + b + c for a, b, c in zip(seq, seq[1:], seq[2:], strict=False) if b != " "]
+    return sorted(sum(ord(c) << 21 * i for i, c in enumerate(reversed(g))) for g in grams)
 
 
 def test_ngrams_equal_plain_ones():
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abÉß 1.\n") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ODD
+    texts = ["".join(rng.choice("abÉßЖжΣ日本 1.\n") for _ in range(rng.randint(0, 30))) for _ in range(200)] + ODD
     for t, codes in zip(texts, language_id.ngrams(pa.array(texts)), strict=True):
         assert sorted(codes.tolist()) == plain_ngrams(t)
 
@@ -88,6 +85,16 @@ def test_profile_is_by_count_and_code():
     assert language_id.profile(many, 50).tolist() == distinct[np.lexsort((distinct, -counts))][:50].tolist()
 
 
+def test_scripts_keep_their_letters(spark):
+    """Languages that differ only in which letters beyond a-z follow each other."""
+    rng = random.Random(1)
+    words = {"one": ["шама", "белон", "日本語", "λόγος"], "two": ["амаш", "нолеб", "語本日", "σογόλ"], "three": ["ابجد", "한국어", "ไทยคำ", "עברית"]}
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(list(words) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.predict(df.where("doc_id >= 60"), language_id.learn(df.where("doc_id < 60"))).collect()
+    assert all(r.lang == r.lang_pred for r in found)
+
+
 def test_language_of_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = language_id.fold("doc_id", 5) == 0

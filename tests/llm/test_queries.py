@@ -1,20 +1,27 @@
 """The registered queries and the pipeline against oracles and plain versions."""
 
+import math
 import shutil
 import subprocess
 import sys
+import zlib
+from hashlib import sha256
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.test_oracles import SF, TABLES, compared
-from tidemark.llm import language_id, mixing, queries
+from tidemark.llm import language_id, mixing, quality_gam, queries
 from tidemark.llm.shared import written
 
 from .test_pairs_and_copies import plain_components, plain_groups
+from .test_search_shards_mix import plain_shards
 
 ROOT = Path(__file__).resolve().parent.parent.parent
 
@@ -38,6 +45,52 @@ def test_query_has_a_row_for_each_document(spark, name):
     assert len(found) == spark.read.parquet(f"{SF}/documents.parquet").count() and found.doc_id.is_unique
 
 
+def digest(x):
+    return sha256(x.encode()).hexdigest()
+
+
+def test_token_queries_equal_the_library(spark):
+    library = Tokenizer.from_file(queries.BYTE_BPE)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    found = queries.op3_bpe_round_trip(spark, SF).collect()
+    assert {tuple(r) for r in found} == {(d, len(i), digest(",".join(map(str, i))), digest(library.decode(i, skip_special_tokens=False))) for d, i in ids.items()}
+    want, start = set(), 0
+    for d in sorted(ids):
+        whole = [*ids[d], 0]
+        want.add((d, start, len(whole), zlib.crc32(np.array(whole, "<u4").tobytes())))
+        start += len(whole)
+    assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_files(spark, SF).collect()} == want
+
+
+def test_sharding_query_equals_a_plain_deal(spark):
+    rows = [(r.doc_id, r.source, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    keys = {d: f"{d}:{zlib.crc32(t.encode())}:{len(t.encode()) + 16}" for d, _, t in rows}
+    want = plain_shards([(keys[d], s, 0) for d, s, _ in rows], 40)
+    found = queries.op7_sharding(spark, SF).collect()
+    assert {(r.doc_id, r["shard"], r.slot) for r in found} == {(d, *want[keys[d]]) for d, _, _ in rows}
+    assert all(keys[r.doc_id] == f"{r.doc_id}:{r.text_crc32}:{r.size}" and r.law == "rows" and r.grown_shard is None for r in found)
+
+
+def plain_score(model, x):
+    """Bins by counting edges, and a sum of look-ups."""
+    bins = [sum(v >= e for e in edges) for v, edges in zip(x.tolist(), model.edges, strict=True)]
+    total = model.base + sum(model.tables[i][b] for i, b in enumerate(bins)) + sum(t[bins[a], bins[b]] for (a, b), t in model.pairs.items())
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_scores_equal_single_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = language_id.fold("doc_id", 4) == 2
+    model = quality_gam.learn(docs, spark.read.parquet(f"{SF}/labels.parquet").where(~held))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = queries.op6_quality_gam(spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        x = quality_gam.features(pa.array([texts[r.doc_id]], pa.string()))[0]
+        assert r.score == pytest.approx(plain_score(model, x), abs=1e-6) and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def odd_documents(spark):
     base = " ".join(f"word{i}" for i in range(40))
     texts = [base, base.upper(), base + " more", base.replace("word3 ", "other "), None, "", "12 34", "Le chat est là", "short text", "Short text", *(f"the cat number {i} sat on a mat" for i in range(40))]

@@ -1,5 +1,6 @@
 """MaxScore, sharding and mixing against plain versions and their laws."""
 
+import hashlib
 import math
 import random
 
@@ -25,7 +26,7 @@ def plain_best(rows, k):
 
 @pytest.mark.parametrize("spread", [1.0, 0.002])
 def test_best_equal_all_scores(spark, monkeypatch, spread):
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", 60)
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", 60 * 12 * 10)
     monkeypatch.setattr(maxscore, "BLOCK_ROWS", 16)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, spread) for _ in range(12)]) for i in range(300)]
@@ -36,6 +37,24 @@ def test_best_equal_all_scores(spark, monkeypatch, spread):
     assert [tuple(r) for r in found] == plain_best(rows, 5)
 
 
+def test_scores_beyond_doubles_are_exact():
+    rng = random.Random(2)
+    for size in (2**30, 2**53, 2**61):
+        rows = [[rng.randint(-size, size) for _ in range(3)] for _ in range(60)]
+        rows += [[size, 1, 0], [size, 0, 0], [size, 0, 0]]
+        shard = maxscore.Shard(np.arange(len(rows)), np.array(rows, np.int64))
+        for q in range(len(rows)):
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(rows[q], v, strict=True)))), i) for i, v in enumerate(rows) if i != q)
+            exact = sorted((-sum(a * b for a, b in zip(rows[q], v, strict=True)), i) for i, v in enumerate(rows) if i != q)
+            ids, found = shard.best(q, np.array(rows[q], np.int64), 5)
+            assert ids.tolist() == [i for _, i in exact[:5]] and found.tolist() == [-s for s, _ in scores[:5]]
+
+
+def test_vectors_beyond_long(spark):
+    df = spark.createDataFrame([(10, [1e30, -1e30]), (20, [1e30, 1.0]), (30, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert maxscore.top_k(maxscore.integer_vectors(df), F.col("vec_id") % 10 == 0, 5).count() == 6
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert maxscore.top_k(maxscore.integer_vectors(empty), F.col("vec_id") % 10 == 0).collect() == []
@@ -60,6 +79,31 @@ def test_shards_match_the_mixture(spark):
     assert (by.sub(by.sum(axis=1) / 40, axis=0).abs().max(axis=1) <= 1 + share * len(by)).all()
 
 
+def plain_shards(rows, shards, seed="shards"):
+    """{doc_id: (shard, slot)} by sorting everything: rank by MD5 within the source, then fractional ranks, then cuts."""
+    by_source = {}
+    for d, s, _ in rows:
+        by_source.setdefault(s, []).append((hashlib.md5(f"{seed}:{d}".encode()).hexdigest(), d))
+    order = []
+    for s, some in by_source.items():
+        order += [((2 * i + 1) / (2 * len(some)), s is None, (s or "").encode(), key, d) for i, (key, d) in enumerate(sorted(some))]
+    places = {x[-1]: i for i, x in enumerate(sorted(order))}
+    out = {}
+    for d, i in places.items():
+        shard = i * shards // len(rows)
+        out[d] = (shard, i - -(-shard * len(rows) // shards))
+    return out
+
+
+def test_shards_are_dealt_in_the_order_of_fractional_ranks(spark):
+    rows = documents(3000)
+    columns = ["_key", "_bucket", "_rank", "_rows", "_share", "_place", "_before", "_offset", "_sum", "_of_source", "slot", "Shard"]
+    df = spark.createDataFrame([(*r, *columns) for r in rows], "doc_id long, source string, size long, " + ", ".join(f"{c} string" for c in columns))
+    found = sharding.interleaved_shards(df, 40).collect()
+    assert {r.doc_id: (r["shard"], r.slot) for r in found} == plain_shards(rows, 40)
+    assert all(r[c] == c for r in found for c in columns[:-2]) and len(found[0]) == 3 + len(columns)
+
+
 @pytest.mark.parametrize("n", [0, 1, 7])
 def test_few_rows_for_many_shards(spark, n):
     df = spark.createDataFrame([(None if i == 3 else i, None, 1) for i in range(n)] + [(1, "x", 1)] * (n > 1), "doc_id long, source string, size long")
@@ -97,18 +141,28 @@ def test_mix_meets_targets(spark):
     for s, g in found.assign(source=found.source.where(found.source.notna(), None)).groupby(found.source.fillna("none")):
         key = None if s == "none" else s
         assert g.source_size.iloc[0] == sizes[key] and g.target.iloc[0] == pytest.approx(want[key])
-        assert abs(g.taken.sum() - want[key]) <= max(4 * mixing.BLOCK_TOKENS, 0.01 * want[key])
+        assert g.taken.sum() == math.floor(want[key] + 1e-6)
 
 
 def test_schedule_is_even_from_the_start(spark):
     goals = spark.createDataFrame([("a", 60_000.0), ("b", 30_000.0), (None, 10_000.0)], "source string, target double")
     found = mixing.schedule(goals, 10).orderBy("slot").collect()
-    assert [r.slot for r in found] == list(range(10_000))
+    slots = [r.slot for r in found]
+    assert len(set(slots)) == len(slots) == 10_000 and slots[-1] < 10_010
     for start in range(0, 10_000, 500):
-        part = [r.source for r in found[start : start + 500]]
+        part = [r.source for r in found if start <= r.slot < start + 500]
         assert all(abs(part.count(s) - 500 * share) <= 5 for s, share in (("a", 0.6), ("b", 0.3), (None, 0.1)))
-    for s in ("a", "b", None):
-        assert [r.block for r in found if r.source == s] == list(range(sum(r.source == s for r in found)))
+    for s, n in (("a", 6000), ("b", 3000), (None, 1000)):
+        assert [(r.block, r.words) for r in found if r.source == s] == [(j, 10) for j in range(n)]
+
+
+def test_schedule_meets_odd_targets(spark):
+    targets = {f"s{i:03}": 3.7 * i for i in range(300)} | {None: 10_003.2}
+    found = mixing.schedule(spark.createDataFrame(list(targets.items()), "source string, target double"), 100).collect()
+    assert len({r.slot for r in found}) == len(found)
+    for s, t in targets.items():
+        own = sorted((r.block, r.words) for r in found if r.source == s)
+        assert [b for b, _ in own] == list(range(len(own))) and sum(w for _, w in own) == math.floor(t)
 
 
 def test_pieces_cover_every_word_once_an_epoch(spark):

@@ -24,12 +24,14 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, most: int) -> Iter
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """``batch`` with ``columns`` after its own; columns of the same name are replaced."""
-    names = [n for n in batch.schema.names if n not in columns]
+    """``batch`` with ``columns`` after its own; columns of the same name, in any case of letters, are replaced."""
+    taken = {n.lower() for n in columns}
+    names = [n for n in batch.schema.names if n.lower() not in taken]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns.values()], names=[*names, *columns])
 
 
 def with_fields(df: DataFrame, columns: dict[str, str]) -> T.StructType:
     """The schema that goes with ``with_columns``."""
     new = T.StructType.fromDDL(", ".join(f"`{n}` {kind}" for n, kind in columns.items()))
-    return T.StructType([*(f for f in df.schema.fields if f.name not in columns), *new.fields])
+    taken = {n.lower() for n in columns}
+    return T.StructType([*(f for f in df.schema.fields if f.name.lower() not in taken), *new.fields])

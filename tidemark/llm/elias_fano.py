@@ -12,8 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 
 SAMPLE = 256
+#: For each byte, how many bits are set, and where its first, second, ... set bit is.
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
 
+_PLACES = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], np.int64)
+
 
 @dataclass(frozen=True)
 class EliasFano:
@@ -36,40 +39,26 @@ class EliasFano:
         bits[places] = 1
         return EliasFano(n, width, np.packbits(low.ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), places[::SAMPLE].astype("<u4").tobytes())
 
-    def _low(self, i: int) -> int:
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of some values: the eight bytes from the one where they begin hold them all."""
+        if not self.low_bits:
+            return np.zeros(len(i), np.int64)
+        raw = np.concatenate((np.frombuffer(self.low, np.uint8), np.zeros(8, np.uint8)))
+        words = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
         start = i * self.low_bits
-        piece = int.from_bytes(self.low[start // 8 : (start + self.low_bits + 7) // 8], "little")
-        return piece >> start % 8 & (1 << self.low_bits) - 1
-
-    def select(self, i: int) -> int:
-        """The ``i``-th value."""
-        start = int(np.frombuffer(self.samples, "<u4")[i // SAMPLE])
-        rest = i % SAMPLE
-        high = np.frombuffer(self.high, np.uint8)
-        byte = start // 8
-        first = int(high[byte]) >> start % 8 << start % 8
-        # At most SAMPLE more ones are passed, so the counts are looked at in short stretches.
-        seen = int(_ONES[first])
-        if seen <= rest:
-            rest -= seen
-            while True:
-                byte += 1
-                counts = np.cumsum(_ONES[high[byte : byte + 64]])
-                if counts[-1] > rest:
-                    k = int(np.searchsorted(counts, rest, side="right"))
-                    rest -= int(counts[k - 1]) if k else 0
-                    byte, first = byte + k, int(high[byte + k])
-                    break
-                rest -= int(counts[-1])
-                byte += 63
-        bit = [b for b in range(8) if first >> b & 1][rest]
-        return (byte * 8 + bit - i << self.low_bits) | self._low(i)
+        return (words[start // 8] >> (start % 8).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
-    def values(self) -> np.ndarray:
-        """All values, as ``select`` of each would give them."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        low = np.zeros(self.n, np.int64)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-            low = bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits))
-        return (places - np.arange(self.n) << self.low_bits) | low
+    def select(self, i: int | np.ndarray) -> int | np.ndarray:
+        """The ``i``-th value, or the values at some places. From the sampled bit before a place, bytes are passed by their
+        counts of set bits, for all places at once."""
+        at = np.atleast_1d(np.asarray(i, np.int64))
+        high = np.concatenate((np.frombuffer(self.high, np.uint8), np.full(1, 255, np.uint8)))
+        start = np.frombuffer(self.samples, "<u4")[at // SAMPLE].astype(np.int64)
+        rest, byte = at % SAMPLE, start // 8
+        current = high[byte] >> (start % 8).astype(np.uint8) << (start % 8).astype(np.uint8)
+        while len(going := np.flatnonzero(_ONES[current] <= rest)):
+            rest[going] -= _ONES[current[going]]
+            byte[going] += 1
+            current[going] = high[byte[going]]
+        found = (byte * 8 + _PLACES[current, rest] - at << self.low_bits) | self._lows(at)
+        return found if np.ndim(i) else int(found[0])

@@ -4,9 +4,9 @@ A profile is the most frequent n-grams of one to three letters, by rank. A docum
 language's by out-of-place distance: each of its n-grams adds how far its rank is from its rank in the language's
 profile, or the greatest distance if that has none; the language with the least distance is predicted.
 
-Letters are in lower case; a to z are symbols of their own, other letters share ``OTHER_SYMBOLS`` more by a hash
-of their code point, and all between words is one boundary, which n-grams may begin or end with. So an n-gram is a
-small integer, and counts are exact, over whole texts and all learning documents.
+Letters are code points in lower case, of any script, and all between words is one boundary, which n-grams may begin
+or end with. An n-gram is the number that its code points make, 21 bits each, so different ones never count as one,
+and counts are exact, over whole texts and all learning documents.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0; ties go to the language that is
 first by code point; with no language learned all is ``und``; extra columns pass through.
@@ -24,51 +24,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import text_slices, with_columns, with_fields
-from tidemark.llm.shingles import mix
 
 #: N-grams in a profile.
 PROFILE = 300
-OTHER_SYMBOLS = 37
-_SYMBOLS = 64
-_CODES = _SYMBOLS + _SYMBOLS**2 + _SYMBOLS**3
+#: The boundary between words, and the bits of a code point.
+BOUNDARY, POINT_BITS = 32, 21
+#: Distinct n-grams of which a task sums counts before it passes them on.
+HELD_CODES = 1_000_000
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 
 
 @lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
-    """The symbol of each code point; 0 for all but letters."""
-    table = np.zeros(0x110000, np.uint8)
+    """The letter in lower case that each code point is; the boundary for all but letters."""
+    table = np.full(0x110000, BOUNDARY, np.uint32)
     letters = np.array([p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and chr(p).isalpha()])
-    lower = np.array([ord(chr(p).lower()[0]) for p in letters.tolist()])
-    latin = (lower >= 97) & (lower <= 122)
-    table[letters] = np.where(latin, lower - 96, 27 + mix(lower.astype(np.uint64)) % np.uint64(OTHER_SYMBOLS))
+    table[letters] = [ord(chr(p).lower()[0]) for p in letters.tolist()]
     return table
 
 
 def ngrams(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The n-grams of each text, as codes, as often as they occur."""
+    """The n-grams of each text, as numbers, as often as they occur."""
     texts = ["" if t is None else t for t in texts.to_pylist()]
-    points = np.frombuffer(" ".join(texts).encode("utf-32-le"), np.uint32)
-    symbols = np.concatenate(([np.uint8(0)], _symbols()[points], [np.uint8(0)]))
+    points = np.frombuffer(" ".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    symbols = np.concatenate(([np.uint32(BOUNDARY)], _symbols()[points], [np.uint32(BOUNDARY)]))
     keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0)
+    keep[1:] = (symbols[1:] != BOUNDARY) | (symbols[:-1] != BOUNDARY)
     ends = np.cumsum([len(t) + 1 for t in texts])  # of each text's last boundary among all symbols
     places = np.concatenate(([0], np.cumsum(keep)[ends] - 1))
-    s = symbols[keep].astype(np.int32)
-    two = s[:-1] * _SYMBOLS + s[1:]
-    three = two[:-1] * _SYMBOLS + s[2:]
+    s = symbols[keep].astype(np.int64)
+    two = s[:-1] << POINT_BITS | s[1:]
+    three = two[:-1] << POINT_BITS | s[2:]
     for start, end in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
         one = s[start : end + 1]
         pairs, triples = two[start:end], three[start : max(start, end - 1)]
-        yield np.concatenate((one[one > 0], pairs + _SYMBOLS, triples[one[1:-1] > 0] + (_SYMBOLS + _SYMBOLS**2)))
+        yield np.concatenate((one[one != BOUNDARY], pairs, triples[one[1:-1] != BOUNDARY]))
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(codes) > 100_000:
-        counts = np.bincount(codes, minlength=_CODES)
-        distinct = np.flatnonzero(counts)
-        return distinct, counts[distinct]
     codes = np.sort(codes)
     first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
     return codes[first], np.diff(np.append(first, len(codes)))
@@ -77,26 +71,44 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def profile(codes: np.ndarray, size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, the most frequent first, ties by code."""
     distinct, counts = _counted(codes)
-    keys = counts.astype(np.int64) * _CODES + (_CODES - 1 - distinct)
-    if len(keys) > size:
-        keys = np.partition(keys, len(keys) - size)[-size:]
-    return _CODES - 1 - np.sort(keys)[::-1] % _CODES
+    if len(counts) > size:  # those that can be among the first: ties with the last one are all kept
+        keep = counts >= np.partition(counts, len(counts) - size)[len(counts) - size]
+        distinct, counts = distinct[keep], counts[keep]
+    return distinct[np.argsort(-counts, kind="stable")][:size]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and their counts over some codes with counts."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(counts, first) if len(codes) else counts
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
     """Each language's profile, from all rows of ``docs`` with a language; ``size`` numbers a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def passed_on(name: str) -> Iterator[pa.RecordBatch]:
+            codes, counts = _summed(held.pop(name))
+            for at in range(0, len(codes), 100_000):
+                part = codes[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(counts[at : at + 100_000])], names=["lang", "code", "n"])
+
         for batch in text_slices(batches, text, CHUNK_BYTES):
             langs = batch.column(lang)
             for name in pc.unique(langs).to_pylist():
-                codes = np.concatenate([*ngrams(batch.column(text).filter(pc.equal(langs, name))), np.zeros(0, np.int32)])
-                sums.setdefault(name, np.zeros(_CODES, np.int64))
-                sums[name] += np.bincount(codes, minlength=_CODES)
-        for name, counts in sums.items():
-            used = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(counts[used])], names=["lang", "code", "n"])
+                codes = np.concatenate([*ngrams(batch.column(text).filter(pc.equal(langs, name))), np.zeros(0, np.int64)])
+                held.setdefault(name, []).append(_counted(codes))
+                if sum(len(c) for c, _ in held[name]) > HELD_CODES:
+                    held[name] = [_summed(held[name])]
+                    if len(held[name][0][0]) > HELD_CODES // 2:
+                        yield from passed_on(name)
+        for name in list(held):
+            yield from passed_on(name)
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias(text), F.col(lang).alias(lang))
     counts = rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -114,9 +126,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
     names = sorted(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = np.full((len(names), _CODES), -1, np.int32)
+        known = np.unique(np.array([c for name in names for c in profiles[name]], np.int64))
+        ranks = np.full((len(names), len(known) + 1), -1, np.int32)  # the last column is that of n-grams in no profile
         for row, name in zip(ranks, names, strict=True):
-            row[profiles[name]] = np.arange(len(profiles[name]))
+            row[np.searchsorted(known, profiles[name])] = np.arange(len(profiles[name]))
         places = np.arange(size, dtype=np.int32)
         for batch in text_slices(batches, text, CHUNK_BYTES):
             langs, scores = [], []
@@ -126,7 +139,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                there = ranks[:, own]
+                at = np.searchsorted(known, own)
+                there = ranks[:, np.where(known[np.minimum(at, len(known) - 1)] == own, at, len(known))]
                 distances = np.where(there < 0, size, np.abs(there - places[: len(own)])).sum(axis=1)
                 best = int(distances.argmin())
                 langs.append(names[best])

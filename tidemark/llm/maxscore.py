@@ -8,12 +8,16 @@ of the others' postings can't get among the best. So the essential postings are
 there are completed by the non-essential terms, the strongest first, as long as they stay competitive. Vectors are
 taken in blocks by ascending id, so a vector that only ties with the k-th best never displaces it.
 
-Candidates are dealt by hash into shards of about ``SHARD_ROWS``, each of which gets all queries and answers with
-its own k best; these are merged by query. Queries are a stated set against all rows: their number times that of the
-shards is what is shuffled. A task holds one shard and one block of queries at a time. As vectors are dense, the
+Candidates are dealt by hash into shards that take ``SHARD_BYTES`` of memory (fewer rows only where there would be
+fewer shards than cores), each of which gets all queries and answers with its own k best; these are merged by query.
+Queries are a stated set against all rows: their number times that of the shards is what is shuffled, so shards are
+as large as a task can hold. A task holds one shard and one block of queries at a time. As vectors are dense, the
 postings of a term are a boolean row over the shard's vectors.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
+Scores are computed in doubles where their bounds stay below 2**53, so they are exact; a query whose bounds don't is
+compared with all vectors of the shard in Python's integers.
+
+Defined results: components beyond 64 bits are the nearest integers of 64 bits, and so are scores; vectors that are null, empty, or hold null or non-finite components take no part, nor do rows
 without id; rows that share an id count once, with the largest vector; vectors of different lengths are never
 compared; a query without candidates gets no row; extra columns stay out; empty tables give an empty result.
 """
@@ -27,7 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 8192
+from tidemark.llm.shared import written
+
+#: Bytes of a shard's components and postings, and the fewest rows for which a shard is worth a task.
+SHARD_BYTES, LEAST_ROWS = 128 << 20, 4096
 QUERY_ROWS = 256
 BLOCK_ROWS = 2048
 #: Non-essential terms that are probed before competitive vectors are picked again.
@@ -49,12 +56,18 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids)
-        self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T.astype(np.float64))
+        self.ids, columns = ids[order], np.ascontiguousarray(vectors[order].T)
+        self.columns = columns.astype(np.float64)
+        self.most = np.abs(self.columns).max(axis=1)
+        self.whole = columns if self.most.max() >= 2.0**53 else self.columns  # the components as they are
         self.postings = {1: self.columns > 0, -1: self.columns < 0}
         self.greatest = {1: np.maximum(self.columns.max(axis=1), 0), -1: np.maximum(-self.columns.min(axis=1), 0)}
 
     def best(self, query: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the ``k`` best candidates, ties by smaller id; the query's own row is none."""
+        if not float(np.abs(weights.astype(np.float64)) @ self.most) < 2.0**53:
+            return self._beyond_doubles(query, weights, k)
+        weights = weights.astype(np.float64)
         signs = np.where(weights < 0, -1, 1)
         bounds = np.abs(weights) * np.where(signs > 0, self.greatest[1], self.greatest[-1])
         order = np.argsort(bounds, kind="stable")
@@ -92,6 +105,15 @@ class Shard:
         top = np.lexsort((ids, -scores))
         return ids[top], scores[top]
 
+    def _beyond_doubles(self, query: int, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        found: list[tuple[int, int]] = []
+        w = np.array(weights.tolist(), object)
+        for start in range(0, len(self.ids), BLOCK_ROWS):
+            scores = w @ self.whole[:, start : start + BLOCK_ROWS].astype(np.int64).astype(object)
+            found += [(-s, i) for s, i in zip(scores.tolist(), self.ids[start : start + BLOCK_ROWS].tolist(), strict=True) if i != query]
+            found = sorted(found)[:k]
+        return np.array([i for _, i in found], np.int64), np.array([max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in found], np.int64)
+
     @staticmethod
     def _competitive(at: np.ndarray, total: np.ndarray, more: float, least: float) -> tuple[np.ndarray, np.ndarray]:
         keep = total + more > least
@@ -101,8 +123,11 @@ class Shard:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) over ``vectors`` (vec_id, vector): for each row with ``is_query``, the ``k``
     other rows of the same length with the highest inner product, ties by smaller vec_id, ranks from 1."""
-    vectors = vectors.withColumn("_length", F.size("vector"))
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
+    vectors = written(vectors.withColumn("_length", F.size("vector")), "vectors")
+    size = vectors.agg(F.count("*").alias("rows"), F.sum("_length").alias("components")).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    # Ten bytes a component: a double and two postings.
+    shards = max(1, -(-10 * (size.components or 0) // SHARD_BYTES), min(cores, size.rows // LEAST_ROWS))
     own = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     candidates = vectors.select("_length", own.alias("_shard"), F.lit(0).alias("_part"), "vec_id", "vector")
     queries = vectors.where(is_query).select("_length", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"), F.lit(1).alias("_part"), "vec_id", "vector")
@@ -111,7 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     def answers(shard: Shard | None, ids: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
         if shard is None:
             return
-        for query, w in zip(ids.tolist(), weights.astype(np.float64), strict=True):
+        for query, w in zip(ids.tolist(), weights, strict=True):
             found, scores = shard.best(query, w, k)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), query)), pa.array(found), pa.array(scores.astype(np.int64))], names=["query_id", "vec_id", "score"])
 

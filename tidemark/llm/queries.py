@@ -152,20 +152,12 @@ ORACLES: dict[str, str] = {
         levels AS (SELECT *, (budget - full_size) / (all_weight - full_weight) AS level FROM sorted),
         chosen AS (SELECT level FROM levels WHERE level <= need ORDER BY need, level LIMIT 1),
         goals AS (SELECT source, k, CAST(s AS BIGINT) AS source_size, least(s * 2, coalesce(w * (SELECT level FROM chosen), s * 2)) AS target FROM levels),
-        ends AS (
-          SELECT *, CASE WHEN row_number() OVER (ORDER BY k DESC) = 1 THEN 2147483648
-            ELSE CAST(floor(sum(target) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) / sum(target) OVER () * 2147483648) AS BIGINT) END AS e FROM goals WHERE target > 0),
-        shares AS (SELECT k, lag(e, 1, 0) OVER (ORDER BY k) AS b, e FROM ends),
-        slots AS (
-          SELECT i, ((i % 2147483648) * 1327217885) % 2147483648 AS point
-          FROM (SELECT unnest(range(CAST((SELECT ceil(sum(target) / 64) FROM goals) AS BIGINT))) AS i)),
-        counts AS (SELECT k, count(*) * 64 AS words FROM slots JOIN shares ON point >= b AND point < e GROUP BY k),
         laid AS (
           SELECT d.*, g.k, g.source_size, g.target,
             coalesce(sum(size) OVER (PARTITION BY g.k ORDER BY md5(concat_ws(':', 'mix0', doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0,
             coalesce(sum(size) OVER (PARTITION BY g.k ORDER BY md5(concat_ws(':', 'mix1', doc_id)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s1
           FROM docs d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
         SELECT doc_id, laid.source, size, source_size, target,
-          CAST(greatest(0, least(size, coalesce(words, 0) - s0)) + greatest(0, least(size, coalesce(words, 0) - source_size - s1)) AS BIGINT) AS taken
-        FROM laid LEFT JOIN counts ON counts.k = laid.k""",
+          CAST(greatest(0, least(size, floor(target) - s0)) + greatest(0, least(size, floor(target) - source_size - s1)) AS BIGINT) AS taken
+        FROM laid""",
 }

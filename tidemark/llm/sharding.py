@@ -19,20 +19,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import buckets, key_bucket, running, shuffle_key
+from tidemark.llm.shared import buckets, key_bucket, running, shuffle_key, unused_name
 
 
 def interleaved_shards(rows: DataFrame, shards: int, source: str = "source", identity: tuple[str, ...] = ("doc_id",), seed: str = "shards") -> DataFrame:
     """``rows`` with shard (0 to ``shards`` - 1) and slot (the place in the shard, gapless from 0)."""
+    rows = rows.drop("shard", "slot")
     count = rows.count()
     parts = buckets(count)
-    keyed = rows.withColumn("_key", shuffle_key(seed, *identity)).withColumn("_bucket", key_bucket("_key", parts))
-    ties = [F.col("_key"), *map(F.col, identity)]
-    ranked = running(keyed, [source], "_bucket", ties, F.lit(1), "_rank", "_rows")
+    key, bucket, rank, all_rows, share, place = (unused_name(rows, n) for n in ("_key", "_bucket", "_rank", "_rows", "_share", "_place"))
+    keyed = rows.withColumn(key, shuffle_key(seed, *identity)).withColumn(bucket, key_bucket(key, parts))
+    ties = [F.col(key), *map(F.col, identity)]
+    ranked = running(keyed, [source], bucket, ties, F.lit(1), rank, all_rows)
     # The fraction (2 rank + 1) / (2 rows), exact enough as a double for ties to be the same everywhere.
-    placed = ranked.withColumn("_share", (2 * F.col("_rank") + 1) / (2 * F.col("_rows"))).withColumn("_bucket", F.floor(F.col("_share") * parts).cast("int"))
-    ordered = running(placed, [], "_bucket", [F.col("_share"), F.col(source).asc_nulls_last(), *ties], F.lit(1), "_place")
-    exact = F.expr(f"cast((_place * {shards}) div {max(count, 1)} as int)")
+    placed = ranked.withColumn(share, (2 * F.col(rank) + 1) / (2 * F.col(all_rows))).withColumn(bucket, F.floor(F.col(share) * parts).cast("int"))
+    ordered = running(placed, [], bucket, [F.col(share), F.col(source).asc_nulls_last(), *ties], F.lit(1), place)
+    shard = F.expr(f"cast((`{place}` * {shards}) div {max(count, 1)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {count} + {shards - 1}) div {shards}")
-    kept = [c for c in rows.columns if c not in ("shard", "slot")]
-    return ordered.withColumn("shard", exact).withColumn("slot", F.col("_place") - first).select(*kept, "shard", "slot")
+    return ordered.withColumn("shard", shard).withColumn("slot", F.col(place) - first).select(*rows.columns, "shard", "slot")

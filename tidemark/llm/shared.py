@@ -56,16 +56,17 @@ def running(df: DataFrame, groups: list[str], bucket: str, order: list[Column],
     of (``bucket``, ``order``), and with ``total``: the sum over the whole group. ``bucket`` must ascend with the
     order. One task holds a bucket of a group at most; the offsets come from one row per group and bucket.
     """
-    sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    one, offset, before = (unused_name(df, n) for n in ("_sum", "_offset", "_before"))
+    of = {c: unused_name(df, f"_of_{c}") for c in (*groups, bucket)}
+    sums = df.groupBy(*groups, bucket).agg(F.sum(value).alias(one))
+    earlier = Window.partitionBy(*groups).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *(F.col(c).alias(f"_of_{c}") for c in (*groups, bucket)),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-        *([F.sum("_sum").over(Window.partitionBy(*groups)).alias(total)] if total else []),
+        *(F.col(c).alias(name) for c, name in of.items()),
+        F.coalesce(F.sum(one).over(earlier), F.lit(0)).alias(offset),
+        *([F.sum(one).over(Window.partitionBy(*groups)).alias(total)] if total else []),
     )
     within = Window.partitionBy(*groups, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*groups, bucket)]
-    joined = local.join(offsets, same, "left")
-    place = (F.col("_before") + F.col("_offset")).cast("long").alias(out)
+    local = df.withColumn(before, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = local.join(offsets, [F.col(c).eqNullSafe(F.col(name)) for c, name in of.items()], "left")
+    place = (F.col(before) + F.col(offset)).cast("long").alias(out)
     return joined.select(*df.columns, place, *([F.col(total).cast("long").alias(total)] if total else []))

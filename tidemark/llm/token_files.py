@@ -6,7 +6,8 @@ executor costs a task and no file is half there. A block holds the ids of some d
 bytes an id where the vocabulary allows, else four), the documents' own ids, and the boundaries: n + 1 offsets
 into the block as an Elias-Fano sequence. Offsets are local to a block, so no table of 64-bit offsets exists; a
 document's place in the whole corpus is its local offset plus the ids of all blocks before, a sum over one row
-per block. ``read`` takes the blocks back to documents.
+per block. ``read`` takes the blocks back to documents, ``read_document`` finds single ones; both get their offsets by
+the sequence's select.
 
 Defined results: a null or empty text is the end id alone; null document ids come first; rows with equal document
 ids stay separate, in an arbitrary order among them; a document longer than a block gets a block of its own; an
@@ -23,18 +24,19 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import text_slices
 from tidemark.llm.bpe import CHUNK_BYTES
 from tidemark.llm.byte_words import TableEncoder
 from tidemark.llm.elias_fano import EliasFano
+from tidemark.llm.shared import unused_name
 
 #: A block is closed at so many ids or documents.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 8192
 
-BLOCK_SCHEMA = "shard int, block int, n_docs int, n_ids long, id_bytes int, doc_ids binary, no_doc_id binary, ids binary, bound_bits int, bound_low binary, bound_high binary, bound_samples binary"
+BLOCK_SCHEMA = "shard int, block int, n_docs int, n_ids long, id_bytes int, first_doc long, last_doc long, doc_ids binary, no_doc_id binary, ids binary, bound_bits int, bound_low binary, bound_high binary, bound_samples binary"
 
 
 class LibraryEncoder(TableEncoder):
@@ -74,6 +76,7 @@ def _block(shard: int, block: int, docs: list[int | None], rows: list[bytes], wi
     bounds = EliasFano.of(ends)
     return {
         "shard": shard, "block": block, "n_docs": len(docs), "n_ids": int(ends[-1]), "id_bytes": width,
+        "first_doc": min((d for d in docs if d is not None), default=None), "last_doc": max((d for d in docs if d is not None), default=None),
         "doc_ids": np.array([d or 0 for d in docs], "<i8").tobytes(), "no_doc_id": np.packbits([d is None for d in docs]).tobytes(), "ids": b"".join(rows),
         "bound_bits": bounds.low_bits, "bound_low": bounds.low, "bound_high": bounds.high, "bound_samples": bounds.samples,
     }
@@ -104,7 +107,9 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 0, doc_id: s
             yield pa.RecordBatch.from_pylist([_block(shard, block, docs, rows, width)], arrow)
 
     slim = df.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text))
-    ordered = slim.repartitionByRange(doc_id).sortWithinPartitions(doc_id)
+    # Rows of one id, or of none, may be many: they are dealt over tasks by their contents' hash.
+    tie = unused_name(slim, "_tie")
+    ordered = slim.withColumn(tie, F.xxhash64(text)).repartitionByRange(doc_id, tie).sortWithinPartitions(doc_id, tie).drop(tie)
     ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(folder)
 
 
@@ -118,15 +123,33 @@ def read_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder, "ids_crc32 long", _as_checksums)
 
 
+_BOUNDS = ("bound_bits", "bound_low", "bound_high", "bound_samples")
+
+
+def _slice(block: Row, place: int) -> np.ndarray:
+    """The ids of the document at ``place`` in a block: its two offsets come by select, nothing else is decoded."""
+    bounds = EliasFano(block.n_docs + 1, block.bound_bits, *(bytes(block[c]) for c in _BOUNDS[1:]))
+    start, end = bounds.select(place), bounds.select(place + 1)
+    return np.frombuffer(bytes(block.ids), f"<u{block.id_bytes}", end - start, start * block.id_bytes)
+
+
 def read_one(spark: SparkSession, folder: str, shard: int, block: int, place: int) -> np.ndarray:
-    """The ids of one document: that at ``place`` in its block, whose two offsets come by select without decoding the rest."""
+    """The ids of one document: that at ``place`` in its block."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder).where((F.col("shard") == shard) & (F.col("block") == block))
-    found = blocks.select("n_docs", "id_bytes", "ids", "bound_bits", "bound_low", "bound_high", "bound_samples").first()
+    found = blocks.select("n_docs", "id_bytes", "ids", *_BOUNDS).first()
     if found is None or not 0 <= place < found.n_docs:
         raise IndexError(f"no document {place} in block {block} of shard {shard}")
-    bounds = EliasFano(found.n_docs + 1, found.bound_bits, *map(bytes, (found.bound_low, found.bound_high, found.bound_samples)))
-    start, end = bounds.select(place), bounds.select(place + 1)
-    return np.frombuffer(bytes(found.ids), f"<u{found.id_bytes}", end - start, start * found.id_bytes)
+    return _slice(found, place)
+
+
+def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of each document with this id. Blocks tell their first and last id, so Parquet reads those that can have it."""
+    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(folder).where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
+    found = []
+    for block in blocks.select("n_docs", "id_bytes", "ids", "doc_ids", "no_doc_id", *_BOUNDS).toLocalIterator():
+        missing = np.unpackbits(np.frombuffer(block.no_doc_id, np.uint8))[: block.n_docs]
+        found += [_slice(block, place) for place in np.flatnonzero((np.frombuffer(block.doc_ids, "<i8") == doc_id) & (missing == 0)).tolist()]
+    return found
 
 
 def _as_lists(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -155,7 +178,7 @@ def _documents(spark: SparkSession, folder: str, column: str, form) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
-                bounds = EliasFano(b["n_docs"] + 1, b["bound_bits"], b["bound_low"], b["bound_high"], b["bound_samples"]).values()
+                bounds = EliasFano(b["n_docs"] + 1, b["bound_bits"], b["bound_low"], b["bound_high"], b["bound_samples"]).select(np.arange(b["n_docs"] + 1))
                 ids = np.frombuffer(b["ids"], f"<u{b['id_bytes']}")
                 missing = np.unpackbits(np.frombuffer(b["no_doc_id"], np.uint8))[: b["n_docs"]].astype(bool)
                 docs = pa.array(np.frombuffer(b["doc_ids"], "<i8"), pa.int64(), mask=missing)
