@@ -30,19 +30,14 @@ def month_ends(start: str, end: str) -> Column:
     return F.explode(F.transform(F.expr(f"sequence(date '{start}', date '{end}', interval 1 month)"), lambda d: F.last_day(d)))
 
 
-def rankings(panel: DataFrame, assets: DataFrame, dates: DataFrame, momentum: float = -0.1) -> DataFrame:
-    """(dt, asset, rank, score) for each day of ``dates`` (dt): assets by their newest score then. Assets whose last 63
-    returns sum to ``momentum`` or less, or that have too short a history, are left out."""
-    whole = panel.withColumn("recent", S.simple_return()).withColumn("recent", F.sum("recent").over(S.last(63)))
-    rows = ranking.scored(whole).where(F.col("recent") > momentum).select("asset", "dt", "score")
-    grid = dates.select("dt").distinct().crossJoin(F.broadcast(assets.select("asset")))  # a row per asset
-    found = relational.as_of(grid.select("asset", "dt", F.lit(1).alias("wanted")), rows, ["asset"]).where("score is not null").select("dt", "asset", "score")
-    return ranking.ranked(found, ["dt"], assets)
+def rankings(panel: DataFrame, assets: DataFrame, dates: DataFrame) -> DataFrame:
+    """(dt, every, asset, rank, score) for each check date and forecast window of ``dates``."""
+    return ranking.as_of_rankings(panel, assets, dates)
 
 
 def _tops(scenarios: DataFrame, ranks: DataFrame) -> DataFrame:
     """(scenario, dt, top): on each check date the best ``buffer`` assets in order."""
-    rows = scenarios.join(ranks, "dt").where(F.col("rank") <= F.col("buffer"))
+    rows = scenarios.join(ranks, ["dt", "every"]).where(F.col("rank") <= F.col("buffer"))
     tops = rows.groupBy("scenario", "dt").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset"))), lambda x: x["asset"]).alias("top"))
     return scenarios.select("scenario", "dt").join(tops, ["scenario", "dt"], "left").select("scenario", "dt", F.coalesce("top", F.array().cast("array<string>")).alias("top"))
 
@@ -78,9 +73,9 @@ def equity(returns: DataFrame, key: str = "scenario") -> DataFrame:
 
 def buy_and_hold(panel: DataFrame, assets: DataFrame, start: str, end: str, held: int = HELD) -> DataFrame:
     """The best assets as of ``start``, held to ``end``: the mean of their own rows' returns on each day."""
-    best = ranking.top_as_of(panel, assets, pd.Timestamp(start).date(), held).select("asset")
+    best = ranking.top_as_of(panel, assets, start, held).select("asset")
     rows = panel.withColumn("ret", S.simple_return()).where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("ret").isNotNull())
-    daily = rows.join(F.broadcast(best), "asset", "left_semi").groupBy("dt").agg(F.avg("ret").alias("ret"))  # ``held`` rows
+    daily = rows.join(best, "asset", "left_semi").groupBy("dt").agg(F.avg("ret").alias("ret"))
     return equity(daily.withColumn("scenario", F.lit("hold")))
 
 
@@ -93,7 +88,7 @@ def equal_weight_common(panel: DataFrame, names: list[str]) -> DataFrame:
 
 def scheduled(panel: DataFrame, assets: DataFrame, start: str, end: str, held: int = HELD) -> DataFrame:
     """At each month's end the best assets are held until the next one; own rows' returns."""
-    dates = panel.sparkSession.range(1).select(month_ends(start, end).alias("dt"))
+    dates = panel.sparkSession.range(1).select(month_ends(start, end).alias("dt"), F.lit(63).alias("every"))
     picks = rankings(panel, assets, dates).where(F.col("rank") <= held).groupBy("dt").agg(F.collect_list("asset").alias("holdings")).withColumn("scenario", F.lit("scheduled"))
     rows = panel.withColumn("ret", S.simple_return()).where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("ret").isNotNull())
     days = rows.select("dt").distinct().withColumn("scenario", F.lit("scheduled")).withColumn("day", F.lit(1))

@@ -24,8 +24,9 @@ def matches(pattern: str, *columns: str) -> Column:
     return out
 
 
-def filter_universe(universe: DataFrame, bands: list[str] | None = None, score: tuple[float, float] | None = None, term: str | None = None, forecast: str | None = None, volatility: tuple[float, float] | None = None) -> DataFrame:
-    """The assets that meet all conditions that are given, best score first."""
+def filter_universe(universe: DataFrame, bands: list[str] | None = None, score: tuple[float, float] | None = None, term: str | None = None, forecast: str | None = None, volatility: tuple[float, float] | None = None, volume: float | None = None, expense: float | None = None) -> DataFrame:
+    """The assets that meet all conditions that are given, best score first. ``volume`` is the least mean_volume and
+    ``expense`` the most expense; a universe without such a column isn't filtered by it."""
     rows = universe
     if bands:
         rows = rows.where(F.col("band").isin(*bands))
@@ -35,11 +36,37 @@ def filter_universe(universe: DataFrame, bands: list[str] | None = None, score:
         rows = rows.where(F.col("volatility").between(*volatility))
     if forecast:
         rows = rows.where({"positive": F.col("forecast") > 0, "negative": F.col("forecast") < 0, "strong": F.col("forecast") > 5}[forecast])
+    if volume is not None and "mean_volume" in universe.columns:
+        rows = rows.where(F.col("mean_volume") >= volume)
+    if expense is not None and "expense" in universe.columns:
+        rows = rows.where(F.col("expense") <= expense)
     if term:
         rows = rows.where(contains(term, "asset", "name"))
     return rows.orderBy(F.desc("score"), "asset")
 
 
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The first row with a key, if any."""
+    return rows.where(F.col(key) == value).limit(1)
+
+
+def where_equal(rows: DataFrame, **values: object) -> DataFrame:
+    for column, value in values.items():
+        rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def without_name(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The rows without a name of their own: none, an empty one, or the key."""
+    return rows.where(F.col(name).isNull() | (F.col(name) == "") | (F.col(name) == F.col(key)))
+
+
+def extremes(rows: DataFrame, value: str, n: int, best: bool = True, key: str = "asset") -> DataFrame:
+    """The ``n`` rows with the highest value, or the lowest, with their place. Each task passes on ``n`` rows at most."""
+    order = [F.desc(value) if best else F.col(value), F.col(key)]
+    return rows.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # ``n`` rows
+
+
 def summary(universe: DataFrame) -> DataFrame:
     """Counts, means and extremes by band and, with a null band, of all."""
     return universe.rollup("band").agg(
@@ -77,10 +104,10 @@ def series_summary(series: DataFrame) -> DataFrame:
 
 
 def ends(groups: DataFrame, value: str, n: int = 3) -> DataFrame:
-    """The ``n`` best and the ``n`` worst rows by a value, with their side and place."""
-    up, down = Window.orderBy(F.desc(value), "asset"), Window.orderBy(value, "asset")
-    rows = groups.withColumn("_u", F.row_number().over(up)).withColumn("_d", F.row_number().over(down))  # a row per group
-    return rows.where((F.col("_u") <= n) | (F.col("_d") <= n)).select("asset", value, F.when(F.col("_u") <= n, "top").otherwise("bottom").alias("side"), F.when(F.col("_u") <= n, F.col("_u")).otherwise(F.col("_d")).alias("place"))
+    """The ``n`` best and the ``n`` worst rows by a value, with their side and place; a row that is both counts as best."""
+    top, bottom = extremes(groups, value, n), extremes(groups, value, n, best=False)
+    rows = top.withColumn("side", F.lit("top")).unionByName(bottom.join(top.select("asset"), "asset", "left_anti").withColumn("side", F.lit("bottom")))
+    return rows.select("asset", value, "side", "place")
 
 
 def primary(holdings: DataFrame, key: str, group: str, weight: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
@@ -29,6 +29,36 @@ def intervals(long: DataFrame, winsorised: tuple[str, ...] = ("conviction",)) ->
     return found.select("asset", "metric", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"), "mean", "std", F.col("p")[2].alias("median"))
 
 
+def _quantile(x: Column, p: float) -> Column:
+    """Of a sorted array, between its values as if they stood at even distances."""
+    at = F.lit(p) * (F.size(x) - 1)
+    low, high = (F.element_at(x, (f(at) + 1).cast("int")) for f in (F.floor, F.ceil))
+    return low + (at - F.floor(at)) * (high - low)
+
+
+def as_of_each(rows: DataFrame, also: tuple[str, ...] = (), names: tuple[str, ...] = METRICS, days: int = 100, winsorised: tuple[str, ...] = ("conviction",)) -> DataFrame:
+    """(asset, metric, dt, ``also``, lower, upper, mean): the interval as it stands on each day of ``rows``, from the ``days``
+    rows up to it. A frame holds ``days`` values, whatever the history's length."""
+    long = rows.unpivot(["asset", "dt", *also], list(names), "metric", "value")
+    frame = Window.partitionBy("asset", "metric").orderBy("dt").rowsBetween(1 - days, 0)
+    held = long.withColumn("_x", F.array_sort(F.collect_list("value").over(frame)))
+    drawn = held.withColumns({"_lo": _quantile(F.col("_x"), 0.01), "_hi": _quantile(F.col("_x"), 0.99)})
+    x = F.when(F.col("metric").isin(*winsorised), F.transform("_x", lambda v: F.greatest(F.col("_lo"), F.least(F.col("_hi"), v)))).otherwise(F.col("_x"))
+    found = drawn.withColumn("_x", x)
+    mean = F.aggregate("_x", F.lit(0.0), lambda acc, v: acc + v) / F.size("_x")
+    return found.select("asset", "metric", "dt", *also, _quantile(F.col("_x"), 0.025).alias("lower"), _quantile(F.col("_x"), 0.975).alias("upper"), mean.alias("mean"))
+
+
+def decision_counts(found: DataFrame) -> DataFrame:
+    """One row: decisions by ``rotation_rule``, those that rotate, and outside of stress those held back as noise and those
+    that wait for more."""
+    calm = found.crossJoin(market_stress(found).select("stressed")).withColumn("calm", ~F.col("stressed"))  # one row
+    return calm.agg(
+        F.count("*").alias("decisions"), F.count_if(F.col("calm") & F.col("signal").isin("ROTATE", "NO_CI")).alias("rotations"),
+        F.count_if(F.col("calm") & (F.col("signal") == "HOLD")).alias("noise_prevented"), F.count_if(F.col("calm") & (F.col("signal") == "WAIT")).alias("waiting"),
+    )
+
+
 def signals(current: DataFrame, bounds: DataFrame) -> DataFrame:
     """(asset, weight, signal): the weights of the three metrics outside their intervals, summed; NO_CI without any."""
     long = current.unpivot(["asset"], list(METRICS), "metric", "value")
@@ -44,38 +74,58 @@ def market_stress(found: DataFrame, share: float = 0.30) -> DataFrame:
     return found.agg(F.count("*").alias("assets"), rotating.alias("rotating"), (rotating > share).alias("stressed"))
 
 
-def volatility_interval(panel: DataFrame, window: int = 100) -> DataFrame:
-    """Each asset's current deviation over 20, 50 and 100 returns against the history of its 100-return deviations."""
+def annual(deviation: Column) -> Column:
+    return deviation * F.sqrt(F.lit(S.TRADING_DAYS))
+
+
+def volatility_interval(panel: DataFrame, window: int = 100, least: int = 50) -> DataFrame:
+    """Each asset's annual volatility over its last 20, 50 and 100 returns against the history of its ``window``-return
+    volatilities: 5th, 50th and 95th percentile, or 0.8, 1 and 1.2 times the current one while there is no history.
+    Assets with fewer than ``least`` returns are left out."""
     rows = panel.withColumn("ret", S.simple_return()).where("ret is not null").withColumn("_k", S.from_end())
     rows = rows.withColumn("_i", F.row_number().over(S.by_asset()))
     before = S.by_asset().rowsBetween(-window, -1)
-    rows = rows.withColumn("_vol", F.when(F.col("_i") > window, F.stddev_samp("ret").over(before)))
-    now = [F.stddev_samp(F.when(F.col("_k") <= n, F.col("ret"))).alias(f"vol_{n}") for n in (20, 50, 100)]
+    rows = rows.withColumn("_vol", F.when(F.col("_i") > window, annual(F.stddev_samp("ret").over(before))))
+    now = [F.when(F.count("*") >= n, annual(F.stddev_samp(F.when(F.col("_k") <= n, F.col("ret"))))).alias(f"vol_{n}") for n in (20, 50, 100)]
     bands = F.percentile("_vol", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("p")
-    found = rows.groupBy("asset").agg(F.count("*").alias("n"), *now, bands)
+    found = rows.groupBy("asset").agg(F.count("*").alias("n"), *now, bands).where(F.col("n") >= least)
     wide = F.col("n") > window
     return found.select(
         "asset", "vol_20", "vol_50", "vol_100",
-        F.when(wide, F.col("p")[0]).otherwise(F.col("vol_100") * 0.8).alias("p5"),
-        F.when(wide, F.col("p")[1]).otherwise(F.col("vol_100")).alias("median"),
-        F.when(wide, F.col("p")[2]).otherwise(F.col("vol_100") * 1.2).alias("p95"),
-    ).withColumn("elevated", F.col("vol_20") > F.col("p95"))
+        F.when(wide, F.col("p")[0]).otherwise(F.col("vol_20") * 0.8).alias("p5"),
+        F.when(wide, F.col("p")[1]).otherwise(F.col("vol_20")).alias("median"),
+        F.when(wide, F.col("p")[2]).otherwise(F.col("vol_20") * 1.2).alias("p95"),
+        (wide & (F.col("vol_20") > F.col("p")[2])).alias("elevated"),
+    )
 
 
 def market_volatility(panel: DataFrame, days: int = 20) -> DataFrame:
-    """One row: mean, median and upper percentiles of all assets' deviations over the last ``days`` returns."""
+    """One row: mean, median and upper percentiles of the annual volatilities of all assets that have ``days`` returns."""
     rows = panel.withColumn("ret", S.simple_return()).where("ret is not null").withColumn("_k", S.from_end()).where(F.col("_k") <= days)
-    each = rows.groupBy("asset").agg(F.stddev_samp("ret").alias("vol"))
+    each = rows.groupBy("asset").agg(F.when(F.count("*") >= days, annual(F.stddev_samp("ret"))).alias("vol"))
     p = F.percentile("vol", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
     found = each.agg(F.avg("vol").alias("mean"), p.alias("p"), F.count("vol").alias("assets"))
     return found.select("mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p75"), F.col("p")[2].alias("p90"), "assets")
 
 
-def volatility_decision(own: DataFrame, market: DataFrame, stress: float = 0.30) -> DataFrame:
-    """(asset, decision, reason): hold while the market is in stress, else rotate, with the reasons."""
-    rows = own.crossJoin(F.broadcast(market.select(F.col("mean").alias("_m"), F.col("median").alias("_md"))))  # one row
-    high, spread = F.col("_m") > stress, F.col("_m") > 1.5 * F.col("_md")
-    reasons = F.filter(
-        F.array(F.when(high, "market volatility is high"), F.when(spread, "a few assets dominate"), F.when(F.col("elevated"), "own volatility is elevated")), lambda r: r.isNotNull()
-    )
-    return rows.select("asset", F.when(high | spread, "HOLD").otherwise("ROTATE").alias("decision"), F.array_join(reasons, " | ").alias("reason"))
+def stressed(mean: Column, median: Column, high: float = 0.30, spread: float = 1.5) -> Column:
+    """Whether the market is in stress: volatile on average, or much more so than its median asset."""
+    return (mean > high) | (mean > spread * median)
+
+
+def _percent(x: Column) -> Column:
+    return F.format_string("%.1f%%", x * 100)
+
+
+def volatility_decision(own: DataFrame, market: DataFrame, high: float = 0.30) -> DataFrame:
+    """(asset, decision, reason): HOLD while the market is in stress, else ROTATE, with what is so of the asset, of the
+    market, and why."""
+    rows = own.crossJoin(market.select(F.col("mean").alias("_m"), F.col("median").alias("_md")))  # one row
+    stress = stressed(F.col("_m"), F.col("_md"), high)
+    asset = F.when(F.col("elevated"), F.concat("asset", F.lit(" volatility "), _percent(F.col("vol_20")), F.lit(" above its range to "), _percent(F.col("p95"))))
+    asset = asset.otherwise(F.concat("asset", F.lit(" volatility "), _percent(F.col("vol_20")), F.lit(" in its range")))
+    mean = F.concat(F.lit("mean volatility "), _percent(F.col("_m")))
+    whole = F.when(F.col("_m") > high, F.concat(F.lit("market in stress: "), mean)).when(stress, F.concat(F.lit("market in stress: "), mean, F.lit(" far above the median "), _percent(F.col("_md"))))
+    whole = whole.otherwise(F.concat(F.lit("market normal: "), mean))
+    why = F.when(stress, "HOLD: the market is in stress").when(F.col("elevated"), "ROTATE: the asset alone is volatile").otherwise("ROTATE: a lower rank in a normal market is real")
+    return rows.select("asset", F.when(stress, "HOLD").otherwise("ROTATE").alias("decision"), F.concat_ws(" | ", asset, whole, why).alias("reason"))

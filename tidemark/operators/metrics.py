@@ -75,13 +75,27 @@ def liquidity(panel: DataFrame, days: int = 60, least: int = 30) -> DataFrame:
     return found.withColumn("impact", F.when(F.col("_n") > least, F.col("impact"))).drop("_n")
 
 
+#: Years of rows that a tier needs, and what forecasts on it are cut by.
+TIERS = ((3, "tier_1", 0.0), (2, "tier_2", -2.0), (1, "tier_3", -5.0), (0, "tier_4", -10.0))
+
+
+def quality_tier(years: Column) -> tuple[Column, Column]:
+    """The tier of a history of so many years, and its penalty."""
+    tier = penalty = None
+    for least, name, cut in TIERS:
+        tier = F.when(years >= least, name) if tier is None else tier.when(years >= least, name)
+        penalty = F.when(years >= least, cut) if penalty is None else penalty.when(years >= least, cut)
+    return tier, penalty
+
+
 def data_quality(panel: DataFrame) -> DataFrame:
-    """Rows, years, share of rows with a close, tier 1 to 3 by years, and a score of both."""
+    """Rows, years, share of rows with a close, tier by years and its penalty, and a score of both, full at five years."""
     years = F.col("rows") / S.TRADING_DAYS
     found = panel.groupBy("asset").agg(F.count("*").alias("rows"), F.count("close").alias("closes"))
-    tier = F.when(years >= 5, 3).when(years >= 3, 2).otherwise(1)
+    tier, penalty = quality_tier(years)
     complete = F.col("closes") / F.col("rows")
-    return found.select("asset", "rows", years.alias("years"), complete.alias("completeness"), tier.alias("tier"), F.least(F.lit(1.0), years / 5 * complete).alias("score"))
+    score = F.least(F.lit(1.0), years / 5 * complete)
+    return found.select("asset", "rows", years.alias("years"), complete.alias("completeness"), tier.alias("tier"), penalty.alias("penalty"), score.alias("score"))
 
 
 def quarters(panel: DataFrame) -> DataFrame:
@@ -97,7 +111,7 @@ def quarters(panel: DataFrame) -> DataFrame:
 
 def sector_wins(changes: DataFrame, sectors: DataFrame) -> DataFrame:
     """Share of quarters in which an asset beat its sector's median; a quarter without a change of its own is lost."""
-    rows = changes.join(F.broadcast(sectors.select("asset", "sector")), "asset")  # a row per asset
+    rows = changes.join(sectors.select("asset", "sector"), "asset")
     medians = rows.where("change is not null").groupBy("sector", "quarter").agg(F.median("change").alias("median"))
     first = Window.partitionBy("asset").orderBy("quarter")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n > 1").join(medians, ["sector", "quarter"])

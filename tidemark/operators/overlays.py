@@ -224,8 +224,11 @@ def geopolitical(series: DataFrame, roles: dict[str, str]) -> DataFrame:
 
 
 def combined(series: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """One row: both composites and what to do."""
+    """One row: both composites and what to do: the most cautious where the economy is in crisis and the world severe,
+    cautious where either is so or the world is at high risk, bold where all is well, balanced otherwise."""
     a = macro(series, roles).select(F.col("composite").alias("macro"), "regime")
     b = geopolitical(series, roles).select(F.col("composite").alias("geo"), "level")
-    advice = F.when((F.col("macro") < 40) | (F.col("geo") > 65), "DEFENSIVE").when((F.col("macro") > 60) & (F.col("geo") < 35), "AGGRESSIVE").otherwise("BALANCED")
+    crisis, level = F.col("regime") == "CRISIS", F.col("level")
+    advice = F.when(crisis & level.isin("SEVERE", "EXTREME"), "MAXIMUM DEFENSE").when(crisis | level.isin("HIGH", "SEVERE", "EXTREME"), "DEFENSIVE")
+    advice = advice.when((F.col("regime") == "GOLDILOCKS") & (level == "LOW"), "AGGRESSIVE").otherwise("BALANCED")
     return a.crossJoin(b).withColumn("advice", advice)  # one row each

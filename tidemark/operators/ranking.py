@@ -6,26 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
-from tidemark.operators import metrics
+from tidemark.operators import metrics, relational
 
 
-def scored(panel: DataFrame, least: int = 101) -> DataFrame:
-    """The panel with metrics and the backtest score on every day on which an asset has ``least`` rows so far."""
-    rows = metrics.behaviour(panel).withColumn("history", F.count("close").over(S.so_far()))
-    return rows.withColumn("score", metrics.backtest_score()).where(F.col("history") >= least)
+#: Rows of history that an asset needs to be looked at, and to be scored, by the forecast's days; other forecasts need the last.
+HISTORY = {20: 50, 40: 100, 60: 150}
+LEAST_HISTORY, SCORED_HISTORY = 200, {40: 100}
+
+
+def _by_window(days: Column, known: dict[int, int], other: int) -> Column:
+    out = F.lit(other)
+    for k, v in known.items():
+        out = F.when(days == k, v).otherwise(out)
+    return out
 
 
 def ranked(rows: DataFrame, groups: list[str], assets: DataFrame, score: str = "score", out: str = "rank") -> DataFrame:
     """``rows`` with their place by falling score within ``groups``, ties in the order of the universe."""
     order = Window.partitionBy(*groups).orderBy(F.desc(score), "ord")
-    return rows.join(F.broadcast(assets.select("asset", "ord")), "asset").withColumn(out, F.row_number().over(order))  # a row per asset
-
-
-def top_as_of(panel: DataFrame, assets: DataFrame, as_of, n: int) -> DataFrame:
-    """The ``n`` best assets by their newest score on or before ``as_of`` (the last day if None)."""
-    rows = scored(panel if as_of is None else panel.where(F.col("dt") <= F.lit(as_of)))
-    newest = rows.groupBy("asset").agg(F.max_by(F.struct("dt", "close", "hit_rate", "conviction", "stability", "score"), "dt").alias("x")).select("asset", "x.*")
-    return ranked(newest, [], assets).where(F.col("rank") <= n)
+    return rows.join(assets.select("asset", "ord"), "asset").withColumn(out, F.row_number().over(order))
+
+
+def as_of_rankings(panel: DataFrame, assets: DataFrame, dates: DataFrame, momentum: float = -0.1, least_assets: int = 10, most: int = 50) -> DataFrame:
+    """(dt, every, asset, rank, score, seen) for each row of ``dates`` (dt, every: days of the forecast): assets by their
+    backtest score as of the day, from their newest bar (of day ``seen``).
+
+    An asset counts as available if it has enough rows by then for the forecast and its last 63 returns sum to more than
+    ``momentum``. With fewer than ``least_assets`` of them there is no ranking; of more than ``most``, the first in the
+    order of the universe are scored."""
+    rows = metrics.behaviour(panel).withColumn("history", F.count("close").over(S.so_far())).withColumn("recent", F.coalesce(F.sum("ret").over(S.last(63)), F.lit(0.0)))
+    bars = rows.select("asset", "dt", F.col("dt").alias("seen"), "history", "recent", metrics.backtest_score().alias("score"))
+    grid = dates.select("dt", "every").distinct().crossJoin(assets.select("asset", "ord"))
+    found = relational.as_of(grid, bars, ["asset"]).where(F.col("history") >= _by_window(F.col("every"), HISTORY, LEAST_HISTORY)).where(F.col("recent") > momentum)
+    whole = Window.partitionBy("dt", "every")
+    found = found.withColumn("_n", F.count("*").over(whole)).withColumn("_k", F.row_number().over(whole.orderBy("ord"))).where((F.col("_n") >= least_assets) & (F.col("_k") <= most))
+    found = found.where(F.col("history") >= _by_window(F.col("every"), SCORED_HISTORY, LEAST_HISTORY))
+    return found.select("dt", "every", "asset", F.row_number().over(whole.orderBy(F.desc("score"), "ord")).alias("rank"), "score", "seen")
+
+
+def top_as_of(panel: DataFrame, assets: DataFrame, as_of, n: int, every: int = 63) -> DataFrame:
+    """The ``n`` best assets as of a day (the last one if None)."""
+    day = panel.agg(F.max("dt").alias("dt")) if as_of is None else panel.sparkSession.range(1).select(F.lit(as_of).cast("date").alias("dt"))
+    return as_of_rankings(panel, assets, day.withColumn("every", F.lit(every))).where(F.col("rank") <= n)
 
 
 def percentile_of_score(value: Column | str, groups: list[str]) -> Column:

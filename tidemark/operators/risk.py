@@ -42,23 +42,55 @@ def best_benchmark(panel: DataFrame, benchmarks: DataFrame, days: int = S.TRADIN
 
 
 def risk_class(vol: Column, beta: Column, low: float = 0.12, high: float = 0.22) -> Column:
-    """LOW, MEDIUM or HIGH by volatility and beta together; UNKNOWN without either."""
-    calm, wild = (vol < low) & (beta < 0.8), (vol >= high) | (beta > 1.2)
-    return F.when(vol.isNull() | beta.isNull(), "UNKNOWN").when(calm, "LOW").when(wild, "HIGH").otherwise("MEDIUM")
+    """LOW, MEDIUM or HIGH by a matrix of volatility and beta, UNKNOWN without either: calm assets are LOW unless beta is
+    above 1.2, usual ones MEDIUM unless it is, and wild ones HIGH unless it is below 0.8."""
+    steep = beta > 1.2
+    calm = F.when(steep, "MEDIUM").otherwise("LOW")
+    usual = F.when(steep, "HIGH").otherwise("MEDIUM")
+    wild = F.when(beta < 0.8, "MEDIUM").otherwise("HIGH")
+    return F.when(vol.isNull() | beta.isNull(), "UNKNOWN").when(vol < low, calm).when(vol <= high, usual).otherwise(wild)
+
+
+def volatility_class(vol: Column, low: float = 0.15, high: float = 0.30) -> Column:
+    """LOW, MEDIUM or HIGH by volatility alone, for assets without a benchmark."""
+    return F.when(vol.isNull(), "UNKNOWN").when(vol < low, "LOW").when(vol < high, "MEDIUM").otherwise("HIGH")
+
+
+def tail_scale(cvar: Column) -> Column:
+    """Tail risk from -30 per cent to none as 0 to 1; unknown risk is one half."""
+    known = cvar.isNotNull() & ~F.isnan(cvar)
+    return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cvar + 0.30) / 0.30))).otherwise(0.5)
 
 
 def risk_score(vol: Column, beta: Column) -> Column:
     return 0.7 * vol + 0.3 * F.abs(beta - 1)
 
 
-def conditional_sharpe(panel: DataFrame, fear: DataFrame, quantile: float = 0.85, least: int = 20) -> DataFrame:
-    """Sharpe ratio of the days on which a fear index (dt, value) stood above its own quantile, within -3 and 3."""
-    bar = fear.agg(F.percentile("value", quantile).alias("bar"))
-    stress = fear.crossJoin(F.broadcast(bar)).where("value > bar").select("dt")  # one row
-    rows = panel.withColumn("ret", S.simple_return()).where("ret is not null").join(stress, "dt", "left_semi")
-    ratio = F.try_divide(F.avg("ret") * S.TRADING_DAYS, F.stddev_samp("ret") * F.sqrt(F.lit(S.TRADING_DAYS)))
-    found = rows.groupBy("asset").agg(F.count("*").alias("days"), ratio.alias("r"))
-    return found.select("asset", "days", F.when(F.col("days") >= least, F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.col("r")))).alias("sharpe"))
+RISK_FREE = 0.0435
+
+
+def conditional_sharpe(panel: DataFrame, fear: DataFrame, law: DataFrame | None = None, quantile: float = 0.85, least: int = 20, free: float = RISK_FREE) -> DataFrame:
+    """(asset, days, sharpe): excess return of the days on which a fear index (dt, value) stood above its quantile of the
+    asset's own days, over the volatility of a Student-t law, within -3 and 3.
+
+    ``law``: (asset, degrees, scale), as ``fitted_laws`` gives it; without one, or where it is too wide or too narrow to
+    have a variance, 5 degrees and a scale of 0.02. Null with fewer than 252 values on either side, 100 common ones or
+    ``least`` days of stress."""
+    rows = panel.withColumn("ret", S.simple_return()).where("ret is not null").select("asset", "dt", "ret")
+    long_enough = rows.groupBy("asset").agg(F.count("*").alias("_rows"))
+    fears = fear.where("value is not null").select("dt", "value")
+    both = rows.join(fears, "dt")
+    bars = both.groupBy("asset").agg(F.percentile("value", quantile).alias("_bar"), F.count("*").alias("_common"))
+    stress = F.col("value") > F.col("_bar")
+    found = both.join(bars, "asset").groupBy("asset").agg(F.count_if(stress).alias("days"), F.avg(F.when(stress, F.col("ret"))).alias("_mean"), F.first("_common").alias("_common"))
+    found = found.join(long_enough, "asset").crossJoin(fears.agg(F.count("*").alias("_fears")))  # one row
+    found = found.join(law, "asset", "left") if law is not None else found.withColumns({"degrees": F.lit(5.0), "scale": F.lit(0.02)})
+    degrees = F.when(F.coalesce(F.col("degrees"), F.lit(0.0)) <= 2.1, 5.0).otherwise(F.col("degrees"))
+    scale = F.when(F.coalesce(F.col("scale"), F.lit(0.0)) <= 0.001, 0.02).otherwise(F.col("scale"))
+    spread = scale * F.sqrt(degrees / (degrees - 2)) * F.sqrt(F.lit(S.TRADING_DAYS))
+    ratio = (F.col("_mean") * S.TRADING_DAYS - free) / spread
+    known = (F.col("_rows") >= 252) & (F.col("_fears") >= 252) & (F.col("_common") >= 100) & (F.col("days") >= least)
+    return found.select("asset", "days", F.when(known, F.greatest(F.lit(-3.0), F.least(F.lit(3.0), ratio))).alias("sharpe"))
 
 
 # Student-t fit and tail risk. A group is one asset's returns.
@@ -143,3 +175,14 @@ def per_asset(rows: DataFrame, of: Callable[[np.ndarray], float], out: str) -> D
 
 def cvar(panel: DataFrame) -> DataFrame:
     return per_asset(panel.withColumn("ret", S.simple_return()).where("ret is not null"), tail_loss, "cvar")
+
+
+def fitted_laws(panel: DataFrame) -> DataFrame:
+    """(asset, degrees, centre, scale): the Student-t law of each asset's returns."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        law = fit_t(frame.sort_values("dt")["ret"].to_numpy(float))
+        return pd.DataFrame({"asset": frame["asset"].iloc[:1], "degrees": law[0], "centre": law[1], "scale": law[2]})
+
+    rows = panel.withColumn("ret", S.simple_return()).where("ret is not null").select("asset", "dt", "ret")
+    return rows.groupBy("asset").applyInPandas(run, "asset string, degrees double, centre double, scale double")

@@ -94,12 +94,13 @@ def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> D
     return end.select("asset", line.alias("line"), mean.alias("signal"), (line - mean).alias("histogram"))
 
 
-#: Base noise of measurement and process, and the band's factor, by risk band.
-KALMAN = {"LOW": (0.01, 0.001, 2.0), "MEDIUM": (0.02, 0.003, 2.5), "HIGH": (0.05, 0.01, 3.0)}
+#: Fixed values by risk band: base noise of measurement and process, the bands' factor, and the days of the true range's mean.
+KALMAN = {"LOW": (4.0, 0.005, 1.5, 14), "MEDIUM": (3.0, 0.01, 1.7, 12), "HIGH": (2.0, 0.02, 2.0, 10)}
 
 
 def kalman(prices: np.ndarray, measurement: float, process: float) -> np.ndarray:
-    """A scalar Kalman filter of a level; the first price is the first state, with variance 100."""
+    """A scalar Kalman filter of a level; the first price is the first state, with variance 100. Gains don't depend on
+    the prices."""
     out = np.empty(len(prices))
     state, variance = prices[0], 100.0
     for i, price in enumerate(prices):
@@ -111,41 +112,84 @@ def kalman(prices: np.ndarray, measurement: float, process: float) -> np.ndarray
     return out
 
 
+def weighted_mean(x: np.ndarray, n: int) -> np.ndarray:
+    """Mean of the last ``n`` values with weights from 1 to ``n``; NaN until there are as many."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n:
+        out[n - 1 :] = np.lib.stride_tricks.sliding_window_view(x, n) @ np.arange(1, n + 1) / (n * (n + 1) / 2)
+    return out
+
+
+def hull_mean(x: np.ndarray, n: int) -> np.ndarray:
+    return weighted_mean(2 * weighted_mean(x, max(2, n // 2)) - weighted_mean(x, n), max(2, round(n**0.5)))
+
+
 def trailing_bands(prices: np.ndarray, centre: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Upper and lower band and trend (1 or -1). A band only tightens while the price stays inside; the trend turns
-    when the price passes the opposite band."""
+    """Upper and lower band and trend (1, -1, or 0 before the first crossing). After a price beyond a band, that band only
+    moves towards the price; the trend is that of the last price beyond a band."""
     upper, lower = centre + width, centre - width
-    trend = np.ones(len(prices), int)
-    for i in range(1, len(prices)):
-        if upper[i] >= upper[i - 1] and prices[i - 1] <= upper[i - 1]:
-            upper[i] = upper[i - 1]
-        if lower[i] <= lower[i - 1] and prices[i - 1] >= lower[i - 1]:
-            lower[i] = lower[i - 1]
-        trend[i] = 1 if prices[i] > upper[i - 1] else -1 if prices[i] < lower[i - 1] else trend[i - 1]
+    trend = np.zeros(len(prices), int)
+    for i in range(len(prices)):
+        if i and prices[i - 1] < lower[i - 1]:
+            lower[i] = max(lower[i], lower[i - 1])
+        if i and prices[i - 1] > upper[i - 1]:
+            upper[i] = min(upper[i], upper[i - 1])
+        trend[i] = 1 if prices[i] > upper[i] else -1 if prices[i] < lower[i] else trend[i - 1] if i else 0
     return upper, lower, trend
 
 
+def _divergence_at_end(prices: np.ndarray, indicator: np.ndarray, n: int = 20) -> str:
+    """bullish where the last price is below the ``n`` before it but the indicator isn't below all of its own, and bearish
+    the other way round."""
+    if len(prices) < n + 1:
+        return "none"
+    before, own = prices[-n - 1 : -1], indicator[-n - 1 : -1]
+    if prices[-1] < before.min() and indicator[-1] > np.nanmin(own):
+        return "bullish"
+    return "bearish" if prices[-1] > before.max() and indicator[-1] < np.nanmax(own) else "none"
+
+
+def _strength(price: float, upper: float, lower: float, ratio: float, trend: int) -> float:
+    """Nearness to the band that the trend heads for, and the efficiency of the way there."""
+    if upper == lower:
+        return 0.5
+    gap = {1: upper - price, -1: price - lower}.get(trend, min(abs(price - upper), abs(price - lower)))
+    place = 1 - gap / (upper - lower) if upper > lower else 0.5
+    return float(np.clip(0.6 * np.clip(place, 0, 1) + 0.4 * ratio, 0, 1))
+
+
+KALMAN_SCHEMA = "asset string, trend int, kalman_price double, upper_band double, lower_band double, efficiency_ratio double, divergence string, trend_consistency boolean, signal_strength double"
+
+
 def kalman_hull(panel: DataFrame, band: str = "MEDIUM", least: int = 30) -> DataFrame:
-    """(asset, signal, trend, efficiency) at each series' end: filtered, smoothed and banded; signal 0 with few rows.
+    """The trend of each series at its end, by ``KALMAN_SCHEMA``: prices are filtered, with more noise the less efficient
+    and the more volatile they are, smoothed by a Hull mean whose length is that noise, and banded by the true range.
+    A series of fewer than ``least`` closes has a strength of 0 and no more.
 
-    A series is one asset's daily rows, so a group is bounded by the length of a history, not by the universe."""
-    noise, process, factor = KALMAN[band]
+    ``band`` is the risk band of all assets; a column of that name in the panel tells each asset's own (one without
+    parameters counts as MEDIUM). A series is one asset's daily rows, so a group is bounded by the length of a history."""
 
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("dt")
+    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[frame["close"].notna()].sort_values("dt")
+        row: dict = {"trend": None, "kalman_price": None, "upper_band": None, "lower_band": None, "efficiency_ratio": None, "divergence": "none", "trend_consistency": False, "signal_strength": 0.0}
         close = frame["close"].to_numpy(float)
-        if len(close) < least:
-            return pd.DataFrame({"asset": frame["asset"].iloc[:1], "signal": 0.0, "trend": 0, "efficiency": 0.5})
-        path = np.abs(np.diff(close[-11:])).sum()
-        ratio = float(np.clip(abs(close[-1] - close[-11]) / path, 0, 1)) if path > 0 else 0.5
-        previous = np.concatenate(([np.nan], close[:-1]))
-        spread = np.fmax(frame["high"] - frame["low"], np.fmax(np.abs(frame["high"] - previous), np.abs(frame["low"] - previous)))
-        width = pd.Series(spread).rolling(14, min_periods=1).mean().to_numpy()
-        unrest = width[-1] / close[-1] if close[-1] else 0.0
-        smooth = kalman(close, noise * (1 + unrest) / max(ratio, 0.1), process * (1 + ratio))
-        upper, lower, trend = trailing_bands(close, smooth.copy(), factor * width)
-        place = (close[-1] - lower[-1]) / (upper[-1] - lower[-1]) if upper[-1] > lower[-1] else 0.5
-        strength = float(np.clip(0.6 * (2 * np.clip(place, 0, 1) - 1) + 0.4 * ratio * trend[-1], -1, 1))
-        return pd.DataFrame({"asset": frame["asset"].iloc[:1], "signal": strength, "trend": int(trend[-1]), "efficiency": ratio})
-
-    return panel.select("asset", "dt", "high", "low", "close").groupBy("asset").applyInPandas(of, "asset string, signal double, trend int, efficiency double")
+        if len(close) >= least:
+            noise, process, factor, days = KALMAN.get(str(frame["band"].iloc[0]).upper(), KALMAN["MEDIUM"])
+            path = np.abs(np.diff(close[-11:])).sum()
+            ratio = float(np.clip(abs(close[-1] - close[-11]) / path, 0, 1)) if path > 0 else 0.5
+            previous = np.append(np.nan, close[:-1])
+            spread = np.fmax(frame["high"] - frame["low"], np.fmax(np.abs(frame["high"] - previous), np.abs(frame["low"] - previous)))
+            width = pd.Series(spread.to_numpy()).rolling(days, min_periods=1).mean().to_numpy()
+            unrest = width[-1] / close[-1] if close[-1] else 0.1
+            measurement = noise * (1 - ratio) * (1 + unrest)
+            smooth = hull_mean(kalman(close, measurement, process * (1 + unrest)), max(3, min(round(measurement), len(close) // 2)))
+            upper, lower, trend = trailing_bands(close, smooth, factor * width)
+            turns = 1 + int((np.diff(trend[-20:]) != 0).sum())  # the first of the last twenty counts as one
+            row = {
+                "trend": trend[-1], "kalman_price": smooth[-1], "upper_band": upper[-1], "lower_band": lower[-1], "efficiency_ratio": ratio, "divergence": _divergence_at_end(close, smooth),
+                "trend_consistency": turns < 4, "signal_strength": _strength(close[-1], upper[-1], lower[-1], ratio, int(trend[-1])),
+            }
+        return pd.DataFrame([{"asset": key[0], **row}])
+
+    own = F.col("band") if "band" in panel.columns else F.lit(band)
+    return panel.select("asset", "dt", "high", "low", "close", own.alias("band")).groupBy("asset").applyInPandas(of, KALMAN_SCHEMA)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
-from tidemark.operators import backtest, intervals, metrics, relational
+from tidemark.operators import backtest, intervals, metrics, ranking, relational
 from tidemark.plans.metrics import METRICS
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, last
+from tidemark.session import written
 from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
@@ -17,16 +18,25 @@ QUERIES, ORACLES, query = registry()
 START, END = "1996-01-02", "2000-12-31"
 
 # The momentum window has to see all rows, also those before the hundredth.
-_SCORES = f"""{METRICS}, {ASSETS}, mm AS (SELECT *, sum(ret) OVER {last(63)} AS recent FROM m),
-  sc AS (SELECT mm.asset, ord, dt, (0.35 * hit_rate + 0.40 * (1 / (1 + exp(-conviction))) + 0.25 * stability) * 10 AS score FROM mm JOIN assets USING (asset) WHERE rn > 100)"""
+_SCORES = f"""{METRICS}, {ASSETS},
+  mm AS (SELECT *, coalesce(sum(ret) OVER {last(63)}, 0) AS recent FROM m),
+  sc AS (
+    SELECT mm.asset, dt, rn AS history, recent, (0.35 * hit_rate + 0.40 * (1 / (1 + exp(-conviction))) + 0.25 * stability) * 10 AS score
+    FROM mm)"""
 
 
 def _ranks_sql(dates: str) -> str:
-    """Rankings as of the days of ``dates`` (a query with column d)."""
-    return f"""dates AS ({dates}), grid AS (SELECT asset, ord, d FROM assets, (SELECT DISTINCT d FROM dates)),
-  ok AS (SELECT sc.* FROM sc JOIN mm ON mm.asset = sc.asset AND mm.dt = sc.dt WHERE recent > -0.1),
-  newest AS (SELECT g.asset, g.ord, d, score FROM grid g ASOF JOIN ok ON ok.asset = g.asset AND g.d >= ok.dt),
-  ranks AS (SELECT asset, d, row_number() OVER (PARTITION BY d ORDER BY score DESC, ord) AS rank FROM newest)"""
+    """Rankings as of the days of ``dates`` (a query with columns d and every, the forecast's days)."""
+    return f"""dates AS ({dates}),
+  grid AS (SELECT asset, ord, d, every FROM assets, (SELECT DISTINCT d, every FROM dates)),
+  newest AS (SELECT g.*, sc.dt AS seen, history, recent, score FROM grid g ASOF JOIN sc ON sc.asset = g.asset AND g.d >= sc.dt),
+  open AS (
+    SELECT *, count(*) OVER (PARTITION BY d, every) AS available, row_number() OVER (PARTITION BY d, every ORDER BY ord) AS k
+    FROM newest
+    WHERE recent > -0.1 AND history >= CASE every WHEN 20 THEN 50 WHEN 40 THEN 100 WHEN 60 THEN 150 ELSE 200 END),
+  ranks AS (
+    SELECT asset, d, every, seen, score, row_number() OVER (PARTITION BY d, every ORDER BY score DESC, ord) AS rank
+    FROM open WHERE available >= 10 AND k <= 50 AND history >= CASE every WHEN 40 THEN 100 ELSE 200 END)"""
 
 
 _PAIRS = """cal AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next_dt FROM (SELECT DISTINCT dt FROM bars)),
@@ -36,10 +46,10 @@ _PAIRS = """cal AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next_dt FROM (SELE
 def _conditional_sql(scenarios: str) -> str:
     """Daily returns of the conditional rebalancing of ``scenarios`` (a query with scenario, every, buffer)."""
     return f"""WITH RECURSIVE {RETS}, {_SCORES}, scen AS ({scenarios}),
-  steps AS (SELECT scenario, buffer, d, row_number() OVER (PARTITION BY scenario ORDER BY d) AS i
-    FROM (SELECT scenario, buffer, CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY, to_days(CAST(every AS INTEGER)))) AS DATE) AS d FROM scen)),
-  {_ranks_sql("SELECT d FROM steps")},
-  tops AS (SELECT scenario, i, steps.d, coalesce(list(asset ORDER BY rank) FILTER (rank <= buffer), []) AS top FROM steps LEFT JOIN ranks ON ranks.d = steps.d GROUP BY ALL),
+  steps AS (SELECT scenario, every, buffer, d, row_number() OVER (PARTITION BY scenario ORDER BY d) AS i
+    FROM (SELECT scenario, every, buffer, CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY, to_days(CAST(every AS INTEGER)))) AS DATE) AS d FROM scen)),
+  {_ranks_sql("SELECT d, every FROM steps")},
+  tops AS (SELECT scenario, i, steps.d, coalesce(list(asset ORDER BY rank) FILTER (rank <= buffer), []) AS top FROM steps LEFT JOIN ranks ON ranks.d = steps.d AND ranks.every = steps.every GROUP BY ALL),
   held(scenario, i, d, state) AS (
     SELECT scenario, i, d, list_slice(top, 1, 3) FROM tops WHERE i = 1 UNION ALL
     SELECT t.scenario, t.i, t.d, CASE WHEN len(top) = 0 THEN state ELSE list_slice(list_concat(list_filter(state, lambda x: list_contains(top, x)), list_filter(top, lambda x: NOT list_contains(state, x))), 1, 3) END
@@ -59,7 +69,7 @@ def _grid(spark: SparkSession, every: tuple[int, ...], buffers: tuple[int, ...])
 
 
 def _conditional(spark: SparkSession, sf_dir: str, every: tuple[int, ...], buffers: tuple[int, ...]) -> DataFrame:
-    bars, assets = panels.bars(spark, sf_dir), panels.assets(spark, sf_dir)
+    bars, assets = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir)
     checks = backtest.check_dates(_grid(spark, every, buffers), START, END)
     holdings = backtest.conditional_holdings(checks, backtest.rankings(bars, assets, checks))
     return backtest.equity(backtest.daily_returns(holdings, bars, START, END))
@@ -93,12 +103,12 @@ def grid_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "mean_log_total")
 
 
-@query(f"""WITH {RETS}, {_SCORES}, {_ranks_sql(f"SELECT DATE '{START}' AS d")},
-  best AS (SELECT asset FROM (SELECT sc.asset, ord, arg_max(score, dt) AS score FROM sc WHERE dt <= DATE '{START}' GROUP BY ALL) ORDER BY score DESC, ord LIMIT 3),
+@query(f"""WITH {RETS}, {_SCORES}, {_ranks_sql(f"SELECT DATE '{START}' AS d, 63 AS every")},
+  best AS (SELECT asset FROM ranks WHERE rank <= 3),
   daily AS (SELECT dt, avg(ret) AS ret FROM rets WHERE ret IS NOT NULL AND dt BETWEEN DATE '{START}' AND DATE '{END}' AND asset IN (SELECT asset FROM best) GROUP BY dt)
   SELECT dt, round(ret, 6) AS ret, round(ln(product(1 + ret) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) * 100000), 6) AS log_value FROM daily""")
 def buy_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backtest.buy_and_hold(panels.bars(spark, sf_dir), panels.assets(spark, sf_dir), START, END)
+    rows = backtest.buy_and_hold(written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), START, END)
     return rounded(rows.select("dt", "ret", F.log("value").alias("log_value")), "ret", "log_value")
 
 
@@ -111,14 +121,14 @@ def equal_weight_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("dt", F.log("value").alias("log_value")), "log_value")
 
 
-@query(f"""WITH {RETS}, {_SCORES}, {_ranks_sql(f"SELECT CAST(last_day(CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 MONTH)) AS DATE)) AS DATE) AS d")},
+@query(f"""WITH {RETS}, {_SCORES}, {_ranks_sql(f"SELECT CAST(last_day(CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 MONTH)) AS DATE)) AS DATE) AS d, 63 AS every")},
   picks AS (SELECT d, list(asset) AS held FROM ranks WHERE rank <= 3 GROUP BY d),
   days AS (SELECT DISTINCT dt FROM rets WHERE ret IS NOT NULL AND dt BETWEEN DATE '{START}' AND DATE '{END}'),
   inforce AS (SELECT dt, unnest(held) AS asset FROM days ASOF JOIN picks ON days.dt >= picks.d),
   daily AS (SELECT r.dt, avg(ret) AS ret FROM rets r JOIN inforce i ON i.asset = r.asset AND i.dt = r.dt WHERE ret IS NOT NULL GROUP BY r.dt)
   SELECT dt, round(ln(product(1 + ret) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) * 100000), 6) AS log_value FROM daily""")
 def scheduled_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backtest.scheduled(panels.bars(spark, sf_dir), panels.assets(spark, sf_dir), START, END)
+    rows = backtest.scheduled(written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), START, END)
     return rounded(rows.select("dt", F.log("value").alias("log_value")), "log_value")
 
 
@@ -141,28 +151,39 @@ def _checks(spark: SparkSession) -> DataFrame:
 @query()
 def ci_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings by interval signals. Signals compare each check date's metrics with the intervals of the whole history."""
-    bars, assets, checks = panels.bars(spark, sf_dir), panels.assets(spark, sf_dir), _checks(spark)
+    bars, assets, checks = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), _checks(spark)
     rows = metrics.behaviour(bars)
     bounds = intervals.intervals(intervals.history(rows)).select("asset", "metric", "lower", "upper")
-    grid = checks.select("dt").distinct().crossJoin(F.broadcast(assets.select("asset"))).withColumn("wanted", F.lit(1))
+    grid = checks.select("dt").distinct().crossJoin(assets.select("asset")).withColumn("wanted", F.lit(1))
     at = relational.as_of(grid.select("asset", "dt", "wanted"), rows.select("asset", "dt", *intervals.METRICS), ["asset"]).where("hit_rate is not null")
     keyed = at.select(F.concat_ws("|", "asset", "dt").alias("key"), "asset", "dt", *intervals.METRICS)
     per_day = keyed.select("key", "asset").join(bounds, "asset").select(F.col("key").alias("asset"), "metric", "lower", "upper")
     found = intervals.signals(keyed.select(F.col("key").alias("asset"), *intervals.METRICS), per_day)
     signals = found.select(F.split("asset", r"\|")[0].alias("asset"), F.split("asset", r"\|")[1].cast("date").alias("dt"), "signal")
-    stressed = signals.groupBy("dt").agg((F.avg((F.col("signal") == "ROTATE").cast("double")) > 0.3).alias("stressed"))
-    held = backtest.signal_holdings(backtest.rankings(bars, assets, checks), signals, stressed)
+    ranks = written(backtest.rankings(bars, assets, checks), "ranks")
+    best = signals.join(ranks.where("rank <= 20").select("asset", "dt"), ["asset", "dt"], "left_semi")
+    stressed = best.groupBy("dt").agg((F.avg((F.col("signal") == "ROTATE").cast("double")) > 0.3).alias("stressed"))
+    held = backtest.signal_holdings(ranks, signals, stressed)
     return held.select("dt", F.array_join("holdings", ",").alias("holdings"))
 
 
 @query()
 def vol_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity of holdings that rotate while the market is calm."""
-    bars, assets, checks = panels.bars(spark, sf_dir), panels.assets(spark, sf_dir), _checks(spark)
-    vols = bars.withColumn("ret", S.simple_return()).withColumn("vol", S.rolling_std("ret", 20)).where("vol is not null").select("asset", "dt", "vol")
-    grid = checks.select("dt").distinct().crossJoin(F.broadcast(assets.select("asset"))).withColumn("wanted", F.lit(1))
+    bars, assets, checks = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), _checks(spark)
+    vols = bars.withColumn("ret", S.simple_return()).withColumn("vol", intervals.annual(S.rolling_std("ret", 20))).where("vol is not null").select("asset", "dt", "vol")
+    grid = checks.select("dt").distinct().crossJoin(assets.select("asset")).withColumn("wanted", F.lit(1))
     at = relational.as_of(grid.select("asset", "dt", "wanted"), vols, ["asset"])
-    calm = at.groupBy("dt").agg((F.avg("vol") <= 1.5 * F.median("vol")).alias("calm"))
+    calm = at.groupBy("dt").agg((~intervals.stressed(F.avg("vol"), F.median("vol"))).alias("calm"))
     held = backtest.volatility_holdings(backtest.rankings(bars, assets, checks), calm)
     rows = backtest.equity(backtest.daily_returns(held, bars, START, END))
     return rounded(rows.select("dt", F.log("value").alias("log_value")), "log_value")
+
+
+@query(f"""WITH {RETS}, {_SCORES}, {_ranks_sql("SELECT max(dt) AS d, 63 AS every FROM bars")}
+  SELECT asset, seen AS dt, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranks WHERE rank <= 20""")
+def quality_rank_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: the twenty best assets by score as of the panel's last day."""
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    found = ranking.top_as_of(bars, panels.assets(spark, sf_dir), None, 20)
+    return rounded(found.select("asset", F.col("seen").alias("dt"), "score", "rank"), "score")

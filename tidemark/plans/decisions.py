@@ -11,6 +11,7 @@ from tidemark.operators import intervals, metrics, ranking, relational, signals
 from tidemark.plans.metrics import METRICS
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, TYPES
+from tidemark.session import written
 from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
@@ -63,14 +64,27 @@ def rotation_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VOLCI = """r AS (SELECT asset, dt, ret, n - rn + 1 AS k, row_number() OVER (PARTITION BY asset ORDER BY dt) AS i FROM rets WHERE ret IS NOT NULL),
-  hv AS (SELECT *, CASE WHEN i > 100 THEN stddev_samp(ret) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) END AS vol FROM r),
-  vc AS (SELECT asset, count(*) AS n, stddev_samp(ret) FILTER (k <= 20) AS vol_20, stddev_samp(ret) FILTER (k <= 50) AS vol_50, stddev_samp(ret) FILTER (k <= 100) AS vol_100,
-    quantile_cont(vol, 0.05) AS q5, quantile_cont(vol, 0.5) AS q50, quantile_cont(vol, 0.95) AS q95 FROM hv GROUP BY asset),
-  own AS (SELECT asset, vol_20, vol_50, vol_100, CASE WHEN n > 100 THEN q5 ELSE vol_100 * 0.8 END AS p5, CASE WHEN n > 100 THEN q50 ELSE vol_100 END AS median, CASE WHEN n > 100 THEN q95 ELSE vol_100 * 1.2 END AS p95 FROM vc)"""
-_MARKET = "mk AS (SELECT avg(vol_20) AS mean, quantile_cont(vol_20, 0.5) AS median, quantile_cont(vol_20, 0.75) AS p75, quantile_cont(vol_20, 0.9) AS p90, count(vol_20) AS assets FROM own)"
-
-
-@query(f"WITH {RETS}, {_VOLCI} SELECT asset, round(vol_20, 6) AS vol_20, round(vol_50, 6) AS vol_50, round(vol_100, 6) AS vol_100, round(p5, 6) AS p5, round(median, 6) AS median, round(p95, 6) AS p95, vol_20 > p95 AS elevated FROM own")
+  hv AS (
+    SELECT *, CASE WHEN i > 100 THEN sqrt(252) * stddev_samp(ret) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING) END AS vol FROM r),
+  vc AS (
+    SELECT asset, count(*) AS n,
+      CASE WHEN count(*) >= 20 THEN sqrt(252) * stddev_samp(ret) FILTER (k <= 20) END AS vol_20,
+      CASE WHEN count(*) >= 50 THEN sqrt(252) * stddev_samp(ret) FILTER (k <= 50) END AS vol_50,
+      CASE WHEN count(*) >= 100 THEN sqrt(252) * stddev_samp(ret) FILTER (k <= 100) END AS vol_100,
+      quantile_cont(vol, 0.05) AS q5, quantile_cont(vol, 0.5) AS q50, quantile_cont(vol, 0.95) AS q95
+    FROM hv GROUP BY asset),
+  own AS (
+    SELECT asset, vol_20, vol_50, vol_100, CASE WHEN n > 100 THEN q5 ELSE vol_20 * 0.8 END AS p5, CASE WHEN n > 100 THEN q50 ELSE vol_20 END AS median,
+      CASE WHEN n > 100 THEN q95 ELSE vol_20 * 1.2 END AS p95, n > 100 AND vol_20 > q95 AS elevated
+    FROM vc WHERE n >= 50)"""
+_MARKET = """mk AS (
+  SELECT avg(vol_20) AS mean, quantile_cont(vol_20, 0.5) AS median, quantile_cont(vol_20, 0.75) AS p75, quantile_cont(vol_20, 0.9) AS p90, count(vol_20) AS assets
+  FROM vc)"""
+
+
+@query(f"""WITH {RETS}, {_VOLCI}
+  SELECT asset, round(vol_20, 6) AS vol_20, round(vol_50, 6) AS vol_50, round(vol_100, 6) AS vol_100, round(p5, 6) AS p5, round(median, 6) AS median,
+    round(p95, 6) AS p95, elevated FROM own""")
 def vol_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intervals.volatility_interval(panels.bars(spark, sf_dir)), "vol_20", "vol_50", "vol_100", "p5", "median", "p95")
 
@@ -80,11 +94,17 @@ def market_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intervals.market_volatility(panels.bars(spark, sf_dir)), "mean", "median", "p75", "p90")
 
 
-@query(f"""WITH {RETS}, {_VOLCI}, {_MARKET} SELECT asset, CASE WHEN mean > 0.9 OR mean > 1.5 * mk.median THEN 'HOLD' ELSE 'ROTATE' END AS decision,
-  array_to_string(list_filter([CASE WHEN mean > 0.9 THEN 'market volatility is high' END, CASE WHEN mean > 1.5 * mk.median THEN 'a few assets dominate' END, CASE WHEN vol_20 > p95 THEN 'own volatility is elevated' END], lambda x: x IS NOT NULL), ' | ') AS reason FROM own, mk""")
+@query(f"""WITH {RETS}, {_VOLCI}, {_MARKET},
+  x AS (SELECT own.*, mk.mean, mk.median AS md, mk.mean > 0.30 OR mk.mean > 1.5 * mk.median AS stress FROM own, mk)
+  SELECT asset, CASE WHEN stress THEN 'HOLD' ELSE 'ROTATE' END AS decision,
+    asset || ' volatility ' || printf('%.1f%%', vol_20 * 100) || CASE WHEN elevated THEN ' above its range to ' || printf('%.1f%%', p95 * 100) ELSE ' in its range' END
+    || ' | ' || CASE WHEN stress THEN 'market in stress: ' ELSE 'market normal: ' END || 'mean volatility ' || printf('%.1f%%', mean * 100)
+    || CASE WHEN stress AND mean <= 0.30 THEN ' far above the median ' || printf('%.1f%%', md * 100) ELSE '' END
+    || ' | ' || CASE WHEN stress THEN 'HOLD: the market is in stress' WHEN elevated THEN 'ROTATE: the asset alone is volatile' ELSE 'ROTATE: a lower rank in a normal market is real' END AS reason
+  FROM x""")
 def vol_regime_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = panels.bars(spark, sf_dir)
-    return intervals.volatility_decision(intervals.volatility_interval(bars), intervals.market_volatility(bars), stress=0.9)
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    return intervals.volatility_decision(intervals.volatility_interval(bars), intervals.market_volatility(bars))
 
 
 # Joins and sets.
@@ -96,7 +116,7 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bar with the newest of a series that is published on a few days a month."""
     bars = panels.bars(spark, sf_dir).select("asset", "dt")
     monthly = panels.type_bars(spark, sf_dir).where((F.col("asset") == "PROMO") & (F.dayofmonth("dt") <= 5)).select("dt", F.col("close").alias("level"))
-    every = monthly.crossJoin(F.broadcast(bars.select("asset").distinct()))  # a row per asset and publication: the key is the asset
+    every = monthly.crossJoin(bars.select("asset").distinct())  # a row per asset and publication: the key is the asset
     return rounded(relational.as_of(bars, every, ["asset"]), "level", digits=8)
 
 

@@ -13,6 +13,7 @@ from tidemark.operators import backtest, explore, metrics, overlays, ranking, re
 from tidemark.plans.metrics import METRICS
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, SERIES, last
+from tidemark.session import written
 from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
@@ -100,22 +101,43 @@ def geo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_features_sql()}, {_MACRO}, {_GEO} SELECT round(mac.composite, 6) AS macro, regime, round(gl.composite, 6) AS geo, level,
-  CASE WHEN mac.composite < 40 OR gl.composite > 65 THEN 'DEFENSIVE' WHEN mac.composite > 60 AND gl.composite < 35 THEN 'AGGRESSIVE' ELSE 'BALANCED' END AS advice FROM mac, gl""")
+  CASE WHEN regime = 'CRISIS' AND level IN ('SEVERE', 'EXTREME') THEN 'MAXIMUM DEFENSE' WHEN regime = 'CRISIS' OR level IN ('HIGH', 'SEVERE', 'EXTREME') THEN 'DEFENSIVE'
+    WHEN regime = 'GOLDILOCKS' AND level = 'LOW' THEN 'AGGRESSIVE' ELSE 'BALANCED' END AS advice FROM mac, gl""")
 def combined_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(overlays.combined(panels.series(spark, sf_dir), ROLES), "macro", "geo")
 
 
 def _regime_sql() -> str:
-    pairs = " UNION ALL ".join(f"SELECT '{p}' AS pair, x.dt, x.r AS x, y.r AS y FROM sr x JOIN sr y ON x.dt = y.dt WHERE x.name = '{a}' AND y.name = '{b}'" for p, (a, b) in regimes.PAIRS.items())
+    pairs = " UNION ALL ".join(
+        f"SELECT '{p}' AS pair, x.dt, x.value AS x, y.value AS y FROM series x JOIN series y ON x.dt = y.dt WHERE x.name = '{a}' AND y.name = '{b}'"
+        for p, (a, b) in regimes.PAIRS.items()
+    )
     picks = ", ".join(f"max(c) FILTER (pair = '{p}') AS {p}" for p in regimes.PAIRS)
-    return f"""{SERIES}, sr AS (SELECT name, dt, value / lag(value) OVER (PARTITION BY name ORDER BY dt) - 1 AS r FROM series QUALIFY r IS NOT NULL), pr AS ({pairs}),
+    return f"""{SERIES}, pv AS ({pairs}),
+      pr AS (
+        SELECT pair, dt, x / lag(x) OVER w - 1 AS x, y / lag(y) OVER w - 1 AS y FROM pv WINDOW w AS (PARTITION BY pair ORDER BY dt)
+        QUALIFY lag(x) OVER w IS NOT NULL),
       co AS (SELECT dt, pair, CASE WHEN count(*) OVER w >= 16 THEN corr(x, y) OVER w END AS c FROM pr WINDOW w AS {last(21, "pair")}),
-      da AS (SELECT dt, count(*) AS n, stddev_samp(c) AS dispersion, avg(abs(c)) AS strength, {picks} FROM co WHERE c IS NOT NULL GROUP BY dt HAVING count(*) >= 3),
+      dc AS (
+        SELECT dt, count(*) AS pairs, CASE WHEN count(*) = 4 THEN stddev_samp(c) END AS dispersion, sum(abs(c)) AS total, {picks}
+        FROM co WHERE c IS NOT NULL GROUP BY dt),
+      da AS (
+        SELECT *, pairs + CASE WHEN pairs = 4 THEN 1 ELSE 0 END AS known, (total + coalesce(dispersion, 0)) / (pairs + CASE WHEN pairs = 4 THEN 1 ELSE 0 END) AS strength,
+          coalesce(dispersion, 0.5) AS spread FROM dc),
       fi AS (SELECT *, row_number() OVER (ORDER BY dt) AS i FROM da QUALIFY i % 5 = 1),
-      tl AS (SELECT dt, strength, CASE WHEN equity_bonds > 0.3 AND gold_equity > 0.3 THEN 'CRISIS' WHEN equity_bonds < -0.2 AND gold_equity < 0 THEN 'RISK_ON' WHEN equity_bonds < 0 AND gold_equity > 0 THEN 'RISK_OFF'
-        WHEN vix_rates > 0.2 AND currency_gold > 0.2 THEN 'STAGFLATION' WHEN strength < 0.15 THEN 'NEUTRAL' ELSE 'TRANSITIONAL' END AS regime,
-        CASE WHEN dispersion > 0.3 THEN 'dispersed' WHEN dispersion < 0.05 THEN 'uniform' ELSE 'normal' END AS sub FROM fi),
-      rt AS (SELECT dt, regime, sub, least(1.0::DOUBLE, strength * CASE sub WHEN 'dispersed' THEN 0.8 WHEN 'uniform' THEN 1.2 ELSE 1.0 END) AS confidence FROM tl)"""
+      tl AS (
+        SELECT dt, known, strength,
+          CASE WHEN known < 3 THEN 'UNKNOWN' WHEN gold_equity < -0.5 AND vix_rates > 0.3 THEN 'CRISIS' WHEN gold_equity > 0.3 AND equity_bonds > 0.5 THEN 'RISK_ON'
+            WHEN gold_equity < -0.3 AND equity_bonds < -0.3 THEN 'RISK_OFF' WHEN vix_rates > 0.5 THEN 'STAGFLATION'
+            WHEN abs(coalesce(gold_equity, 0)) < 0.2 AND abs(coalesce(equity_bonds, 0)) < 0.2 THEN 'NEUTRAL' ELSE 'TRANSITIONAL' END AS regime,
+          CASE WHEN known < 3 THEN 'UNKNOWN' WHEN spread > 0.3 THEN 'HIGH_VOLATILITY' WHEN spread < 0.05 THEN 'STABLE' ELSE 'MODERATE' END AS sub,
+          CASE WHEN spread > 0.3 THEN 0.3::DOUBLE WHEN spread < 0.05 THEN 0.9 ELSE 0.6 END AS base
+        FROM fi),
+      rt AS (
+        SELECT dt, regime, sub, CASE WHEN known < 3 THEN 0.0::DOUBLE WHEN strength > 0.6 THEN least(0.95::DOUBLE, base + 0.2) WHEN strength < 0.2 THEN greatest(0.1::DOUBLE, base - 0.3)
+          ELSE base END AS confidence FROM tl),
+      turns AS (SELECT *, coalesce(regime <> lag(regime) OVER (ORDER BY dt), false) AS turned FROM rt),
+      stable AS (SELECT count(*) FILTER (turned) / count(*) AS rate FROM turns)"""
 
 
 @query(f"WITH {_regime_sql()} SELECT dt, regime, sub, round(confidence, 6) AS confidence FROM rt")
@@ -123,10 +145,22 @@ def regime_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regimes.timeline(panels.series(spark, sf_dir)), "confidence")
 
 
-@query(f"""WITH {_regime_sql()}, t AS (SELECT *, regime <> lag(regime) OVER (ORDER BY dt) AS turned FROM rt)
-  SELECT regime, count(*) AS days, round(avg(confidence), 6) AS confidence, count(*) FILTER (turned) AS turns, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM t GROUP BY regime""")
+@query(f"""WITH {_regime_sql()}
+  SELECT regime, count(*) AS days, round(avg(confidence), 6) AS confidence, round(min(confidence), 6) AS least, round(max(confidence), 6) AS most,
+    count(*) FILTER (turned) AS turns, round(count(*) / sum(count(*)) OVER (), 6) AS share, round((SELECT rate FROM stable), 6) AS transition_rate,
+    round(1 - (SELECT rate FROM stable), 6) AS stability FROM turns GROUP BY regime""")
 def regime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(regimes.summary(regimes.timeline(panels.series(spark, sf_dir))), "confidence", "share")
+    found = regimes.summary(regimes.timeline(written(panels.series(spark, sf_dir), "series")))
+    return rounded(found, "confidence", "least", "most", "share", "transition_rate", "stability")
+
+
+@query(f"""WITH {_regime_sql()}
+  SELECT dt, {", ".join(f"round(coalesce({p}, 0), 6) AS corr_{p}" for p in (*regimes.PAIRS, "dispersion"))}, round(confidence, 6) AS regime_confidence,
+    round(1 - (SELECT rate FROM stable), 6) AS regime_stability FROM da JOIN rt USING (dt) WHERE dt = (SELECT max(dt) FROM rt)""")
+def regime_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model may know of the regime on the timeline's last day."""
+    found = regimes.features(written(panels.series(spark, sf_dir), "series"))
+    return rounded(found, *(f"corr_{p}" for p in (*regimes.PAIRS, "dispersion")), "regime_confidence", "regime_stability")
 
 
 # The universe: a row per asset.
@@ -211,22 +245,31 @@ def text_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", sector.alias("sector"), rules.shortened(F.col("p_name"), 8).alias("short"), F.replace("p_brand", F.lit("#"), F.lit("_")).alias("code"))
 
 
-@query("""WITH l AS (SELECT event_type, max(ts) AS ts FROM events GROUP BY event_type)
-  SELECT event_type, date_part('hour', TIMESTAMP '2024-01-31' - ts) + date_part('day', TIMESTAMP '2024-01-31' - ts) * 24 AS hours,
-  CASE WHEN date_part('hour', TIMESTAMP '2024-01-31' - ts) + date_part('day', TIMESTAMP '2024-01-31' - ts) * 24 <= 100 THEN 'active' ELSE 'stale' END AS state FROM l""")
+@query('''WITH l AS (SELECT event_type, user_id, max(ts) AS ts FROM events GROUP BY ALL),
+    nows AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-29 12:00:00', TIMESTAMP '2024-02-04 12:00:00', INTERVAL 1 DAY)) AS TIMESTAMP) AS now),
+    x AS (SELECT event_type, user_id, now, ts, epoch(now - ts) / 3600 AS hours, isodow(now) - 1 AS day, isodow(ts) - 1 AS wd, CAST(now AS DATE) - CAST(ts AS DATE) >= 1 AS earlier FROM l, nows WHERE ts <= now),
+    b AS (SELECT *, CASE day WHEN 0 THEN CASE wd WHEN 5 THEN 76 WHEN 4 THEN 100 ELSE 72 END WHEN 6 THEN CASE wd WHEN 5 THEN 76 ELSE 48 END WHEN 5 THEN CASE wd WHEN 4 THEN 72 ELSE 36 END
+      WHEN 4 THEN CASE WHEN earlier THEN 52 ELSE 32 END WHEN 3 THEN CASE WHEN earlier THEN 40 ELSE 28 END ELSE CASE WHEN earlier THEN 36 ELSE 24 END END AS bound FROM x)
+  SELECT event_type, now, count(*) FILTER (hours <= bound) AS active, count(*) FILTER (hours > bound) AS stale, CAST(max(bound) AS INTEGER) AS bound FROM b GROUP BY event_type, now''')
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each kind of event has been seen lately, as of a Wednesday."""
-    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
-    rows = panels.table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("ts"))
-    return rows.select("event_type", F.timestamp_diff("HOUR", F.col("ts"), now).alias("hours"), rules.activity(F.col("ts"), now).alias("state"))
+    """How many users of each kind of event have been seen lately, as of each day of a week."""
+    rows = panels.table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.max("ts").alias("ts"))
+    days = F.expr("sequence(timestamp_ntz '2024-01-29 12:00:00', timestamp_ntz '2024-02-04 12:00:00', interval 1 day)")
+    rows = rows.withColumn("now", F.explode(days)).where("ts <= now")
+    state, bound = rules.activity(F.col("ts"), F.col("now")), rules.activity_bound(F.col("ts"), F.col("now"))
+    return rows.groupBy("event_type", "now").agg(F.count_if(state == "active").alias("active"), F.count_if(state == "stale").alias("stale"), F.max(bound).alias("bound"))
 
 
 @query()
 def full_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole pipeline: volatility and beta, risk class, forecast, tail risk, signal, and the rank within the class."""
-    bars = panels.bars(spark, sf_dir)
-    base = risk.volatility(bars).join(risk.best_benchmark(bars, panels.benchmarks(spark, sf_dir)), "asset", "left").withColumn("band", risk.risk_class(F.col("volatility"), F.coalesce("beta", F.lit(1.0)), 9, 12))
-    rows = base.join(risk.cvar(bars), "asset").join(backtest.forecasts(bars), "asset").join(signals.kalman_hull(bars).select("asset", "signal"), "asset").join(backtest.walk_forward_hits(bars).select("asset", "hit_rate"), "asset")
+    """The whole pipeline: volatility and beta, risk class, forecast, tail risk, trend, and the rank within the class."""
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    base = risk.volatility(bars).join(risk.best_benchmark(bars, panels.benchmarks(spark, sf_dir)), "asset", "left")
+    base = base.withColumn("band", risk.risk_class(F.col("volatility"), F.coalesce("beta", F.lit(1.0))))
+    trend = signals.kalman_hull(bars.join(base.select("asset", "band"), "asset")).select("asset", F.col("signal_strength").alias("signal"))
+    rows = base.join(risk.cvar(bars), "asset").join(backtest.forecasts(bars), "asset").join(trend, "asset").join(backtest.walk_forward_hits(bars).select("asset", "hit_rate"), "asset")
+    rows = written(rows, "analysis")
     factors = rows.unpivot(["asset", "band"], ["cvar", "forecast", "signal", "hit_rate"], "metric", "value")
     ranked = ranking.percentile_ranking(factors)
-    return rounded(rows.join(ranked.select("asset", "percentile", "rank"), "asset").select("asset", "band", "volatility", "beta", "cvar", "forecast", "signal", "hit_rate", "percentile", "rank"), "volatility", "beta", "cvar", "signal", "percentile", digits=4)
+    found = rows.join(ranked.select("asset", "percentile", "rank"), "asset").select("asset", "band", "volatility", "beta", "cvar", "forecast", "signal", "hit_rate", "percentile", "rank")
+    return rounded(found, "volatility", "beta", "cvar", "signal", "percentile", digits=4)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
-from tidemark.operators import metrics, ranking, risk, signals
+from tidemark.operators import metrics, risk, signals
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, TYPE_RETS, last
+from tidemark.session import written
 from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
@@ -59,10 +60,16 @@ def liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.liquidity(panels.bars(spark, sf_dir)), "mean_volume", "impact")
 
 
-@query(f"""WITH {BARS}, q AS (SELECT asset, count(*) AS rows, count(*) / 252.0::DOUBLE AS years, count(close) / count(*) AS completeness FROM bars GROUP BY asset)
-  SELECT asset, rows, round(years, 6) AS years, round(completeness, 6) AS completeness, CASE WHEN years >= 5 THEN 3 WHEN years >= 3 THEN 2 ELSE 1 END AS tier, round(least(1.0, years / 5 * completeness), 6) AS score FROM q""")
+@query(f"""WITH {BARS},
+  q AS (SELECT asset, count(*) AS rows, count(*) / 252.0::DOUBLE AS years, count(close) / count(*) AS completeness FROM bars WHERE dt >= DATE '1999-01-01' OR asset > 'Brand#2' GROUP BY asset)
+  SELECT asset, rows, round(years, 6) AS years, round(completeness, 6) AS completeness,
+    CASE WHEN years >= 3 THEN 'tier_1' WHEN years >= 2 THEN 'tier_2' WHEN years >= 1 THEN 'tier_3' ELSE 'tier_4' END AS tier,
+    CASE WHEN years >= 3 THEN 0.0::DOUBLE WHEN years >= 2 THEN -2.0 WHEN years >= 1 THEN -5.0 ELSE -10.0 END AS penalty,
+    round(least(1.0, years / 5 * completeness), 6) AS score FROM q""")
 def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.data_quality(panels.bars(spark, sf_dir)), "years", "completeness", "score")
+    """Quality of each asset's data; some of them are looked at since 1999 only, so that tiers differ."""
+    bars = panels.bars(spark, sf_dir).where("dt >= date '1999-01-01' or asset > 'Brand#2'")
+    return rounded(metrics.data_quality(bars), "years", "completeness", "score")
 
 
 QUARTERS = """ends AS (SELECT asset, CAST(date_trunc('quarter', dt) AS DATE) AS quarter, arg_max(close, dt) AS close FROM bars GROUP BY ALL),
@@ -116,32 +123,47 @@ def beta_best_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, {TYPE_RETS}, {_BETA}, {_VOL}, j AS (SELECT v.asset, volatility, coalesce(beta, CASE WHEN volatility IS NOT NULL THEN 1.0 END) AS beta FROM v LEFT JOIN best USING (asset))
-  SELECT asset, CASE WHEN volatility IS NULL OR beta IS NULL THEN 'UNKNOWN' WHEN volatility < 9 AND beta < 0.8 THEN 'LOW' WHEN volatility >= 12 OR beta > 1.2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk_class, round(0.7 * volatility + 0.3 * abs(beta - 1), 6) AS risk_score FROM j""")
+  SELECT asset, CASE WHEN volatility IS NULL OR beta IS NULL THEN 'UNKNOWN'
+      WHEN volatility < 0.12 THEN CASE WHEN beta > 1.2 THEN 'MEDIUM' ELSE 'LOW' END
+      WHEN volatility <= 0.22 THEN CASE WHEN beta > 1.2 THEN 'HIGH' ELSE 'MEDIUM' END
+      ELSE CASE WHEN beta < 0.8 THEN 'MEDIUM' ELSE 'HIGH' END END AS risk_class,
+    round(0.7 * volatility + 0.3 * abs(beta - 1), 6) AS risk_score FROM j""")
 def risk_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Risk class of each asset; the bounds of volatility fit unit prices."""
+    """Risk class of each asset by volatility and beta; a missing beta counts as one."""
     bars = panels.bars(spark, sf_dir)
     rows = risk.volatility(bars).join(risk.best_benchmark(bars, panels.benchmarks(spark, sf_dir)), "asset", "left")
     rows = rows.withColumn("beta", F.coalesce("beta", F.when(F.col("volatility").isNotNull(), 1.0)))
     vol, beta = F.col("volatility"), F.col("beta")
-    return rounded(rows.select("asset", risk.risk_class(vol, beta, 9, 12).alias("risk_class"), risk.risk_score(vol, beta).alias("risk_score")), "risk_score")
+    return rounded(rows.select("asset", risk.risk_class(vol, beta).alias("risk_class"), risk.risk_score(vol, beta).alias("risk_score")), "risk_score")
 
 
-@query(f"""WITH {RETS}, {TYPE_RETS}, f AS (SELECT dt, level FROM trets WHERE benchmark = 'SMALL'), s AS (SELECT dt FROM f WHERE level > (SELECT quantile_cont(level, 0.85) FROM f))
-  SELECT asset, count(*) AS days, round(CASE WHEN count(*) >= 20 THEN greatest(-3, least(3, avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252), 0))) END, 6) AS sharpe FROM rets WHERE ret IS NOT NULL AND dt IN (SELECT dt FROM s) GROUP BY asset""")
+_STRESS = """f AS (SELECT dt, level FROM trets WHERE benchmark = 'SMALL' AND level IS NOT NULL),
+  j AS (SELECT asset, ret, level, quantile_cont(level, 0.85) OVER (PARTITION BY asset) AS bar, count(*) OVER (PARTITION BY asset) AS common
+    FROM rets JOIN f USING (dt) WHERE ret IS NOT NULL),
+  st AS (SELECT asset, any_value(common) AS common, count(*) FILTER (level > bar) AS days, avg(ret) FILTER (level > bar) AS mean FROM j GROUP BY asset),
+  long AS (SELECT asset, count(ret) AS rows FROM rets GROUP BY asset)"""
+
+
+@query(f"""WITH {RETS}, {TYPE_RETS}, {_STRESS}
+  SELECT asset, days, round(CASE WHEN rows >= 252 AND (SELECT count(*) FROM f) >= 252 AND common >= 100 AND days >= 20
+    THEN greatest(-3.0::DOUBLE, least(3.0::DOUBLE, (mean * 252 - 0.0435) / (0.02 * sqrt(5.0 / 3.0) * sqrt(252)))) END, 6) AS sharpe
+  FROM st JOIN long USING (asset)""")
 def stress_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratios of the days of fear, by the law that stands in where none is fitted."""
     fear = panels.series(spark, sf_dir).where("name = 'vix'").select("dt", "value")
     return rounded(risk.conditional_sharpe(panels.bars(spark, sf_dir), fear), "sharpe")
 
 
+@query()
+def stress_sharpe_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by each asset's own fitted law."""
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    fear = panels.series(spark, sf_dir).where("name = 'vix'").select("dt", "value")
+    return rounded(risk.conditional_sharpe(bars, fear, risk.fitted_laws(bars)), "sharpe", digits=4)
+
+
 @query()
 def cvar_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.cvar(panels.bars(spark, sf_dir)), "cvar", digits=4)
 
 
-@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, a AS (SELECT max(dt) AS d FROM bars),
-  c AS (SELECT m.asset, ord, dt, close, n, (0.35 * hit_rate + 0.40 * (1 / (1 + exp(-conviction))) + 0.25 * stability) * 10 AS score FROM m JOIN assets USING (asset) WHERE rn = n AND n > 100)
-  SELECT asset, dt, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, ord) AS INTEGER) AS rank FROM c QUALIFY rank <= 20""")
-def quality_rank_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: the twenty best assets by score as of the panel's last day."""
-    bars = panels.bars(spark, sf_dir)
-    return rounded(ranking.top_as_of(bars, panels.assets(spark, sf_dir), None, 20).select("asset", "dt", "score", "rank"), "score")

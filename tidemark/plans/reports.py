@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import backtest, explore, metrics, ranking, scores, signals
+from tidemark.operators import backtest, explore, metrics, ranking, risk, scores, signals
 from tidemark.plans import backtests as B
 from tidemark.plans.metrics import METRICS
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, last
+from tidemark.session import written
 from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
@@ -30,40 +31,86 @@ def hit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "mean", "median")
 
 
-@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, q AS (SELECT m.asset, ord, round(0.40 * conviction + 0.35 * hit_rate + 0.15 * stability, 6) AS quality FROM m JOIN assets USING (asset) WHERE rn = n AND hit_rate >= 0.48)
+@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, q AS (SELECT m.asset, ord, round(0.40 * conviction + 0.35 * hit_rate + 0.15 * stability, 6) AS quality FROM m JOIN assets USING (asset) WHERE rn = n AND hit_rate >= 0.50)
   SELECT asset, quality, CAST(row_number() OVER (ORDER BY quality DESC, ord) AS INTEGER) AS rank FROM q QUALIFY rank <= 10""")
 def quality_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best assets by quality among those that rise often enough."""
-    rows = _now(spark, sf_dir).where("hit_rate >= 0.48").select("asset", F.round(metrics.quality_score(), 6).alias("quality"))
+    rows = _now(spark, sf_dir).where("hit_rate >= 0.50").select("asset", F.round(metrics.quality_score(), 6).alias("quality"))
     return ranking.ranked(rows, [], panels.assets(spark, sf_dir), "quality").where(F.col("rank") <= 10).select("asset", "quality", "rank")
 
 
-_PARTS = f"""{METRICS}, s20 AS (SELECT asset, greatest(-0.1, least(0.1, sum(ret) OVER {last(20)})) * 100 AS forecast, rn, n FROM rets),
-  x AS (SELECT m.asset, hit_rate, conviction, stability, forecast, 2 * stability - 1 AS signal, -(1 - stability) AS tail FROM m JOIN s20 ON s20.asset = m.asset AND s20.rn = m.rn WHERE m.rn = m.n)"""
-
-
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _now(spark, sf_dir).select("asset", "hit_rate", "conviction", "stability", (2 * F.col("stability") - 1).alias("signal"), (F.col("stability") - 1).alias("tail"))
-    return rows.join(backtest.forecasts(panels.bars(spark, sf_dir), least=1), "asset")
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asset with its class, forecast, hits, tail risk and trend, and the two scores of them."""
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    vol = risk.volatility(bars)
+    band = vol.select("asset", "volatility", risk.volatility_class(F.col("volatility")).alias("band"))
+    trend = signals.kalman_hull(bars.join(band.select("asset", "band"), "asset")).select("asset", F.col("signal_strength").alias("signal"), F.col("efficiency_ratio").alias("efficiency"))
+    hits = backtest.walk_forward_hits(bars).select("asset", F.coalesce("hit_rate", F.lit(0.0)).alias("hit_rate"))
+    rows = band.join(backtest.forecasts(bars), "asset").join(hits, "asset", "left").join(risk.cvar(bars), "asset", "left").join(trend, "asset", "left")
+    c = F.col
+    return rows.withColumns({"composite": scores.composite(c("cvar"), c("forecast"), c("confidence"), c("signal")), "single": scores.single(c("forecast"), c("hit_rate"), c("signal"), c("cvar"))})
 
 
-@query(f"""WITH {RETS}, {_PARTS}, c AS (SELECT asset, greatest(0, least(1, 0.4 * greatest(0, least(1, (tail + 0.1) / 0.1)) + 0.3 * greatest(0, least(1, (forecast + 15) / 30)) * 0.9 + 0.3 * greatest(0, least(1, (signal + 1) / 2)))) AS composite,
-    greatest(0, least(100, greatest(-40, least(40, forecast)) + hit_rate * 20 + signal * 20 + CASE WHEN tail < 0 THEN greatest(0, least(20, -greatest(tail, -0.5) * 200)) ELSE 0 END + 20)) AS single FROM x)
-  SELECT asset, round(composite, 6) AS composite, round(single, 6) AS single, CASE WHEN single >= 80 THEN 'very strong' WHEN single >= 60 THEN 'strong' WHEN single >= 40 THEN 'neutral' WHEN single >= 20 THEN 'weak' ELSE 'very weak' END AS words FROM c""")
+@query()
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _parts(spark, sf_dir)
-    c = F.col
-    rows = x.select("asset", scores.composite(c("tail"), c("forecast"), F.lit(0.9), c("signal")).alias("composite"), scores.single(c("forecast"), c("hit_rate"), c("signal"), c("tail")).alias("single"))
-    return rounded(rows.withColumn("words", scores.interpretation(c("single"))), "composite", "single")
+    rows = analysed(spark, sf_dir).withColumn("words", scores.interpretation(F.col("single")))
+    return rounded(rows.select("asset", "composite", "single", "words"), "composite", "single", digits=4)
 
 
-@query(f"""WITH {RETS}, {_PARTS} SELECT asset, CASE WHEN hit_rate >= 0.6 AND stability >= 0.7 THEN 'HIGH' WHEN hit_rate >= 0.5 AND stability >= 0.08 THEN 'MEDIUM' ELSE 'LOW' END AS flag, round((0.6 * signal + 0.4 * hit_rate) * 100, 6) AS momentum FROM x WHERE forecast > 0""")
+@query()
 def growth_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assets with a positive forecast: a quality flag and a momentum score."""
+    """The ten best assets of a medium or high risk with a score above 35, with how far the forecast can be trusted and a
+    score of their momentum."""
+    return rounded(scores.growth(analysed(spark, sf_dir)), "single", "momentum", digits=4)
+
+
+#: Values of the inputs of the scores, which stand in a grid: forecasts in per cent, hit rates, signals, tail risks, confidence.
+_GRID = {"forecast": (-12.0, -4.0, 0.0, 2.5, 7.5, 25.0), "hit_rate": (0.0, 0.4, 0.52, 0.6, 0.7, 1.0), "signal": (-0.5, 0.0, 0.3, 0.9, 1.4), "cvar": (-0.9, -0.25, -0.08, -0.01, 0.0, None), "confidence": (0.1, 0.4, 0.6, 0.9)}
+
+
+def _grid_sql() -> str:
+    lists = {k: ", ".join("NULL" if x is None else f"{x}::DOUBLE" for x in v) for k, v in _GRID.items()}
+    return "g AS (SELECT * FROM " + ", ".join(f"(SELECT unnest([{v}]) AS {k})" for k, v in lists.items()) + ")"
+
+
+@query(f"""WITH {_grid_sql()},
+  c AS (
+    SELECT *, greatest(0, least(1, 0.4 * CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.1) / 0.1)) END + 0.3 * greatest(0, least(1, (forecast + 15) / 30)) * confidence
+        + 0.3 * greatest(0, least(1, (signal + 1) / 2)))) AS composite,
+      greatest(0, least(100, greatest(-40, least(40, forecast / 10 * 40)) + hit_rate * 20 + greatest(0, least(20, signal * 20))
+        + CASE WHEN cvar < 0 THEN least(20, -greatest(cvar, -0.5) * 200) ELSE 0 END)) AS single,
+      CASE WHEN hit_rate > 0.65 AND confidence > 0.7 THEN 'EXCELLENT' WHEN hit_rate > 0.55 AND confidence > 0.5 THEN 'FAIR' WHEN hit_rate < 0.45 OR confidence < 0.15 THEN 'POOR' ELSE 'WARNING' END AS flag,
+      CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.30) / 0.30)) END AS tail FROM g)
+  SELECT forecast, hit_rate, signal, cvar, confidence, round(composite, 6) AS composite, round(single, 6) AS single, flag, round(tail, 6) AS tail,
+    CASE WHEN single >= 80 THEN 'very strong' WHEN single >= 60 THEN 'strong' WHEN single >= 40 THEN 'neutral' WHEN single >= 20 THEN 'weak' ELSE 'very weak' END AS words FROM c""")
+def score_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores, ladders and flags over a grid of inputs."""
+    rows = spark.range(0, 1, 1, 1)
+    for name, values in _GRID.items():
+        rows = rows.withColumn(name, F.explode(F.array(*(F.lit(v).cast("double") for v in values))))
     c = F.col
-    flag = F.when((c("hit_rate") >= 0.6) & (c("stability") >= 0.7), "HIGH").when((c("hit_rate") >= 0.5) & (c("stability") >= 0.08), "MEDIUM").otherwise("LOW")
-    rows = _parts(spark, sf_dir).where("forecast > 0").select("asset", flag.alias("flag"), ((0.6 * c("signal") + 0.4 * c("hit_rate")) * 100).alias("momentum"))
-    return rounded(rows, "momentum")
+    rows = rows.drop("id").withColumns({
+        "composite": scores.composite(c("cvar"), c("forecast"), c("confidence"), c("signal")), "single": scores.single(c("forecast"), c("hit_rate"), c("signal"), c("cvar")),
+        "flag": rules.quality_flag(c("hit_rate"), c("confidence")), "tail": risk.tail_scale(c("cvar")),
+    })
+    return rounded(rows.withColumn("words", scores.interpretation(c("single"))), "composite", "single", "tail")
+
+
+#: Risk classes over a grid of volatilities and betas.
+_CELLS = {"volatility": (0.05, 0.12, 0.14, 0.22, 0.25, 0.30, None), "beta": (0.5, 0.8, 1.0, 1.2, 1.5, None)}
+
+
+@query(f"""WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.12, 0.14, 0.22, 0.25, 0.30, NULL]::DOUBLE[]) AS volatility), (SELECT unnest([0.5, 0.8, 1.0, 1.2, 1.5, NULL]::DOUBLE[]) AS beta))
+  SELECT *, CASE WHEN volatility IS NULL OR beta IS NULL THEN 'UNKNOWN' WHEN volatility < 0.12 AND beta <= 1.2 THEN 'LOW' WHEN volatility < 0.12 THEN 'MEDIUM'
+      WHEN volatility <= 0.22 AND beta <= 1.2 THEN 'MEDIUM' WHEN volatility <= 0.22 THEN 'HIGH' WHEN beta < 0.8 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_class,
+    CASE WHEN volatility IS NULL THEN 'UNKNOWN' WHEN volatility < 0.15 THEN 'LOW' WHEN volatility < 0.30 THEN 'MEDIUM' ELSE 'HIGH' END AS alone FROM g""")
+def risk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of risk classes, and the class by volatility alone."""
+    rows = spark.range(0, 1, 1, 1)
+    for name, values in _CELLS.items():
+        rows = rows.withColumn(name, F.explode(F.array(*(F.lit(v).cast("double") for v in values))))
+    vol = F.col("volatility")
+    return rows.select("volatility", "beta", risk.risk_class(vol, F.col("beta")).alias("risk_class"), risk.volatility_class(vol).alias("alone"))
 
 
 @query(f"""WITH {RETS}, {METRICS} SELECT * FROM (SELECT 'hit_rate' AS rule, count(*) FILTER (NOT hit_rate BETWEEN 0.45 AND 1) AS broken, count(hit_rate) AS known FROM m {_NOW}
@@ -136,33 +183,100 @@ def period_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("period", F.log(1 + F.col("total")).alias("log_total"), "max_drawdown", "hit_rate"), "log_total", "max_drawdown", "hit_rate")
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each market segment: what customers with a balance hold, as shares, and by nation."""
-    rows = panels.table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    suffix = F.element_at(F.array(*map(F.lit, ("AX", "L", "DE", "T", "HK", "US"))), F.col("c_nationkey") % 6 + 1)
-    symbol = F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("."), suffix)
-    sectors = rows.groupBy("c_mktsegment", (F.col("c_nationkey") % 4).cast("string").alias("k")).agg(F.sum("c_acctbal").alias("w"))
-    maps = sectors.groupBy("c_mktsegment").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("sectors"))
-    return rows.groupBy("c_mktsegment").agg(F.collect_list(F.struct(symbol.alias("symbol"), F.col("c_acctbal").alias("pct"))).alias("holdings")).join(maps, "c_mktsegment")
-
-
-@query("""WITH r AS (SELECT c_mktsegment, CASE c_nationkey % 6 WHEN 0 THEN 'AU' WHEN 1 THEN 'UK' WHEN 2 THEN 'EU' WHEN 3 THEN 'JP' WHEN 4 THEN 'ASIA' ELSE 'US' END AS region, c_acctbal FROM customer WHERE c_acctbal > 0),
-  s AS (SELECT c_mktsegment, region, sum(c_acctbal) AS weight FROM r GROUP BY ALL) SELECT c_mktsegment, arg_max(region, weight) AS region, round(max(weight), 4) AS weight FROM s GROUP BY c_mktsegment""")
+FUNDS = """fl AS (
+    SELECT l_suppkey, l_partkey, p_type, CAST(l_shipdate AS DATE) AS dt, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+      CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'LARGE' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'PROMO' THEN 3 WHEN 'SMALL' THEN 4 ELSE 5 END AS k,
+      'P' || l_partkey || ['.AX', '-US', '.L', '-JKT', '', '.DE'][l_partkey % 6 + 1] AS symbol
+    FROM lineitem JOIN part ON l_partkey = p_partkey),
+  fh AS (
+    SELECT l_suppkey AS fund, symbol, p_type AS sector, l_partkey, CASE WHEN l_suppkey % 4 = 3 THEN k // 2 WHEN k < 4 THEN l_suppkey % 4 WHEN k = 4 THEN (l_suppkey + 1) % 3 ELSE (l_suppkey + 2) % 3 END AS position,
+      cents FROM fl),
+  fd AS (
+    SELECT s_suppkey AS fund, s_name || [' Gold Trust', ' Bitcoin Fund', ' Income', ' Oil and Metal'][CAST(s_suppkey // 4 % 4 AS INTEGER) + 1] AS name, ['LOW', 'MEDIUM', 'HIGH'][s_suppkey % 3 + 1] AS risk
+    FROM supplier),
+  ft AS (
+    SELECT fund, sum(cents) AS cents, sum(cents) FILTER (position = 0) / sum(cents) AS stock, sum(cents) FILTER (position = 1) / sum(cents) AS bond, sum(cents) FILTER (position = 2) / sum(cents) AS other,
+      count(DISTINCT l_partkey) AS holdings FROM fh GROUP BY fund),
+  fc AS (
+    SELECT *, CASE WHEN stock > 0.5 THEN 'Equity' WHEN bond > 0.5 THEN 'Bond'
+      WHEN other > 0.5 THEN CASE WHEN contains(lower(name), 'bitcoin') THEN 'Crypto' WHEN contains(lower(name), 'gold') OR contains(lower(name), 'oil') OR contains(lower(name), 'metal') THEN 'Commodity' ELSE 'Other' END
+      ELSE 'Mixed' END AS class FROM ft JOIN fd USING (fund)),
+  fr AS (
+    SELECT fund, CASE WHEN contains(symbol, '-JKT') THEN 'Indonesia' WHEN contains(symbol, '.AX') THEN 'Australia' WHEN contains(symbol, '.L') THEN 'United Kingdom' WHEN contains(symbol, '.DE') THEN 'Germany'
+      ELSE 'United States' END AS region, sum(cents) AS weight FROM fh GROUP BY ALL),
+  fs AS (SELECT fund, sector, sum(cents) AS weight FROM fh GROUP BY ALL),
+  br AS (SELECT fund, region, weight FROM fr QUALIFY row_number() OVER (PARTITION BY fund ORDER BY weight DESC, region DESC) = 1),
+  bs AS (SELECT fund, sector, weight FROM fs QUALIFY row_number() OVER (PARTITION BY fund ORDER BY weight DESC, sector DESC) = 1)"""
+
+
+def _holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What funds (the suppliers) hold, a row per line: fund, symbol, sector, position (0 stock, 1 bond, 2 other), cents."""
+    lines = panels.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_shipdate").cast("date").alias("dt"))
+    parts = panels.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    rows = lines.join(parts, "l_partkey").withColumn("k", F.array_position(F.array(*map(F.lit, ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"))), F.col("p_type")) - 1)
+    suffix = F.element_at(F.array(*map(F.lit, (".AX", "-US", ".L", "-JKT", "", ".DE"))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    fund = F.col("l_suppkey")
+    position = F.when(fund % 4 == 3, F.floor(F.col("k") / 2)).when(F.col("k") < 4, fund % 4).when(F.col("k") == 4, (fund + 1) % 3).otherwise((fund + 2) % 3)
+    return rows.select(fund.alias("fund"), F.concat(F.lit("P"), F.col("l_partkey").cast("string"), suffix).alias("symbol"), F.col("p_type").alias("sector"), "l_partkey", "dt", position.cast("int").alias("position"), "cents")
+
+
+def _funds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fund, name, risk) of each fund."""
+    key = F.col("s_suppkey")
+    words = F.element_at(F.array(*map(F.lit, (" Gold Trust", " Bitcoin Fund", " Income", " Oil and Metal"))), (F.floor(key / 4) % 4 + 1).cast("int"))
+    return panels.table(spark, sf_dir, "supplier").select(key.alias("fund"), F.concat("s_name", words).alias("name"), F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH"))), (key % 3 + 1).cast("int")).alias("risk"))
+
+
+def _classes(spark: SparkSession, sf_dir: str, holdings: DataFrame) -> DataFrame:
+    share = lambda p: F.sum(F.when(F.col("position") == p, F.col("cents"))) / F.sum("cents")
+    found = holdings.groupBy("fund").agg(F.sum("cents").alias("cents"), share(0).alias("stock"), share(1).alias("bond"), share(2).alias("other"), F.count_distinct("l_partkey").alias("holdings"), F.count_distinct("dt").alias("days"))
+    return found.join(_funds(spark, sf_dir), "fund").withColumn("class", scores.asset_class(F.col("stock"), F.col("bond"), F.col("other"), F.col("name")))
+
+
+@query(f"WITH {FUNDS} SELECT fund, region, round(br.weight / cents, 6) AS weight FROM br JOIN ft USING (fund)")
 def holdings_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scores.primary_region(_documents(spark, sf_dir), "c_mktsegment", rules.region_of(F.col("h.symbol"))), "weight", digits=4)
+    """The region where most of each fund's holdings are listed, and its share."""
+    rows = _holdings(spark, sf_dir)
+    return rounded(scores.shares(scores.primary(rows, "fund", rules.region_of(F.col("symbol")), "cents", "region"), rows, "fund", "cents"), "weight")
 
 
-@query("""WITH s AS (SELECT c_mktsegment, CAST(c_nationkey % 4 AS VARCHAR) AS sector, sum(c_acctbal) AS weight FROM customer WHERE c_acctbal > 0 GROUP BY ALL) SELECT c_mktsegment, arg_max(sector, weight) AS sector, round(max(weight), 4) AS weight FROM s GROUP BY c_mktsegment""")
+@query(f"WITH {FUNDS} SELECT fund, sector, round(bs.weight / cents, 6) AS weight FROM bs JOIN ft USING (fund)")
 def holdings_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scores.primary_sector(_documents(spark, sf_dir), "c_mktsegment"), "weight", digits=4)
+    """The sector of most of each fund's holdings, and its share."""
+    rows = _holdings(spark, sf_dir)
+    return rounded(scores.shares(scores.primary(rows, "fund", F.col("sector"), "cents", "sector"), rows, "fund", "cents"), "weight")
 
 
-@query("""WITH s AS (SELECT user_id, avg(CAST(event_type = 'view' AS DOUBLE)) AS stock, avg(CAST(event_type = 'click' AS DOUBLE)) AS bond, avg(CAST(event_type NOT IN ('view', 'click') AS DOUBLE)) AS other FROM events GROUP BY user_id)
-  SELECT user_id, CASE WHEN stock > 0.5 THEN 'EQUITY' WHEN bond > 0.5 THEN 'BOND' WHEN other > 0.5 THEN 'OTHER' ELSE 'MIXED' END AS class FROM s""")
+@query(f"WITH {FUNDS} SELECT fund, class FROM fc")
 def holdings_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_type")
-    shares = panels.table(spark, sf_dir, "events").groupBy("user_id").agg(*(F.avg(c.cast("double")).alias(n) for n, c in (("stock", e == "view"), ("bond", e == "click"), ("other", ~e.isin("view", "click")))))
-    return shares.select("user_id", scores.asset_class(F.col("stock"), F.col("bond"), F.col("other")).alias("class"))
+    """What each fund mostly is, by its positions and its name."""
+    return _classes(spark, sf_dir, _holdings(spark, sf_dir)).select("fund", "class")
+
+
+@query(f"""WITH {FUNDS}, days AS (SELECT l_suppkey AS fund, count(DISTINCT dt) AS days FROM fl GROUP BY l_suppkey)
+  SELECT fund, name, risk, class, sector, round(bs.weight / cents, 6) AS sector_weight, region, round(br.weight / cents, 6) AS region_weight, holdings, CASE WHEN holdings > 20 THEN 'RICH' ELSE 'BASIC' END AS quality
+  FROM fc JOIN days USING (fund) JOIN bs USING (fund) JOIN br USING (fund) WHERE risk <> 'LOW' AND days >= 30""")
+def holdings_filtration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funds with enough prices and a risk above LOW, by what they hold."""
+    rows = written(_holdings(spark, sf_dir), "holdings")
+    found = _classes(spark, sf_dir, rows).where("risk <> 'LOW' and days >= 30")
+    for group, out in ((F.col("sector"), "sector"), (rules.region_of(F.col("symbol")), "region")):
+        best = scores.shares(scores.primary(rows, "fund", group, "cents", out), rows, "fund", "cents")
+        found = found.join(best.withColumnRenamed("weight", f"{out}_weight"), "fund")
+    quality = F.when(F.col("holdings") > 20, "RICH").otherwise("BASIC")
+    return rounded(found.select("fund", "name", "risk", "class", "sector", "sector_weight", "region", "region_weight", "holdings", quality.alias("quality")), "sector_weight", "region_weight")
+
+
+@query(f"""WITH {FUNDS}, days AS (SELECT l_suppkey AS fund, count(DISTINCT dt) AS days FROM fl GROUP BY l_suppkey)
+  SELECT count(*) AS funds, count(*) FILTER (days >= 30 AND risk <> 'LOW') AS kept, count(*) FILTER (coalesce(days, 0) < 30) AS without_data, count(*) FILTER (days >= 30 AND risk = 'LOW') AS excluded,
+    round(count(*) FILTER (days >= 30 AND risk <> 'LOW') / count(*) * 100, 6) AS rate FROM fd LEFT JOIN days USING (fund)""")
+def filtration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many funds the filtration keeps and why others go."""
+    days = _holdings(spark, sf_dir).groupBy("fund").agg(F.count_distinct("dt").alias("days"))
+    rows = _funds(spark, sf_dir).join(days, "fund", "left")
+    enough, low = F.coalesce(F.col("days") >= 30, F.lit(False)), F.col("risk") == "LOW"
+    found = rows.agg(F.count("*").alias("funds"), F.count_if(enough & ~low).alias("kept"), F.count_if(~enough).alias("without_data"), F.count_if(enough & low).alias("excluded"))
+    return rounded(found.withColumn("rate", F.col("kept") / F.col("funds") * 100), "rate")
 
 
 @query(f"""WITH {RETS}, {METRICS}, {ASSETS}, at AS (SELECT m.asset, ord, rn, n, (0.35 * hit_rate + 0.40 * (1 / (1 + exp(-conviction))) + 0.25 * stability) * 10 AS score FROM m JOIN assets USING (asset)),
@@ -178,11 +292,3 @@ def rebalance_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     gain = F.avg(F.when(F.col("r1") <= 3, F.col("s1"))) / F.avg(F.when(F.col("r2") <= 3, F.col("s2"))) - 1
     found = both.agg(F.count_if((F.col("r2") <= 3) & (F.col("r1") > 3)).alias("fallen"), gain.alias("gain"))
     return rounded(found.withColumn("rebalance", (F.col("fallen") > 0) | (F.col("gain") > 0.03)), "gain")
-
-
-@query()
-def simulated_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A benchmark drawn from a seeded normal law, a day at a time."""
-    days = spark.range(0, 1, 1, 1).select(F.explode(F.expr("sequence(date '1996-01-01', date '1997-12-31')")).alias("dt"))
-    rows = days.withColumn("asset", F.lit("simulated")).withColumn("ret", F.randn(42) * 0.01 + 0.0003)
-    return rounded(rows.withColumn("level", S.growth("ret") * 100).select("dt", "level"), "level")

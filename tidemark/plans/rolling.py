@@ -253,6 +253,61 @@ def own_history_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("asset", value.alias("percentile")), "percentile")
 
 
-@query()
+#: The trend of each series by the MEDIUM band, written as recursions: the filter's state and variance, then the bands.
+KALMAN = f"""tr AS (
+    SELECT asset, dt, rn, n, close, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, abs(close - lag(close) OVER w) AS move
+    FROM rets WINDOW w AS (PARTITION BY asset ORDER BY dt)),
+  ta AS (SELECT *, avg(tr) OVER {last(12)} AS atr FROM tr WHERE n >= 30),
+  pe AS (
+    SELECT asset, any_value(n) AS n, max(atr) FILTER (rn = n) / max(close) FILTER (rn = n) AS unrest,
+      coalesce(greatest(0, least(1, abs(max(close) FILTER (rn = n) - max(close) FILTER (rn = n - 10)) / nullif(sum(move) FILTER (rn > n - 10), 0))), 0.5) AS er
+    FROM ta GROUP BY asset),
+  pa AS (SELECT *, 3.0::DOUBLE * (1 - er) * (1 + unrest) AS r, 0.01::DOUBLE * (1 + unrest) AS q FROM pe),
+  pp AS (SELECT *, CAST(greatest(3, least(round_even(r, 0), n // 2)) AS BIGINT) AS h FROM pa),
+  kal(asset, rn, state, p) AS (
+    SELECT ta.asset, rn, close, (1 - (100 + q) / (100 + q + r)) * (100 + q) FROM ta JOIN pp USING (asset) WHERE rn = 1
+    UNION ALL
+    SELECT k.asset, ta.rn, state + (k.p + q) / (k.p + q + r) * (close - state), (1 - (k.p + q) / (k.p + q + r)) * (k.p + q)
+    FROM kal k JOIN ta ON ta.asset = k.asset AND ta.rn = k.rn + 1 JOIN pp ON pp.asset = k.asset),
+  wm AS (
+    SELECT a.asset, a.rn, any_value(h) AS h, any_value(s) AS s,
+      sum(b.state * (half - (a.rn - b.rn))) FILTER (a.rn - b.rn < half) / (any_value(half) * (any_value(half) + 1) / 2) AS short,
+      sum(b.state * (h - (a.rn - b.rn))) / (any_value(h) * (any_value(h) + 1) / 2) AS long
+    FROM (SELECT kal.*, h, greatest(2, h // 2) AS half, CAST(greatest(2, round_even(sqrt(h), 0)) AS BIGINT) AS s FROM kal JOIN pp USING (asset)) a
+    JOIN kal b ON b.asset = a.asset AND b.rn BETWEEN a.rn - h + 1 AND a.rn
+    WHERE a.rn >= h GROUP BY a.asset, a.rn),
+  hm AS (
+    SELECT a.asset, a.rn, sum((2 * b.short - b.long) * (a.s - (a.rn - b.rn))) / (any_value(a.s) * (any_value(a.s) + 1) / 2) AS hull
+    FROM wm a JOIN wm b ON b.asset = a.asset AND b.rn BETWEEN a.rn - a.s + 1 AND a.rn
+    WHERE a.rn >= a.h + a.s - 1 GROUP BY a.asset, a.rn),
+  b0 AS (SELECT ta.asset, ta.rn, ta.n, close, hull, hull + 1.7 * atr AS up, hull - 1.7 * atr AS lo FROM ta LEFT JOIN hm ON hm.asset = ta.asset AND hm.rn = ta.rn),
+  band(asset, rn, n, close, hull, up, lo, trend) AS (
+    SELECT asset, rn, n, close, hull, up, lo, CASE WHEN close > up THEN 1 WHEN close < lo THEN -1 ELSE 0 END FROM b0 WHERE rn = 1
+    UNION ALL
+    SELECT asset, rn, n, close, hull, up, lo, CASE WHEN close > up THEN 1 WHEN close < lo THEN -1 ELSE trend END
+    FROM (
+      SELECT b0.asset, b0.rn, b0.n, b0.close, b0.hull, d.trend, CASE WHEN d.close > d.up THEN least(b0.up, d.up) ELSE b0.up END AS up,
+        CASE WHEN d.close < d.lo THEN greatest(b0.lo, d.lo) ELSE b0.lo END AS lo
+      FROM band d JOIN b0 ON b0.asset = d.asset AND b0.rn = d.rn + 1)),
+  ends AS (
+    SELECT asset, max(CASE WHEN rn = n THEN close END) AS close, max(CASE WHEN rn = n THEN hull END) AS hull, max(CASE WHEN rn = n THEN up END) AS up,
+      max(CASE WHEN rn = n THEN lo END) AS lo, max(CASE WHEN rn = n THEN trend END) AS trend,
+      min(close) FILTER (rn < n AND rn >= n - 20) AS low, max(close) FILTER (rn < n AND rn >= n - 20) AS high,
+      min(hull) FILTER (rn < n AND rn >= n - 20) AS own_low, max(hull) FILTER (rn < n AND rn >= n - 20) AS own_high,
+      1 + count(*) FILTER (rn > n - 19 AND trend <> before) AS turns
+    FROM (SELECT *, lag(trend) OVER (PARTITION BY asset ORDER BY rn) AS before FROM band) GROUP BY asset),
+  kh AS (
+    SELECT asset, trend, hull, up, lo, er, turns < 4 AS consistent,
+      CASE WHEN close < low AND hull > own_low THEN 'bullish' WHEN close > high AND hull < own_high THEN 'bearish' ELSE 'none' END AS divergence,
+      CASE WHEN up = lo THEN 0.5 ELSE greatest(0, least(1, 0.4 * er + 0.6 * greatest(0, least(1, 1 - CASE trend WHEN 1 THEN up - close WHEN -1 THEN close - lo
+        ELSE least(abs(close - up), abs(close - lo)) END / (up - lo))))) END AS strength
+    FROM ends JOIN pp USING (asset))"""
+
+
+@query(f"""WITH RECURSIVE {RETS}, {KALMAN}
+  SELECT asset, CAST(trend AS INTEGER) AS trend, round(hull, 4) AS kalman_price, round(up, 4) AS upper_band, round(lo, 4) AS lower_band, round(er, 6) AS efficiency_ratio,
+    divergence, consistent AS trend_consistency, round(strength, 6) AS signal_strength FROM kh""")
 def kalman_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(signals.kalman_hull(panels.bars(spark, sf_dir)), "signal", "efficiency")
+    """The trend of each series at its end, its bands and strength."""
+    rows = rounded(signals.kalman_hull(panels.bars(spark, sf_dir)), "kalman_price", "upper_band", "lower_band", digits=4)
+    return rounded(rows, "efficiency_ratio", "signal_strength")

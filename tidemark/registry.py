@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import backtests, decisions, market, metrics, reports, rolling, streams
+from tidemark.plans import backtests, decisions, inventory, market, metrics, reports, rolling, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (rolling, metrics, decisions, backtests, market, reports, streams)
+MODULES = (rolling, metrics, decisions, backtests, market, reports, streams, inventory)
 
 
 def queries() -> dict[str, Query]:

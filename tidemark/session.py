@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tidemark", **conf: str) -> SparkSession:
@@ -18,9 +18,11 @@ def session(name: str = "tidemark", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on one machine), a folder made once."""
+    """The folder named by spark.checkpoint.dir; where that is unset, which is allowed on one machine alone, one made once."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         place = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place
@@ -31,6 +33,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: what several branches of a plan need is computed once."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of an Arrow batch that goes to Python: rows differ in size by orders of magnitude, so a count of rows bounds nothing.
 BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 

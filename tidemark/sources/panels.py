@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, one a line, by their schema: fields that a document lacks are null, others aren't read."""
+    return spark.read.schema(schema).json(path)
+
+
 def _panel(spark: SparkSession, sf_dir: str, asset: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select("l_partkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", F.col("l_shipdate").cast("date").alias("dt"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col(asset).alias("asset"))
