@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import backtest, intervals, metrics, ranking, relational, risk, signals
+from tidemark.operators import backtest, intervals, metrics, ranking, regimes, relational, risk, signals, single
+from tidemark.sources import sinks
 
 
 def panel(spark, closes, asset="A", start="2021-01-01"):
@@ -97,12 +98,66 @@ def test_percentiles_with_ties_and_a_single_asset(spark):
 
 def test_holdings_keep_survivors_and_fill(spark):
     d = datetime.date
-    ranks = spark.createDataFrame([(d(2020, 1, day), a, i + 1, 0.0) for day, order in ((1, "abcde"), (2, "badce"), (3, "edcba")) for i, a in enumerate(order)], "dt date, asset string, rank int, score double")
-    scen = spark.createDataFrame([("s", 3, d(2020, 1, day)) for day in (1, 2, 3, 4)], "scenario string, buffer int, dt date")
+    ranks = spark.createDataFrame([(d(2020, 1, day), 40, a, i + 1, 0.0) for day, order in ((1, "abcde"), (2, "badce"), (3, "edcba")) for i, a in enumerate(order)], "dt date, every int, asset string, rank int, score double")
+    scen = spark.createDataFrame([("s", 40, 3, d(2020, 1, day)) for day in (1, 2, 3, 4)], "scenario string, every int, buffer int, dt date")
     found = {r.dt.day: r.holdings for r in backtest.conditional_holdings(scen, ranks).collect()}
     assert found == {1: ["a", "b", "c"], 2: ["a", "b", "d"], 3: ["d", "e", "c"], 4: ["d", "e", "c"]}
 
 
+def many(spark, lengths, start="2021-01-01", drop=()):
+    """A panel of assets a00, a01, ... with histories of some lengths that end on the same day; ``drop`` fall at the end."""
+    rng, rows = np.random.default_rng(5), []
+    end = pd.Timestamp(start) + pd.Timedelta(days=400)
+    for i, n in enumerate(lengths):
+        closes = 100 * np.exp(rng.normal(0.001, 0.01, n).cumsum())
+        if i in drop:
+            closes[-20:] *= np.linspace(0.9, 0.5, 20)
+        rows += [(f"a{i:02}", (end - pd.Timedelta(days=n - 1 - k)).date(), float(c), float(c), float(c), float(c), 1.0) for k, c in enumerate(closes)]
+    assets = spark.createDataFrame([(f"a{i:02}", i + 1) for i in range(len(lengths))], "asset string, ord int")
+    return spark.createDataFrame(rows, "asset string, dt date, open double, high double, low double, close double, volume double"), assets, end.date()
+
+
+@pytest.mark.parametrize(("every", "ranked"), [(20, 10), (40, 12), (60, 10), (63, 10)])
+def test_rankings_need_history_and_momentum(spark, every, ranked):
+    """Fourteen assets, two of them fallen; two have 120 rows and the others 260."""
+    bars, assets, day = many(spark, [260] * 12 + [120] * 2, drop=(0, 1))
+    dates = spark.createDataFrame([(day, every)], "dt date, every int")
+    found = ranking.as_of_rankings(bars, assets, dates).orderBy("rank").collect()
+    assert len(found) == ranked and not {"a00", "a01"} & {r.asset for r in found} and [r["rank"] for r in found] == list(range(1, ranked + 1))
+    assert all(x.score >= y.score for x, y in zip(found, found[1:], strict=False)) and all(r.seen == day for r in found)
+
+
+def test_no_ranking_of_few_assets_and_fifty_at_most(spark):
+    bars, assets, day = many(spark, [220] * 9)
+    dates = spark.createDataFrame([(day, 63)], "dt date, every int")
+    assert ranking.as_of_rankings(bars, assets, dates).count() == 0
+    bars, assets, day = many(spark, [220] * 54)
+    found = {r.asset for r in ranking.as_of_rankings(bars, assets, spark.createDataFrame([(day, 63)], "dt date, every int")).collect()}
+    fallen = bars.withColumn("r", S.simple_return()).withColumn("k", S.from_end()).where("k <= 63").groupBy("asset").agg(F.sum("r").alias("s")).where("s <= -0.1").count()
+    assert fallen or found == {f"a{i:02}" for i in range(50)}
+
+
+def test_signal_holdings(spark):
+    """A holding that left the best three goes only for a candidate that rotates, and only if it doesn't itself."""
+    d = datetime.date
+    orders = {1: "abcde", 2: "dabce", 3: "dabce", 4: "edabc", 5: "edcba"}
+    ranks = spark.createDataFrame([(d(2020, 1, day), a, i + 1) for day, order in orders.items() for i, a in enumerate(order)], "dt date, asset string, rank int")
+    rotating = {2: "d", 3: "d", 4: "ec", 5: "e"}
+    signals_ = spark.createDataFrame([(d(2020, 1, day), a, "ROTATE" if a in rotating.get(day, "") else "WAIT") for day in orders for a in "abcde"], "dt date, asset string, signal string")
+    stressed = spark.createDataFrame([(d(2020, 1, day), day == 2) for day in orders], "dt date, stressed boolean")
+    found = {r.dt.day: r.holdings for r in backtest.signal_holdings(ranks, signals_, stressed).collect()}
+    assert found == {1: ["a", "b", "c"], 2: ["a", "b", "c"], 3: ["a", "b", "d"], 4: ["a", "e", "d"], 5: ["a", "e", "d"]}
+
+
+def test_volatility_holdings(spark):
+    d = datetime.date
+    orders = {1: "abcde", 2: "dabce", 3: "dabce", 4: "edcba"}
+    ranks = spark.createDataFrame([(d(2020, 1, day), a, i + 1) for day, order in orders.items() for i, a in enumerate(order)], "dt date, asset string, rank int")
+    calm = spark.createDataFrame([(d(2020, 1, day), day != 2) for day in orders], "dt date, calm boolean")
+    found = {r.dt.day: r.holdings for r in backtest.volatility_holdings(ranks, calm).collect()}
+    assert found == {1: ["a", "b", "c"], 2: ["a", "b", "c"], 3: ["a", "b", "d"], 4: ["e", "c", "d"]}
+
+
 def test_growth_of_equity_is_the_product(spark):
     rets = spark.createDataFrame([("s", datetime.date(2020, 1, i + 1), r) for i, r in enumerate([0.1, -0.5, 0.2])], "scenario string, dt date, ret double")
     assert last(backtest.equity(rets)).value == pytest.approx(100_000 * 1.1 * 0.5 * 1.2)
@@ -119,11 +174,148 @@ def test_student_t_fit_and_tail():
     assert risk.fit_t(x[:10]) == (2.1, 0.0, 0.02)
 
 
-def test_kalman_hull_bounds_and_short_series(spark):
+def plain_trend(frame, noise, process, factor, days):
+    """The trend in plain pandas, a row at a time."""
+    close, high, low = frame["close"], frame["high"], frame["low"]
+    path = close.diff().abs().iloc[-10:].sum()
+    er = min(1.0, abs(close.iloc[-1] - close.iloc[-11]) / path) if path else 0.5
+    tr = pd.concat([high - low, (high - close.shift()).abs(), (low - close.shift()).abs()], axis=1).max(axis=1)
+    atr = tr.rolling(days, min_periods=1).mean()
+    unrest = atr.iloc[-1] / close.iloc[-1]
+    r, q = noise * (1 - er) * (1 + unrest), process * (1 + unrest)
+    state, p, smooth = close.iloc[0], 100.0, []
+    for price in close:
+        gain = (p + q) / (p + q + r)
+        state, p = state + gain * (price - state), (1 - gain) * (p + q)
+        smooth.append(state)
+
+    def wma(x, n):
+        w = np.arange(1, n + 1)
+        return x.rolling(n).apply(lambda v: (v * w).sum() / w.sum(), raw=True)
+
+    n = max(3, min(round(r), len(close) // 2))
+    hull = wma(2 * wma(pd.Series(smooth), max(2, n // 2)) - wma(pd.Series(smooth), n), max(2, round(n**0.5)))
+    up, lo, trends = (hull + factor * atr.to_numpy()).tolist(), (hull - factor * atr.to_numpy()).tolist(), []
+    prices = close.tolist()
+    for i in range(1, len(prices)):
+        if prices[i - 1] < lo[i - 1]:
+            lo[i] = max(lo[i], lo[i - 1])
+        if prices[i - 1] > up[i - 1]:
+            up[i] = min(up[i], up[i - 1])
+    for i, price in enumerate(prices):
+        trends.append(1 if price > up[i] else -1 if price < lo[i] else trends[-1] if trends else 0)
+    gap = {1: up[-1] - prices[-1], -1: prices[-1] - lo[-1], 0: min(abs(prices[-1] - up[-1]), abs(prices[-1] - lo[-1]))}[trends[-1]]
+    place = 1 - gap / (up[-1] - lo[-1]) if up[-1] > lo[-1] else 0.5
+    strength = 0.6 * min(1, max(0, place)) + 0.4 * er
+    return trends[-1], hull.iloc[-1], up[-1], lo[-1], er, 1 + sum(x != y for x, y in zip(trends[-20:], trends[-19:], strict=False)) < 4, strength
+
+
+@pytest.mark.parametrize("band", ["LOW", "MEDIUM", "HIGH"])
+def test_kalman_hull_equals_a_plain_version(spark, band):
     rng = np.random.default_rng(4)
-    up = panel(spark, list(50 + np.arange(252) * 0.5 + rng.normal(0, 0.1, 252)), "UP").unionByName(panel(spark, [1.0] * 29, "SHORT"))
-    found = {r.asset: r for r in signals.kalman_hull(up).collect()}
-    assert found["SHORT"].signal == 0.0 and -1 <= found["UP"].signal <= 1 and found["UP"].trend == 1
+    series = {"UP": 50 + np.arange(252) * 0.5 + rng.normal(0, 0.1, 252), "WALK": 50 + rng.normal(0, 0.5, 252).cumsum(), "DOWN": 90 - np.arange(60) + rng.normal(0, 2, 60), "SHORT": np.ones(29), "FLAT": np.full(40, 7.0)}
+    rows = None
+    for name, closes in series.items():
+        rows = panel(spark, list(closes), name) if rows is None else rows.unionByName(panel(spark, list(closes), name))
+    found = {r.asset: r for r in signals.kalman_hull(rows, band).collect()}
+    assert found["SHORT"].signal_strength == 0.0 and found["SHORT"].trend is None
+    for name in ("UP", "WALK", "DOWN"):
+        frame = rows.where(F.col("asset") == name).orderBy("dt").toPandas()
+        r = found[name]
+        assert (r.trend, r.kalman_price, r.upper_band, r.lower_band, r.efficiency_ratio, r.trend_consistency, r.signal_strength) == pytest.approx(plain_trend(frame, *signals.KALMAN[band]))
+    assert found["FLAT"].efficiency_ratio == 0.5
+    own = rows.withColumn("band", F.lit(band.lower()))
+    assert sorted(map(str, signals.kalman_hull(own, "other").collect())) == sorted(map(str, found.values()))
+
+
+def test_divergence_at_the_end():
+    flat = np.concatenate((np.full(20, 10.0), [9.0]))
+    rising = np.linspace(1, 2, 21)
+    assert signals._divergence_at_end(flat, rising) == "bullish" and signals._divergence_at_end(-flat, -rising) == "bearish"
+    assert signals._divergence_at_end(flat[1:], rising[1:]) == "none" and signals._divergence_at_end(flat, flat) == "none"
+
+
+@pytest.mark.parametrize(("vol", "beta", "band"), [
+    (0.1, 0.5, "LOW"), (0.1, 1.2, "LOW"), (0.1, 1.3, "MEDIUM"), (0.12, 0.5, "MEDIUM"), (0.22, 1.2, "MEDIUM"), (0.22, 1.3, "HIGH"), (0.3, 0.79, "MEDIUM"), (0.3, 0.8, "HIGH"), (0.3, 2.0, "HIGH"), (None, 1.0, "UNKNOWN"), (0.2, None, "UNKNOWN"),
+])
+def test_risk_matrix(spark, vol, beta, band):
+    row = spark.createDataFrame([(vol, beta)], "v double, b double").select(risk.risk_class(F.col("v"), F.col("b")).alias("c")).first()
+    assert row.c == band
+
+
+def regime_series(spark, pairs, n=40):
+    """Series whose returns have a given sign towards those of equity, gold or rates; shaped by a shared noise."""
+    rng = np.random.default_rng(6)
+    days = pd.date_range("2021-01-01", periods=n).date
+    base = rng.normal(0, 0.01, n)
+    rows = []
+    for name, share in pairs.items():
+        rets = share * base + (1 - abs(share)) * rng.normal(0, 0.01, n)
+        rows += [(name, d, float(v)) for d, v in zip(days, 100 * np.cumprod(1 + rets), strict=True)]
+    return spark.createDataFrame(rows, "name string, dt date, value double")
+
+
+@pytest.mark.parametrize(("shares", "regime"), [
+    ({"gold": -1.0, "equity": 1.0, "vix": 1.0, "us_10y": 1.0, "aud_usd": 0.1}, "CRISIS"), ({"gold": 1.0, "equity": 1.0, "vix": -1.0, "us_10y": 1.0, "aud_usd": 0.1}, "RISK_ON"),
+    ({"gold": -1.0, "equity": 1.0, "vix": 1.0, "us_10y": -1.0, "aud_usd": 0.1}, "RISK_OFF"),
+])
+def test_regimes(spark, shares, regime):
+    found = regimes.timeline(regime_series(spark, shares)).orderBy("dt").collect()
+    assert found and {r.regime for r in found} == {regime}
+    few = regimes.timeline(regime_series(spark, {k: v for k, v in shares.items() if k in ("gold", "equity", "aud_usd")})).collect()
+    assert {(r.regime, r.sub, r.confidence) for r in few} == {("UNKNOWN", "UNKNOWN", 0.0)}
+
+
+@pytest.mark.parametrize(("code", "region"), [("BHP.AX", "Australia"), ("X-JKT", "Indonesia"), ("SAP.DE", "Germany"), ("MC.PA", "France"), ("AAPL", "United States"), ("A.B-HK", "Hong Kong"), ("Z.QQ", "United States"), (None, "United States")])
+def test_regions(spark, code, region):
+    assert spark.createDataFrame([(code,)], "c string").select(rules.region_of(F.col("c")).alias("r")).first().r == region
+
+
+def test_single_analysis(spark):
+    rng = np.random.default_rng(7)
+    closes = list(100 * np.exp(rng.normal(0, 0.013, 330).cumsum()))
+    row = single.analysis(panel(spark, closes).unionByName(panel(spark, [1.0] * 20, "SHORT"))).collect()
+    assert len(row) == 1
+    r, s = row[0], pd.Series(closes, pd.date_range("2021-01-01", periods=330))
+    ret = s.pct_change().dropna()
+    assert r.volatility == pytest.approx(ret.std() * 252**0.5) and r.band == "MEDIUM" and r.latest == pytest.approx(closes[-1])
+    assert r.forecast == pytest.approx(-100 * np.clip(ret.tail(20).sum(), -0.1, 0.1)) and r.cvar == pytest.approx(risk.tail_loss(ret.to_numpy()))
+    assert r.ytd_return == pytest.approx((s.iloc[-1] / s.iloc[0] - 1) * 100) and r.one_year_return == pytest.approx((s.iloc[-1] / s.iloc[0] - 1) * 100)
+    tail = min(20, -max(r.cvar, -0.5) * 200) if r.cvar < 0 else 0
+    assert r.score == pytest.approx(max(0, min(100, np.clip(r.forecast * 4, -40, 40) + r.hit_rate * 20 + min(20, r.signal * 20) + tail)), abs=1e-6)
+
+
+def test_conditional_sharpe_by_a_fitted_law(spark):
+    rng = np.random.default_rng(8)
+    bars = panel(spark, list(100 * np.exp((rng.standard_t(5, 400) * 0.01).cumsum())))
+    days = [r.dt for r in bars.select("dt").orderBy("dt").collect()]
+    fear = dict(zip(days, rng.gamma(2, 8, 400).tolist(), strict=True))
+    law = risk.fitted_laws(bars).first()
+    found = risk.conditional_sharpe(bars, spark.createDataFrame(list(fear.items()), "dt date, value double"), risk.fitted_laws(bars)).first()
+    s = pd.Series([r.close for r in bars.orderBy("dt").collect()], days).pct_change().dropna()
+    f = pd.Series(fear)[s.index]
+    stress = s[f > np.percentile(f, 85)]
+    want = (stress.mean() * 252 - 0.0435) / (law.scale * (law.degrees / (law.degrees - 2)) ** 0.5 * 252**0.5)
+    assert found.days == len(stress) and found.sharpe == pytest.approx(max(-3, min(3, want)))
+    short = risk.conditional_sharpe(bars.where("dt < date '2021-06-01'"), spark.createDataFrame(list(fear.items()), "dt date, value double")).first()
+    assert short.sharpe is None
+    wide = risk.enhanced_volatility(bars).first().volatility
+    assert wide == pytest.approx(s.tail(252).std() * 252**0.5 * (law.degrees / (law.degrees - 2)) ** 0.5)
+
+
+def test_volatility_decision(spark):
+    own = spark.createDataFrame([("a", 0.5, 0.4, True), ("b", 0.1, 0.4, False)], "asset string, vol_20 double, p95 double, elevated boolean")
+    calm, wild = (spark.createDataFrame([(m, md)], "mean double, median double") for m, md in ((0.2, 0.18), (0.2, 0.1)))
+    found = {r.asset: (r.decision, r.reason) for r in intervals.volatility_decision(own, calm).collect()}
+    assert found["a"] == ("ROTATE", "a volatility 50.0% above its range to 40.0% | market normal: mean volatility 20.0% | ROTATE: the asset alone is volatile") and found["b"][0] == "ROTATE"
+    assert {r.decision for r in intervals.volatility_decision(own, wild).collect()} == {"HOLD"}
+
+
+def test_unknown_partition_is_refused(spark, tmp_path):
+    sinks.partitioned(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), str(tmp_path / "t"), "k")
+    assert [r.v for r in sinks.partition(spark, str(tmp_path / "t"), "k", "a", ("a", "b")).collect()] == [1]
+    with pytest.raises(ValueError, match="must be one of"):
+        sinks.partition(spark, str(tmp_path / "t"), "k", "c", ("a", "b"))
 
 
 def test_interval_without_history_is_no_ci(spark):

@@ -87,15 +87,28 @@ def status(panel: DataFrame, as_of, least: int = 1000, stale: int = 30) -> DataF
     return found.select("asset", F.when(F.col("n") < least, "short").when(F.col("age") > stale, "stale").otherwise("ok").alias("status"))
 
 
+#: The range in which the values of some series must lie.
+RANGES = {"vix": (5.0, 100.0), "aud_usd": (0.3, 2.0), "au_10y": (0.0, 20.0), "us_10y": (0.0, 20.0), "gold": (10.0, 500.0)}
+
+
 def series_quality(series: DataFrame, as_of: Column, least: int = 100, missing: float = 0.05, stale: int = 7) -> DataFrame:
     """(name, points, issues): what is wrong with each series, as a list."""
-    found = series.groupBy("name").agg(F.count("*").alias("points"), F.avg(F.col("value").isNull().cast("double")).alias("gap"), F.datediff(as_of, F.max("dt")).alias("age"), F.min("value").alias("low"))
+    ranges = F.create_map(*(x for name, (low, high) in RANGES.items() for x in (F.lit(name), F.array(F.lit(low), F.lit(high)))))
+    found = series.groupBy("name").agg(F.count("*").alias("points"), F.avg(F.col("value").isNull().cast("double")).alias("gap"), F.datediff(as_of, F.max("dt")).alias("age"), F.min("value").alias("low"), F.max("value").alias("high"))
+    bounds = ranges[F.col("name")]
     issues = F.array(
-        F.when(F.col("points") < least, "few points"), F.when(F.col("gap") > missing, "gaps"), F.when(F.col("age") > stale, "stale"), F.when(F.col("low") <= 0, "not positive")
+        F.when(F.col("points") < least, "few points"), F.when(F.col("gap") > missing, "gaps"), F.when(F.col("age") > stale, "stale"), F.when((F.col("low") < bounds[0]) | (F.col("high") > bounds[1]), "out of range")
     )
     return found.select("name", "points", F.filter(issues, lambda x: x.isNotNull()).alias("issues"))
 
 
+def with_holdings(found: DataFrame, holdings: DataFrame, least: int = 5) -> DataFrame:
+    """``status`` rows, where assets that are ok but have fewer than ``least`` holdings (``holdings``: asset, holdings) become
+    "few holdings"."""
+    few = F.coalesce(F.col("holdings"), F.lit(0)) < least
+    return found.join(holdings, "asset", "left").select("asset", F.when((F.col("status") == "ok") & few, "few holdings").otherwise(F.col("status")).alias("status"))
+
+
 def series_summary(series: DataFrame) -> DataFrame:
     return series.groupBy("name").agg(
         F.count("value").alias("points"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),

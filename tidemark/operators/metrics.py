@@ -109,12 +109,14 @@ def quarters(panel: DataFrame) -> DataFrame:
     return rows.select("asset", "quarter", "close", change.alias("change"))
 
 
-def sector_wins(changes: DataFrame, sectors: DataFrame) -> DataFrame:
-    """Share of quarters in which an asset beat its sector's median; a quarter without a change of its own is lost."""
+def sector_wins(changes: DataFrame, sectors: DataFrame, history: DataFrame, least: int = 500) -> DataFrame:
+    """Share of quarters in which an asset beat its sector's median; a quarter without a change of its own is lost. Assets
+    with fewer than ``least`` rows (``history``: asset, rows) have none, but count in their sector's median."""
+    long = history.where(F.col("rows") >= least).select("asset")
     rows = changes.join(sectors.select("asset", "sector"), "asset")
     medians = rows.where("change is not null").groupBy("sector", "quarter").agg(F.median("change").alias("median"))
     first = Window.partitionBy("asset").orderBy("quarter")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n > 1").join(medians, ["sector", "quarter"])
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n > 1").join(medians, ["sector", "quarter"]).join(long, "asset", "left_semi")
     return rows.groupBy("asset").agg(F.avg(F.coalesce((F.col("change") > F.col("median")).cast("double"), F.lit(0.0))).alias("wins"), F.count("*").alias("quarters"))
 
 

@@ -38,9 +38,19 @@ def outer_mean(frames: list[DataFrame], value: str, on: str = "dt") -> DataFrame
 
 
 def zipped_from_end(a: DataFrame, b: DataFrame, order: str = "dt") -> DataFrame:
-    """Two series side by side by their places from the end, for as long as the shorter one is."""
-    place = F.row_number().over(Window.orderBy(F.desc(order)))
-    x, y = a.withColumn("place", place), b.withColumn("place", place)
+    """Two series side by side by their places from the end, for as long as the shorter one is.
+
+    A place is a row's place within its month plus the rows of all later months, so that only the months, one row each,
+    are ordered together."""
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_month", F.trunc(order, "month"))
+        later = Window.orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
+        months = rows.groupBy("_month").agg(F.count("*").alias("_n")).select("_month", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+        inside = F.row_number().over(Window.partitionBy("_month").orderBy(F.desc(order)))
+        return rows.withColumn("_inside", inside).join(months, "_month").withColumn("place", (F.col("_inside") + F.col("_later")).cast("int")).drop("_month", "_inside", "_later")
+
+    x, y = placed(a), placed(b)
     return x.select("place", *(F.col(c).alias(f"a_{c}") for c in a.columns)).join(y.select("place", *(F.col(c).alias(f"b_{c}") for c in b.columns)), "place")
 
 

@@ -19,6 +19,13 @@ def volatility(panel: DataFrame, year: int = S.TRADING_DAYS, least: int = 90) ->
     return rows.groupBy("asset").agg(F.when(F.count("*") >= least, sd).alias("volatility"))
 
 
+def enhanced_volatility(panel: DataFrame) -> DataFrame:
+    """(asset, volatility): ``volatility`` widened by the fat tails of each asset's Student-t law, where that has a variance."""
+    law = fitted_laws(panel).select("asset", "degrees")
+    wide = F.when(F.col("degrees") > 2.1, F.sqrt(F.col("degrees") / (F.col("degrees") - 2))).otherwise(1.0)
+    return volatility(panel).join(law, "asset", "left").select("asset", (F.col("volatility") * F.coalesce(wide, F.lit(1.0))).alias("volatility"))
+
+
 def aligned(panel: DataFrame, benchmarks: DataFrame, days: int | None = None) -> DataFrame:
     """(asset, benchmark, dt, ret, bret): returns of both on common days; of the last ``days`` rows of each side, if given."""
     own = panel.withColumn("ret", S.simple_return()).where("ret is not null").select("asset", "dt", "ret")

@@ -47,12 +47,15 @@ def _conditional_sql(scenarios: str) -> str:
     """Daily returns of the conditional rebalancing of ``scenarios`` (a query with scenario, every, buffer)."""
     return f"""WITH RECURSIVE {RETS}, {_SCORES}, scen AS ({scenarios}),
   steps AS (SELECT scenario, every, buffer, d, row_number() OVER (PARTITION BY scenario ORDER BY d) AS i
-    FROM (SELECT scenario, every, buffer, CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY, to_days(CAST(every AS INTEGER)))) AS DATE) AS d FROM scen)),
+    FROM (SELECT scenario, every, buffer, CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY,
+        to_days(CAST(every AS INTEGER)))) AS DATE) AS d FROM scen)),
   {_ranks_sql("SELECT d, every FROM steps")},
-  tops AS (SELECT scenario, i, steps.d, coalesce(list(asset ORDER BY rank) FILTER (rank <= buffer), []) AS top FROM steps LEFT JOIN ranks ON ranks.d = steps.d AND ranks.every = steps.every GROUP BY ALL),
+  tops AS (SELECT scenario, i, steps.d, coalesce(list(asset ORDER BY rank) FILTER (rank <= buffer), []) AS top FROM steps LEFT JOIN ranks ON ranks.d = steps.d
+      AND ranks.every = steps.every GROUP BY ALL),
   held(scenario, i, d, state) AS (
     SELECT scenario, i, d, list_slice(top, 1, 3) FROM tops WHERE i = 1 UNION ALL
-    SELECT t.scenario, t.i, t.d, CASE WHEN len(top) = 0 THEN state ELSE list_slice(list_concat(list_filter(state, lambda x: list_contains(top, x)), list_filter(top, lambda x: NOT list_contains(state, x))), 1, 3) END
+    SELECT t.scenario, t.i, t.d, CASE WHEN len(top) = 0 THEN state ELSE list_slice(list_concat(list_filter(state, lambda x: list_contains(top, x)), list_filter(top,
+        lambda x: NOT list_contains(state, x))), 1, 3) END
     FROM held h JOIN tops t ON t.scenario = h.scenario AND t.i = h.i + 1),
   {_PAIRS},
   days AS (SELECT DISTINCT dt, scenario FROM pairs, scen WHERE dt BETWEEN DATE '{START}' AND DATE '{END}'),
@@ -75,7 +78,8 @@ def _conditional(spark: SparkSession, sf_dir: str, every: tuple[int, ...], buffe
     return backtest.equity(backtest.daily_returns(holdings, bars, START, END))
 
 
-@query(f"{_conditional_sql('SELECT 1 AS k, 40 AS every, 10 AS buffer, chr(52) AS scenario')} SELECT dt, round(ret, 6) AS ret, round(ln(growth * 100000), 6) AS log_value FROM eq")
+@query(f"""{_conditional_sql('SELECT 1 AS k, 40 AS every, 10 AS buffer, chr(52) AS scenario')} SELECT dt, round(ret, 6) AS ret, round(ln(growth * 100000), 6) AS log_value
+    FROM eq""")
 def conditional_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The equity of three holdings, checked every 40 days and replaced once they leave the best ten; as a logarithm."""
     rows = _conditional(spark, sf_dir, (40,), (10,))
@@ -86,7 +90,8 @@ _SWEEP = "SELECT e.every, b.buffer, printf('%d/%d', e.every, b.buffer) AS scenar
 _SWEEP_DOWN = "sw AS (SELECT scenario, dt, ret, growth, growth / max(growth) OVER (PARTITION BY scenario ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS down FROM eq)"
 
 
-@query(f"{_conditional_sql(_SWEEP)}, {_SWEEP_DOWN} SELECT scenario, round(ln(arg_max(growth, dt)), 6) AS log_total, round(min(down), 6) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM sw GROUP BY scenario")
+@query(f"""{_conditional_sql(_SWEEP)}, {_SWEEP_DOWN} SELECT scenario, round(ln(arg_max(growth, dt)), 6) AS log_total, round(min(down), 6) AS max_drawdown, round(avg(CASE
+    WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM sw GROUP BY scenario""")
 def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve scenarios in one plan."""
     rows = _conditional(spark, sf_dir, (20, 40, 60, 120), (5, 10, 15))
@@ -94,7 +99,8 @@ def param_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("scenario", F.log(1 + F.col("total")).alias("log_total"), "max_drawdown", "hit_rate"), "log_total", "max_drawdown", "hit_rate")
 
 
-@query(f"{_conditional_sql(_SWEEP)}, t AS (SELECT split_part(scenario, '/', 1) AS every, split_part(scenario, '/', 2) AS buffer, ln(arg_max(growth, dt)) AS lt FROM eq GROUP BY scenario) SELECT every, buffer, round(avg(lt), 6) AS mean_log_total, count(*) AS cells FROM t GROUP BY CUBE (every, buffer)")
+@query(f"""{_conditional_sql(_SWEEP)}, t AS (SELECT split_part(scenario, '/', 1) AS every, split_part(scenario, '/', 2) AS buffer, ln(arg_max(growth, dt)) AS lt FROM eq
+    GROUP BY scenario) SELECT every, buffer, round(avg(lt), 6) AS mean_log_total, count(*) AS cells FROM t GROUP BY CUBE (every, buffer)""")
 def grid_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean result by check interval, by buffer, by both and overall."""
     rows = _conditional(spark, sf_dir, (20, 40, 60, 120), (5, 10, 15)).groupBy("scenario").agg(F.log(F.max_by("value", "dt") / backtest.CAPITAL).alias("lt"))
@@ -113,7 +119,8 @@ def buy_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS}, c AS (SELECT dt FROM bars WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY dt HAVING count(DISTINCT asset) = 3),
-  r AS (SELECT dt, close / lag(close) OVER (PARTITION BY asset ORDER BY dt) - 1 AS ret FROM bars WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3') AND dt IN (SELECT dt FROM c)),
+  r AS (SELECT dt, close / lag(close) OVER (PARTITION BY asset ORDER BY dt) - 1 AS ret FROM bars WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3') AND dt IN (SELECT dt
+      FROM c)),
   daily AS (SELECT dt, avg(ret) AS ret FROM r WHERE ret IS NOT NULL GROUP BY dt)
   SELECT dt, round(ln(product(1 + ret) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) * 100000), 6) AS log_value FROM daily""")
 def equal_weight_common(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +128,8 @@ def equal_weight_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("dt", F.log("value").alias("log_value")), "log_value")
 
 
-@query(f"""WITH {RETS}, {_SCORES}, {_ranks_sql(f"SELECT CAST(last_day(CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 MONTH)) AS DATE)) AS DATE) AS d, 63 AS every")},
+@query(f"""WITH {RETS}, {_SCORES},
+    {_ranks_sql(f"SELECT CAST(last_day(CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 MONTH)) AS DATE)) AS DATE) AS d, 63 AS every")},
   picks AS (SELECT d, list(asset) AS held FROM ranks WHERE rank <= 3 GROUP BY d),
   days AS (SELECT DISTINCT dt FROM rets WHERE ret IS NOT NULL AND dt BETWEEN DATE '{START}' AND DATE '{END}'),
   inforce AS (SELECT dt, unnest(held) AS asset FROM days ASOF JOIN picks ON days.dt >= picks.d),
@@ -133,13 +141,16 @@ def scheduled_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, s AS (SELECT *, sum(ret) OVER {last(20)} AS s20 FROM rets)
-  SELECT asset, round(CASE WHEN n >= 100 THEN greatest(-0.1, least(0.1, s20)) * 100 ELSE 0 END, 6) AS forecast, CASE WHEN n >= 100 THEN 0.9::DOUBLE ELSE 0.5 END AS confidence FROM s WHERE rn = n""")
+  SELECT asset, round(CASE WHEN n >= 100 THEN greatest(-0.1, least(0.1, s20)) * 100 ELSE 0 END, 6) AS forecast, CASE WHEN n >= 100 THEN 0.9::DOUBLE
+      ELSE 0.5 END AS confidence FROM s WHERE rn = n""")
 def forecast_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.forecasts(panels.bars(spark, sf_dir)), "forecast")
 
 
-@query(f"""WITH {RETS}, s AS (SELECT *, sum(ret) OVER {last(20)} AS s20, sum(ret) OVER {last(19)} AS s19 FROM rets), h AS (SELECT *, lag(s20, 20) OVER (PARTITION BY asset ORDER BY dt) AS p FROM s)
-  SELECT asset, count(*) AS windows, round(CASE WHEN count(*) >= 3 THEN avg(CAST(sign(p) = sign(s19) AS DOUBLE)) END, 6) AS hit_rate FROM h WHERE rn >= 120 AND (rn - 120) % 15 = 0 AND rn < n - 20 GROUP BY asset""")
+@query(f"""WITH {RETS}, s AS (SELECT *, sum(ret) OVER {last(20)} AS s20, sum(ret) OVER {last(19)} AS s19 FROM rets), h AS (SELECT *, lag(s20, 20) OVER (PARTITION BY asset
+    ORDER BY dt) AS p FROM s)
+  SELECT asset, count(*) AS windows, round(CASE WHEN count(*) >= 3 THEN avg(CAST(sign(p) = sign(s19) AS DOUBLE)) END, 6) AS hit_rate FROM h WHERE rn >= 120
+      AND (rn - 120) % 15 = 0 AND rn < n - 20 GROUP BY asset""")
 def walk_forward_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(backtest.walk_forward_hits(panels.bars(spark, sf_dir)), "hit_rate")
 

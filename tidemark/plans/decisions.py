@@ -16,14 +16,17 @@ from tidemark.sources import panels
 
 QUERIES, ORACLES, query = registry()
 
-_CI = f"""{METRICS}, h AS (UNPIVOT (SELECT asset, dt, hit_rate, conviction, stability FROM m WHERE n - rn < 100) ON hit_rate, conviction, stability INTO NAME metric VALUE value),
+_CI = f"""{METRICS}, h AS (UNPIVOT (SELECT asset, dt, hit_rate, conviction, stability FROM m WHERE n - rn < 100) ON hit_rate, conviction,
+    stability INTO NAME metric VALUE value),
   w AS (SELECT asset, metric, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM h GROUP BY ALL),
   v AS (SELECT asset, metric, CASE WHEN metric = 'conviction' THEN greatest(lo, least(hi, value)) ELSE value END AS x FROM h JOIN w USING (asset, metric)),
-  ci AS (SELECT asset, metric, quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975) AS upper, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.5) AS median FROM v GROUP BY ALL)"""
+  ci AS (SELECT asset, metric, quantile_cont(x, 0.025) AS lower, quantile_cont(x, 0.975) AS upper, avg(x) AS mean, stddev_pop(x) AS std, quantile_cont(x, 0.5) AS median
+      FROM v GROUP BY ALL)"""
 _CURRENT = """cur AS (UNPIVOT (SELECT asset, hit_rate, conviction, stability FROM m WHERE rn = n) ON hit_rate, conviction, stability INTO NAME metric VALUE value),
   g AS (SELECT asset, value, lower, upper, CASE WHEN value < lower THEN lower - value WHEN value > upper THEN value - upper ELSE 0 END AS gap,
     abs(CASE WHEN value < lower THEN lower ELSE upper END) AS bound FROM cur LEFT JOIN ci USING (asset, metric)),
-  sig AS (SELECT asset, sum(CASE WHEN gap = 0 THEN 0.0 WHEN CASE WHEN bound = 0 THEN gap ELSE gap / bound END <= 0.10 THEN 0.3 WHEN CASE WHEN bound = 0 THEN gap ELSE gap / bound END <= 0.20 THEN 0.7 ELSE 1.0 END)::DOUBLE AS weight FROM g GROUP BY asset),
+  sig AS (SELECT asset, sum(CASE WHEN gap = 0 THEN 0.0 WHEN CASE WHEN bound = 0 THEN gap ELSE gap / bound END <= 0.10 THEN 0.3 WHEN CASE WHEN bound = 0 THEN gap
+      ELSE gap / bound END <= 0.20 THEN 0.7 ELSE 1.0 END)::DOUBLE AS weight FROM g GROUP BY asset),
   decided AS (SELECT asset, weight, CASE WHEN weight < 0.5 THEN 'HOLD' WHEN weight <= 1.5 THEN 'WAIT' ELSE 'ROTATE' END AS signal FROM sig)"""
 
 
@@ -35,7 +38,8 @@ def _newest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_k", S.from_end()).where("_k = 1").drop("_k")
 
 
-@query(f"WITH {RETS}, {_CI} SELECT asset, metric, round(lower, 4) AS lower, round(upper, 4) AS upper, round(mean, 4) AS mean, round(std, 4) AS std, round(median, 4) AS median FROM ci")
+@query(f"""WITH {RETS}, {_CI} SELECT asset, metric, round(lower, 4) AS lower, round(upper, 4) AS upper, round(mean, 4) AS mean, round(std, 4) AS std, round(median,
+    4) AS median FROM ci""")
 def metric_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intervals.intervals(intervals.history(_behaviour(spark, sf_dir))), "lower", "upper", "mean", "std", "median", digits=4)
 
@@ -50,7 +54,8 @@ def rotation_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_signals(spark, sf_dir), "weight")
 
 
-@query(f"WITH {RETS}, {_CI}, {_CURRENT} SELECT count(*) AS assets, round(avg(CAST(signal = 'ROTATE' AS DOUBLE)), 6) AS rotating, avg(CAST(signal = 'ROTATE' AS DOUBLE)) > 0.3 AS stressed FROM decided")
+@query(f"""WITH {RETS}, {_CI}, {_CURRENT} SELECT count(*) AS assets, round(avg(CAST(signal = 'ROTATE' AS DOUBLE)), 6) AS rotating,
+    avg(CAST(signal = 'ROTATE' AS DOUBLE)) > 0.3 AS stressed FROM decided""")
 def market_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intervals.market_stress(_signals(spark, sf_dir)), "rotating")
 
@@ -100,7 +105,8 @@ def market_vol(spark: SparkSession, sf_dir: str) -> DataFrame:
     asset || ' volatility ' || printf('%.1f%%', vol_20 * 100) || CASE WHEN elevated THEN ' above its range to ' || printf('%.1f%%', p95 * 100) ELSE ' in its range' END
     || ' | ' || CASE WHEN stress THEN 'market in stress: ' ELSE 'market normal: ' END || 'mean volatility ' || printf('%.1f%%', mean * 100)
     || CASE WHEN stress AND mean <= 0.30 THEN ' far above the median ' || printf('%.1f%%', md * 100) ELSE '' END
-    || ' | ' || CASE WHEN stress THEN 'HOLD: the market is in stress' WHEN elevated THEN 'ROTATE: the asset alone is volatile' ELSE 'ROTATE: a lower rank in a normal market is real' END AS reason
+    || ' | ' || CASE WHEN stress THEN 'HOLD: the market is in stress' WHEN elevated THEN 'ROTATE: the asset alone is volatile'
+        ELSE 'ROTATE: a lower rank in a normal market is real' END AS reason
   FROM x""")
 def vol_regime_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = written(panels.bars(spark, sf_dir), "bars")
@@ -133,7 +139,8 @@ def outer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.outer_mean(frames, "ret"), "ret")
 
 
-@query(f"""WITH {BARS}, a AS (SELECT close, row_number() OVER (ORDER BY dt DESC) AS place FROM bars WHERE asset = 'Brand#1'), b AS (SELECT close, row_number() OVER (ORDER BY dt DESC) AS place FROM bars WHERE asset = 'Brand#2')
+@query(f"""WITH {BARS}, a AS (SELECT close, row_number() OVER (ORDER BY dt DESC) AS place FROM bars WHERE asset = 'Brand#1'), b AS (SELECT close,
+    row_number() OVER (ORDER BY dt DESC) AS place FROM bars WHERE asset = 'Brand#2')
   SELECT CAST(place AS INTEGER) AS place, round(a.close, 8) AS a_close, round(b.close, 8) AS b_close FROM a JOIN b USING (place)""")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = panels.bars(spark, sf_dir)
@@ -176,7 +183,8 @@ def factor_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(relational.upsert(old, new, ["asset", "dt"]), "close", digits=8)
 
 
-@query(f"""WITH {BARS}, f AS (SELECT asset, min(dt) AS first FROM bars GROUP BY asset), d AS (SELECT DISTINCT first AS dt FROM f) SELECT dt, count(*) AS available FROM d JOIN f ON first <= dt GROUP BY dt""")
+@query(f"""WITH {BARS}, f AS (SELECT asset, min(dt) AS first FROM bars GROUP BY asset), d AS (SELECT DISTINCT first AS dt FROM f) SELECT dt, count(*) AS available FROM d
+    JOIN f ON first <= dt GROUP BY dt""")
 def availability_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many assets have begun by each day on which one does, as a running sum."""
     from pyspark.sql import Window
@@ -185,7 +193,8 @@ def availability_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("dt", F.sum("n").over(Window.orderBy("dt")).alias("available"))  # a row per day at most
 
 
-@query(f"""WITH {RETS}, k AS (SELECT asset, dt, ret FROM rets WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3') AND ret IS NOT NULL), c AS (SELECT r.asset, k.asset AS held, corr(r.ret, k.ret) AS c FROM rets r JOIN k ON r.dt = k.dt WHERE r.ret IS NOT NULL AND r.asset NOT IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ALL)
+@query(f"""WITH {RETS}, k AS (SELECT asset, dt, ret FROM rets WHERE asset IN ('Brand#1', 'Brand#2', 'Brand#3') AND ret IS NOT NULL), c AS (SELECT r.asset,
+    k.asset AS held, corr(r.ret, k.ret) AS c FROM rets r JOIN k ON r.dt = k.dt WHERE r.ret IS NOT NULL AND r.asset NOT IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY ALL)
   SELECT asset, round(max(c), 6) AS highest, round(avg(c), 6) AS mean FROM c GROUP BY asset""")
 def portfolio_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How closely each asset follows the ones that are held."""
@@ -198,9 +207,12 @@ def portfolio_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Ranking.
 
-_RANK = f"""{METRICS}, {ASSETS}, f AS (UNPIVOT (SELECT asset, kind AS band, hit_rate, conviction, stability, volume FROM m JOIN assets USING (asset) WHERE rn = n) ON hit_rate, conviction, stability, volume INTO NAME metric VALUE value),
-  p AS (SELECT *, rank() OVER (PARTITION BY band, metric ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY band, metric, value) AS ties, count(*) OVER (PARTITION BY band, metric) AS k FROM f),
-  pc AS (SELECT asset, band, metric, CASE WHEN metric = 'volume' THEN 100 - 50.0::DOUBLE / k * (2 * below + ties + 1) ELSE 50.0::DOUBLE / k * (2 * below + ties + 1) END AS p FROM p),
+_RANK = f"""{METRICS}, {ASSETS}, f AS (UNPIVOT (SELECT asset, kind AS band, hit_rate, conviction, stability, volume FROM m JOIN assets USING (asset)
+    WHERE rn = n) ON hit_rate, conviction, stability, volume INTO NAME metric VALUE value),
+  p AS (SELECT *, rank() OVER (PARTITION BY band, metric ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY band, metric, value) AS ties,
+      count(*) OVER (PARTITION BY band, metric) AS k FROM f),
+  pc AS (SELECT asset, band, metric, CASE WHEN metric = 'volume' THEN 100 - 50.0::DOUBLE / k * (2 * below + ties + 1)
+      ELSE 50.0::DOUBLE / k * (2 * below + ties + 1) END AS p FROM p),
   t AS (SELECT asset, band, avg(p) AS percentile, max(p) FILTER (metric = 'stability') AS stability FROM pc GROUP BY ALL)"""
 
 
@@ -210,7 +222,8 @@ def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.percentile_ranking(factors, inverted=("volume",))
 
 
-@query(f"WITH {RETS}, {_RANK} SELECT asset, band, round(percentile, 6) AS percentile, CAST(row_number() OVER (PARTITION BY band ORDER BY round(percentile, 9) DESC, asset) AS INTEGER) AS rank FROM t")
+@query(f"""WITH {RETS}, {_RANK} SELECT asset, band, round(percentile, 6) AS percentile, CAST(row_number() OVER (PARTITION BY band ORDER BY round(percentile, 9) DESC,
+    asset) AS INTEGER) AS rank FROM t""")
 def percentile_rank_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_ranking(spark, sf_dir).select("asset", "band", "percentile", "rank"), "percentile")
 
@@ -220,12 +233,14 @@ def risk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.without_tail(_ranking(spark, sf_dir), {"stability": 30}).select("asset", "band", "percentile"), "percentile")
 
 
-@query(f"""WITH {RETS}, {_RANK} SELECT asset, round(sum(p * CASE metric WHEN 'hit_rate' THEN 2.0 WHEN 'conviction' THEN 0.5 ELSE 1 END) / sum(CASE metric WHEN 'hit_rate' THEN 2.0 WHEN 'conviction' THEN 0.5 ELSE 1 END), 6) AS weighted FROM pc GROUP BY asset""")
+@query(f"""WITH {RETS}, {_RANK} SELECT asset, round(sum(p * CASE metric WHEN 'hit_rate' THEN 2.0 WHEN 'conviction' THEN 0.5 ELSE 1 END) / sum(CASE metric
+    WHEN 'hit_rate' THEN 2.0 WHEN 'conviction' THEN 0.5 ELSE 1 END), 6) AS weighted FROM pc GROUP BY asset""")
 def weighted_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranking.weighted_percentile(_ranking(spark, sf_dir), {"hit_rate": 2.0, "conviction": 0.5}).select("asset", "weighted"), "weighted")
 
 
-@query(f"""WITH {RETS}, {_RANK} SELECT asset, array_to_string(list_slice(list(metric ORDER BY p DESC, metric), 1, 3), ',') AS strengths, array_to_string(list_slice(list(metric ORDER BY p, metric DESC), 1, 2), ',') AS concerns,
+@query(f"""WITH {RETS}, {_RANK} SELECT asset, array_to_string(list_slice(list(metric ORDER BY p DESC, metric), 1, 3), ',') AS strengths,
+    array_to_string(list_slice(list(metric ORDER BY p, metric DESC), 1, 2), ',') AS concerns,
   CASE WHEN count(*) FILTER (p >= 70) >= 3 THEN 'HIGH' WHEN count(*) FILTER (p >= 70) >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS conviction FROM pc GROUP BY asset""")
 def strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.strengths(_ranking(spark, sf_dir))

@@ -57,9 +57,11 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, {_UNIVERSE},
-  o AS (SELECT asset, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, asset) AS up, row_number() OVER (ORDER BY round(score, 6), asset) AS down FROM u)
+  o AS (SELECT asset, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, asset) AS up, row_number() OVER (ORDER BY round(score, 6),
+      asset) AS down FROM u)
   SELECT 'top 15' AS list, CAST(up AS INTEGER) AS place, asset, score FROM o WHERE up <= 15 UNION ALL SELECT 'top 10', up, asset, score FROM o WHERE up <= 10
-  UNION ALL SELECT 'top 5', up, asset, score FROM o WHERE up <= 5 UNION ALL SELECT 'top 1', up, asset, score FROM o WHERE up <= 1 UNION ALL SELECT 'bottom 5', down, asset, score FROM o WHERE down <= 5""")
+  UNION ALL SELECT 'top 5', up, asset, score FROM o WHERE up <= 5 UNION ALL SELECT 'top 1', up, asset, score FROM o WHERE up <= 1 UNION ALL SELECT 'bottom 5', down,
+      asset, score FROM o WHERE down <= 5""")
 def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists of a report: the best 1, 5, 10 and 15 assets and the worst 5."""
     rows = written(rounded(universe(spark, sf_dir).select("asset", "score"), "score"), "universe")
@@ -71,7 +73,8 @@ def report_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, {_UNIVERSE}, v AS (SELECT asset, avg(volume) AS mean_volume FROM rets WHERE n - rn < 60 GROUP BY asset)
-  SELECT asset, round(score, 6) AS score, round(mean_volume, 6) AS mean_volume, expense FROM (SELECT u.*, mean_volume, length(name) / 100.0::DOUBLE AS expense FROM u JOIN v USING (asset))
+  SELECT asset, round(score, 6) AS score, round(mean_volume, 6) AS mean_volume, expense FROM (SELECT u.*, mean_volume, length(name) / 100.0::DOUBLE AS expense FROM u
+      JOIN v USING (asset))
   WHERE band IN ('Equity', 'Bond') AND score >= 2 AND mean_volume >= 60 AND expense <= 0.1""")
 def universe_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assets by band and score, with a least volume and a most expense."""
@@ -82,9 +85,11 @@ def universe_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("asset", "score", "mean_volume", "expense"), "score", "mean_volume")
 
 
-@query(f"""WITH {ASSETS}, t AS (SELECT asset, kind, region, CASE kind WHEN 'Bond' THEN 'bond' WHEN 'Commodity' THEN 'commodity' ELSE CASE WHEN ord % 2 = 0 THEN 'growth' ELSE 'thematic' END END AS type,
+@query(f"""WITH {ASSETS}, t AS (SELECT asset, kind, region, CASE kind WHEN 'Bond' THEN 'bond' WHEN 'Commodity' THEN 'commodity' ELSE CASE WHEN ord % 2 = 0 THEN 'growth'
+    ELSE 'thematic' END END AS type,
     CASE region WHEN 'AU' THEN 'AUSTRALIA' ELSE region END AS place FROM assets)
-  SELECT asset, CASE WHEN type = 'bond' THEN 'Bonds' WHEN type = 'commodity' THEN 'Commodities' WHEN place = 'AUSTRALIA' AND type IN ('broad_market', 'growth') THEN 'Australian_Equity' ELSE 'International_Equity' END AS class FROM t""")
+  SELECT asset, CASE WHEN type = 'bond' THEN 'Bonds' WHEN type = 'commodity' THEN 'Commodities' WHEN place = 'AUSTRALIA' AND type IN ('broad_market',
+      'growth') THEN 'Australian_Equity' ELSE 'International_Equity' END AS class FROM t""")
 def asset_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panels.assets(spark, sf_dir)
     kind = F.when(F.col("kind") == "Bond", "bond").when(F.col("kind") == "Commodity", "commodity").when(F.col("ord") % 2 == 0, "growth").otherwise("thematic")
@@ -112,7 +117,8 @@ def json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("about.forecast > 0").select("asset", "about.band", "score")
 
 
-@query(f"""WITH {BARS}, o AS (SELECT asset, dt, close FROM bars WHERE asset < 'Brand#3'), new AS (SELECT asset, dt, close * 2 AS close FROM o WHERE dt >= DATE '2001-06-01')
+@query(f"""WITH {BARS}, o AS (SELECT asset, dt, close FROM bars WHERE asset < 'Brand#3'), new AS (SELECT asset, dt, close * 2 AS close FROM o
+    WHERE dt >= DATE '2001-06-01')
   SELECT asset, dt, round(close, 8) AS close FROM o WHERE (asset, dt) NOT IN (SELECT asset, dt FROM new) UNION ALL SELECT asset, dt, round(close, 8) FROM new""")
 def upserted_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by asset with newer rows put in place of their keys, as a new table."""
@@ -138,16 +144,21 @@ _FEATURES = f"""{SERIES}, er AS (SELECT name, dt, value / lag(value) OVER (PARTI
   ml AS (SELECT *, {_ewm_sql("close", 12)} - {_ewm_sql("close", 26)} AS line FROM rets WINDOW w AS (PARTITION BY asset ORDER BY dt)),
   ms AS (SELECT *, {_ewm_sql("line", 9)} AS mean FROM ml WINDOW w AS (PARTITION BY asset ORDER BY dt)),
   own AS (
-    SELECT asset, any_value(n) AS n, count(ret) AS rets, stddev_samp(ret) FILTER (rn > n - 30) AS sd, max(close) FILTER (rn = n) AS close, max(close) FILTER (rn = n - 20) AS before,
+    SELECT asset, any_value(n) AS n, count(ret) AS rets, stddev_samp(ret) FILTER (rn > n - 30) AS sd, max(close) FILTER (rn = n) AS close,
+        max(close) FILTER (rn = n - 20) AS before,
       max(line) FILTER (rn = n) AS line, max(mean) FILTER (rn = n) AS mean FROM ms GROUP BY asset),
-  gp AS (SELECT r.asset, r.ret AS x, er.r AS y, row_number() OVER (PARTITION BY r.asset ORDER BY r.dt DESC) AS k FROM rets r JOIN er ON er.dt = r.dt AND er.name = 'gold' WHERE r.ret IS NOT NULL),
+  gp AS (SELECT r.asset, r.ret AS x, er.r AS y, row_number() OVER (PARTITION BY r.asset ORDER BY r.dt DESC) AS k FROM rets r JOIN er ON er.dt = r.dt AND er.name = 'gold'
+      WHERE r.ret IS NOT NULL),
   gc AS (SELECT asset, CASE WHEN count(*) >= 30 THEN coalesce(corr(x, y) FILTER (k <= 60), 0) ELSE 0 END AS gold FROM gp GROUP BY asset),
-  sp AS (SELECT name, stddev_samp(r) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dt DESC) AS k FROM er) WHERE k <= 60 AND name IN ('equity', 'gold', 'bonds') GROUP BY name),
+  sp AS (SELECT name, stddev_samp(r) AS sd FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dt DESC) AS k FROM er) WHERE k <= 60 AND name IN ('equity',
+      'gold', 'bonds') GROUP BY name),
   mf AS (
     SELECT asset, CASE WHEN rets > 30 THEN least(1, sd * sqrt(252)) ELSE 0.15 END AS volatility, greatest(-0.5, least(0.5, close / before - 1)) AS momentum,
-      greatest(0.5, least(2.0, line / greatest(sd, 0.01))) AS volatility_level, greatest(0, least(1, abs(mean) * 20)) AS signal_quality, greatest(-0.1, least(0.1, (line - mean) / close)) AS macd_histogram,
+      greatest(0.5, least(2.0, line / greatest(sd, 0.01))) AS volatility_level, greatest(0, least(1, abs(mean) * 20)) AS signal_quality, greatest(-0.1, least(0.1,
+          (line - mean) / close)) AS macd_histogram,
       greatest(-0.05, least(0.05, line / close)) AS macd_signal, gold AS gold_equity_corr, {_external_corr("vix", "us_10y")} AS vix_rates_corr,
-      greatest(0, least(0.1, (SELECT CASE WHEN count(*) >= 2 THEN stddev_pop(sd) ELSE 0.05 END FROM sp))) AS cross_asset_dispersion, {_external_corr("equity", "bonds")} AS equity_bonds_corr
+      greatest(0, least(0.1, (SELECT CASE WHEN count(*) >= 2 THEN stddev_pop(sd) ELSE 0.05 END FROM sp))) AS cross_asset_dispersion,
+          {_external_corr("equity", "bonds")} AS equity_bonds_corr
     FROM own JOIN gc USING (asset) WHERE n >= 60)"""
 
 
@@ -179,7 +190,8 @@ def _point(p: float, x: str = "x") -> str:
     return "(" + _POINT.format(p=f"{p}::DOUBLE").replace("x[", f"{x}[").replace("len(x)", f"len({x})") + ")"
 
 
-@query(f"""WITH {RETS}, {METRICS}, h AS (UNPIVOT (SELECT asset, dt, rn, n, hit_rate, conviction, stability FROM m WHERE rn >= 100) ON hit_rate, conviction, stability INTO NAME metric VALUE value),
+@query(f"""WITH {RETS}, {METRICS}, h AS (UNPIVOT (SELECT asset, dt, rn, n, hit_rate, conviction, stability FROM m WHERE rn >= 100) ON hit_rate, conviction,
+    stability INTO NAME metric VALUE value),
   l AS (SELECT asset, metric, dt, rn, list_sort(list(value) OVER (PARTITION BY asset, metric ORDER BY dt ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) AS s FROM h),
   w AS (SELECT *, {_point(0.01, "s")} AS lo, {_point(0.99, "s")} AS hi FROM l WHERE rn % 200 = 0),
   v AS (SELECT asset, metric, dt, CASE WHEN metric = 'conviction' THEN list_transform(s, lambda y: greatest(lo, least(hi, y))) ELSE s END AS x FROM w)
@@ -192,7 +204,8 @@ def interval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, {_CI}, {_CURRENT}, s AS (SELECT avg(CAST(signal = 'ROTATE' AS DOUBLE)) > 0.3 AS stressed FROM decided)
-  SELECT count(*) AS decisions, count(*) FILTER (NOT stressed AND signal IN ('ROTATE', 'NO_CI')) AS rotations, count(*) FILTER (NOT stressed AND signal = 'HOLD') AS noise_prevented, count(*) FILTER (NOT stressed AND signal = 'WAIT') AS waiting
+  SELECT count(*) AS decisions, count(*) FILTER (NOT stressed AND signal IN ('ROTATE', 'NO_CI')) AS rotations, count(*) FILTER (NOT stressed
+      AND signal = 'HOLD') AS noise_prevented, count(*) FILTER (NOT stressed AND signal = 'WAIT') AS waiting
   FROM decided, s""")
 def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many decisions there are, how many rotate, and how many changes were held back as noise."""
@@ -206,8 +219,10 @@ _FIRST, _LAST = "1996-01-01", "2000-12-31"
 
 @query(f"""WITH {TYPES}, cal AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next_dt FROM (SELECT DISTINCT dt FROM types)),
   pr AS (SELECT a.asset, cal.next_dt AS dt, b.close / a.close - 1 AS ret FROM types a JOIN cal ON cal.dt = a.dt JOIN types b ON b.asset = a.asset AND b.dt = cal.next_dt),
-  cr AS (SELECT * FROM pr WHERE dt IN (SELECT dt FROM pr GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT asset) FROM types)) AND dt BETWEEN DATE '{_FIRST}' AND DATE '{_LAST}'),
-  qe AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM (SELECT CAST(last_day(CAST(unnest(generate_series(TIMESTAMP '1996-03-01', TIMESTAMP '2000-12-01', INTERVAL 3 MONTH)) AS DATE)) AS DATE) AS a)),
+  cr AS (SELECT * FROM pr WHERE dt IN (SELECT dt FROM pr GROUP BY dt HAVING count(*) = (SELECT count(DISTINCT asset) FROM types)) AND dt BETWEEN DATE '{_FIRST}'
+      AND DATE '{_LAST}'),
+  qe AS (SELECT a, lead(a) OVER (ORDER BY a) AS b FROM (SELECT CAST(last_day(CAST(unnest(generate_series(TIMESTAMP '1996-03-01', TIMESTAMP '2000-12-01',
+      INTERVAL 3 MONTH)) AS DATE)) AS DATE) AS a)),
   sp AS (SELECT * FROM qe WHERE a IN (SELECT dt FROM cr) AND b IN (SELECT dt FROM cr)),
   mn AS (SELECT a, b, asset, avg(ret) AS mean FROM cr JOIN sp ON dt BETWEEN a - 90 AND a GROUP BY ALL),
   ld AS (SELECT a, b, asset FROM mn QUALIFY row_number() OVER (PARTITION BY a ORDER BY mean DESC, asset) <= 3),
@@ -226,9 +241,11 @@ _THREE = "SELECT e.every, b.buffer, printf('%d/%d', e.every, b.buffer) AS scenar
 _PERIODS = (("calm", "1996-01-02", "1997-06-30"), ("stress", "1997-07-01", "1998-12-31"), ("recovery", "1999-01-01", "2000-12-31"))
 _EDGES = f"""{B._conditional_sql(_THREE)}, bench AS (SELECT dt, avg(ret) AS b FROM pairs WHERE dt BETWEEN DATE '{B.START}' AND DATE '{B.END}' GROUP BY dt),
   pd(period, a, b) AS (VALUES {", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in _PERIODS)}),
-  g AS (SELECT scenario, period, eq.dt, ret, bench.b AS bench, exp(sum(ln(1 + ret)) OVER w) AS growth FROM eq JOIN bench USING (dt) JOIN pd ON eq.dt BETWEEN pd.a AND pd.b WINDOW w AS (PARTITION BY scenario, period ORDER BY eq.dt ROWS UNBOUNDED PRECEDING)),
+  g AS (SELECT scenario, period, eq.dt, ret, bench.b AS bench, exp(sum(ln(1 + ret)) OVER w) AS growth FROM eq JOIN bench USING (dt) JOIN pd ON eq.dt BETWEEN pd.a AND pd.b
+      WINDOW w AS (PARTITION BY scenario, period ORDER BY eq.dt ROWS UNBOUNDED PRECEDING)),
   dd AS (SELECT *, growth / max(growth) OVER (PARTITION BY scenario, period ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS down FROM g),
-  ed AS (SELECT scenario, period, sum(ln(1 + ret)) - sum(ln(1 + bench)) AS edge, min(down) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate FROM dd GROUP BY ALL)"""
+  ed AS (SELECT scenario, period, sum(ln(1 + ret)) - sum(ln(1 + bench)) AS edge, min(down) AS max_drawdown, avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate
+      FROM dd GROUP BY ALL)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,13 +261,15 @@ def strategy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_edges(spark, sf_dir), "edge", "max_drawdown", "hit_rate")
 
 
-@query(f"""{_EDGES} SELECT scenario, count(*) AS periods, round(avg(CASE WHEN edge > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive, bool_and(edge > 0) AS always, round(avg(edge), 6) AS mean_edge,
+@query(f"""{_EDGES} SELECT scenario, count(*) AS periods, round(avg(CASE WHEN edge > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS positive, bool_and(edge > 0) AS always,
+    round(avg(edge), 6) AS mean_edge,
   round(avg(edge) / nullif(abs(min(max_drawdown)), 0), 6) AS edge_over_drawdown FROM ed GROUP BY scenario""")
 def strategy_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.consistency(_edges(spark, sf_dir)), "positive", "mean_edge", "edge_over_drawdown")
 
 
-@query(f"""{_EDGES} SELECT count(*) FILTER (edge > 0) AS winners, count(*) AS total, round(avg(edge), 6) AS mean_excess, round(avg(max_drawdown), 6) AS mean_drawdown, round(avg(hit_rate), 6) AS mean_hit_rate,
+@query(f"""{_EDGES} SELECT count(*) FILTER (edge > 0) AS winners, count(*) AS total, round(avg(edge), 6) AS mean_excess, round(avg(max_drawdown), 6) AS mean_drawdown,
+    round(avg(hit_rate), 6) AS mean_hit_rate,
   round(count(*) FILTER (edge > 0) / count(*), 6) AS positive_folds FROM ed""")
 def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over all scenarios and periods: how many win, and the means."""
@@ -263,8 +282,10 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, {METRICS}, {ASSETS},
-  q AS (SELECT m.asset, a.kind AS sector, ord, round(0.40 * conviction + 0.35 * hit_rate + 0.15 * stability, 6) AS quality FROM m JOIN assets a USING (asset) WHERE rn = n)
-  SELECT asset, sector, quality, CAST(row_number() OVER (ORDER BY quality DESC, ord) AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY sector ORDER BY quality DESC, ord) AS INTEGER) AS sector_rank FROM q""")
+  q AS (SELECT m.asset, a.kind AS sector, ord, round(0.40 * conviction + 0.35 * hit_rate + 0.15 * stability, 6) AS quality FROM m JOIN assets a USING (asset)
+      WHERE rn = n)
+  SELECT asset, sector, quality, CAST(row_number() OVER (ORDER BY quality DESC, ord) AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY sector
+      ORDER BY quality DESC, ord) AS INTEGER) AS sector_rank FROM q""")
 def quality_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All assets by quality, over the universe and within their sectors."""
     rows = metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("_k", S.from_end()).where("_k = 1")

@@ -20,7 +20,8 @@ METRICS = f"""m AS (
       CASE WHEN rn > 30 THEN 1 / (1 + 10 * stddev_samp(ret) OVER {last(30)}) ELSE 0 END AS stability FROM rets)"""
 
 
-@query(f"WITH {RETS}, {METRICS} SELECT asset, dt, round(hit_rate, 6) AS hit_rate, round(conviction, 4) AS conviction, round(stability, 6) AS stability FROM m WHERE rn = n")
+@query(f"""WITH {RETS}, {METRICS} SELECT asset, dt, round(hit_rate, 6) AS hit_rate, round(conviction, 4) AS conviction, round(stability, 6) AS stability FROM m
+    WHERE rn = n""")
 def metrics_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("k", S.from_end()).where("k = 1")
     return rounded(rounded(rows.select("asset", "dt", "hit_rate", "conviction", "stability"), "hit_rate", "stability"), "conviction", digits=4)
@@ -32,7 +33,8 @@ _PERF = f"""WITH {RETS}, g AS (SELECT *, product(1 + coalesce(ret, 0)) OVER (PAR
     avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE WHEN ret IS NOT NULL THEN 0 END) AS hit_rate FROM d GROUP BY asset)"""
 
 
-@query(f"""{_PERF} SELECT asset, round(total, 6) AS total, round(ln(1 + annual), 6) AS log_annual, round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, round(hit_rate, 6) AS hit_rate,
+@query(f"""{_PERF} SELECT asset, round(total, 6) AS total, round(ln(1 + annual), 6) AS log_annual, round(volatility, 6) AS volatility, round(max_drawdown,
+    6) AS max_drawdown, round(hit_rate, 6) AS hit_rate,
   round(ln(1 + CASE WHEN volatility > 0 THEN annual / volatility ELSE 0 END), 6) AS log_sharpe FROM p""")
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Performance of each asset; annual return and Sharpe ratio as logarithms, as unit prices jump wildly from day to day."""
@@ -61,7 +63,8 @@ def liquidity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS},
-  q AS (SELECT asset, count(*) AS rows, count(*) / 252.0::DOUBLE AS years, count(close) / count(*) AS completeness FROM bars WHERE dt >= DATE '1999-01-01' OR asset > 'Brand#2' GROUP BY asset)
+  q AS (SELECT asset, count(*) AS rows, count(*) / 252.0::DOUBLE AS years, count(close) / count(*) AS completeness FROM bars
+      WHERE dt >= DATE '1999-01-01' OR asset > 'Brand#2' GROUP BY asset)
   SELECT asset, rows, round(years, 6) AS years, round(completeness, 6) AS completeness,
     CASE WHEN years >= 3 THEN 'tier_1' WHEN years >= 2 THEN 'tier_2' WHEN years >= 1 THEN 'tier_3' ELSE 'tier_4' END AS tier,
     CASE WHEN years >= 3 THEN 0.0::DOUBLE WHEN years >= 2 THEN -2.0 WHEN years >= 1 THEN -5.0 ELSE -10.0 END AS penalty,
@@ -73,7 +76,8 @@ def data_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUARTERS = """ends AS (SELECT asset, CAST(date_trunc('quarter', dt) AS DATE) AS quarter, arg_max(close, dt) AS close FROM bars GROUP BY ALL),
-  span AS (SELECT asset, CAST(unnest(generate_series(CAST(min(quarter) AS TIMESTAMP), CAST(max(quarter) AS TIMESTAMP), INTERVAL 3 MONTH)) AS DATE) AS quarter FROM ends GROUP BY asset),
+  span AS (SELECT asset, CAST(unnest(generate_series(CAST(min(quarter) AS TIMESTAMP), CAST(max(quarter) AS TIMESTAMP), INTERVAL 3 MONTH)) AS DATE) AS quarter FROM ends
+      GROUP BY asset),
   q AS (SELECT s.asset, s.quarter, close, (close / lag(close) OVER (PARTITION BY s.asset ORDER BY s.quarter) - 1) * 100 AS change,
     row_number() OVER (PARTITION BY s.asset ORDER BY s.quarter) AS k FROM span s LEFT JOIN ends e ON e.asset = s.asset AND e.quarter = s.quarter)"""
 
@@ -85,16 +89,20 @@ def quarter_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {BARS}, {ASSETS}, {QUARTERS}, s AS (SELECT q.*, kind AS sector FROM q JOIN assets USING (asset)),
   md AS (SELECT sector, quarter, median(change) AS med FROM s WHERE change IS NOT NULL GROUP BY ALL)
-  SELECT asset, round(avg(CASE WHEN change > med THEN 1.0::DOUBLE ELSE 0 END), 6) AS wins, count(*) AS quarters FROM s JOIN md USING (sector, quarter) WHERE k > 1 GROUP BY asset""")
+  SELECT asset, round(avg(CASE WHEN change > med THEN 1.0::DOUBLE ELSE 0 END), 6) AS wins, count(*) AS quarters FROM s JOIN md USING (sector, quarter) WHERE k > 1
+      AND asset IN (SELECT asset FROM bars GROUP BY asset HAVING count(*) >= 500) GROUP BY asset""")
 def sector_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     sectors = panels.assets(spark, sf_dir).select("asset", F.col("kind").alias("sector"))
-    return rounded(metrics.sector_wins(metrics.quarters(panels.bars(spark, sf_dir)), sectors), "wins")
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    return rounded(metrics.sector_wins(metrics.quarters(bars), sectors, bars.groupBy("asset").agg(F.count("*").alias("rows"))), "wins")
 
 
-@query(f"""WITH {RETS}, r AS (SELECT asset, dt, close, row_number() OVER w AS i, close / lag(close) OVER w - 1 AS ret, abs(close - lag(close) OVER w) AS move FROM rets WHERE rn > n - 60 WINDOW w AS (PARTITION BY asset ORDER BY dt)),
+@query(f"""WITH {RETS}, r AS (SELECT asset, dt, close, row_number() OVER w AS i, close / lag(close) OVER w - 1 AS ret, abs(close - lag(close) OVER w) AS move FROM rets
+    WHERE rn > n - 60 WINDOW w AS (PARTITION BY asset ORDER BY dt)),
   u AS (SELECT *, coalesce(CASE WHEN i >= 20 THEN CAST(avg(close) OVER {last(5)} > avg(close) OVER {last(20)} AS INTEGER) END, 0) AS up FROM r),
   t AS (SELECT *, abs(up - lag(up) OVER (PARTITION BY asset ORDER BY dt)) AS turn FROM u)
-  SELECT asset, round(CASE WHEN count(*) < 20 THEN 0 ELSE 0.4 * greatest(0, 1 - stddev_samp(ret) * sqrt(252) / 0.5) + 0.4 * greatest(0, 1 - sum(turn) / count(*)) + 0.2 * greatest(0, 1 - avg(move) / arg_min(close, dt) * 0.05) END, 6) AS stability FROM t GROUP BY asset""")
+  SELECT asset, round(CASE WHEN count(*) < 20 THEN 0 ELSE 0.4 * greatest(0, 1 - stddev_samp(ret) * sqrt(252) / 0.5) + 0.4 * greatest(0,
+      1 - sum(turn) / count(*)) + 0.2 * greatest(0, 1 - avg(move) / arg_min(close, dt) * 0.05) END, 6) AS stability FROM t GROUP BY asset""")
 def short_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.short_stability(panels.bars(spark, sf_dir)), "stability")
 
@@ -104,7 +112,8 @@ def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.yearly(panels.bars(spark, sf_dir)), "change")
 
 
-_VOL = """v AS (SELECT asset, CASE WHEN count(ret) >= 90 THEN stddev_samp(ret) FILTER (n - rn < 252) * sqrt(252) END AS volatility FROM rets WHERE ret IS NOT NULL GROUP BY asset)"""
+_VOL = """v AS (SELECT asset, CASE WHEN count(ret) >= 90 THEN stddev_samp(ret) FILTER (n - rn < 252) * sqrt(252) END AS volatility FROM rets WHERE ret IS NOT NULL
+    GROUP BY asset)"""
 _BETA = """br AS (SELECT *, row_number() OVER (PARTITION BY benchmark ORDER BY dt DESC) AS bk FROM trets WHERE bret IS NOT NULL),
   pairs AS (SELECT r.asset, b.benchmark, count(*) AS k, corr(ret, bret) AS c, covar_samp(ret, bret) AS cov, var_samp(bret) AS var
     FROM rets r JOIN br b ON r.dt = b.dt AND bk <= 252 WHERE ret IS NOT NULL AND n - rn < 252 GROUP BY ALL),
@@ -122,7 +131,8 @@ def beta_best_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.best_benchmark(panels.bars(spark, sf_dir), panels.benchmarks(spark, sf_dir)), "corr", "beta")
 
 
-@query(f"""WITH {RETS}, {TYPE_RETS}, {_BETA}, {_VOL}, j AS (SELECT v.asset, volatility, coalesce(beta, CASE WHEN volatility IS NOT NULL THEN 1.0 END) AS beta FROM v LEFT JOIN best USING (asset))
+@query(f"""WITH {RETS}, {TYPE_RETS}, {_BETA}, {_VOL}, j AS (SELECT v.asset, volatility, coalesce(beta, CASE WHEN volatility IS NOT NULL THEN 1.0 END) AS beta FROM v LEFT
+    JOIN best USING (asset))
   SELECT asset, CASE WHEN volatility IS NULL OR beta IS NULL THEN 'UNKNOWN'
       WHEN volatility < 0.12 THEN CASE WHEN beta > 1.2 THEN 'MEDIUM' ELSE 'LOW' END
       WHEN volatility <= 0.22 THEN CASE WHEN beta > 1.2 THEN 'HIGH' ELSE 'MEDIUM' END
@@ -162,6 +172,11 @@ def stress_sharpe_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.conditional_sharpe(bars, fear, risk.fitted_laws(bars)), "sharpe", digits=4)
 
 
+@query()
+def enhanced_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(risk.enhanced_volatility(written(panels.bars(spark, sf_dir), "bars")), "volatility", digits=4)
+
+
 @query()
 def cvar_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.cvar(panels.bars(spark, sf_dir)), "cvar", digits=4)

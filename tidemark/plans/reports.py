@@ -24,14 +24,16 @@ def _now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("_k", S.from_end()).where("_k = 1")
 
 
-@query(f"WITH {RETS}, {METRICS} SELECT count(*) FILTER (hit_rate >= 0.65) AS strong, count(*) FILTER (hit_rate >= 0.55) AS good, count(*) FILTER (hit_rate >= 0.50) AS fair, round(avg(hit_rate), 6) AS mean, round(median(hit_rate), 6) AS median FROM m {_NOW}")
+@query(f"""WITH {RETS}, {METRICS} SELECT count(*) FILTER (hit_rate >= 0.65) AS strong, count(*) FILTER (hit_rate >= 0.55) AS good,
+    count(*) FILTER (hit_rate >= 0.50) AS fair, round(avg(hit_rate), 6) AS mean, round(median(hit_rate), 6) AS median FROM m {_NOW}""")
 def hit_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("hit_rate")
     found = _now(spark, sf_dir).agg(F.count_if(h >= 0.65).alias("strong"), F.count_if(h >= 0.55).alias("good"), F.count_if(h >= 0.50).alias("fair"), F.avg(h).alias("mean"), F.median(h).alias("median"))
     return rounded(found, "mean", "median")
 
 
-@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, q AS (SELECT m.asset, ord, round(0.40 * conviction + 0.35 * hit_rate + 0.15 * stability, 6) AS quality FROM m JOIN assets USING (asset) WHERE rn = n AND hit_rate >= 0.50)
+@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, q AS (SELECT m.asset, ord, round(0.40 * conviction + 0.35 * hit_rate + 0.15 * stability, 6) AS quality FROM m
+    JOIN assets USING (asset) WHERE rn = n AND hit_rate >= 0.50)
   SELECT asset, quality, CAST(row_number() OVER (ORDER BY quality DESC, ord) AS INTEGER) AS rank FROM q QUALIFY rank <= 10""")
 def quality_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best assets by quality among those that rise often enough."""
@@ -75,14 +77,17 @@ def _grid_sql() -> str:
 
 @query(f"""WITH {_grid_sql()},
   c AS (
-    SELECT *, greatest(0, least(1, 0.4 * CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.1) / 0.1)) END + 0.3 * greatest(0, least(1, (forecast + 15) / 30)) * confidence
+    SELECT *, greatest(0, least(1, 0.4 * CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.1) / 0.1)) END + 0.3 * greatest(0, least(1,
+        (forecast + 15) / 30)) * confidence
         + 0.3 * greatest(0, least(1, (signal + 1) / 2)))) AS composite,
       greatest(0, least(100, greatest(-40, least(40, forecast / 10 * 40)) + hit_rate * 20 + greatest(0, least(20, signal * 20))
         + CASE WHEN cvar < 0 THEN least(20, -greatest(cvar, -0.5) * 200) ELSE 0 END)) AS single,
-      CASE WHEN hit_rate > 0.65 AND confidence > 0.7 THEN 'EXCELLENT' WHEN hit_rate > 0.55 AND confidence > 0.5 THEN 'FAIR' WHEN hit_rate < 0.45 OR confidence < 0.15 THEN 'POOR' ELSE 'WARNING' END AS flag,
+      CASE WHEN hit_rate > 0.65 AND confidence > 0.7 THEN 'EXCELLENT' WHEN hit_rate > 0.55 AND confidence > 0.5 THEN 'FAIR'
+          WHEN hit_rate < 0.45 OR confidence < 0.15 THEN 'POOR' ELSE 'WARNING' END AS flag,
       CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.30) / 0.30)) END AS tail FROM g)
   SELECT forecast, hit_rate, signal, cvar, confidence, round(composite, 6) AS composite, round(single, 6) AS single, flag, round(tail, 6) AS tail,
-    CASE WHEN single >= 80 THEN 'very strong' WHEN single >= 60 THEN 'strong' WHEN single >= 40 THEN 'neutral' WHEN single >= 20 THEN 'weak' ELSE 'very weak' END AS words FROM c""")
+    CASE WHEN single >= 80 THEN 'very strong' WHEN single >= 60 THEN 'strong' WHEN single >= 40 THEN 'neutral' WHEN single >= 20 THEN 'weak' ELSE 'very weak' END AS words
+        FROM c""")
 def score_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scores, ladders and flags over a grid of inputs."""
     rows = spark.range(0, 1, 1, 1)
@@ -100,7 +105,8 @@ def score_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS = {"volatility": (0.05, 0.12, 0.14, 0.22, 0.25, 0.30, None), "beta": (0.5, 0.8, 1.0, 1.2, 1.5, None)}
 
 
-@query(f"""WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.12, 0.14, 0.22, 0.25, 0.30, NULL]::DOUBLE[]) AS volatility), (SELECT unnest([0.5, 0.8, 1.0, 1.2, 1.5, NULL]::DOUBLE[]) AS beta))
+@query(f"""WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.12, 0.14, 0.22, 0.25, 0.30, NULL]::DOUBLE[]) AS volatility), (SELECT unnest([0.5, 0.8, 1.0, 1.2, 1.5,
+    NULL]::DOUBLE[]) AS beta))
   SELECT *, CASE WHEN volatility IS NULL OR beta IS NULL THEN 'UNKNOWN' WHEN volatility < 0.12 AND beta <= 1.2 THEN 'LOW' WHEN volatility < 0.12 THEN 'MEDIUM'
       WHEN volatility <= 0.22 AND beta <= 1.2 THEN 'MEDIUM' WHEN volatility <= 0.22 THEN 'HIGH' WHEN beta < 0.8 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_class,
     CASE WHEN volatility IS NULL THEN 'UNKNOWN' WHEN volatility < 0.15 THEN 'LOW' WHEN volatility < 0.30 THEN 'MEDIUM' ELSE 'HIGH' END AS alone FROM g""")
@@ -113,14 +119,17 @@ def risk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("volatility", "beta", risk.risk_class(vol, F.col("beta")).alias("risk_class"), risk.volatility_class(vol).alias("alone"))
 
 
-@query(f"""WITH {RETS}, {METRICS} SELECT * FROM (SELECT 'hit_rate' AS rule, count(*) FILTER (NOT hit_rate BETWEEN 0.45 AND 1) AS broken, count(hit_rate) AS known FROM m {_NOW}
-  UNION ALL SELECT 'stability', count(*) FILTER (NOT (stability > 0 AND stability <= 1)), count(stability) FROM m {_NOW} UNION ALL SELECT 'price', count(*) FILTER (NOT close > 0), count(close) FROM m {_NOW})""")
+@query(f"""WITH {RETS}, {METRICS} SELECT * FROM (SELECT 'hit_rate' AS rule, count(*) FILTER (NOT hit_rate BETWEEN 0.45 AND 1) AS broken, count(hit_rate) AS known
+    FROM m {_NOW}
+  UNION ALL SELECT 'stability', count(*) FILTER (NOT (stability > 0 AND stability <= 1)), count(stability) FROM m {_NOW} UNION ALL SELECT 'price',
+      count(*) FILTER (NOT close > 0), count(close) FROM m {_NOW})""")
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     return scores.violations(_now(spark, sf_dir), {"hit_rate": c("hit_rate").between(0.45, 1), "stability": (c("stability") > 0) & (c("stability") <= 1), "price": c("close") > 0})
 
 
-@query(f"""WITH {BARS}, st AS (SELECT asset, CASE WHEN count(*) < 1600 THEN 'short' WHEN DATE '2001-11-01' - max(dt) > 0 THEN 'stale' ELSE 'ok' END AS status FROM bars GROUP BY asset)
+@query(f"""WITH {BARS}, st AS (SELECT asset, CASE WHEN count(*) < 1600 THEN 'short' WHEN DATE '2001-11-01' - max(dt) > 0 THEN 'stale' ELSE 'ok' END AS status FROM bars
+    GROUP BY asset)
   SELECT status, count(*) AS assets, string_agg(asset, ',' ORDER BY asset) AS names FROM st GROUP BY status""")
 def universe_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.split_by_reason(explore.status(panels.bars(spark, sf_dir), F.lit("2001-11-01").cast("date"), 1600, 0))
@@ -136,7 +145,8 @@ def top_performers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "asset"))).where(F.col("rank") <= 3), "mean")  # a row per asset
 
 
-@query("""SELECT kind, CAST(d AS DATE) AS dt FROM (SELECT 'month' AS kind, last_day(CAST(unnest(generate_series(TIMESTAMP '1996-01-15', TIMESTAMP '1997-01-15', INTERVAL 1 MONTH)) AS DATE)) AS d
+@query("""SELECT kind, CAST(d AS DATE) AS dt FROM (SELECT 'month' AS kind, last_day(CAST(unnest(generate_series(TIMESTAMP '1996-01-15', TIMESTAMP '1997-01-15',
+    INTERVAL 1 MONTH)) AS DATE)) AS d
   UNION ALL SELECT 'check', CAST(unnest(generate_series(TIMESTAMP '1996-01-02', TIMESTAMP '1996-12-30', INTERVAL 40 DAY)) AS DATE))""")
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month ends, and check dates every forty calendar days."""
@@ -155,7 +165,8 @@ def equity_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.yearly(rows, "scenario", "value").select("year", F.log(1 + F.col("change")).alias("log_change")), "log_change")
 
 
-@query(f"""{_COND}, ch AS (SELECT d, state, lag(state) OVER (ORDER BY i) AS before FROM held), t AS (SELECT d, lag(d) OVER (ORDER BY d) AS previous FROM ch WHERE before IS NULL OR list_sort(state) <> list_sort(before))
+@query(f"""{_COND}, ch AS (SELECT d, state, lag(state) OVER (ORDER BY i) AS before FROM held), t AS (SELECT d, lag(d) OVER (ORDER BY d) AS previous FROM ch
+    WHERE before IS NULL OR list_sort(state) <> list_sort(before))
   SELECT count(*) AS trades, round(avg(d - previous), 6) AS mean_gap FROM t""")
 def trade_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the holdings change as a set, and the mean number of days between changes."""
@@ -171,9 +182,11 @@ _PERIODS = (("calm", "1996-01-02", "1997-06-30"), ("stress", "1997-07-01", "1998
 
 
 @query(f"""{_COND}, pd(period, a, b) AS (VALUES {", ".join(f"('{p}', DATE '{a}', DATE '{b}')" for p, a, b in _PERIODS)}),
-  g AS (SELECT period, dt, ret, product(1 + ret) OVER w AS growth FROM eq JOIN pd ON dt BETWEEN a AND b WINDOW w AS (PARTITION BY period ORDER BY dt ROWS UNBOUNDED PRECEDING)),
+  g AS (SELECT period, dt, ret, product(1 + ret) OVER w AS growth FROM eq JOIN pd ON dt BETWEEN a AND b WINDOW w AS (PARTITION BY period
+      ORDER BY dt ROWS UNBOUNDED PRECEDING)),
   d AS (SELECT *, growth / max(growth) OVER (PARTITION BY period ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS down FROM g)
-  SELECT period, round(ln(arg_max(growth, dt)), 6) AS log_total, round(min(down), 6) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM d GROUP BY period""")
+  SELECT period, round(ln(arg_max(growth, dt)), 6) AS log_total, round(min(down), 6) AS max_drawdown, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END),
+      6) AS hit_rate FROM d GROUP BY period""")
 def period_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strategy over separate periods, out of sample and under stress."""
     rows = B._conditional(spark, sf_dir, (40,), (10,))
@@ -189,20 +202,25 @@ FUNDS = """fl AS (
       'P' || l_partkey || ['.AX', '-US', '.L', '-JKT', '', '.DE'][l_partkey % 6 + 1] AS symbol
     FROM lineitem JOIN part ON l_partkey = p_partkey),
   fh AS (
-    SELECT l_suppkey AS fund, symbol, p_type AS sector, l_partkey, CASE WHEN l_suppkey % 4 = 3 THEN k // 2 WHEN k < 4 THEN l_suppkey % 4 WHEN k = 4 THEN (l_suppkey + 1) % 3 ELSE (l_suppkey + 2) % 3 END AS position,
+    SELECT l_suppkey AS fund, symbol, p_type AS sector, l_partkey, CASE WHEN l_suppkey % 4 = 3 THEN k // 2 WHEN k < 4 THEN l_suppkey % 4
+        WHEN k = 4 THEN (l_suppkey + 1) % 3 ELSE (l_suppkey + 2) % 3 END AS position,
       cents FROM fl),
   fd AS (
-    SELECT s_suppkey AS fund, s_name || [' Gold Trust', ' Bitcoin Fund', ' Income', ' Oil and Metal'][CAST(s_suppkey // 4 % 4 AS INTEGER) + 1] AS name, ['LOW', 'MEDIUM', 'HIGH'][s_suppkey % 3 + 1] AS risk
+    SELECT s_suppkey AS fund, s_name || [' Gold Trust', ' Bitcoin Fund', ' Income', ' Oil and Metal'][CAST(s_suppkey // 4 % 4 AS INTEGER) + 1] AS name, ['LOW', 'MEDIUM',
+        'HIGH'][s_suppkey % 3 + 1] AS risk
     FROM supplier),
   ft AS (
-    SELECT fund, sum(cents) AS cents, sum(cents) FILTER (position = 0) / sum(cents) AS stock, sum(cents) FILTER (position = 1) / sum(cents) AS bond, sum(cents) FILTER (position = 2) / sum(cents) AS other,
+    SELECT fund, sum(cents) AS cents, sum(cents) FILTER (position = 0) / sum(cents) AS stock, sum(cents) FILTER (position = 1) / sum(cents) AS bond,
+        sum(cents) FILTER (position = 2) / sum(cents) AS other,
       count(DISTINCT l_partkey) AS holdings FROM fh GROUP BY fund),
   fc AS (
     SELECT *, CASE WHEN stock > 0.5 THEN 'Equity' WHEN bond > 0.5 THEN 'Bond'
-      WHEN other > 0.5 THEN CASE WHEN contains(lower(name), 'bitcoin') THEN 'Crypto' WHEN contains(lower(name), 'gold') OR contains(lower(name), 'oil') OR contains(lower(name), 'metal') THEN 'Commodity' ELSE 'Other' END
+      WHEN other > 0.5 THEN CASE WHEN contains(lower(name), 'bitcoin') THEN 'Crypto' WHEN contains(lower(name), 'gold') OR contains(lower(name),
+          'oil') OR contains(lower(name), 'metal') THEN 'Commodity' ELSE 'Other' END
       ELSE 'Mixed' END AS class FROM ft JOIN fd USING (fund)),
   fr AS (
-    SELECT fund, CASE WHEN contains(symbol, '-JKT') THEN 'Indonesia' WHEN contains(symbol, '.AX') THEN 'Australia' WHEN contains(symbol, '.L') THEN 'United Kingdom' WHEN contains(symbol, '.DE') THEN 'Germany'
+    SELECT fund, CASE WHEN contains(symbol, '-JKT') THEN 'Indonesia' WHEN contains(symbol, '.AX') THEN 'Australia' WHEN contains(symbol, '.L') THEN 'United Kingdom'
+        WHEN contains(symbol, '.DE') THEN 'Germany'
       ELSE 'United States' END AS region, sum(cents) AS weight FROM fh GROUP BY ALL),
   fs AS (SELECT fund, sector, sum(cents) AS weight FROM fh GROUP BY ALL),
   br AS (SELECT fund, region, weight FROM fr QUALIFY row_number() OVER (PARTITION BY fund ORDER BY weight DESC, region DESC) = 1),
@@ -254,7 +272,8 @@ def holdings_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FUNDS}, days AS (SELECT l_suppkey AS fund, count(DISTINCT dt) AS days FROM fl GROUP BY l_suppkey)
-  SELECT fund, name, risk, class, sector, round(bs.weight / cents, 6) AS sector_weight, region, round(br.weight / cents, 6) AS region_weight, holdings, CASE WHEN holdings > 20 THEN 'RICH' ELSE 'BASIC' END AS quality
+  SELECT fund, name, risk, class, sector, round(bs.weight / cents, 6) AS sector_weight, region, round(br.weight / cents, 6) AS region_weight, holdings, CASE
+      WHEN holdings > 20 THEN 'RICH' ELSE 'BASIC' END AS quality
   FROM fc JOIN days USING (fund) JOIN bs USING (fund) JOIN br USING (fund) WHERE risk <> 'LOW' AND days >= 30""")
 def holdings_filtration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Funds with enough prices and a risk above LOW, by what they hold."""
@@ -268,7 +287,8 @@ def holdings_filtration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FUNDS}, days AS (SELECT l_suppkey AS fund, count(DISTINCT dt) AS days FROM fl GROUP BY l_suppkey)
-  SELECT count(*) AS funds, count(*) FILTER (days >= 30 AND risk <> 'LOW') AS kept, count(*) FILTER (coalesce(days, 0) < 30) AS without_data, count(*) FILTER (days >= 30 AND risk = 'LOW') AS excluded,
+  SELECT count(*) AS funds, count(*) FILTER (days >= 30 AND risk <> 'LOW') AS kept, count(*) FILTER (coalesce(days, 0) < 30) AS without_data, count(*) FILTER (days >= 30
+      AND risk = 'LOW') AS excluded,
     round(count(*) FILTER (days >= 30 AND risk <> 'LOW') / count(*) * 100, 6) AS rate FROM fd LEFT JOIN days USING (fund)""")
 def filtration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many funds the filtration keeps and why others go."""
@@ -279,10 +299,13 @@ def filtration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.withColumn("rate", F.col("kept") / F.col("funds") * 100), "rate")
 
 
-@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, at AS (SELECT m.asset, ord, rn, n, (0.35 * hit_rate + 0.40 * (1 / (1 + exp(-conviction))) + 0.25 * stability) * 10 AS score FROM m JOIN assets USING (asset)),
-  a AS (SELECT asset, score, row_number() OVER (ORDER BY score DESC, ord) AS r FROM at WHERE rn = n), b AS (SELECT asset, score, row_number() OVER (ORDER BY score DESC, ord) AS r FROM at WHERE rn = n - 40)
+@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, at AS (SELECT m.asset, ord, rn, n, (0.35 * hit_rate + 0.40 * (1 / (1 + exp(-conviction))) + 0.25 * stability) * 10 AS score
+    FROM m JOIN assets USING (asset)),
+  a AS (SELECT asset, score, row_number() OVER (ORDER BY score DESC, ord) AS r FROM at WHERE rn = n), b AS (SELECT asset, score, row_number() OVER (ORDER BY score DESC,
+      ord) AS r FROM at WHERE rn = n - 40)
   SELECT count(*) FILTER (a.r > 3) AS fallen, round((SELECT avg(score) FROM a WHERE r <= 3) / (SELECT avg(score) FROM b WHERE r <= 3) - 1, 6) AS gain,
-    count(*) FILTER (a.r > 3) > 0 OR (SELECT avg(score) FROM a WHERE r <= 3) / (SELECT avg(score) FROM b WHERE r <= 3) - 1 > 0.03 AS rebalance FROM b JOIN a USING (asset) WHERE b.r <= 3""".replace("at AS (", "sc AS (").replace("FROM at ", "FROM sc "))
+    count(*) FILTER (a.r > 3) > 0 OR (SELECT avg(score) FROM a WHERE r <= 3) / (SELECT avg(score) FROM b WHERE r <= 3) - 1 > 0.03 AS rebalance FROM b JOIN a USING (asset)
+        WHERE b.r <= 3""".replace("at AS (", "sc AS (").replace("FROM at ", "FROM sc "))
 def rebalance_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the three best of forty rows ago have fallen behind, or today's are better by more than three per cent."""
     rows = metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("_k", S.from_end()).where("_k in (1, 41)").withColumn("score", metrics.backtest_score())

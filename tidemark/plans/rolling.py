@@ -87,7 +87,8 @@ def atr14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TYPES}, r AS (SELECT asset, dt, close / lag(close) OVER (PARTITION BY asset ORDER BY dt) - 1 AS ret FROM types),
-  j AS (SELECT a.dt, a.ret AS x, b.ret AS y FROM r a JOIN r b ON a.dt = b.dt WHERE a.asset = 'ECONOMY' AND b.asset = 'STANDARD' AND a.ret IS NOT NULL AND b.ret IS NOT NULL)
+  j AS (SELECT a.dt, a.ret AS x, b.ret AS y FROM r a JOIN r b ON a.dt = b.dt WHERE a.asset = 'ECONOMY' AND b.asset = 'STANDARD' AND a.ret IS NOT NULL
+      AND b.ret IS NOT NULL)
   SELECT dt, round(CASE WHEN count(*) OVER w >= 16 THEN corr(x, y) OVER w END, 6) AS corr FROM j WINDOW w AS (ORDER BY dt ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)""")
 def rolling_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of two groups' returns over the last 21 common days, 16 at least."""
@@ -123,8 +124,9 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filled_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every asset on every trading day since its first, prices carried forward."""
     bars = panels.bars(spark, sf_dir).select("asset", "dt", "close")
-    first = bars.groupBy("asset").agg(F.min("dt").alias("_first"))
-    grid = bars.select("dt").distinct().join(F.broadcast(first), F.col("dt") >= F.col("_first")).drop("_first")  # a row per asset
+    last = bars.agg(F.max("dt").alias("_last"))
+    every = bars.groupBy("asset").agg(F.min("dt").alias("_first")).crossJoin(last)  # one row
+    grid = every.select("asset", F.explode(F.sequence("_first", "_last")).alias("dt")).join(bars.select("dt").distinct(), "dt", "left_semi")
     rows = grid.join(bars, ["asset", "dt"], "left").withColumn("carried", F.col("close").isNull()).withColumn("close", S.filled("close"))
     return rounded(rows.select("asset", "dt", "close", "carried"), "close", digits=8)
 
@@ -139,7 +141,8 @@ def hull_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signals.hull(panels.bars(spark, sf_dir), 9).select("asset", "dt", "hull"), "hull")
 
 
-_EFFICIENCY = f"""s AS (SELECT *, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 10) OVER w) AS net FROM rets WINDOW w AS (PARTITION BY asset ORDER BY dt)),
+_EFFICIENCY = f"""s AS (SELECT *, abs(close - lag(close) OVER w) AS step, abs(close - lag(close, 10) OVER w) AS net FROM rets WINDOW w AS (PARTITION BY asset
+    ORDER BY dt)),
   er AS (SELECT *, least(1, greatest(0, coalesce(net / nullif(CASE WHEN rn > 10 THEN sum(step) OVER {last(10)} END, 0), 0.5))) AS efficiency FROM s)"""
 
 
@@ -149,7 +152,8 @@ def efficiency_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, {_EFFICIENCY},
-  f AS (SELECT *, count(*) OVER b AS k, close < min(close) OVER b AS plow, close > max(close) OVER b AS phigh, efficiency < min(efficiency) OVER b AS elow, efficiency > max(efficiency) OVER b AS ehigh
+  f AS (SELECT *, count(*) OVER b AS k, close < min(close) OVER b AS plow, close > max(close) OVER b AS phigh, efficiency < min(efficiency) OVER b AS elow,
+      efficiency > max(efficiency) OVER b AS ehigh
     FROM er WINDOW b AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
   SELECT asset, dt, CASE WHEN k < 20 THEN 'none' WHEN plow AND NOT elow THEN 'bullish' WHEN phigh AND NOT ehigh THEN 'bearish' ELSE 'none' END AS divergence FROM f""")
 def price_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +185,8 @@ def rolling_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select("asset", "dt", "vol_30", "vol_252"), "vol_30", "vol_252")
 
 
-@query(f"""WITH {RETS} SELECT asset, round(max(close) FILTER (rn = n), 6) AS newest, round(max(close) FILTER (rn = n - 20), 6) AS ago_20, round(max(close) FILTER (rn = n - 251), 6) AS ago_251 FROM rets GROUP BY asset""")
+@query(f"""WITH {RETS} SELECT asset, round(max(close) FILTER (rn = n), 6) AS newest, round(max(close) FILTER (rn = n - 20), 6) AS ago_20,
+    round(max(close) FILTER (rn = n - 251), 6) AS ago_251 FROM rets GROUP BY asset""")
 def from_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closes by their place from the end of each series."""
     rows = panels.bars(spark, sf_dir).withColumn("k", S.from_end())
@@ -218,7 +223,8 @@ def calendar_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.groupBy("asset").agg(over(F.trunc("d", "year")).alias("ytd"), over(F.date_sub("d", 365)).alias("year")), "ytd", "year")
 
 
-@query(f"""WITH {RETS}, g AS (SELECT asset, any_value(n) AS n, bool_or(ret > 3 OR ret < -0.5) AS jump, max(close) FILTER (rn = n) AS a, max(close) FILTER (rn = n - 251) AS b FROM rets GROUP BY asset)
+@query(f"""WITH {RETS}, g AS (SELECT asset, any_value(n) AS n, bool_or(ret > 3 OR ret < -0.5) AS jump, max(close) FILTER (rn = n) AS a,
+    max(close) FILTER (rn = n - 251) AS b FROM rets GROUP BY asset)
   SELECT asset, round(CASE WHEN n < 252 THEN 0.0 WHEN jump THEN NULL ELSE a / b - 1 END, 6) AS year_return FROM g""")
 def guarded_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-year return; null after a daily move that can't be real, 0 with less than a year of rows."""
@@ -231,7 +237,8 @@ def guarded_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("asset", value.alias("year_return")), "year_return")
 
 
-@query(f"""WITH {SERIES}, m AS (SELECT name, dt, value, max(value) OVER w AS top, count(*) OVER w AS k FROM series WINDOW w AS (PARTITION BY name ORDER BY dt ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
+@query(f"""WITH {SERIES}, m AS (SELECT name, dt, value, max(value) OVER w AS top, count(*) OVER w AS k FROM series WINDOW w AS (PARTITION BY name
+    ORDER BY dt ROWS BETWEEN 251 PRECEDING AND CURRENT ROW))
   SELECT name, dt, round(least(100, (top - value) / top * 500), 6) AS stress FROM m WHERE k = 252""")
 def drawdown_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fall from the year's high as a stress of 0 to 100, once a year of rows is there."""
@@ -242,7 +249,8 @@ def drawdown_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {RETS}, newest AS (SELECT asset, close AS v FROM rets WHERE rn = n),
-  h AS (SELECT r.asset, count(*) AS k, count(*) FILTER (r.close < v) AS below, count(*) FILTER (r.close <= v) AS upto FROM rets r JOIN newest USING (asset) WHERE r.rn > r.n - 252 GROUP BY r.asset)
+  h AS (SELECT r.asset, count(*) AS k, count(*) FILTER (r.close < v) AS below, count(*) FILTER (r.close <= v) AS upto FROM rets r JOIN newest USING (asset)
+      WHERE r.rn > r.n - 252 GROUP BY r.asset)
   SELECT asset, round(CASE WHEN k >= 60 THEN 50.0::DOUBLE / k * (below + upto + CASE WHEN upto > below THEN 1 ELSE 0 END) END, 6) AS percentile FROM h""")
 def own_history_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest close's percentile among the last 252, 60 at least; ties count half and one more."""
@@ -299,8 +307,9 @@ KALMAN = f"""tr AS (
   kh AS (
     SELECT asset, trend, hull, up, lo, er, turns < 4 AS consistent,
       CASE WHEN close < low AND hull > own_low THEN 'bullish' WHEN close > high AND hull < own_high THEN 'bearish' ELSE 'none' END AS divergence,
-      CASE WHEN up = lo THEN 0.5 ELSE greatest(0, least(1, 0.4 * er + 0.6 * greatest(0, least(1, 1 - CASE trend WHEN 1 THEN up - close WHEN -1 THEN close - lo
-        ELSE least(abs(close - up), abs(close - lo)) END / (up - lo))))) END AS strength
+      CASE WHEN up = lo THEN 0.5 ELSE greatest(0, least(1, 0.4 * er + 0.6 * CASE WHEN up < lo THEN 0.5 ELSE greatest(0, least(1, 1 - CASE trend WHEN 1 THEN up - close
+          WHEN -1 THEN close - lo
+        ELSE least(abs(close - up), abs(close - lo)) END / (up - lo))) END)) END AS strength
     FROM ends JOIN pp USING (asset))"""
 
 

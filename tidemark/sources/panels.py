@@ -58,6 +58,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return type_bars(spark, sf_dir).select(F.coalesce(names[F.col("asset")], F.lower("asset")).alias("name"), "dt", F.col("close").alias("value"))
 
 
+def external_series(spark: SparkSession, sf_dir: str, least: int = 100) -> DataFrame:
+    """The values of those series that have at least ``least`` points."""
+    rows = series(spark, sf_dir).where("value is not null")
+    known = rows.groupBy("name").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("name")
+    return rows.join(known, "name", "left_semi")
+
+
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dimension of assets: ordinal, region, type and name, derived from each brand's parts."""
     parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_name").alias("name"), F.min("p_type").alias("type"), F.count("*").alias("n_parts"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.relational import upsert
@@ -13,6 +13,13 @@ def partitioned(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by).write.mode("overwrite").partitionBy(by).option("compression", "snappy").parquet(path)
 
 
+def partition(spark: SparkSession, path: str, by: str, value: str, allowed: tuple[str, ...]) -> DataFrame:
+    """The rows of one folder of a partitioned table; ``value`` must be one of ``allowed``."""
+    if value not in allowed:
+        raise ValueError(f"{by} must be one of {', '.join(allowed)}, not {value!r}")
+    return spark.read.parquet(path).where(F.col(by) == value)
+
+
 def spread(df: DataFrame, column: str, keys: list[str], prefix: str) -> DataFrame:
     """``df`` with a column for each of ``keys`` in place of a map."""
     return df.select(*(c for c in df.columns if c != column), *(F.col(column)[k].alias(f"{prefix}{k}") for k in keys))
