@@ -126,6 +126,18 @@ def test_shingle_sets_do_not_depend_on_batches():
     assert all(map(np.array_equal, shingles.shingle_sets(sliced, 3), together))
 
 
+@pytest.mark.parametrize("usual", [0, 4, 70, 600_000])
+def test_frequent_shingles_stand_out_of_full_slots(usual):
+    counts = np.random.default_rng(1).poisson(usual, 100_000)
+    hot = usual + np.array([20_000, 1_000_000, 50_000_000])
+    classes, others = ngram_join._class(hot, usual), ngram_join._class(counts, usual)
+    assert (np.diff(classes.astype(int)) > 0).all() and others.max() < classes[0]
+    assert np.allclose(ngram_join._beyond(classes, usual), hot - usual, rtol=0.06)
+    assert (ngram_join._sides(others, usual) == 1).all() and ngram_join._sides(classes, usual).tolist()[0] in (5, 6)
+    ordered = ngram_join._class(np.arange(0, 2 * usual + 50), usual).astype(int)
+    assert (np.diff(ordered) >= 0).all()
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(1)
     join = ngram_join.Join(3, 90)

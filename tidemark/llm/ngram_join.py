@@ -5,7 +5,8 @@ shingle among the first few of each (the prefix). The join finds pairs that shar
 order, keeps those that also do under each further order, and verifies what is left on the whole texts. All orders
 put rare shingles first; they differ in how shingles of about the same frequency follow each other. How rare a
 shingle is comes from a table of ``SLOTS`` counts over all documents (a fixed 16 MB, whatever the input; colliding
-shingles share a count). It decides the order alone, so it can make the join slower, never wrong.
+shingles share a count, and a count tells by how far it is above the usual one, in deviations, so that frequent shingles
+stand out however full the slots are). It decides the order alone, so it can make the join slower, never wrong.
 
 Before that, documents are contracted. Those with the same words in the same order count as one: the first of each
 task stands for its copies there, so a group of copies enters a shuffle with a row per task. Those that agree in a
@@ -54,8 +55,10 @@ ALL_BANDS = tuple(f"band{i}" for i in range(len(BANDS) + 1))
 SALTS = 64
 #: Contents of which a task remembers the first document, about 100 bytes each.
 REMEMBERED = 200_000
-#: A prefix shingle that so many more sets may have than the average slot is split over a grid of tasks.
+#: A prefix shingle that so many more sets may have than the usual slot is split over a grid of tasks.
 GRID_SETS = 4096
+#: The class of the usual count, and how many classes further on the distance from it has doubled.
+USUAL_CLASS, CLASSES_A_DOUBLING = 64, 7
 CHUNK_BYTES = 1 << 20
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
@@ -145,29 +148,49 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[0]), both[1]
 
 
-def _rarity(summaries: DataFrame) -> tuple[np.ndarray, int]:
-    """Each slot's class of frequency, in steps of a quarter power of two, and the class from which on a shingle is hot."""
+def _class(counts: np.ndarray, usual: float) -> np.ndarray:
+    """The class of frequency of slots with such counts, by how far they are from the usual one, in its own deviations. So
+    shingles that are frequent stand out even when all slots hold millions of rare ones."""
+    z = (counts - usual) / np.sqrt(usual + 1)
+    return np.clip(np.round(USUAL_CLASS + np.sign(z) * CLASSES_A_DOUBLING * np.log2(1 + np.abs(z))), 0, 255).astype(np.uint8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _beyond(classes: np.ndarray, usual: float) -> np.ndarray:
+    """About how many more documents than usual a slot of some class counts, which are those of a frequent shingle."""
+    return np.sqrt(usual + 1) * (2 ** (np.maximum(classes.astype(float) - USUAL_CLASS, 0) / CLASSES_A_DOUBLING) - 1)
+
+
+def _rarity(summaries: DataFrame) -> tuple[np.ndarray, float]:
+    """Each slot's class of frequency, and the usual count: the median."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 slots, counts = _unpacked(raw.as_py())
                 sums.setdefault(row, np.zeros(SLOTS_A_ROW, np.int64))[slots] += counts
-        classes = [np.minimum(4 * np.log2(x + 1), 255).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(classes, pa.binary())], names=["slot_row", "classes"])
+        for row, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([float(np.median(x))]), pa.array([x.tobytes()], pa.binary())], names=["slot_row", "median", "counts"])
 
-    classes = np.zeros(SLOTS, np.uint8)
     parts = summaries.where("slot_row is not null").select("slot_row", "counts").repartition("slot_row")
-    for row in parts.mapInArrow(run, "slot_row int, classes binary").collect():  # SLOTS bytes, whatever the input
+    sums = written(parts.mapInArrow(add, "slot_row int, median double, counts binary"), "slots")
+    medians = [r["median"] for r in sums.select("median").collect()]  # SLOTS / SLOTS_A_ROW of them
+    usual = float(np.median(medians + [0.0] * (SLOTS // SLOTS_A_ROW - len(medians))))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_class(np.frombuffer(x.as_py(), np.int64), usual).tobytes() for x in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("slot_row"), pa.array(found, pa.binary())], names=["slot_row", "classes"])
+
+    classes = np.full(SLOTS, _class(np.zeros(1), usual)[0], np.uint8)
+    for row in sums.mapInArrow(classed, "slot_row int, classes binary").collect():  # SLOTS bytes, whatever the input
         classes[row.slot_row * SLOTS_A_ROW :][:SLOTS_A_ROW] = np.frombuffer(row.classes, np.uint8)
-    usual = (2 ** (classes / 4.0)).mean()
-    return classes, int(np.ceil(4 * np.log2(GRID_SETS + 4 * usual)))
+    return classes, usual
 
 
-def _sides(classes: np.ndarray, hot: int) -> np.ndarray:
-    """The side of the grid over which shingles of some classes are split: 1 below the hot class."""
-    return np.where(classes < hot, 1, np.ceil(2 ** (np.minimum(classes, 120) / 4.0) / GRID_SETS)).astype(np.int32)
+def _sides(classes: np.ndarray, usual: float) -> np.ndarray:
+    """The side of the grid over which shingles of some classes are split: 1 for all but hot ones."""
+    return np.maximum(1, np.ceil(_beyond(classes, usual) / GRID_SETS)).astype(np.int32)
 
 
 def _ordered(s: np.ndarray, seed: int, classes: np.ndarray, most: int) -> np.ndarray:
@@ -179,14 +202,14 @@ def _ordered(s: np.ndarray, seed: int, classes: np.ndarray, most: int) -> np.nda
     return s[np.argsort(key)]
 
 
-def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple[np.ndarray, int], keep: np.ndarray | None = None) -> DataFrame:
+def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple[np.ndarray, float], keep: np.ndarray | None = None) -> DataFrame:
     """(doc_id, n, common, parity0, parity1, p0, p1, ...): each document's prefix under each order; ``sides``: the grid's
     side for the shingles of p0, null if all are 1; ``common``: how frequent its shingles are on average. The parities say of 128 classes of shingles whether the set has an odd
     number of each: two sets differ by at least as many shingles as their parities by bits."""
     shared = docs.sparkSession.sparkContext.broadcast((*rarity, keep))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, hot, bits = shared.value
+        classes, usual, bits = shared.value
         for batch in text_slices(_kept(batches, bits), "text", CHUNK_BYTES):
             sizes, grid, parities, common, prefixes = [], [], [], [], [[] for _ in seeds]
             for s in shingle_sets(batch.column("text"), join.width):
@@ -195,7 +218,7 @@ def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple
                 parities.append(np.packbits(np.bincount((mix(s, 31) & np.uint64(127)).astype(np.int64), minlength=128) & 1))
                 for seed, out in zip(seeds, prefixes, strict=True):
                     out.append(_ordered(s, seed, classes, join.prefix(len(s))))
-                side = _sides(classes[_slot(prefixes[0][-1])], hot)
+                side = _sides(classes[_slot(prefixes[0][-1])], usual)
                 grid.append(side.tolist() if (side > 1).any() else None)
             arrays = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(_signed(np.concatenate(out)))) for out in prefixes]
             names = ["doc_id", "n", "common", "parity0", "parity1", "sides", *(f"p{i}" for i in range(len(seeds)))]
