@@ -4,8 +4,9 @@ Language identification drops texts of no language, exact and near copies are re
 sources are mixed to their target weights, and what is left is encoded. Each stage works on all rows of the one
 before, which are written to the shared folder and read again.
 
-Null texts have no language and go in the first stage. Columns of documents besides doc_id, text, lang and source
-pass through all stages but the last.
+Null texts have no language and go in the first stage. Rows without doc_id pass all stages as any others, but aren't
+looked at as near copies; rows that share a doc_id stay or go together there, and have counts of their own in the mix.
+Columns of documents besides doc_id, text, lang and source pass through all stages but the last.
 """
 
 from __future__ import annotations
