@@ -11,7 +11,8 @@ The model learns from at most ``LEARN_ROWS`` labelled rows, those that come firs
 with fewer. Its tables have a fixed size.
 
 Defined results: a null text is scored as the empty one, which has a score as any other; without labels, or with
-one label alone, all scores are that label's share (one half without any); extra columns pass through.
+one label alone, all scores are that label's share (one half without any); extra columns pass through, but for one named
+like the output, which is replaced.
 """
 
 from __future__ import annotations
