@@ -79,6 +79,37 @@ def test_join_equals_all_pairs(spark, width, percent, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == plain_components(rows, width, percent)
 
 
+def test_all_of_a_band_meet_its_leader(spark):
+    """One band of 500 documents, and documents of bands of their own."""
+    rows = [(i, float(i == 77), 5 if i < 500 else 1000 + i, *(2000 * k + i for k in range(1, len(ngram_join.ALL_BANDS)))) for i in range(600)]
+    sets = spark.createDataFrame(rows, "doc_id long, common double, " + ", ".join(f"{b} long" for b in ngram_join.ALL_BANDS))
+    found = {tuple(r) for r in ngram_join._leader_pairs(sets).collect()}
+    assert found == {(i, 77) for i in range(500) if i != 77}
+
+
+def test_copies_of_one_text_cost_few_candidates(spark, monkeypatch):
+    """Every copy is like the text it was made from, but most aren't like each other: no pairs of them are candidates."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    copies = []
+    for i in range(150):
+        words_ = list(base)
+        for place in rng.sample(range(0, 200, 6), 4):
+            words_[place] = f"x{i}.{place}"
+        copies.append((i, " ".join(words_)))
+    docs = spark.createDataFrame([*copies, (900, " ".join(base))], "doc_id long, text string").repartition(3)
+    counts, candidates = [], ngram_join._candidates
+
+    def counted(postings, join):
+        found = candidates(postings, join)
+        counts.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_candidates", counted)
+    found = ngram_join.similar_components(docs, ngram_join.Join(5, 80)).collect()
+    assert {r.component_id for r in found} == {0} and counts[0] < 400
+
+
 def test_grid_loses_no_pair(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "_sides", lambda classes, hot: np.where(classes > 4, 3, 1).astype(np.int32))
     rows = corpus(5)

@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import written
 
 
+#: Parts over which a node's neighbours are dealt.
+SALTS = 64
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One step. ``edges``: (a, b) with a > b. Each node's neighbours (the smaller ones, or the larger ones) are
-    linked with its least neighbour or itself. The least is aggregated before the shuffle, and the join back can be
-    split by adaptive execution, so a node with very many neighbours is no single task's."""
+    linked with its least neighbour or itself. The least is found over parts of the neighbours and then over the parts,
+    and goes back the same way, so a node with very many neighbours is no single task's."""
     if small:
         around = edges
     else:
         around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = around.groupBy("a").agg(F.min("b").alias("_least")).select("a", F.least("a", "_least").alias("least"))
-    linked = around.join(least, "a")
+    around = around.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = around.groupBy("a", "part").agg(F.min("b").alias("_least"))
+    least = parts.groupBy("a").agg(F.min("_least").alias("_least")).select("a", F.least("a", "_least").alias("least"))
+    linked = around.join(parts.select("a", "part").join(least, "a"), ["a", "part"])
     if small:
         new = linked.select("b", "least").unionByName(least.select(F.col("a").alias("b"), "least"))
     else:

@@ -10,10 +10,9 @@ stand out however full the slots are). It decides the order alone, so it can mak
 
 Before that, documents are contracted. Those with the same words in the same order count as one: the first of each
 task stands for its copies there, so a group of copies enters a shuffle with a row per task. Those that agree in a
-band of least hashes, or in all of their set, are compared with a leader, on two levels: a band's documents are dealt
-over ``SALTS`` parts, each has a leader of its own, and the parts' leaders are compared with the band's. So a group of
-thousands of near copies costs a comparison or a few each, not all pairs, and no band is one task's. Links found so are
-true links, and pairs within a component needn't be looked for any more. Pairs that a shingle brings together are
+band of least hashes, or in all of their set, are compared with the band's leader. A band's documents are dealt over
+``SALTS`` parts, in which it is found and where they meet it. So a group of thousands of near copies costs a comparison
+or a few each, not all pairs, and no band is one task's. Links found so are true links, and pairs within a component needn't be looked for any more. Pairs that a shingle brings together are
 dropped on the spot if their sizes, the places of the shingle or the parities of their sets show that they can't be
 linked. Candidates for a shingle that very many sets have in their prefixes are split over a grid of tasks.
 
@@ -36,7 +35,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import text_slices
@@ -278,8 +277,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
     """The pairs (a, b) whose texts are linked."""
     bits = docs.sparkSession.sparkContext.broadcast(_bitmap(pairs.select("a", "b")))  # of bounded size
     wanted = docs.mapInArrow(lambda batches: _kept(batches, bits.value), docs.schema)
-    left = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    # A leader is in very many pairs: its text meets them in SALTS parts.
+    salted = pairs.select("a", "b", _salt("a").alias("salt"))
+    left = salted.join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = salted.select("b", "salt").distinct().join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(text_slices(batches, "text_a", CHUNK_BYTES), "text_b", CHUNK_BYTES):
@@ -287,20 +288,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
             n = batch.num_rows
             yield batch.select(["a", "b"]).filter(pa.array([join.linked(x, y) for x, y in zip(sets[:n], sets[n:], strict=True)], pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def _salt(doc: str) -> Column:
+    return F.pmod(F.xxhash64(doc, F.lit(9)), F.lit(SALTS)).cast("int")
 
 
 def _leader_pairs(sets: DataFrame) -> DataFrame:
-    """Each set paired with the leader of its part of each of its bands, and that with the band's: the one with the most
-    common shingles, as the text that others were made from has few of its own and is like most of them."""
+    """Each set paired with the leader of each of its bands: the one with the most common shingles, as the text that others
+    were made from has few of its own and is like most of them. A band's documents are dealt over parts; its leader is
+    that of the parts' leaders, and goes back to the parts first and from there to their documents."""
     bands = F.array(*(F.struct(F.lit(i).alias("i"), F.col(band).alias("band")) for i, band in enumerate(ALL_BANDS)))
-    rows = sets.select("doc_id", "common", F.inline(bands)).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(SALTS)).cast("int"))
+    rows = sets.select("doc_id", "common", F.inline(bands)).withColumn("salt", _salt("doc_id"))
     rank = F.struct("common", F.xxhash64("doc_id", "i").alias("tie"), F.col("doc_id").alias("lead"))
     parts = rows.groupBy("i", "band", "salt").agg(F.max(rank).alias("first"), F.count("*").alias("rows"))
-    tops = parts.groupBy("i", "band").agg(F.max("first")["lead"].alias("b"), F.count("*").alias("parts")).where("parts > 1")
-    inner = rows.join(parts.where("rows > 1"), ["i", "band", "salt"]).select(F.col("doc_id").alias("a"), F.col("first.lead").alias("b"))
-    outer = parts.join(tops, ["i", "band"]).select(F.col("first.lead").alias("a"), "b")
-    return inner.unionByName(outer).where("a <> b").distinct()
+    tops = parts.groupBy("i", "band").agg(F.max("first")["lead"].alias("b"), F.sum("rows").alias("all")).where("all > 1")
+    led = parts.select("i", "band", "salt").join(tops, ["i", "band"]).select("i", "band", "salt", "b")
+    return rows.join(led, ["i", "band", "salt"]).select(F.col("doc_id").alias("a"), "b").where("a <> b").distinct()
 
 
 def _candidates(postings: DataFrame, join: Join) -> DataFrame:
