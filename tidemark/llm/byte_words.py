@@ -22,7 +22,7 @@ from tidemark.llm.shingles import Lanes
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a Python worker keeps, about 60 bytes each, and the lanes of their contents, of three characters.
-CACHE_WORDS, CACHE_LANES = 600_000, 3_000_000
+CACHE_WORDS, CACHE_LANES = 300_000, 1_500_000
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
 

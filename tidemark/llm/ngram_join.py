@@ -44,7 +44,7 @@ from tidemark.llm.shared import written
 from tidemark.llm.shingles import exact_sets, mix, sets_of, shingle_sets, split
 
 #: Counts of shingles by hash: their number, and how many go into one row. A task counts so many shingles at a time.
-SLOTS, SLOTS_A_ROW, COUNTED = 1 << 24, 1 << 18, 1 << 22
+SLOTS, SLOTS_A_ROW, COUNTED = 1 << 24, 1 << 18, 1 << 20
 #: Orders of the shingles, by the seed that breaks ties of frequency.
 ORDERS = (101, 102, 103)
 #: Bands of least hashes, two seeds each; one more band stands for the whole set.
@@ -238,10 +238,11 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     size = 1 << max(LEAST_BITS.bit_length() - 1, min(MOST_BITS.bit_length() - 1, (8 * len(ids.columns) * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(size, bool)
+        packed = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[_bit(np.concatenate([c.to_numpy() for c in batch.columns]), size)] = True
-        packed = np.packbits(bits).reshape(-1, 4096)
+            bit = _bit(np.concatenate([c.to_numpy() for c in batch.columns]), size)
+            np.bitwise_or.at(packed, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+        packed = packed.reshape(-1, 4096)
         used = np.flatnonzero(packed.any(axis=1))
         for start in range(0, len(used), 256):
             some = used[start : start + 256]
