@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import backtest, intervals, metrics, ranking, regimes, relational, risk, signals, single
-from tidemark.sources import sinks
+from tidemark.operators import backtest, compare, intervals, metrics, ranking, regimes, relational, risk, signals, single
+from tidemark.sources import panels, sinks
 
 
 def panel(spark, closes, asset="A", start="2021-01-01"):
@@ -327,3 +327,25 @@ def test_interval_without_history_is_no_ci(spark):
 def test_metrics_take_one_shuffle(spark):
     plan = metrics.behaviour(panel(spark, [1.0, 2.0]).repartition(3))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_comparison_of_holdings(spark):
+    d = datetime.date
+    held = spark.createDataFrame([("s", d(2020, 1, 1), ["a", "b"]), ("s", d(2020, 1, 2), ["b", "a"]), ("s", d(2020, 1, 3), ["a", "c"]), ("t", d(2020, 1, 1), ["a"])], "scenario string, dt date, holdings array<string>")
+    assert {r.scenario: r.trades for r in compare.trades(held).collect()} == {"s": 1, "t": 0}
+    rets = spark.createDataFrame([("s", d(2020, 1, i + 1), r) for i, r in enumerate([0.1, -0.5, 0.2])], "scenario string, dt date, ret double")
+    r = compare.performance(rets).first()
+    assert r.log_total == pytest.approx(np.log(1.1 * 0.5 * 1.2)) and r.max_drawdown == pytest.approx(-0.5)
+    s = pd.Series([0.1, -0.5, 0.2])
+    assert r.sharpe == pytest.approx(s.mean() * 252 / (s.std() * 252**0.5)) and r.volatility == pytest.approx(s.std() * 252**0.5)
+    periods = spark.createDataFrame([("all", d(2020, 1, 1), d(2020, 1, 3)), ("end", d(2020, 1, 3), d(2020, 1, 9))], "period string, a date, b date")
+    found = {e.period: e for e in compare.edges(rets, rets.select("dt", (F.col("ret") / 2).alias("ret")), periods).collect()}
+    assert found["end"].edge == pytest.approx(np.log(1.2 / 1.1)) and found["all"].edge == pytest.approx(np.log(1.1 * 0.5 * 1.2) - np.log(1.05 * 0.75 * 1.1))
+    whole = compare.consistency(compare.edges(rets, rets.select("dt", (F.col("ret") / 2).alias("ret")), periods)).first()
+    assert whole.periods == 2 and whole.positive == 0.5 and not whole.always
+
+
+def test_missing_columns_are_null(spark):
+    df = spark.createDataFrame([("a", 1.0)], "asset string, close double")
+    assert panels.adjusted(df).first().asDict() == {"asset": "a", "close": 1.0, "adj_close": None, "price": 1.0}
+    assert panels.projected(df, {"close": "string", "volume": "double"}).schema.simpleString() == "struct<asset:string,close:double,volume:double>"

@@ -47,6 +47,13 @@ def activity(last: Column, now: Column) -> Column:
     return F.when(last.isNull(), "missing").when(hours <= activity_bound(last, now), "active").otherwise("stale")
 
 
+def activity_reason(last: Column, now: Column) -> Column:
+    """"active", or why a series isn't."""
+    hours = F.floor(F.timestamp_diff("SECOND", last, now) / 3600).cast("string")
+    late = F.concat(F.lit("inactive: "), hours, F.lit(" h since its last bar, "), activity_bound(last, now).cast("string"), F.lit(" allowed"))
+    return F.when(last.isNull(), "inactive: no price data").when(activity(last, now) == "active", "active").otherwise(late)
+
+
 #: The region of a listing by its suffix; none is the United States.
 REGIONS = {
     "-HK": "Hong Kong", "-US": "United States", "-CA": "Canada", "-GB": "United Kingdom", "-IN": "India", "-JP": "Japan", "-JKT": "Indonesia", "-PH": "Philippines", "-AU": "Australia",

@@ -56,6 +56,23 @@ def strategies(panel: DataFrame, benchmark: str, start: str, end: str, held: int
     return out
 
 
+def trades(holdings: DataFrame) -> DataFrame:
+    """(scenario, trades): how often each scenario's holdings (scenario, dt, holdings) change as a set, the first buy left out."""
+    order = Window.partitionBy("scenario").orderBy("dt")
+    rows = holdings.withColumn("_before", F.array_sort(F.lag("holdings").over(order)))
+    return rows.groupBy("scenario").agg(F.count_if(F.col("_before").isNotNull() & (F.array_sort("holdings") != F.col("_before"))).alias("trades"))
+
+
+def performance(returns: DataFrame) -> DataFrame:
+    """(scenario, log_total, volatility, sharpe, max_drawdown) of daily returns (scenario, dt, ret)."""
+    order = Window.partitionBy("scenario").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    rows = returns.withColumn("_g", F.exp(F.sum(F.log1p("ret")).over(order))).withColumn("_d", F.col("_g") / F.max("_g").over(order) - 1)
+    year = F.sqrt(F.lit(252))
+    return rows.groupBy("scenario").agg(
+        F.sum(F.log1p("ret")).alias("log_total"), (F.stddev_samp("ret") * year).alias("volatility"), F.try_divide(F.avg("ret") * 252, F.stddev_samp("ret") * year).alias("sharpe"), F.min("_d").alias("max_drawdown")
+    )
+
+
 def edges(returns: DataFrame, benchmark: DataFrame, periods: DataFrame) -> DataFrame:
     """(scenario, period, edge, max_drawdown, hit_rate) over each period: growth over the benchmark's, both as logarithms.
     ``returns``: scenario, dt, ret; ``benchmark``: dt, ret; ``periods``: period, a, b, a few rows."""

@@ -159,8 +159,7 @@ def _checks(spark: SparkSession) -> DataFrame:
     return backtest.check_dates(_grid(spark, (40,), (20,)), START, END)
 
 
-@query()
-def ci_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ci_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdings by interval signals. Signals compare each check date's metrics with the intervals of the whole history."""
     bars, assets, checks = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), _checks(spark)
     rows = metrics.behaviour(bars)
@@ -174,20 +173,30 @@ def ci_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = written(backtest.rankings(bars, assets, checks), "ranks")
     best = signals.join(ranks.where("rank <= 20").select("asset", "dt"), ["asset", "dt"], "left_semi")
     stressed = best.groupBy("dt").agg((F.avg((F.col("signal") == "ROTATE").cast("double")) > 0.3).alias("stressed"))
-    held = backtest.signal_holdings(ranks, signals, stressed)
-    return held.select("dt", F.array_join("holdings", ",").alias("holdings"))
+    return backtest.signal_holdings(ranks, signals, stressed)
 
 
 @query()
-def vol_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equity of holdings that rotate while the market is calm."""
+def ci_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is held from each check date on by interval signals."""
+    return ci_holdings(spark, sf_dir).select("dt", F.array_join("holdings", ",").alias("holdings"))
+
+
+def volatility_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings that rotate while the market is calm."""
     bars, assets, checks = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), _checks(spark)
     vols = bars.withColumn("ret", S.simple_return()).withColumn("vol", intervals.annual(S.rolling_std("ret", 20))).where("vol is not null").select("asset", "dt", "vol")
     grid = checks.select("dt").distinct().crossJoin(assets.select("asset")).withColumn("wanted", F.lit(1))
     at = relational.as_of(grid.select("asset", "dt", "wanted"), vols, ["asset"])
     calm = at.groupBy("dt").agg((~intervals.stressed(F.avg("vol"), F.median("vol"))).alias("calm"))
-    held = backtest.volatility_holdings(backtest.rankings(bars, assets, checks), calm)
-    rows = backtest.equity(backtest.daily_returns(held, bars, START, END))
+    return backtest.volatility_holdings(backtest.rankings(bars, assets, checks), calm)
+
+
+@query()
+def vol_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equity of holdings that rotate while the market is calm."""
+    bars = panels.bars(spark, sf_dir)
+    rows = backtest.equity(backtest.daily_returns(volatility_holdings(spark, sf_dir), bars, START, END))
     return rounded(rows.select("dt", F.log("value").alias("log_value")), "log_value")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import compare, explore, features, intervals, metrics, relational, single
+from tidemark.operators import backtest, compare, explore, features, intervals, metrics, relational, scores, single
 from tidemark.plans import backtests as B
 from tidemark.plans.decisions import _CI, _CURRENT, _signals
 from tidemark.plans.market import _UNIVERSE, universe
@@ -129,6 +129,16 @@ def upserted_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(b).select("asset", "dt", "close"), "close", digits=8)
 
 
+@query(f"""WITH {BARS}
+  SELECT asset, dt, round(CASE WHEN asset < 'Brand#3' AND day(dt) % 2 = 0 THEN close / 2 ELSE close END, 8) AS price FROM bars""")
+def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted closes where there are any: for some assets on every other day, and for the others there is no such column."""
+    bars = panels.bars(spark, sf_dir).select("asset", "dt", "close")
+    own = bars.where("asset < 'Brand#3'").withColumn("adj_close", F.when(F.dayofmonth("dt") % 2 == 0, F.col("close") / 2))
+    rows = panels.adjusted(own).unionByName(panels.adjusted(bars.where("asset >= 'Brand#3'")))
+    return rounded(rows.select("asset", "dt", "price"), "price", digits=8)
+
+
 # Model features.
 
 _ROLES = {"gold": "gold", "vix": "vix", "rates": "us_10y", "equity": "equity", "bonds": "bonds"}
@@ -278,6 +288,32 @@ def backtest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "mean_excess", "mean_drawdown", "mean_hit_rate", "positive_folds")
 
 
+@query()
+def full_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebalancing by ranks, by interval signals and by volatility, and holding the first choice, over the same days."""
+    bars, assets = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir)
+    checks = backtest.check_dates(B._grid(spark, (40,), (20,)), B.START, B.END)
+    standard = backtest.conditional_holdings(checks, backtest.rankings(bars, assets, checks)).withColumn("scenario", F.lit("standard"))
+    held = written(standard.unionByName(B.ci_holdings(spark, sf_dir)).unionByName(B.volatility_holdings(spark, sf_dir)), "held")
+    returns = backtest.daily_returns(held, bars, B.START, B.END)
+    hold = backtest.buy_and_hold(bars, assets, B.START, B.END).select("scenario", "dt", "ret")
+    found = compare.performance(returns.unionByName(hold)).join(compare.trades(held), "scenario", "left")
+    return rounded(found.withColumn("trades", F.coalesce("trades", F.lit(0))), "log_total", "volatility", "sharpe", "max_drawdown", digits=4)
+
+
+@query(f"""WITH {BARS}, {ASSETS},
+  l AS (SELECT asset, max(dt) AS last FROM bars JOIN assets USING (asset) WHERE dt <= DATE '1999-06-06' - CAST(ord % 4 AS INTEGER) GROUP BY asset),
+  b AS (SELECT asset, epoch(TIMESTAMP '1999-06-07 09:00:00' - CAST(last AS TIMESTAMP)) / 3600 AS hours, CASE isodow(last) WHEN 6 THEN 76 WHEN 5 THEN 100 ELSE 72 END AS bound FROM l),
+  s AS (SELECT asset, CASE WHEN hours <= bound THEN 'active' ELSE 'inactive: ' || CAST(hours AS BIGINT) || ' h since its last bar, ' || bound || ' allowed' END AS status FROM b)
+  SELECT status, count(*) AS assets, string_agg(asset, ',' ORDER BY asset) AS names FROM s GROUP BY status""")
+def activity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe as of a Monday morning by the hours since each asset's last bar, with the reason."""
+    now = F.lit("1999-06-07 09:00:00").cast("timestamp_ntz")
+    bars = panels.bars(spark, sf_dir).join(panels.assets(spark, sf_dir).select("asset", "ord"), "asset")
+    seen = bars.where("dt <= date_sub(date '1999-06-06', cast(ord % 4 as int))").groupBy("asset").agg(F.max("dt").cast("timestamp_ntz").alias("last"))
+    return scores.split_by_reason(seen.select("asset", rules.activity_reason(F.col("last"), now).alias("status")))
+
+
 # Quality over the whole universe, and single assets.
 
 

@@ -119,13 +119,17 @@ def risk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("volatility", "beta", risk.risk_class(vol, F.col("beta")).alias("risk_class"), risk.volatility_class(vol).alias("alone"))
 
 
-@query(f"""WITH {RETS}, {METRICS} SELECT * FROM (SELECT 'hit_rate' AS rule, count(*) FILTER (NOT hit_rate BETWEEN 0.45 AND 1) AS broken, count(hit_rate) AS known
-    FROM m {_NOW}
-  UNION ALL SELECT 'stability', count(*) FILTER (NOT (stability > 0 AND stability <= 1)), count(stability) FROM m {_NOW} UNION ALL SELECT 'price',
-      count(*) FILTER (NOT close > 0), count(close) FROM m {_NOW})""")
+@query(f"""WITH {RETS}, {METRICS}, {ASSETS}, now AS (SELECT m.*, kind FROM m JOIN assets USING (asset) {_NOW})
+  SELECT 'hit_rate' AS rule, count(*) FILTER (NOT hit_rate BETWEEN 0.45 AND 1) AS broken, count(hit_rate) AS known FROM now
+  UNION ALL SELECT 'stability', count(*) FILTER (NOT (stability > 0 AND stability <= 1)), count(stability) FROM now
+  UNION ALL SELECT 'price', count(*) FILTER (NOT close > 0), count(close) FROM now
+  UNION ALL SELECT 'kind', count(*) FILTER (kind NOT IN ('Equity', 'Bond')), count(kind) FROM now""")
 def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many assets break a rule on a range or a list of values."""
     c = F.col
-    return scores.violations(_now(spark, sf_dir), {"hit_rate": c("hit_rate").between(0.45, 1), "stability": (c("stability") > 0) & (c("stability") <= 1), "price": c("close") > 0})
+    rows = _now(spark, sf_dir).join(panels.assets(spark, sf_dir).select("asset", "kind"), "asset")
+    ranges = {"hit_rate": c("hit_rate").between(0.45, 1), "stability": (c("stability") > 0) & (c("stability") <= 1), "price": c("close") > 0}
+    return scores.violations(rows, ranges | {"kind": c("kind").isin("Equity", "Bond")})
 
 
 @query(f"""WITH {BARS}, st AS (SELECT asset, CASE WHEN count(*) < 1600 THEN 'short' WHEN DATE '2001-11-01' - max(dt) > 0 THEN 'stale' ELSE 'ok' END AS status FROM bars

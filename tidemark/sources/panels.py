@@ -18,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def projected(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with its columns and those of ``columns`` (name to type) that it lacks, which are null."""
+    return df.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in columns.items() if name not in df.columns))
+
+
+def adjusted(df: DataFrame) -> DataFrame:
+    """``df`` with price: the adjusted close where the table has one, else the close."""
+    return projected(df, {"adj_close": "double"}).withColumn("price", F.coalesce("adj_close", "close"))
+
+
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON documents, one a line, by their schema: fields that a document lacks are null, others aren't read."""
     return spark.read.schema(schema).json(path)
