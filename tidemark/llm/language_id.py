@@ -30,7 +30,7 @@ PROFILE = 300
 #: The boundary between words, and the bits of a code point.
 BOUNDARY, POINT_BITS = 32, 21
 #: Distinct n-grams of which a task sums counts before it passes them on.
-HELD_CODES = 1_000_000
+HELD_CODES = 200_000
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 

@@ -58,7 +58,7 @@ REMEMBERED = 200_000
 GRID_SETS = 4096
 #: The class of the usual count, and how many classes further on the distance from it has doubled.
 USUAL_CLASS, CLASSES_A_DOUBLING = 64, 7
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
 
 
