@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import text_slices, with_columns, with_fields
@@ -542,9 +542,9 @@ def learn(docs: DataFrame, text: str = "text", most: int = LEARN_WINDOWS) -> Fie
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["has", "window", "h"])
 
     found = docs.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "has string, window string, h long").distinct()
-    examples = []
-    for kind in shares:
-        examples += [r.window for r in found.where(F.col("has") == kind).orderBy("h", "window").limit(most // len(shares)).collect()]
+    place = F.row_number().over(Window.partitionBy("has").orderBy("h", "window"))
+    rows = found.withColumn("place", place).where(F.col("place") <= most // len(shares)).collect()
+    examples = [r["window"] for r in sorted(rows, key=lambda r: (shares.index(r.has), r.place))]
     return train(examples)
 
 
