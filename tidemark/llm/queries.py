@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, pii_crf, quality_gam, sharding, token_files
+from tidemark.llm import bpe, conversation_repair, exact_dedup, filter_audit, language_id, line_dedup, maxscore, mixing, ngram_join, oracle_sql, pii_crf, quality_gam, sharding, token_files
 from tidemark.llm.shared import documents, new_folder
+from tidemark.session import bounded_batches
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -93,6 +94,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).drop("text")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines of ten code points or more that a document of a smaller id has."""
+    found = line_dedup.deduplicated(documents(spark, sf_dir), shortest=10, least=2)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, in every order of them, by language."""
+    docs = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("part"), "text")
+    return filter_audit.audit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after faults were put into its turns."""
+    bounded_batches(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.summary(conversation_repair.damaged(rows), rows.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -104,12 +124,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii_crf": op9_pii_crf,
     "op10_language_id": op10_language_id,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: Lower-cases A-Z alone.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op11_line_dedup": oracle_sql.LINE_DEDUP,
+    "op12_filter_audit": oracle_sql.FILTER_AUDIT,
+    "op13_conversation_repair": oracle_sql.CONVERSATION_REPAIR,
     "op1_ngram_jaccard_join": rf"""
         WITH RECURSIVE split AS (
           SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
