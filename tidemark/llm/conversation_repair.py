@@ -9,10 +9,10 @@ same cost, neither is a prefix of the other, as what is longer holds one more in
 are part of the least letters of the whole.
 
 Rows are sorted by conversation and turn over all tasks, by range, so a long conversation lies in several partitions;
-each task multiplies stretches of up to ``CHUNK`` turns as they pass. Conversations of several stretches go on in a
-tree: ``FAN`` neighbours become one, level by level, each level a written table. Down the same tree, every node hands
+each task multiplies stretches of up to ``chunk`` turns as they pass. Conversations of several stretches go on in a
+tree: ``fan`` neighbours become one, level by level, each level a written table. Down the same tree, every node hands
 its children the states they begin and end in, and each stretch reads its own edits off its own letters. So no task
-holds more than ``CHUNK`` turns or ``FAN`` matrices of one conversation, but for the letters of the result.
+holds more than ``chunk`` turns or ``fan`` matrices of one conversation, but for the letters of the result.
 
 Equal rows (conversation, turn, role, text) are counted within each task before any shuffle, as one row with a number of
 copies. Texts are left out of all this: rows carry a 128-bit digest of conversation, role and text, and turns that are
@@ -158,8 +158,8 @@ def faults(turns: DataFrame) -> DataFrame:
 _STRETCH = f"conv_id long, part int, place int, turns array<long>, roles array<string>, saids array<binary>, copies array<long>, kinds array<int>, {NODE}"
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows as stretches of a conversation, each with its node."""
+def _stretches(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows as stretches of a conversation of up to ``chunk`` rows, each with its node."""
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("place", pa.int32()), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("saids", pa.list_(pa.binary())), ("copies", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int32())), ("costs", pa.list_(pa.int64())), ("audits", pa.list_(pa.string())), ("first", pa.string()), ("last", pa.string()), *((c, pa.int64()) for c in ("illegal", "blank", "duplicate", "truncated"))])
     part = TaskContext.get().partitionId()
     place = 0
@@ -183,7 +183,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = []
         for r in batch.to_pylist():
-            if rows and (r["conv_id"] != rows[0]["conv_id"] or len(rows) == CHUNK):
+            if rows and (r["conv_id"] != rows[0]["conv_id"] or len(rows) == chunk):
                 done.append(stretch(rows[0]["conv_id"], rows))
                 rows, place = [], place + 1
             rows.append(r)
@@ -193,10 +193,14 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([stretch(rows[0]["conv_id"], rows)], schema)
 
 
-def stretches(kinds: DataFrame) -> DataFrame:
+def stretches(kinds: DataFrame, chunk: int) -> DataFrame:
     """All rows as stretches, in the order of ``index`` within each conversation, as a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _stretches(batches, chunk)
+
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("said")]
-    rows = written(kinds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_stretches, _STRETCH), "stretches")
+    rows = written(kinds.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _STRETCH), "stretches")
     return written(running(rows, ["conv_id"], "part", [F.col("place")], F.lit(1), "index"), "indexed")
 
 
@@ -212,19 +216,19 @@ def _joined(nodes: list[dict]) -> dict:
     return {"costs": costs, "audits": audits, "first": nodes[0]["first"], "last": nodes[-1]["last"], **out}
 
 
-def _up(nodes: DataFrame) -> DataFrame:
-    """One level of the tree: each ``FAN`` neighbours as one node."""
+def _up(nodes: DataFrame, fan: int) -> DataFrame:
+    """One level of the tree: each ``fan`` neighbours as one node."""
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         rows = frame.sort_values("index").to_dict("records")
         conv_id = rows[0]["conv_id"]
-        return pd.DataFrame([{"conv_id": None if pd.isna(conv_id) else conv_id, "index": rows[0]["index"] // FAN, **_joined(rows)}])
+        return pd.DataFrame([{"conv_id": None if pd.isna(conv_id) else conv_id, "index": rows[0]["index"] // fan, **_joined(rows)}])
 
     names = ["conv_id", "index", "costs", "audits", "first", "last", "illegal", "blank", "duplicate", "truncated"]
-    return nodes.select(*names).groupBy("conv_id", F.expr(f"index div {FAN}")).applyInPandas(join, f"conv_id long, index long, {NODE}")
+    return nodes.select(*names).groupBy("conv_id", F.expr(f"index div {fan}")).applyInPandas(join, f"conv_id long, index long, {NODE}")
 
 
-def _down(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+def _down(nodes: DataFrame, parents: DataFrame, fan: int) -> DataFrame:
     """(conv_id, index, enter, leave): the states in which the cheapest way enters and leaves each node, from those of
     ``parents``."""
 
@@ -240,7 +244,7 @@ def _down(nodes: DataFrame, parents: DataFrame) -> DataFrame:
         return pd.DataFrame({"conv_id": pd.array([conv_id] * len(rows), "Int64"), "index": [x["index"] for x in rows], "enter": way[:-1], "leave": way[1:]})
 
     wanted = parents.select(F.col("conv_id").alias("_conv"), F.col("index").alias("_parent"), "enter", "leave")
-    rows = nodes.withColumn("_up", F.expr(f"index div {FAN}"))
+    rows = nodes.withColumn("_up", F.expr(f"index div {fan}"))
     rows = rows.join(wanted, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_up") == F.col("_parent")))
     return rows.select("conv_id", "index", "_up", "costs", "audits", "enter", "leave").groupBy("conv_id", "_up").applyInPandas(trace, "conv_id long, index long, enter int, leave int")
 
@@ -282,20 +286,20 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema)
 
 
-def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """What is wrong with each conversation, and its repaired turns.
 
     The first table has a row for each conversation of ``rows`` (conv_id, turn, role, text): conv_id, gaps, blank,
     duplicate, truncated, illegal, cost, audit. The second: conv_id, part, place and seq, by which its rows are ordered,
     role and text."""
     turns = counted(rows)
-    base = stretches(faults(turns))
+    base = stretches(faults(turns), chunk)
     levels = [base]
     last = base.agg(F.max("index")).first()[0] or 0
     while last:
         known = levels[-1].join(levels[-1].where("index > 0").select(F.col("conv_id").alias("_conv")).distinct(), F.col("conv_id").eqNullSafe(F.col("_conv")), "left_semi")
-        levels.append(written(_up(known), "nodes"))
-        last //= FAN
+        levels.append(written(_up(known, fan), "nodes"))
+        last //= fan
     # A conversation's top is its only node of the level on which it has one.
     tops = []
     for i, level in enumerate(levels):
@@ -304,7 +308,7 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         tops.append(written(_completed(whole).drop("turns", "roles", "saids", "copies", "kinds", "part", "place"), "tops"))
     ways = tops[-1].select("conv_id", "index", "enter", "leave")
     for i in range(len(levels) - 2, -1, -1):
-        below = _down(levels[i], ways).unionByName(tops[i].select("conv_id", "index", "enter", "leave"))
+        below = _down(levels[i], ways, fan).unionByName(tops[i].select("conv_id", "index", "enter", "leave"))
         ways = written(below, "ways")
     found = tops[0]
     for x in tops[1:]:
@@ -351,10 +355,10 @@ def digests(repaired: DataFrame) -> DataFrame:
     return repaired.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(_digests, "conv_id long, repaired_sha256 string")
 
 
-def summary(rows: DataFrame, before: DataFrame) -> DataFrame:
+def summary(rows: DataFrame, before: DataFrame, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """A row for each conversation of ``before`` (conv_id): the report on ``rows``, and the digest of what they become;
     zeros, no letters and the digest of nothing for those without rows."""
-    report, repaired = repair(rows)
+    report, repaired = repair(rows, chunk, fan)
     counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
     nothing = [F.lit(None).cast("long").alias(c) for c in counts]
     parts = [
