@@ -158,6 +158,20 @@ def _strength(price: float, upper: float, lower: float, ratio: float, trend: int
     return float(np.clip(0.6 * np.clip(place, 0, 1) + 0.4 * ratio, 0, 1))
 
 
+def band_parameters(panel: DataFrame, band: str = "MEDIUM", least: int = 30) -> DataFrame:
+    """(asset, measurement, process, length, factor, days): what ``kalman_hull`` takes for each series from its end, for
+    series of ``least`` closes or more: the two noises, the length of the Hull mean, the bands' factor, and the days of
+    the true range's mean."""
+    noise, process, factor, days = KALMAN.get(band, KALMAN["MEDIUM"])
+    rows = panel.where("close is not null").withColumn("tr", S.true_range()).withColumn("_step", F.abs(F.col("close") - S.ago("close", 1)))
+    rows = rows.withColumns({"width": F.avg("tr").over(S.last(days)), "path": F.sum("_step").over(S.last(10)), "move": F.abs(F.col("close") - S.ago("close", 10)), "n": F.count("close").over(S.so_far())})
+    end = rows.withColumn("_k", S.from_end()).where(f"_k = 1 and n >= {least}")
+    ratio = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide("move", "path"))), F.lit(0.5))
+    end = end.withColumn("unrest", F.when(F.col("close") != 0, F.col("width") / F.col("close")).otherwise(0.1)).withColumn("measurement", noise * (1 - ratio) * (1 + F.col("unrest")))
+    length = F.greatest(F.lit(3), F.least(F.bround("measurement").cast("long"), F.expr("n div 2")))
+    return end.select("asset", "measurement", (process * (1 + F.col("unrest"))).alias("process"), length.alias("length"), F.lit(factor).alias("factor"), F.lit(days).alias("days"))
+
+
 KALMAN_SCHEMA = "asset string, trend int, kalman_price double, upper_band double, lower_band double, efficiency_ratio double, divergence string, trend_consistency boolean, signal_strength double"
 
 

@@ -200,12 +200,15 @@ def _point(p: float, x: str = "x") -> str:
     return "(" + _POINT.format(p=f"{p}::DOUBLE").replace("x[", f"{x}[").replace("len(x)", f"len({x})") + ")"
 
 
-@query(f"""WITH {RETS}, {METRICS}, h AS (UNPIVOT (SELECT asset, dt, rn, n, hit_rate, conviction, stability FROM m WHERE rn >= 100) ON hit_rate, conviction,
+INTERVAL_HISTORY = f"""WITH {RETS}, {METRICS}, h AS (UNPIVOT (SELECT asset, dt, rn, n, hit_rate, conviction, stability FROM m WHERE rn >= 100) ON hit_rate, conviction,
     stability INTO NAME metric VALUE value),
   l AS (SELECT asset, metric, dt, rn, list_sort(list(value) OVER (PARTITION BY asset, metric ORDER BY dt ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) AS s FROM h),
   w AS (SELECT *, {_point(0.01, "s")} AS lo, {_point(0.99, "s")} AS hi FROM l WHERE rn % 200 = 0),
   v AS (SELECT asset, metric, dt, CASE WHEN metric = 'conviction' THEN list_transform(s, lambda y: greatest(lo, least(hi, y))) ELSE s END AS x FROM w)
-  SELECT asset, metric, dt, round({_point(0.025)}, 4) AS lower, round({_point(0.975)}, 4) AS upper, round(list_avg(x), 4) AS mean FROM v""")
+  SELECT asset, metric, dt, round({_point(0.025)}, 4) AS lower, round({_point(0.975)}, 4) AS upper, round(list_avg(x), 4) AS mean FROM v"""
+
+
+@query(INTERVAL_HISTORY)
 def interval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intervals as they stood on every two hundredth day of each asset, from the hundred days up to it."""
     rows = metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("rn", F.row_number().over(S.by_asset())).where("rn >= 100")
