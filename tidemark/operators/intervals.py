@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
+from tidemark.functions.ordered import OrderedWindow
 
 METRICS = ("hit_rate", "conviction", "stability")
 
@@ -29,24 +34,36 @@ def intervals(long: DataFrame, winsorised: tuple[str, ...] = ("conviction",)) ->
     return found.select("asset", "metric", F.col("p")[0].alias("lower"), F.col("p")[1].alias("upper"), "mean", "std", F.col("p")[2].alias("median"))
 
 
-def _quantile(x: Column, p: float) -> Column:
-    """Of a sorted array, between its values as if they stood at even distances."""
-    at = F.lit(p) * (F.size(x) - 1)
-    low, high = (F.element_at(x, (f(at) + 1).cast("int")) for f in (F.floor, F.ceil))
-    return low + (at - F.floor(at)) * (high - low)
-
-
-def as_of_each(rows: DataFrame, also: tuple[str, ...] = (), names: tuple[str, ...] = METRICS, days: int = 100, winsorised: tuple[str, ...] = ("conviction",)) -> DataFrame:
-    """(asset, metric, dt, ``also``, lower, upper, mean): the interval as it stands on each day of ``rows``, from the ``days``
-    rows up to it. A frame holds ``days`` values, whatever the history's length."""
-    long = rows.unpivot(["asset", "dt", *also], list(names), "metric", "value")
-    frame = Window.partitionBy("asset", "metric").orderBy("dt").rowsBetween(1 - days, 0)
-    held = long.withColumn("_x", F.array_sort(F.collect_list("value").over(frame)))
-    drawn = held.withColumns({"_lo": _quantile(F.col("_x"), 0.01), "_hi": _quantile(F.col("_x"), 0.99)})
-    x = F.when(F.col("metric").isin(*winsorised), F.transform("_x", lambda v: F.greatest(F.col("_lo"), F.least(F.col("_hi"), v)))).otherwise(F.col("_x"))
-    found = drawn.withColumn("_x", x)
-    mean = F.aggregate("_x", F.lit(0.0), lambda acc, v: acc + v) / F.size("_x")
-    return found.select("asset", "metric", "dt", *also, _quantile(F.col("_x"), 0.025).alias("lower"), _quantile(F.col("_x"), 0.975).alias("upper"), mean.alias("mean"))
+def as_of_each(rows: DataFrame, also: tuple[str, ...] = (), names: tuple[str, ...] = METRICS, days: int = 100, winsorised: tuple[str, ...] = ("conviction",), wanted: Column | None = None) -> DataFrame:
+    """(asset, metric, dt, ``also``, lower, upper, mean): the interval as it stands on each day of ``rows`` (where
+    ``wanted``, if given), from the ``days`` rows up to it.
+
+    Rows pass in the order of asset and day, and each metric's window is kept in order of size as values come and go, so
+    nothing is sorted again and a task holds ``days`` values of a metric, whatever the history's length."""
+    wide = rows.select("asset", "dt", *also, (F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))).alias("_wanted"), *(F.col(n).cast("double").alias(n) for n in names))
+    kinds = {f.name: f for f in wide.schema.fields}
+    out = T.StructType([kinds["asset"], T.StructField("metric", T.StringType()), kinds["dt"], *(kinds[c] for c in also), *(T.StructField(c, T.DoubleType()) for c in ("lower", "upper", "mean"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asset, windows = None, None
+        for batch in batches:
+            at, found = [], []
+            assets, flags = batch.column(0).to_pylist(), batch.column(2 + len(also)).to_pylist()
+            values = [batch.column(3 + len(also) + k).to_pylist() for k in range(len(names))]
+            for i, own in enumerate(assets):
+                if windows is None or own != asset:
+                    asset, windows = own, [OrderedWindow(days) for _ in names]
+                for k, window in enumerate(windows):
+                    window.push(values[k][i])
+                    if flags[i]:
+                        at.append((i, names[k]))
+                        found.append(window.interval(names[k] in winsorised))
+            place = pa.array([i for i, _ in at], pa.int64())
+            kept = [batch.column(c).take(place) for c in (0, *range(1, 2 + len(also)))]
+            bounds = [pa.array([x[k] for x in found], pa.float64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([kept[0], pa.array([m for _, m in at], pa.string()), *kept[1:], *bounds], names=out.names)
+
+    return wide.repartition("asset").sortWithinPartitions("asset", "dt").mapInArrow(run, out)
 
 
 def decision_counts(found: DataFrame) -> DataFrame:

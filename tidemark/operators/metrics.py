@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scans
 from tidemark.functions import series as S
+from tidemark.session import written
 
 
 def behaviour(panel: DataFrame) -> DataFrame:
@@ -28,6 +30,17 @@ def behaviour(panel: DataFrame) -> DataFrame:
     })
 
 
+def equity(panel: DataFrame) -> DataFrame:
+    """``panel`` (asset, dt, close; a written table) with ret, growth and drawdown of each day since the series' first.
+    Products and maxima are carried from period to period, so a long series is dealt over tasks."""
+    period = scans.period_of()
+    rows = scans.prefixes(panel, ["asset"], ["dt"], period, {"_before": ("previous", "close")}).withColumn("ret", F.try_divide("close", "_before") - 1)
+    rows = written(rows.drop("_before").withColumn("_change", 1 + F.coalesce("ret", F.lit(0.0))), "returns")
+    rows = written(scans.prefixes(rows, ["asset"], ["dt"], period, {"growth": ("product", "_change")}).drop("_change"), "growth")
+    rows = scans.prefixes(rows, ["asset"], ["dt"], period, {"_top": ("max", "growth")})
+    return rows.withColumn("drawdown", F.col("growth") / F.col("_top") - 1).drop("_top")
+
+
 def backtest_score() -> Column:
     """Score of a candidate: hit rate, a squashed conviction and stability, times ten."""
     squashed = 1 / (1 + F.exp(-F.col("conviction")))

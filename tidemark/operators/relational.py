@@ -7,20 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scans
+from tidemark.session import written
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str = "dt") -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], on: str = "dt", period: Column | None = None) -> DataFrame:
     """Each left row with the newest right row of its keys on or before it, nulls without any.
 
-    Both sides are stacked and ordered once per key, so no range join is needed: a key's rows meet in one sort. The
-    sort spills; a key that is hot beyond that should get a further key (a period) first.
+    Both sides are stacked and ordered, so no range join is needed. Without ``period``, a key's rows meet in one sort,
+    which spills. With one (a long that ascends with ``on``), rows are dealt by key and period, and the last right row is
+    carried over the periods: a hot key, or no key at all (``keys`` empty), is then spread over tasks.
     """
     values = [c for c in right.columns if c not in (*keys, on)]
     own = [c for c in left.columns if c not in (*keys, on)]
     a = left.select(*keys, on, F.lit(1).alias("_side"), F.struct(*map(F.col, own)).alias("_left"), F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType).alias("_right"))
     b = right.select(*keys, on, F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(*map(F.col, values)).alias("_right"))
-    upto = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b).withColumn("_found", F.last("_right", ignorenulls=True).over(upto)).where("_side = 1")
-    return rows.select(*keys, on, *(F.col(f"_left.{c}").alias(c) for c in own), *(F.col(f"_found.{c}").alias(c) for c in values))
+    if period is None:
+        upto = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        rows = a.unionByName(b).withColumn("_found", F.last("_right", ignorenulls=True).over(upto))
+    else:
+        rows = scans.prefixes(written(a.unionByName(b), "stacked"), keys, [on, "_side"], period, {"_found": ("last", "_right")})
+    return rows.where("_side = 1").select(*keys, on, *(F.col(f"_left.{c}").alias(c) for c in own), *(F.col(f"_found.{c}").alias(c) for c in values))
 
 
 def next_day_pairs(panel: DataFrame) -> DataFrame:

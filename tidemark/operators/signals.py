@@ -1,7 +1,8 @@
 """Technical signals of each series: averages, ranges, trends, and recursive filters.
 
-Window signals are built-in expressions over one sort per asset. Recursions whose next value needs the last one
-(exponential averages, Kalman filter, trailing bands) are folds over a series in order.
+Window signals are built-in expressions over one sort per asset. Exponential averages and filtered levels are affine
+recursions, which are dealt by asset and period (``scans``). The trailing bands, whose parameters come from a series'
+end, are a fold over one asset's rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import scans
 from tidemark.functions import series as S
+from tidemark.session import written
 
 
 def returns(panel: DataFrame) -> DataFrame:
@@ -62,36 +65,47 @@ def trend_consistency(panel: DataFrame, trend: str, n: int = 20, most: int = 4)
     return rows.withColumn("consistent", F.sum("_changed").over(S.last(n)) < most).drop("_changed")
 
 
-def _fold(values: Column, start: dict[str, float], step) -> Column:
-    """Folds an ordered array into a struct of doubles; ``step`` gives the next fields from the last ones and a value."""
-    zero = F.struct(*(F.lit(float(v)).alias(k) for k, v in start.items()))
-    return F.aggregate(values, zero, lambda acc, x: F.struct(*(v.alias(k) for k, v in step(acc, x).items())))
-
-
 def exponential(panel: DataFrame, span: int = 20) -> DataFrame:
     """(asset, ema): the exponential mean of each series at its end, started at its first value."""
     a = 2 / (span + 1)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dt", "close"))), lambda x: x["close"])
-    rows = panel.groupBy("asset").agg(ordered.alias("v"))
-    return rows.select("asset", F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.element_at("v", 1), lambda e, x: x * a + e * (1 - a)).alias("ema"))
+    found = scans.affine(panel.select("asset", "dt", "close"), ["asset"], ["dt"], scans.period_of(), {"ema": (F.lit(1 - a), F.col("close") * a, F.col("close"))})
+    return found.groupBy("asset").agg(F.max_by("ema", "dt").alias("ema"))
+
+
+def _weighted_means(rows: DataFrame, c: str, spans: dict[str, int]) -> DataFrame:
+    """``rows`` with exponential means of ``c`` weighted by the values seen so far: a numerator and a denominator run
+    along, so the first values are not overrated."""
+    zero = F.lit(0.0)
+    values = {f"_{x}_{out}": (F.lit(1 - 2 / (n + 1)), F.col(c) if x == "n" else F.when(F.col(c).isNotNull(), 1.0), zero) for out, n in spans.items() for x in "nd"}
+    found = scans.affine(rows, ["asset"], ["dt"], scans.period_of(), values)
+    return found.withColumns({out: F.try_divide(f"_n_{out}", f"_d_{out}") for out in spans}).drop(*values)
 
 
 def macd(panel: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """(asset, line, signal, histogram) at each series' end. Exponential means are weighted by the values seen so far:
-    a numerator and a denominator are carried, so the first values are not overrated."""
-    keep = [1 - 2 / (n + 1) for n in (fast, slow, signal)]
-
-    def step(acc: Column, x: Column) -> dict[str, Column]:
-        n1, d1 = x + acc["n1"] * keep[0], 1 + acc["d1"] * keep[0]
-        n2, d2 = x + acc["n2"] * keep[1], 1 + acc["d2"] * keep[1]
-        line = n1 / d1 - n2 / d2
-        return {"n1": n1, "d1": d1, "n2": n2, "d2": d2, "n3": line + acc["n3"] * keep[2], "d3": 1 + acc["d3"] * keep[2]}
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("dt", "close"))), lambda x: x["close"])
-    rows = panel.groupBy("asset").agg(ordered.alias("v"))
-    end = rows.select("asset", _fold(F.col("v"), dict.fromkeys(("n1", "d1", "n2", "d2", "n3", "d3"), 0.0), step).alias("e"))
-    line, mean = F.col("e.n1") / F.col("e.d1") - F.col("e.n2") / F.col("e.d2"), F.col("e.n3") / F.col("e.d3")
-    return end.select("asset", line.alias("line"), mean.alias("signal"), (line - mean).alias("histogram"))
+    """(asset, line, signal, histogram) at each series' end: a fast mean over a slow one, and the mean of that."""
+    means = _weighted_means(panel.select("asset", "dt", "close"), "close", {"fast": fast, "slow": slow})
+    rows = _weighted_means(means.select("asset", "dt", (F.col("fast") - F.col("slow")).alias("line")), "line", {"signal": signal})
+    end = rows.groupBy("asset").agg(F.max_by(F.struct("line", "signal"), "dt").alias("e")).select("asset", "e.*")
+    return end.withColumn("histogram", F.col("line") - F.col("signal"))
+
+
+def _gain(n: Column, measurement: Column, process: Column, variance: float = 100.0) -> Column:
+    """The gain of a Kalman filter's ``n``-th step, which depends on no value: the prior variance goes to its fixed point by
+    a constant factor in the cross ratio of its two fixed points."""
+    root = F.sqrt(process * process + 4 * process * measurement)
+    high, low, first = (process + root) / 2, (process - root) / 2, variance + process
+    ratio = F.pow((low + measurement) / (high + measurement), n - 1) * (first - high) / (first - low)
+    prior = F.when(process == 0, 1 / (1 / first + (n - 1) / measurement)).otherwise((high - ratio * low) / (1 - ratio))
+    return prior / (prior + measurement)
+
+
+def kalman_levels(panel: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(asset, dt, n, level): the filtered level of every close, by ``parameters`` (asset, measurement, process). As gains
+    don't depend on prices, a level is an affine function of the one before, and long series are dealt by period."""
+    rows = written(panel.where("close is not null").join(parameters.select("asset", "measurement", "process"), "asset").select("asset", "dt", "close", "measurement", "process"), "levels")
+    rows = scans.prefixes(rows, ["asset"], ["dt"], scans.period_of(), {"n": ("count", "close")})
+    gain = _gain(F.col("n"), F.col("measurement"), F.col("process"))
+    return scans.affine(rows, ["asset"], ["dt"], scans.period_of(), {"level": (1 - gain, gain * F.col("close"), F.col("close"))}).select("asset", "dt", "n", "level")
 
 
 #: Fixed values by risk band: base noise of measurement and process, the bands' factor, and the days of the true range's mean.

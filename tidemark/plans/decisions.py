@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import rules
+from tidemark.functions import rules, scans
 from tidemark.functions import series as S
 from tidemark.operators import intervals, metrics, ranking, relational, signals
 from tidemark.plans.metrics import METRICS
@@ -122,8 +122,7 @@ def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bar with the newest of a series that is published on a few days a month."""
     bars = panels.bars(spark, sf_dir).select("asset", "dt")
     monthly = panels.type_bars(spark, sf_dir).where((F.col("asset") == "PROMO") & (F.dayofmonth("dt") <= 5)).select("dt", F.col("close").alias("level"))
-    every = monthly.crossJoin(bars.select("asset").distinct())  # a row per asset and publication: the key is the asset
-    return rounded(relational.as_of(bars, every, ["asset"]), "level", digits=8)
+    return rounded(relational.as_of(bars, monthly, [], period=scans.period_of()), "level", digits=8)  # all assets look at one series: there is no key
 
 
 @query(f"""WITH {BARS}, c AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next_dt FROM (SELECT DISTINCT dt FROM bars))

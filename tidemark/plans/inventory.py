@@ -212,7 +212,7 @@ INTERVAL_HISTORY = f"""WITH {RETS}, {METRICS}, h AS (UNPIVOT (SELECT asset, dt,
 def interval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intervals as they stood on every two hundredth day of each asset, from the hundred days up to it."""
     rows = metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("rn", F.row_number().over(S.by_asset())).where("rn >= 100")
-    found = intervals.as_of_each(rows.select("asset", "dt", "rn", *intervals.METRICS), ("rn",)).where("rn % 200 = 0")
+    found = intervals.as_of_each(rows, wanted=F.col("rn") % 200 == 0)
     return rounded(found.select("asset", "metric", "dt", "lower", "upper", "mean"), "lower", "upper", "mean", digits=4)
 
 

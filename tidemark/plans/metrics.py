@@ -45,7 +45,8 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_PERF} SELECT asset, round(max_drawdown, 6) AS max_drawdown FROM p")
 def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.performance(signals.returns(panels.bars(spark, sf_dir))).select("asset", "max_drawdown"), "max_drawdown")
+    rows = metrics.equity(written(panels.bars(spark, sf_dir).select("asset", "dt", "close"), "bars"))
+    return rounded(rows.groupBy("asset").agg(F.min("drawdown").alias("max_drawdown")), "max_drawdown")
 
 
 @query(f"""WITH {RETS} SELECT asset, round(avg(ret) * 252 / (stddev_samp(ret) * sqrt(252)), 6) AS annualised, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS daily,

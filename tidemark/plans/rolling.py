@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import scans
 from tidemark.functions import series as S
-from tidemark.operators import signals
+from tidemark.operators import metrics, signals
 from tidemark.plans.sql import BARS, RETS, SERIES, TYPES, last
+from tidemark.session import written
 from tidemark.sources import panels
 
 
@@ -114,7 +116,7 @@ def rel_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RETS}, e AS (SELECT asset, dt, product(1 + coalesce(ret, 0)) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING) AS growth FROM rets)
   SELECT asset, dt, round(growth, 6) AS growth, round(growth / max(growth) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1, 6) AS drawdown FROM e""")
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = signals.returns(panels.bars(spark, sf_dir)).withColumn("growth", S.growth("ret")).withColumn("drawdown", S.drawdown("growth"))
+    rows = metrics.equity(written(panels.bars(spark, sf_dir).select("asset", "dt", "close"), "bars"))
     return rounded(rows.select("asset", "dt", "growth", "drawdown"), "growth", "drawdown")
 
 
@@ -123,12 +125,13 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT asset, dt, round(last_value(close IGNORE NULLS) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING), 8) AS close, close IS NULL AS carried FROM g""")
 def filled_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every asset on every trading day since its first, prices carried forward."""
-    bars = panels.bars(spark, sf_dir).select("asset", "dt", "close")
+    bars = written(panels.bars(spark, sf_dir).select("asset", "dt", "close"), "bars")
     last = bars.agg(F.max("dt").alias("_last"))
     every = bars.groupBy("asset").agg(F.min("dt").alias("_first")).crossJoin(last)  # one row
     grid = every.select("asset", F.explode(F.sequence("_first", "_last")).alias("dt")).join(bars.select("dt").distinct(), "dt", "left_semi")
-    rows = grid.join(bars, ["asset", "dt"], "left").withColumn("carried", F.col("close").isNull()).withColumn("close", S.filled("close"))
-    return rounded(rows.select("asset", "dt", "close", "carried"), "close", digits=8)
+    rows = written(grid.join(bars, ["asset", "dt"], "left").withColumn("carried", F.col("close").isNull()), "calendar")
+    rows = scans.prefixes(rows, ["asset"], ["dt"], scans.period_of(), {"filled": ("last", "close")})
+    return rounded(rows.select("asset", "dt", F.col("filled").alias("close"), "carried"), "close", digits=8)
 
 
 def _wma_sql(c: str, n: int) -> str:
@@ -320,3 +323,12 @@ def kalman_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trend of each series at its end, its bands and strength."""
     rows = rounded(signals.kalman_hull(panels.bars(spark, sf_dir)), "kalman_price", "upper_band", "lower_band", digits=4)
     return rounded(rows, "efficiency_ratio", "signal_strength")
+
+
+@query(f"""WITH RECURSIVE {RETS}, {KALMAN}
+  SELECT asset, dt, rn AS n, round(state, 6) AS level FROM kal JOIN rets USING (asset, rn) WHERE rn % 50 = 0""")
+def kalman_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered level of every fiftieth close, with the noises that each series' end tells."""
+    bars = written(panels.bars(spark, sf_dir), "bars")
+    found = signals.kalman_levels(bars, signals.band_parameters(bars))
+    return rounded(found.where("n % 50 = 0"), "level")

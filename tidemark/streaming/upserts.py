@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import new_folder
 
-#: How partial values of a column are merged: all of them are associative, and ``newest`` takes that of the last batch.
+#: How partial values of a column are merged: all of them are associative, and ``newest`` takes that of the last batch, null or not.
 MERGES: dict[str, Callable[[str], Column]] = {"sum": F.sum, "min": F.min, "max": F.max, "newest": lambda c: F.max_by(c, "batch")}
 
 
