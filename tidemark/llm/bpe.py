@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.arrow import text_slices, with_columns, with_fields
+from tidemark.llm.arrow import returning_memory, text_slices, with_columns, with_fields
 from tidemark.llm.byte_words import TableEncoder, gather
 
 #: Bytes of text that are encoded at a time.
@@ -197,7 +197,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
         for batch in text_slices(batches, text, CHUNK_BYTES):
             yield with_columns(batch, {out: _lists(*encoder(path).encode(batch.column(text).to_pylist()))})
 
-    return df.mapInArrow(run, with_fields(df, {out: "array<int>"}))
+    return df.mapInArrow(returning_memory(run), with_fields(df, {out: "array<int>"}))
 
 
 def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -211,7 +211,7 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
             texts = decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *lengths]), v)
             yield with_columns(batch, {out: texts})
 
-    return df.mapInArrow(run, with_fields(df, {out: "string"}))
+    return df.mapInArrow(returning_memory(run), with_fields(df, {out: "string"}))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -223,4 +223,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
             found, bounds = encoder(path).encode(batch.column(text).to_pylist())
             yield with_columns(batch, {ids: _lists(found, bounds), decoded: decode(found, bounds, v)})
 
-    return df.mapInArrow(run, with_fields(df, {ids: "array<int>", decoded: "string"}))
+    return df.mapInArrow(returning_memory(run), with_fields(df, {ids: "array<int>", decoded: "string"}))

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import text_slices, with_columns, with_fields
+from tidemark.llm.arrow import returning_memory, text_slices, with_columns, with_fields
 
 #: N-grams in a profile.
 PROFILE = 300
@@ -111,7 +111,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = P
             yield from passed_on(name)
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias(text), F.col(lang).alias(lang))
-    counts = rows.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(returning_memory(run), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
     found: dict[str, list[int]] = {}
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
                 scores.append(1 - float(distances[best]) / (size * len(own)))
             yield with_columns(batch, {out[0]: pa.array(langs, pa.string()), out[1]: pa.array(scores, pa.float64())})
 
-    return docs.mapInArrow(run, with_fields(docs, {out[0]: "string", out[1]: "double"}))
+    return docs.mapInArrow(returning_memory(run), with_fields(docs, {out[0]: "string", out[1]: "double"}))
 
 
 def fold(doc_id: str, parts: int) -> Column:

@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow import text_slices
+from tidemark.llm.arrow import returning_memory, text_slices
 from tidemark.llm.components import components
 from tidemark.llm.shared import written
 from tidemark.llm.shingles import exact_sets, mix, sets_of, shingle_sets, split
 
-#: Counts of shingles by hash: their number, and how many go into one row. A task counts so many shingles at a time.
-SLOTS, SLOTS_A_ROW, COUNTED = 1 << 24, 1 << 18, 1 << 20
+#: Counts of shingles by hash: their number, how many go into one row, and parts in which a row's counts first meet.
+SLOTS, SLOTS_A_ROW, ROW_PARTS = 1 << 24, 1 << 18, 16
+#: A task counts in two bytes a slot (32 MB), and hands its counts on before one overflows.
+MOST_COUNT = (1 << 16) - 1
 #: Orders of the shingles, by the seed that breaks ties of frequency.
 ORDERS = (101, 102, 103)
 #: Bands of least hashes, two seeds each; one more band stands for the whole set.
@@ -89,17 +91,18 @@ def _summaries(docs: DataFrame, join: Join) -> DataFrame:
 
     names = ["doc_id", "n", "key1", "key2", "same_as", *ALL_BANDS, "slot_row", "counts"]
 
-    def counted(slots: np.ndarray) -> pa.RecordBatch:
-        slots = np.sort(slots)
-        first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
-        slots, counts = slots[first], np.diff(np.append(first, len(slots)))
-        cuts = np.searchsorted(slots, np.arange(0, SLOTS + 1, SLOTS_A_ROW))
-        rows = [(i, _packed(slots[a:b] % SLOTS_A_ROW, counts[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    def counted(table: np.ndarray) -> pa.RecordBatch:
+        rows = []
+        for i in range(SLOTS // SLOTS_A_ROW):
+            part = table[i * SLOTS_A_ROW :][:SLOTS_A_ROW]
+            slots = np.flatnonzero(part)
+            if len(slots):
+                rows.append((i, _packed(slots, part[slots])))
         empty = pa.nulls(len(rows), pa.int64())
         return pa.RecordBatch.from_arrays([*[empty] * (len(names) - 2), pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        table = np.zeros(SLOTS, np.uint16)
         firsts: dict[bytes, int] = {}
         for batch in text_slices(batches, "text", CHUNK_BYTES):
             rows, seen, keys, same_as = [], [], [], []
@@ -116,21 +119,25 @@ def _summaries(docs: DataFrame, join: Join) -> DataFrame:
                 if doc is not None and key not in firsts and len(firsts) >= REMEMBERED:
                     firsts.clear()
                 same_as.append(None if doc is None else firsts.setdefault(key, doc))
-            held.append(_slot(np.concatenate(seen)))
-            size += len(held[-1])
-            if size >= COUNTED:
-                yield counted(np.concatenate(held))
-                held, size = [], 0
+            slots, counts = np.unique(_slot(np.concatenate(seen)), return_counts=True)
+            if len(slots) and int((table[slots] + counts).max()) > MOST_COUNT:
+                yield counted(table)
+                table[:] = 0
+            while len(counts) and counts.max() > MOST_COUNT:  # of one slice alone
+                table[slots] = np.minimum(counts, MOST_COUNT)
+                counts = counts - table[slots]
+                yield counted(table)
+                table[:] = 0
+            table[slots] += counts.astype(np.uint16)
             columns = np.array(rows, np.uint64).T.copy().view(np.int64)
             key1, key2 = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2).T.copy()
             n = len(rows)
             sizes = pa.array(list(map(len, seen)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(key1), pa.array(key2), pa.array(same_as, pa.int64()), *map(pa.array, columns), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        if size:
-            yield counted(np.concatenate(held))
+        yield counted(table)
 
     bands = "".join(f", {band} long" for band in ALL_BANDS)
-    return docs.mapInArrow(run, f"doc_id long, n long, key1 long, key2 long, same_as long{bands}, slot_row int, counts binary")
+    return docs.mapInArrow(returning_memory(run), f"doc_id long, n long, key1 long, key2 long, same_as long{bands}, slot_row int, counts binary")
 
 
 def _slot(s: np.ndarray) -> np.ndarray:
@@ -139,11 +146,12 @@ def _slot(s: np.ndarray) -> np.ndarray:
 
 def _packed(slots: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending slots and their counts in few bytes."""
-    return zlib.compress(np.concatenate((np.diff(slots, prepend=0), counts)).astype("<u4").tobytes(), 1)
+    width = "8" if len(counts) and int(counts.max()) >> 32 else "4"
+    return zlib.compress(np.concatenate((np.diff(slots, prepend=0), counts)).astype(f"<u{width}").tobytes(), 1) + width.encode()
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64).reshape(2, -1)
+    both = np.frombuffer(zlib.decompress(raw[:-1]), f"<u{raw[-1:].decode()}").astype(np.int64).reshape(2, -1)
     return np.cumsum(both[0]), both[1]
 
 
@@ -169,16 +177,25 @@ def _rarity(summaries: DataFrame) -> tuple[np.ndarray, float]:
                 slots, counts = _unpacked(raw.as_py())
                 sums.setdefault(row, np.zeros(SLOTS_A_ROW, np.int64))[slots] += counts
         for row, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([float(np.median(x))]), pa.array([x.tobytes()], pa.binary())], names=["slot_row", "median", "counts"])
-
-    parts = summaries.where("slot_row is not null").select("slot_row", "counts").repartition("slot_row")
-    sums = written(parts.mapInArrow(add, "slot_row int, median double, counts binary"), "slots")
+            slots = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([float(np.median(x))]), pa.array([_packed(slots, x[slots])], pa.binary())], names=["slot_row", "median", "counts"])
+
+    # A row's counts meet in some parts first, so no task gets those of all others.
+    parts = summaries.where("slot_row is not null").select("slot_row", "counts", F.pmod(F.crc32("counts"), F.lit(ROW_PARTS)).alias("part"))
+    schema = "slot_row int, median double, counts binary"
+    parts = parts.repartition("slot_row", "part").select("slot_row", "counts").mapInArrow(add, schema).select("slot_row", "counts")
+    sums = written(parts.repartition("slot_row").mapInArrow(add, schema), "slots")
     medians = [r["median"] for r in sums.select("median").collect()]  # SLOTS / SLOTS_A_ROW of them
     usual = float(np.median(medians + [0.0] * (SLOTS // SLOTS_A_ROW - len(medians))))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_class(np.frombuffer(x.as_py(), np.int64), usual).tobytes() for x in batch.column("counts")]
+            found = []
+            for x in batch.column("counts"):
+                slots, counts = _unpacked(x.as_py())
+                table = np.zeros(SLOTS_A_ROW, np.int64)
+                table[slots] = counts
+                found.append(_class(table, usual).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("slot_row"), pa.array(found, pa.binary())], names=["slot_row", "classes"])
 
     classes = np.full(SLOTS, _class(np.zeros(1), usual)[0], np.uint8)
@@ -225,7 +242,7 @@ def _prefixes(docs: DataFrame, join: Join, seeds: tuple[int, ...], rarity: tuple
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(common), *map(pa.array, parity), pa.array(grid, pa.list_(pa.int32())), *arrays], names=names)
 
     fields = "".join(f", p{i} array<long>" for i in range(len(seeds)))
-    return docs.mapInArrow(run, f"doc_id long, n int, common double, parity0 long, parity1 long, sides array<int>{fields}")
+    return docs.mapInArrow(returning_memory(run), f"doc_id long, n int, common double, parity0 long, parity1 long, sides array<int>{fields}")
 
 
 def _bit(ids: np.ndarray, size: int) -> np.ndarray:
@@ -289,7 +306,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, join: Join) -> DataFrame:
             n = batch.num_rows
             yield batch.select(["a", "b"]).filter(pa.array([join.linked(x, y) for x, y in zip(sets[:n], sets[n:], strict=True)], pa.bool_()))
 
-    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return left.join(right, ["b", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(returning_memory(run), "a long, b long")
 
 
 def _salt(doc: str) -> Column:
@@ -354,7 +371,7 @@ def _candidates(postings: DataFrame, join: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
     ordered = postings.repartition("token", "cell").sortWithinPartitions("token", "cell", "part")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(returning_memory(run), "a long, b long").distinct()
 
 
 def _postings(prefixes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -367,22 +384,24 @@ def _postings(prefixes: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.select("token", "cell", "part", "doc_id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("n_pos"), "parity0", "parity1")
 
 
-def similar_components(docs: DataFrame, join: Join = Join()) -> DataFrame:
+def similar_components(docs: DataFrame, join: Join = Join(), bands: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id long, text string): the size of its set,
-    and the smallest doc_id that can be reached from it over links."""
+    and the smallest doc_id that can be reached from it over links. Without ``bands`` every link but those of equal texts
+    is found by the orders alone, with the same result; with them, groups of many near copies cost less."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summaries = written(_summaries(docs, join), "summaries")
     rarity = _rarity(summaries)
     rows = summaries.where("slot_row is null")
     real = rows.where("n > 0 and doc_id is not null")
     firsts = real.where("same_as = doc_id")
-    bands = [F.first(band).alias(band) for band in ALL_BANDS]
-    sets = written(firsts.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), *bands), "sets")
+    sets = written(firsts.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), *(F.first(band).alias(band) for band in ALL_BANDS)), "sets")
     copies = firsts.select("key1", "key2", F.col("doc_id").alias("a")).join(sets.select("key1", "key2", F.col("doc_id").alias("b")), ["key1", "key2"]).select("a", "b")
     same = real.select(F.col("doc_id").alias("a"), F.col("same_as").alias("b")).unionByName(copies).where("a <> b")
 
     first = written(_prefixes(docs, join, ORDERS[:1], rarity, _bitmap(sets.select("doc_id"))), "prefixes")
-    near = written(_verified(written(_leader_pairs(sets.join(first.select("doc_id", "common"), "doc_id")), "leaders"), docs, join), "near")
+    near = docs.sparkSession.createDataFrame([], "a long, b long")
+    if bands:
+        near = written(_verified(written(_leader_pairs(sets.join(first.select("doc_id", "common"), "doc_id")), "leaders"), docs, join), "near")
     roots = components(near)
     parts = sets.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("part"))
 
