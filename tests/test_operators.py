@@ -1,15 +1,18 @@
 """Operators on small panels, against values worked out by hand or by pandas."""
 
 import datetime
+import random
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import backtest, compare, intervals, metrics, ranking, regimes, relational, risk, signals, single
+from tidemark.operators import backtest, compare, hot, intervals, metrics, ranking, regimes, relational, risk, signals, single
+from tidemark.session import written
 from tidemark.sources import panels, sinks
 
 
@@ -349,3 +352,36 @@ def test_missing_columns_are_null(spark):
     df = spark.createDataFrame([("a", 1.0)], "asset string, close double")
     assert panels.adjusted(df).first().asDict() == {"asset": "a", "close": 1.0, "adj_close": None, "price": 1.0}
     assert panels.projected(df, {"close": "string", "volume": "double"}).schema.simpleString() == "struct<asset:string,close:double,volume:double>"
+
+
+@pytest.mark.parametrize("least", [3, 1000])
+def test_places_in_a_group_equal_a_count(spark, least):
+    """With ties in a third of all rows, which are hot for the lower bound, and groups of very different sizes."""
+    rng = random.Random(least)
+    rows = [(rng.choice("aaab"), rng.choice([0.0, round(rng.gauss(0, 1), 1), rng.gauss(0, 1)]), i) for i in range(400)] + [(None, 1.0, -1), (None, 2.0, -2)]
+    data = written(spark.createDataFrame(rows, "g string, v double, i long"), "rows")
+    got = {r.i: (r.below, r.ties, r.size) for r in hot.placed(data, ["g"], "v", least).collect()}
+    ranks = {r.i: r.place for r in hot.ranked_in_ranges(data, ["g"], -F.col("v"), ["i"], "place").collect()}
+    for g, v, i in rows:
+        mine = [x for x in rows if x[0] == g]
+        assert got[i] == (sum(x[1] < v for x in mine), sum(x[1] == v for x in mine), len(mine))
+        assert ranks[i] == sorted(mine, key=lambda x: (-x[1], x[2])).index((g, v, i)) + 1
+
+
+def test_newest_equals_the_last_row_of_behaviour(spark):
+    bars, _, _ = many(spark, [300, 130, 101, 100, 64, 41, 40, 31, 30, 2, 1])
+    last = {r.asset: r for r in metrics.behaviour(bars).withColumn("_k", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("dt")))).where("_k = 1").collect()}
+    got = metrics.newest(bars).collect()
+    assert len(got) == len(last)
+    for r in got:
+        w = last[r.asset]
+        assert (r.dt, r.close) == (w.dt, w.close) and (r.hit_rate, r.conviction, r.stability) == pytest.approx((w.hit_rate, w.conviction, w.stability))
+
+
+@pytest.mark.parametrize("every", [20, 40, 60, 63])
+def test_the_best_of_one_day_equal_the_rankings(spark, every):
+    bars, assets, day = many(spark, [260] * 12 + [120] * 2 + [51] * 3, drop=(0, 1))
+    for when in (None, day - datetime.timedelta(days=15)):
+        want = ranking.as_of_rankings(bars, assets, spark.createDataFrame([(when or day, every)], "dt date, every int")).where("rank <= 8")
+        got = ranking.top_as_of(bars, assets, when, 8, every)
+        assert sorted((r["rank"], r.asset, round(r.score, 9), r.seen) for r in got.collect()) == sorted((r["rank"], r.asset, round(r.score, 9), r.seen) for r in want.collect())

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from tidemark.functions import rules
 from tidemark.functions import series as S
 from tidemark.functions.ordered import OrderedWindow
+from tidemark.operators import relational
 
 METRICS = ("hit_rate", "conviction", "stability")
 
@@ -76,13 +77,25 @@ def decision_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def signals(current: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(asset, weight, signal): the weights of the three metrics outside their intervals, summed; NO_CI without any."""
-    long = current.unpivot(["asset"], list(METRICS), "metric", "value")
-    rows = long.join(bounds.select("asset", "metric", "lower", "upper"), ["asset", "metric"], "left")
+def signals(current: DataFrame, bounds: DataFrame, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """(``keys``, weight, signal): the weights of the three metrics outside their intervals, summed; NO_CI without any."""
+    long = current.unpivot(list(keys), list(METRICS), "metric", "value")
+    rows = long.join(bounds.select(*keys, "metric", "lower", "upper"), [*keys, "metric"], "left")
     weight = F.sum(rules.distance_weight(F.col("value"), F.col("lower"), F.col("upper")))
-    found = rows.groupBy("asset").agg(F.count("lower").alias("_n"), weight.alias("weight"))
-    return found.select("asset", "weight", F.when(F.col("_n") == 0, "NO_CI").otherwise(rules.rotation_decision(F.col("weight"))).alias("signal"))
+    found = rows.groupBy(*keys).agg(F.count("lower").alias("_n"), weight.alias("weight"))
+    return found.select(*keys, "weight", F.when(F.col("_n") == 0, "NO_CI").otherwise(rules.rotation_decision(F.col("weight"))).alias("signal"))
+
+
+def signals_as_of(rows: DataFrame, checks: DataFrame, least: int = 100) -> DataFrame:
+    """(asset, dt, signal) for each day of ``checks`` (dt): each asset's newest metrics by then against its intervals as
+    they stood with them. ``rows``: asset, dt and the metrics, a written table; an asset counts from its ``least``-th row."""
+    known = rows.withColumn("_rn", F.row_number().over(S.by_asset())).withColumn("_next", F.lead("dt").over(S.by_asset())).where(F.col("_rn") >= least)
+    seen = relational.as_of(known.select("asset").distinct().crossJoin(checks.select("dt").distinct()).withColumn("_day", F.lit(1)), known.select("asset", "dt", F.col("dt").alias("seen"), *METRICS), ["asset"]).where("seen is not null")
+    days = F.broadcast(checks.agg(F.collect_set("dt").alias("_days")))  # one row; check dates are some hundreds at most
+    wanted = F.exists("_days", lambda d: (d >= F.col("dt")) & (F.col("_next").isNull() | (d < F.col("_next"))))
+    bounds = as_of_each(known.crossJoin(days).withColumn("_used", wanted), wanted=F.col("_used")).withColumnRenamed("dt", "seen")
+    days_of = seen.select("asset", "dt", "seen").join(bounds.select("asset", "seen", "metric", "lower", "upper"), ["asset", "seen"])
+    return signals(seen.select("asset", "dt", *METRICS), days_of, ("asset", "dt"))
 
 
 def market_stress(found: DataFrame, share: float = 0.30) -> DataFrame:

@@ -30,6 +30,34 @@ def behaviour(panel: DataFrame) -> DataFrame:
     })
 
 
+def newest(panel: DataFrame) -> DataFrame:
+    """Each asset's newest row of ``panel`` with what ``behaviour`` says of it, and history (closes so far) and recent (sum
+    of the last 63 returns, 0 without any): what is looked at is each asset's last hundred rows, in one sort."""
+    back = Window.partitionBy("asset").orderBy(F.desc("dt"))
+    rows = panel.withColumns({"ret": F.try_divide(F.col("close"), F.lead("close").over(back)) - 1, "_k": F.row_number().over(back)})
+    whole = Window.partitionBy("asset")
+    rows = rows.withColumns({"_n": F.count("ret").over(whole), "history": F.count("close").over(whole)}).where("_k <= 100")
+
+    def last(n: int, value: Column) -> Column:
+        return F.when(F.col("_k") <= n, value)
+
+    def enough(n: int, value: Column) -> Column:
+        return F.coalesce(F.when(F.max("_n") >= n, value), F.lit(0.0))
+
+    ret = F.col("ret")
+    up = F.when(ret > 0, 1.0).when(ret.isNotNull(), 0.0)
+    own = [c for c in panel.columns if c != "asset"]
+    found = rows.groupBy("asset").agg(
+        F.min_by(F.struct(*own, "ret"), "_k").alias("_row"),
+        F.max("history").alias("history"),
+        F.coalesce(F.sum(last(63, ret)), F.lit(0.0)).alias("recent"),
+        enough(100, F.avg(up)).alias("hit_rate"),
+        enough(40, F.try_divide(F.avg(last(10, ret)), F.abs(F.avg(last(40, ret))))).alias("conviction"),
+        enough(30, 1 / (1 + 10 * F.stddev_samp(last(30, ret)))).alias("stability"),
+    )
+    return found.select("asset", "_row.*", "hit_rate", "conviction", "stability", "history", "recent")
+
+
 def equity(panel: DataFrame) -> DataFrame:
     """``panel`` (asset, dt, close; a written table) with ret, growth and drawdown of each day since the series' first.
     Products and maxima are carried from period to period, so a long series is dealt over tasks."""

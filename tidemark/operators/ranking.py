@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import series as S
-from tidemark.operators import metrics, relational
+from tidemark.operators import hot, metrics, relational
+from tidemark.session import written
 
 
 #: Rows of history that an asset needs to be looked at, and to be scored, by the forecast's days; other forecasts need the last.
@@ -44,30 +45,29 @@ def as_of_rankings(panel: DataFrame, assets: DataFrame, dates: DataFrame, moment
     return found.select("dt", "every", "asset", F.row_number().over(whole.orderBy(F.desc("score"), "ord")).alias("rank"), "score", "seen")
 
 
-def top_as_of(panel: DataFrame, assets: DataFrame, as_of, n: int, every: int = 63) -> DataFrame:
-    """The ``n`` best assets as of a day (the last one if None)."""
-    day = panel.agg(F.max("dt").alias("dt")) if as_of is None else panel.sparkSession.range(1).select(F.lit(as_of).cast("date").alias("dt"))
-    return as_of_rankings(panel, assets, day.withColumn("every", F.lit(every))).where(F.col("rank") <= n)
-
-
-def percentile_of_score(value: Column | str, groups: list[str]) -> Column:
-    """Percentile among the rows of a group: the mean of the shares below and up to a value, ties getting one row more."""
-    c = S.column(value)
-    below = F.rank().over(Window.partitionBy(*groups).orderBy(c)) - 1
-    ties = F.count("*").over(Window.partitionBy(*groups, c))
-    n = F.count("*").over(Window.partitionBy(*groups))
-    return F.lit(50.0) / n * (below + below + ties + F.lit(1))
+def top_as_of(panel: DataFrame, assets: DataFrame, as_of, n: int, every: int = 63, momentum: float = -0.1, least_assets: int = 10, most: int = 50) -> DataFrame:
+    """(asset, rank, score, seen): the ``n`` best assets as of a day (the last one if None), by the rules of
+    ``as_of_rankings``. For one day only each asset's newest rows are needed, and no task ever sorts the universe: the
+    first ``most`` of it are taken by each task and then by all."""
+    rows = panel if as_of is None else panel.where(F.col("dt") <= F.lit(as_of).cast("date"))
+    known = metrics.newest(rows).select("asset", F.col("dt").alias("seen"), "history", "recent", metrics.backtest_score().alias("score"))
+    known = known.where((F.col("history") >= HISTORY.get(every, LEAST_HISTORY)) & (F.col("recent") > momentum))
+    known = written(known.join(assets.select("asset", "ord"), "asset"), "known")
+    enough = known.agg((F.count("*") >= least_assets).alias("_enough"))
+    first = known.orderBy("ord").limit(most).where(F.col("history") >= SCORED_HISTORY.get(every, LEAST_HISTORY)).crossJoin(F.broadcast(enough)).where("_enough")  # one row
+    order = Window.partitionBy("_enough").orderBy(F.desc("score"), "ord")  # ``most`` rows
+    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("asset", "rank", "score", "seen")
 
 
 def percentile_ranking(factors: DataFrame, inverted: tuple[str, ...] = ("cvar",)) -> DataFrame:
     """``factors``: (asset, band, metric, value), nulls left out. For each asset a map of percentiles by metric within its
-    band, 100 minus for inverted metrics, their mean, and the rank within the band."""
-    rows = factors.where("value is not null")
-    p = percentile_of_score("value", ["band", "metric"])
+    band, 100 minus for inverted metrics, their mean, and the rank within the band. Values and means are placed in their
+    groups by ranges (``hot.placed``), so a band may hold any part of all assets."""
+    rows = hot.placed(written(factors.where("value is not null"), "factors"), ["band", "metric"], "value")
+    p = hot.percentile(F.col("below"), F.col("ties"), F.col("size"))
     rows = rows.withColumn("p", F.when(F.col("metric").isin(*inverted), 100 - p).otherwise(p))
     found = rows.groupBy("asset", "band").agg(F.round(F.avg("p"), 9).alias("percentile"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "p")))).alias("by_metric"))
-    order = Window.partitionBy("band").orderBy(F.desc("percentile"), "asset")
-    return found.withColumn("rank", F.row_number().over(order))
+    return hot.ranked_in_ranges(written(found, "percentiles"), ["band"], -F.col("percentile"), ["asset"], "rank")
 
 
 def weighted_percentile(ranking: DataFrame, weights: dict[str, float]) -> DataFrame:

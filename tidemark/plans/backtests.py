@@ -43,6 +43,15 @@ _PAIRS = """cal AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next_dt FROM (SELE
   pairs AS (SELECT a.asset, a.dt, b.close / a.close - 1 AS ret FROM bars a JOIN cal ON a.dt = cal.dt JOIN bars b ON b.asset = a.asset AND b.dt = cal.next_dt)"""
 
 
+#: Daily returns and growth of the holdings of held (scenario, d, state).
+_EQUITY = f"""{_PAIRS},
+  days AS (SELECT DISTINCT dt, scenario FROM pairs, scen WHERE dt BETWEEN DATE '{START}' AND DATE '{END}'),
+  inforce AS (SELECT days.scenario, dt, state FROM days ASOF JOIN held ON held.scenario = days.scenario AND days.dt >= held.d),
+  each AS (SELECT scenario, dt, unnest(state) AS asset FROM inforce),
+  daily AS (SELECT scenario, e.dt, coalesce(avg(ret), 0) AS ret FROM each e LEFT JOIN pairs p ON p.asset = e.asset AND p.dt = e.dt GROUP BY ALL),
+  eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY scenario ORDER BY dt ROWS UNBOUNDED PRECEDING) AS growth FROM daily)"""
+
+
 def _conditional_sql(scenarios: str) -> str:
     """Daily returns of the conditional rebalancing of ``scenarios`` (a query with scenario, every, buffer)."""
     return f"""WITH RECURSIVE {RETS}, {_SCORES}, scen AS ({scenarios}),
@@ -57,12 +66,7 @@ def _conditional_sql(scenarios: str) -> str:
     SELECT t.scenario, t.i, t.d, CASE WHEN len(top) = 0 THEN state ELSE list_slice(list_concat(list_filter(state, lambda x: list_contains(top, x)), list_filter(top,
         lambda x: NOT list_contains(state, x))), 1, 3) END
     FROM held h JOIN tops t ON t.scenario = h.scenario AND t.i = h.i + 1),
-  {_PAIRS},
-  days AS (SELECT DISTINCT dt, scenario FROM pairs, scen WHERE dt BETWEEN DATE '{START}' AND DATE '{END}'),
-  inforce AS (SELECT days.scenario, dt, state FROM days ASOF JOIN held ON held.scenario = days.scenario AND days.dt >= held.d),
-  each AS (SELECT scenario, dt, unnest(state) AS asset FROM inforce),
-  daily AS (SELECT scenario, e.dt, coalesce(avg(ret), 0) AS ret FROM each e LEFT JOIN pairs p ON p.asset = e.asset AND p.dt = e.dt GROUP BY ALL),
-  eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY scenario ORDER BY dt ROWS UNBOUNDED PRECEDING) AS growth FROM daily)"""
+  {_EQUITY}"""
 
 
 def _grid(spark: SparkSession, every: tuple[int, ...], buffers: tuple[int, ...]) -> DataFrame:
@@ -160,23 +164,62 @@ def _checks(spark: SparkSession) -> DataFrame:
 
 
 def ci_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holdings by interval signals. Signals compare each check date's metrics with the intervals of the whole history."""
+    """Holdings by interval signals, which compare each check date's metrics with the intervals as they stood."""
     bars, assets, checks = written(panels.bars(spark, sf_dir), "bars"), panels.assets(spark, sf_dir), _checks(spark)
-    rows = metrics.behaviour(bars)
-    bounds = intervals.intervals(intervals.history(rows)).select("asset", "metric", "lower", "upper")
-    grid = checks.select("dt").distinct().crossJoin(assets.select("asset")).withColumn("wanted", F.lit(1))
-    at = relational.as_of(grid.select("asset", "dt", "wanted"), rows.select("asset", "dt", *intervals.METRICS), ["asset"]).where("hit_rate is not null")
-    keyed = at.select(F.concat_ws("|", "asset", "dt").alias("key"), "asset", "dt", *intervals.METRICS)
-    per_day = keyed.select("key", "asset").join(bounds, "asset").select(F.col("key").alias("asset"), "metric", "lower", "upper")
-    found = intervals.signals(keyed.select(F.col("key").alias("asset"), *intervals.METRICS), per_day)
-    signals = found.select(F.split("asset", r"\|")[0].alias("asset"), F.split("asset", r"\|")[1].cast("date").alias("dt"), "signal")
+    rows = written(metrics.behaviour(bars).select("asset", "dt", *intervals.METRICS), "behaviour")
+    signals = written(intervals.signals_as_of(rows, checks).select("asset", "dt", "signal"), "signals")
     ranks = written(backtest.rankings(bars, assets, checks), "ranks")
     best = signals.join(ranks.where("rank <= 20").select("asset", "dt"), ["asset", "dt"], "left_semi")
     stressed = best.groupBy("dt").agg((F.avg((F.col("signal") == "ROTATE").cast("double")) > 0.3).alias("stressed"))
     return backtest.signal_holdings(ranks, signals, stressed)
 
 
-@query()
+_CHECKS = f"""steps AS (SELECT d, 40 AS every FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY, INTERVAL 40 DAY)) AS DATE) AS d))"""
+_POINT = "list_sort(s)[CAST(floor({p} * (len(s) - 1)) AS BIGINT) + 1] + ({p} * (len(s) - 1) - floor({p} * (len(s) - 1))) * (list_sort(s)[CAST(ceil({p} * (len(s) - 1)) AS BIGINT) + 1] - list_sort(s)[CAST(floor({p} * (len(s) - 1)) AS BIGINT) + 1])"
+
+
+def _point(p: float) -> str:
+    return _POINT.format(p=f"{p}::DOUBLE")
+
+
+def _machine(pick: str, guard: str) -> str:
+    """The holdings of held by day: each outside the best three gives way to what ``pick`` offers, unless ``guard`` keeps it."""
+
+    def choice(i: int, chosen: list[str]) -> str:
+        free = f"list_filter({pick}, lambda x: NOT list_contains(state, x)" + "".join(f" AND x IS DISTINCT FROM {c}" for c in chosen) + ")[1]"
+        return f"CASE WHEN state[{i}] IS NULL OR list_contains(top[1:3], state[{i}]) OR {guard.format(own=f'state[{i}]')} THEN state[{i}] ELSE coalesce({free}, state[{i}]) END"
+
+    return f"""held0(i, d, state) AS (
+    SELECT i, d, top[1:3] FROM tops WHERE i = 1
+    UNION ALL
+    SELECT i, d, CASE WHEN len(state) = 0 THEN top[1:3] WHEN frozen THEN state
+      ELSE list_slice(list_concat(list_filter([c1, c2, c3], lambda x: x IS NOT NULL), list_filter(top, lambda x: NOT list_contains([c1, c2, c3], x))), 1, 3) END
+    FROM (SELECT *, {choice(3, ["c1", "c2"])} AS c3 FROM (SELECT *, {choice(2, ["c1"])} AS c2 FROM (SELECT *, {choice(1, [])} AS c1
+      FROM (SELECT t.*, h.state FROM held0 h JOIN tops t ON t.i = h.i + 1)))))"""
+
+
+#: A decision of each asset on each check date, by the intervals of its last hundred days with enough history.
+_SIGNALS_AS_OF = f"""known AS (SELECT * FROM m WHERE rn >= 100),
+  newest_at AS (SELECT a.asset, dates.d, k.dt AS seen FROM (SELECT DISTINCT asset FROM known) a CROSS JOIN (SELECT DISTINCT d FROM steps) dates ASOF JOIN known k ON k.asset = a.asset AND dates.d >= k.dt),
+  hist AS (UNPIVOT (SELECT asset, dt, hit_rate, conviction, stability FROM known) ON hit_rate, conviction, stability INTO NAME metric VALUE value),
+  framed AS (SELECT *, list(value) OVER (PARTITION BY asset, metric ORDER BY dt ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS s FROM hist),
+  ends AS (SELECT f.asset, f.dt, metric, value, s, {_point(0.01)} AS lo, {_point(0.99)} AS hi FROM framed f WHERE (f.asset, f.dt) IN (SELECT (asset, seen) FROM newest_at)),
+  drawn AS (SELECT asset, dt, value, CASE WHEN metric = 'conviction' THEN list_transform(s, lambda y: greatest(lo, least(hi, y))) ELSE s END AS s FROM ends),
+  bounded AS (SELECT asset, dt, value, {_point(0.025)} AS lower, {_point(0.975)} AS upper FROM drawn),
+  gaps AS (SELECT asset, dt, CASE WHEN value < lower THEN lower - value WHEN value > upper THEN value - upper ELSE 0 END AS gap, abs(CASE WHEN value < lower THEN lower ELSE upper END) AS bound FROM bounded),
+  weights AS (SELECT asset, dt, sum(CASE WHEN gap = 0 THEN 0.0 WHEN CASE WHEN bound = 0 THEN gap ELSE gap / bound END <= 0.10 THEN 0.3
+      WHEN CASE WHEN bound = 0 THEN gap ELSE gap / bound END <= 0.20 THEN 0.7 ELSE 1.0 END)::DOUBLE AS weight FROM gaps GROUP BY ALL),
+  signals AS (SELECT n.asset, n.d, CASE WHEN weight < 0.5 THEN 'HOLD' WHEN weight <= 1.5 THEN 'WAIT' ELSE 'ROTATE' END AS signal FROM newest_at n JOIN weights w ON w.asset = n.asset AND w.dt = n.seen)"""
+
+
+@query(f"""WITH RECURSIVE {RETS}, {_SCORES}, {_CHECKS}, {_ranks_sql("SELECT d, every FROM steps")}, {_SIGNALS_AS_OF},
+  days AS (SELECT r.d, r.asset, r.rank, s.signal FROM ranks r LEFT JOIN signals s ON s.asset = r.asset AND s.d = r.d WHERE r.rank <= 20),
+  tops AS (
+    SELECT d, row_number() OVER (ORDER BY d) AS i, list(asset ORDER BY rank) AS top, list(asset ORDER BY rank) FILTER (rank <= 3 AND signal = 'ROTATE') AS rotating,
+      list({{'asset': asset, 'signal': coalesce(signal, 'NONE')}}) AS sigs, coalesce(avg(CAST(signal = 'ROTATE' AS DOUBLE)) FILTER (signal IS NOT NULL) > 0.3, FALSE) AS frozen
+    FROM days GROUP BY d),
+  {_machine("coalesce(rotating, [])", "coalesce(list_filter(sigs, lambda x: x.asset = {own})[1].signal, 'WAIT') NOT IN ('HOLD', 'WAIT')")}
+  SELECT d AS dt, array_to_string(state, ',') AS holdings FROM held0""")
 def ci_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is held from each check date on by interval signals."""
     return ci_holdings(spark, sf_dir).select("dt", F.array_join("holdings", ",").alias("holdings"))
@@ -192,7 +235,15 @@ def volatility_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.volatility_holdings(backtest.rankings(bars, assets, checks), calm)
 
 
-@query()
+@query(f"""WITH RECURSIVE {RETS}, {_SCORES}, {_CHECKS}, {_ranks_sql("SELECT d, every FROM steps")},
+  vols AS (SELECT * FROM (SELECT asset, dt, CASE WHEN count(ret) OVER {last(20)} >= 20 THEN sqrt(252) * stddev_samp(ret) OVER {last(20)} END AS vol FROM rets) WHERE vol IS NOT NULL),
+  newest_at AS (SELECT a.asset, steps.d, v.vol FROM assets a CROSS JOIN steps ASOF JOIN vols v ON v.asset = a.asset AND steps.d >= v.dt),
+  calm AS (SELECT d, NOT (avg(vol) > 0.30 OR avg(vol) > 1.5 * median(vol)) AS calm FROM newest_at GROUP BY d),
+  tops AS (SELECT r.d, row_number() OVER (ORDER BY r.d) AS i, list(asset ORDER BY rank) AS top, NOT coalesce(any_value(calm), FALSE) AS frozen
+    FROM ranks r LEFT JOIN calm ON calm.d = r.d WHERE rank <= 20 GROUP BY r.d),
+  {_machine("top[1:5]", "FALSE")},
+  scen AS (SELECT 'volatility' AS scenario), held AS (SELECT 'volatility' AS scenario, i, d, state FROM held0), {_EQUITY}
+  SELECT dt, round(ln(growth * 100000), 6) AS log_value FROM eq""")
 def vol_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity of holdings that rotate while the market is calm."""
     bars = panels.bars(spark, sf_dir)
@@ -204,6 +255,5 @@ def vol_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT asset, seen AS dt, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ranks WHERE rank <= 20""")
 def quality_rank_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the twenty best assets by score as of the panel's last day."""
-    bars = written(panels.bars(spark, sf_dir), "bars")
-    found = ranking.top_as_of(bars, panels.assets(spark, sf_dir), None, 20)
+    found = ranking.top_as_of(panels.bars(spark, sf_dir), panels.assets(spark, sf_dir), None, 20)
     return rounded(found.select("asset", F.col("seen").alias("dt"), "score", "rank"), "score")

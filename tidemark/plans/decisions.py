@@ -216,7 +216,7 @@ _RANK = f"""{METRICS}, {ASSETS}, f AS (UNPIVOT (SELECT asset, kind AS band, hit_
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = _newest(_behaviour(spark, sf_dir)).join(panels.assets(spark, sf_dir).select("asset", F.col("kind").alias("band")), "asset")
+    newest = metrics.newest(panels.bars(spark, sf_dir)).join(panels.assets(spark, sf_dir).select("asset", F.col("kind").alias("band")), "asset")
     factors = newest.unpivot(["asset", "band"], ["hit_rate", "conviction", "stability", "volume"], "metric", "value")
     return ranking.percentile_ranking(factors, inverted=("volume",))
 

@@ -23,7 +23,7 @@ METRICS = f"""m AS (
 @query(f"""WITH {RETS}, {METRICS} SELECT asset, dt, round(hit_rate, 6) AS hit_rate, round(conviction, 4) AS conviction, round(stability, 6) AS stability FROM m
     WHERE rn = n""")
 def metrics_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics.behaviour(panels.bars(spark, sf_dir)).withColumn("k", S.from_end()).where("k = 1")
+    rows = metrics.newest(panels.bars(spark, sf_dir))
     return rounded(rounded(rows.select("asset", "dt", "hit_rate", "conviction", "stability"), "hit_rate", "stability"), "conviction", digits=4)
 
 
