@@ -10,7 +10,7 @@ from tidemark.functions import series as S
 from tidemark.operators import metrics, signals
 from tidemark.plans.sql import BARS, RETS, SERIES, TYPES, last
 from tidemark.session import written
-from tidemark.sources import panels
+from tidemark.sources import panels, stored
 
 
 def registry():
@@ -332,3 +332,14 @@ def kalman_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = written(panels.bars(spark, sf_dir), "bars")
     found = signals.kalman_levels(bars, signals.band_parameters(bars))
     return rounded(found.where("n % 50 = 0"), "level")
+
+
+@query(f"""WITH {BARS}, b AS (SELECT * FROM bars WHERE asset IN ('Brand#11', 'Brand#2', 'Brand#23', 'Brand#5') AND dt BETWEEN DATE '1996-03-01' AND DATE '1998-06-30')
+  SELECT asset, dt, round(close / lag(close) OVER w - 1, 6) AS ret, round(max(high) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS top
+  FROM b WINDOW w AS (PARTITION BY asset ORDER BY dt)""")
+def stored_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns and twenty-day highs of four assets over some years, from a stored panel of which only their part is read."""
+    table = stored.store(panels.bars(spark, sf_dir))
+    rows = stored.stored(spark, table, ["Brand#11", "Brand#2", "Brand#23", "Brand#5"], "1996-03-01", "1998-06-30")
+    rows = signals.returns(rows).withColumn("top", F.max("high").over(S.last(20)))
+    return rounded(rows.select("asset", "dt", "ret", "top"), "ret", "top")
