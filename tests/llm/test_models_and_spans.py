@@ -1,5 +1,6 @@
 """Classifier, language identification and personal data against plain versions and held-out rows."""
 
+import hashlib
 import random
 import re
 import time
@@ -161,7 +162,7 @@ def plain_shape(t, starts, i, j):
     return [
         s.count("@") == 1 and s[0] != "@", bool(re.search(r"[\[(]at[\])]", s, re.I)), bool(re.search(r"[A-Za-z0-9](\.|[\[(]dot[\])])[A-Za-z]{2,}$", s, re.I)), bool(re.search("[a-z]", s, re.I)), " " in s,
         bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s)) and all(int(x) <= 255 for x in s.split(".")), "." in s, len(d) >= 12 and pii_crf.luhn(d), 0 < len(d) < 7, 8 <= len(d) <= 12,
-        13 <= len(d) <= 15, 16 <= len(d) <= 19, len(d) > 19, bool(re.match(r"\+[0-9]{1,3}[ (.-]|00[0-9]", s)) and not mixed, s[0] == "+", bool(re.search(r"\([0-9]{2,4}\)", s)), bool(re.search(r"[0-9]{3}[ .-][0-9]{4}$", s)),
+        13 <= len(d) <= 15, 16 <= len(d) <= 19, len(d) > 19, bool(re.match(r"\+[0-9]{1,3}[ (.-]|00[0-9]", s) or j - i >= 5 and re.match(r"00[ -][0-9]{1,3}(?![0-9])", s) and len(words[i + 2]) <= 3) and not mixed, s[0] == "+", bool(re.search(r"\([0-9]{2,4}\)", s)), bool(re.search(r"[0-9]{3}[ .-][0-9]{4}$", s)),
         bool(re.fullmatch(r"[0-9]{4}([ -]?[0-9]{4}){3}", s)), s.count("(") != s.count(")") or s.count("[") != s.count("]"), not (s[0].isalnum() or s[0] in "+("), bool(mixed), bool(secret),
         one and s.isalnum(), one and len(s) >= 24, left.isalnum() and left.isascii() or left in list("@.+-_%"), right.isalnum() and right.isascii() or right in list("@-_%") or right == "." and then.isalnum() and then.isascii(), True,
     ]
@@ -268,23 +269,86 @@ def test_spelt_addresses_are_found_whole(field, address):
 def test_recall_on_held_out_rewrites(spark, field):
     """Windows of other documents than those learned from, each in four other spellings: of the spans that the patterns no
     longer find, nine tenths are found whole; of what is added to the documents as they are, nearly all is like them."""
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 1000 and doc_id < 3000").select("text").collect()
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id >= 1000 and doc_id < 4000").select("text").collect()
     texts = [r.text for r in rows if r.text]
     there, caught = {}, {}
     for window in (w for t in texts for w in pii_crf.windows(t)):
         spans = pii_crf.truth(window)
-        for pick in range(4):
+        for pick in range(7):
             new, moved = pii_crf.rewritten(window, spans, pick)
             base, found = pii_crf.base_spans(new), {s[:3] for s in field.spans([new])[0]} if new != window else set()
             for span in [s for s in moved if new != window and s[0] in pii_crf.KINDS and s not in base]:
                 there[span[0]] = there.get(span[0], 0) + 1
                 caught[span[0]] = caught.get(span[0], 0) + (span in found)
-    assert min(there.values()) > 60 and all(caught[k] >= 0.9 * n for k, n in there.items())
+    assert min(there.values()) > 100 and all(caught[k] >= 0.9 * n for k, n in there.items())
     added = [(k, t[a:b], (k, a, b) in pii_crf.truth(t)) for t, spans in zip(texts, field.spans(texts), strict=True) for k, a, b, base in spans if not base]
     sound = [known or k == "phone" and re.fullmatch(r"[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", x) or k == "card" and pii_crf.luhn(re.sub("[^0-9]", "", x)) for k, x, known in added]
     assert len(sound) > 20 and sum(map(bool, sound)) >= 0.9 * len(sound)
 
 
+@pytest.mark.parametrize(
+    "secret",
+    ["password = hunter2hunter2hunter2", "token=abc123def456ghi789", "secret: A1b2C3d4E5f6G7h8I9j0", "password = abcdefabcdefabcdef1", "api_key=sk12345678901234567890", "passwd: correcthorsebatterystaple",
+     "Token = ABCDEFGHIJKLMNOPQR", "apikey='" + "a1" * 64 + "'", "key: 98765432109876543210123"],
+)
+def test_secrets_of_shapes_that_the_corpus_lacks(field, secret):
+    value = re.search(r"[=:][ ]?[\"']?(\w+)", secret)
+    text = f"Here it is, {secret} and no more"
+    found = [text[a:b] for kind, a, b, _ in field.spans([text])[0] if kind == "secret"]
+    assert found == [value[1]]
+
+
+@pytest.mark.parametrize("phone", ["00 44 20 7946 0958", "0044 20 7946 0958", "00 1 555 391 8800", "0033-1-42-68-53-00"])
+def test_phones_with_two_zeros(field, phone):
+    text = f"Do call {phone} before noon"
+    assert [text[a:b] for kind, a, b, _ in field.spans([text])[0] if kind == "phone"] == [phone]
+
+
+def test_plain_numbers_and_words_are_left_alone(field):
+    for text in (*pii_crf.PLAIN, "tokenization=abcdefghijklmnopqrstuvwx", "monkey=bananabananabananabanana", "a word of internationalization", "key = value and token: nothing", "since 2004-11-03, 15 of 16"):
+        assert [s for s in field.spans([text])[0] if not s[3]] == [], text
+
+
+def test_texts_with_nothing_but_a_word_and_letters_are_looked_at(spark, field):
+    rows = [(1, "password: correcthorsebatterystaple"), (2, "correcthorsebatterystaple"), (3, None)]
+    got = {r.doc_id: [tuple(s)[:3] for s in r.spans] for r in pii_crf.find(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    assert got == {1: [("secret", 10, 35)], 2: [], 3: []}
+
+
+def test_cases_side_by_side_have_the_gradients_of_each(field):
+    windows = ["to +1 22 now", "mail a@b.org or call +1 (555) 391-8877", "no entity here 12", "token=abc123def456ghi789"]
+    cases = []
+    for w in windows:
+        lattice = pii_crf.Lattice(w)
+        segments = lattice.segments()
+        gold = pii_crf._gold(lattice, pii_crf.truth(w), set(zip(segments[0].tolist(), segments[1].tolist(), strict=True)))
+        cases.append((segments, lattice.alone, gold))
+    inside, outside = weights(np.random.default_rng(4))
+    one = [pii_crf.gradient(*c, inside, outside) for c in cases]
+    both = pii_crf.Cases(cases).gradient(inside, outside)
+    assert np.allclose(both[0], sum(x[0] for x in one)) and np.allclose(both[1], sum(x[1] for x in one))
+
+
+def test_query_counts_and_digests_equal_the_patterns(spark):
+    """What op9 says of every document, worked out again from its text: counts, the digest of the base spans, and base spans
+    among all spans in the order of kinds."""
+    from tidemark.llm.queries import op9_pii_crf
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op9_pii_crf(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain_spans(texts[r.doc_id])
+        said = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii_crf.KINDS] == [sum(s[0] == k for s in base) for k in pii_crf.KINDS]
+        spans = [s for s in r.spans.split(",") if s]
+        assert [s for s in spans if s in set(said)] == said and r.n_added == len(spans) - len(said)
+        order = [(pii_crf.ALL_KINDS.index(k), int(a)) for k, a, _ in (s.split(":") for s in spans)]
+        assert order == sorted(order)
+
+
 def test_texts_of_a_slice_do_not_meet(field):
     rng = random.Random(3)
     texts = [odd_text(rng, 40) for _ in range(400)]
@@ -292,7 +356,7 @@ def test_texts_of_a_slice_do_not_meet(field):
 
 
 def test_long_texts_take_linear_time_and_little_memory(field):
-    for text in ("1 23 456 7890 " * 75_000, "+1 (884) 555-3918 " * 10_000, "1" * 1_000_000, "a@" * 50_000, "((((" * 30_000, "[at] 1.2 " * 15_000):
+    for text in ("1 23 456 7890 " * 75_000, "+1 (884) 555-3918 " * 50_000, "1" * 1_000_000, "a@" * 200_000, "((((" * 100_000, "[at] 1.2 " * 60_000):
         start = time.process_time()
         field.spans([text])
         assert time.process_time() - start < 10

@@ -16,7 +16,8 @@ So the time is linear in the text and memory that of a stretch, whatever the tex
 The field is trained here, by gradient steps on the conditional likelihood of at most ``LEARN_WINDOWS`` windows of
 the corpus (those first by a hash), of ``LEARN_TOKENS`` tokens at most: the tokens round a trigger (digits, "@", a
 spelt "at", a word such as "password"). Base spans and values after such a word are the truth in them, and some are
-rewritten in other spellings of the same data, so that the span features, not the pattern, carry the weight.
+rewritten in other spellings of the same data, so that the span features, not the pattern, carry the weight; besides
+them stand ``MADE_SECRETS`` made-up secrets of all lengths from 16 to 128 and of letters, digits or both.
 
 Offsets are code points, ends exclusive. Defined results: null and empty texts have no spans; whole texts are
 searched; without any window to learn from, base spans alone are found; extra columns pass through, but for one
@@ -32,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ from tidemark.llm.arrow import text_slices, with_columns, with_fields
 #: Kinds with base patterns, and all kinds that the field knows.
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-LEARN_WINDOWS, LEARN_TOKENS, LEARN_CHARS, EPOCHS, RATE, RIDGE = 120, 60, 600, 40, 1.0, 0.001
+LEARN_WINDOWS, LEARN_TOKENS, LEARN_CHARS, EPOCHS, RATE, RIDGE = 320, 60, 600, 40, 1.0, 0.001
 MOST_TOKENS, MARGIN = 24, 1.5
 STRETCH = 4096
 CHUNK_BYTES = 1 << 20
@@ -53,6 +55,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Words that a secret follows, in lower case, and the secrets that windows are learned from.
 SECRET_WORDS = ("token", "password", "passwd", "secret", "apikey", "key")
+LEAST_SECRET = 16
 _SECRET = re.compile(r"(?i:\b(?:token|password|passwd|secret|api[_-]?key|key))[ ]?[=:][ ]?[\"']?([A-Za-z0-9]{16,128})(?![A-Za-z0-9])")
 #: Numbers that are nobody's data, which are learned as such whatever the corpus holds.
 PLAIN = (
@@ -217,6 +220,8 @@ class Lattice:
             reach = np.append(False, reach[:-1])[:n] & between
             after[1:] |= reach[:-1]
         p["after_word"] = padded(after & ~between)
+        # A long run after such a word may be its value, whatever it holds.
+        p["value"] = padded(after & ~between & (self.kinds <= _DIGITS) & (self.sizes >= LEAST_SECRET))
         # 255 at most, and the value of a token of digits with up to three of them.
         at = self.starts[:-1]
         value = np.full(n, 999)
@@ -230,6 +235,9 @@ class Lattice:
         zeros = digits & (self.sizes >= 3) & (self.first == 48)
         zeros[zeros] = self.points[at[zeros] + 1] == 48
         p["zeros"] = padded(zeros)
+        double = digits & (self.sizes == 2) & (self.first == 48)
+        double[double] = self.points[at[double] + 1] == 48
+        p["double_zero"] = padded(double)
         p["code"] = padded(digits & (self.sizes <= 3))
         p["fours"] = padded(digits & (self.sizes % 4 == 0))
         p["gap"] = padded(self._is(" ") | self._is("-"))
@@ -249,8 +257,8 @@ class Lattice:
         """The candidate segments and their features, ``STRETCH`` first tokens at a time: first token, end, features."""
         p, t, pad = self.p, self.totals, self.pad
         begins = p["alnum"] | p["plus"] | p["open"] & (p["round"] > 0)
-        # A segment holds digits, an "@" or a spelt "at", or is a mixed run; there's one of these soon after where it begins.
-        hot = np.append(0, np.cumsum(p["digits"] | p["sign"] | p["may_at"] | p["mixed"], dtype=np.int64))
+        # A segment holds digits, an "@" or a spelt "at", or is a mixed run or a value; there's one of these soon after where it begins.
+        hot = np.append(0, np.cumsum(p["digits"] | p["sign"] | p["may_at"] | p["mixed"] | p["value"], dtype=np.int64))
         first = np.flatnonzero(begins)
         first = first[hot[np.minimum(first + MOST_TOKENS, len(hot) - 1)] > hot[first]]
         lengths = np.arange(1, MOST_TOKENS + 1)
@@ -269,6 +277,7 @@ class Lattice:
             keep = np.where(mixed, j - i == 1, np.where(letters, spelt, digits))
             # A spelt address has spaces only round its "at".
             keep &= ~letters | (many("space") <= 2)
+            keep |= p["value"][i] & (j - i == 1)
             i, j = i[keep], j[keep]
             if len(i):
                 yield i - pad, j - pad, self._features(i, j)
@@ -294,7 +303,7 @@ class Lattice:
             four &= p["octet" if k % 2 == 0 else "dot"][np.minimum(i + k, len(p["dot"]) - 1)]
         last, before = j - 1, j - 2
         domain = p["letters"][last] & (p["size"][last] >= 2) & (p["dot"][before] & p["alnum"][j - 3] & (n >= 3) | p["close"][before] & p["dot_word"][j - 3] & p["open"][j - 4] & p["alnum"][j - 5] & (n >= 5))
-        country = p["plus"][i] & p["code"][i + 1] & p["end_gap"][i + 2] & (n >= 3) | p["zeros"][i]
+        country = p["plus"][i] & p["code"][i + 1] & p["end_gap"][i + 2] & (n >= 3) | p["zeros"][i] | p["double_zero"][i] & p["gap"][i + 1] & p["code"][i + 2] & (n >= 5)
         phone = p["digits"][last] & (p["size"][last] == 4) & (p["gap"][before] | p["dot"][before]) & p["digits"][j - 3] & (p["size"][j - 3] >= 3) & (n >= 3)
         fours = many("fours")
         card = (d == 16) & (fours == many("digits")) & (fours + many("gap") == n) & (many("gap") == fours - 1)
@@ -354,34 +363,60 @@ class Lattice:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+class Cases:
+    """Some windows that are learned from, their segments side by side, ordered by where they end."""
+
+    def __init__(self, cases: list[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, dict[tuple[int, int], int]]]) -> None:
+        self.sizes = np.array([len(alone) for _, alone, _ in cases])
+        self.longest = int(self.sizes.max(initial=0))
+        self.alone = np.zeros((len(cases), self.longest, len(OUTSIDE)))
+        own, first, end, features, gold, self.covered = [], [], [], [], [], np.zeros((len(cases), self.longest), bool)
+        for c, ((i, j, f), alone, truth) in enumerate(cases):
+            self.alone[c, : len(alone)] = alone
+            own.append(np.full(len(i), c))
+            first.append(i)
+            end.append(j)
+            features.append(f)
+            kinds = [truth.get(span, -1) for span in zip(i.tolist(), j.tolist(), strict=True)]
+            gold.append(np.array(kinds, int))
+            for (x, y), kind in zip(zip(i.tolist(), j.tolist(), strict=True), kinds, strict=True):
+                if kind >= 0:
+                    self.covered[c, x:y] = True
+        end_of = np.concatenate(end).astype(int)
+        order = np.argsort(end_of, kind="stable")
+        self.own, self.first, self.end, self.gold = (np.concatenate(x).astype(int)[order] for x in (own, first, end, gold))
+        self.features = np.concatenate(features)[order]
+        self.bounds = np.searchsorted(self.end, np.arange(self.longest + 2))
+
+    def gradient(self, inside: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sum of the log-likelihoods of the true splits: all windows go ahead and back together, token by token."""
+        count, n = len(self.sizes), self.longest
+        score, single = self.features @ inside.T, self.alone @ outside
+        total = np.logaddexp.reduce(score, axis=1) if len(score) else np.zeros(0)
+        ahead, behind = np.full((count, n + 1), -np.inf), np.full((count, n + 1), -np.inf)
+        ahead[:, 0] = 0
+        behind[np.arange(count), self.sizes] = 0
+        for j in range(1, n + 1):
+            ahead[:, j] = ahead[:, j - 1] + single[:, j - 1]
+            some = slice(self.bounds[j], self.bounds[j + 1])
+            np.logaddexp.at(ahead[:, j], self.own[some], ahead[self.own[some], self.first[some]] + total[some])
+        for j in range(n, 0, -1):
+            behind[:, j - 1] = np.logaddexp(behind[:, j - 1], behind[:, j] + single[:, j - 1])
+            some = slice(self.bounds[j], self.bounds[j + 1])
+            np.logaddexp.at(behind, (self.own[some], self.first[some]), behind[self.own[some], j] + total[some])
+        whole = ahead[np.arange(count), self.sizes]
+        real = np.arange(n) < self.sizes[:, None]
+        out = -np.exp(np.minimum(0, np.where(real, ahead[:, :-1] + single + behind[:, 1:] - whole[:, None], -np.inf)))
+        share = -np.exp(np.minimum(0, (ahead[self.own, self.first] + behind[self.own, self.end] - whole[self.own])[:, None] + score))
+        known = np.flatnonzero(self.gold >= 0)
+        share[known, self.gold[known]] += 1
+        out[real & ~self.covered] += 1
+        return share.T @ self.features, np.einsum("ct,ctf->f", out, self.alone)
+
+
 def gradient(segments: tuple[np.ndarray, np.ndarray, np.ndarray], alone: np.ndarray, gold: dict[tuple[int, int], int], inside: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the log-likelihood of the split whose entities are ``gold``: (first token, end) to kind."""
-    n = len(alone)
-    first, end, features = segments
-    score, single = features @ inside.T, alone @ outside
-    total = np.logaddexp.reduce(score, axis=1) if len(score) else np.zeros(0)
-    spans = list(zip(first.tolist(), end.tolist(), strict=True))
-    ending: list[list[int]] = [[] for _ in range(n + 1)]
-    for k, (_, j) in enumerate(spans):
-        ending[j].append(k)
-    ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
-    ahead[0] = behind[n] = 0
-    for j in range(1, n + 1):
-        ahead[j] = np.logaddexp.reduce([ahead[j - 1] + single[j - 1], *(ahead[spans[k][0]] + total[k] for k in ending[j])])
-    for j in range(n, 0, -1):
-        behind[j - 1] = np.logaddexp(behind[j - 1], behind[j] + single[j - 1])
-        for k in ending[j]:
-            i = spans[k][0]
-            behind[i] = np.logaddexp(behind[i], behind[j] + total[k])
-    out = -np.exp(np.minimum(0, ahead[:-1] + single + behind[1:] - ahead[n]))
-    share = -np.exp(np.minimum(0, (ahead[first] + behind[end] - ahead[n])[:, None] + score))
-    covered = np.zeros(n, bool)
-    for k, span in enumerate(spans):
-        if span in gold:
-            share[k, gold[span]] += 1
-            covered[span[0] : span[1]] = True
-    out[~covered] += 1
-    return share.T @ features, out @ alone
+    return Cases([(segments, alone, gold)]).gradient(inside, outside)
 
 
 def truth(window: str) -> list[tuple[str, int, int]]:
@@ -389,14 +424,35 @@ def truth(window: str) -> list[tuple[str, int, int]]:
     return base_spans(window) + [("secret", *m.span(1)) for m in _SECRET.finditer(window)]
 
 
+_SECRET_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789")
+
+
+def _other_secret(seed: int) -> str:
+    """A made-up secret of 16 to 128 letters, digits or both, by a number."""
+    state, out = seed, []
+    alphabet = _SECRET_ALPHABETS[seed % len(_SECRET_ALPHABETS)]
+    for _ in range(LEAST_SECRET + (seed >> 8) % (24 if seed % 3 else 113)):
+        state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+        out.append(alphabet[(state >> 33) % len(alphabet)])
+    return "".join(out)
+
+
 def rewritten(window: str, spans: list[tuple[str, int, int]], pick: int) -> tuple[str, list[tuple[str, int, int]]]:
-    """The window with its first fitting span in another spelling, and the spans then."""
+    """The window with its first fitting span in another spelling, and the spans then: an "@" spelt out, a phone number
+    with "00", without country sign or in other groups, another secret."""
     for at, (kind, a, b) in enumerate(spans):
         s = window[a:b]
         if kind == "email":
             new = s.replace("@", ("[at]", " [at] ", "(at)", " (at) ")[pick % 4])
         elif kind == "phone" and re.match(r"\+[0-9]{1,3}[ (]", s):
-            new = ("00" + s[1:], re.sub(r"^\+[0-9]{1,3} ?", "", s))[pick % 2]
+            code, rest = re.match(r"\+([0-9]{1,3}) ?(.*)", s).groups()
+            groups = re.findall("[0-9]+", rest)
+            pairs = re.findall("[0-9]{1,2}", "".join(groups))
+            new = (
+                f"00{code} {rest}", rest, f"00 {code} {rest}", " ".join(["00", code, *groups]), "-".join(["00" + code, *groups]), "-".join(["00" + code, *pairs]), " ".join(["00" + code, *pairs]),
+            )[pick % 7]
+        elif kind == "secret":
+            new = _other_secret(zlib.crc32(f"{pick}:{s}".encode()))
         else:
             continue
         shift = len(new) - len(s)
@@ -406,6 +462,16 @@ def rewritten(window: str, spans: list[tuple[str, int, int]], pick: int) -> tupl
     return window, spans
 
 
+#: Ways in which a secret follows its word, which are learned with made-up secrets, as the corpus holds but a few of them.
+_SECRET_PHRASES = ("token={}", "password: {}", "the passwd = {} was set", "secret: {}, to be kept", "api_key={}", "api-key = '{}'", 'key: "{}" here', "apikey={};", "Password = {}", "SECRET={}", "my token: {} and no other", "key={}")
+#: As many of them, each with another secret.
+MADE_SECRETS = 48
+
+
+def made_examples() -> list[str]:
+    return [_SECRET_PHRASES[i % len(_SECRET_PHRASES)].format(_other_secret(zlib.crc32(f"made:{i}".encode()))) for i in range(MADE_SECRETS)]
+
+
 def _gold(lattice: Lattice, spans: list[tuple[str, int, int]], candidates: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
     """The candidate segments that are spans, by kind; of spans that overlap, the first kind's."""
     token = {s: i for i, s in enumerate(lattice.starts.tolist())}
@@ -460,7 +526,7 @@ class Field:
 def train(examples: list[str]) -> Field | None:
     """The field of some windows; None if there are none."""
     cases = []
-    for window in [*examples, *(PLAIN if examples else ())]:
+    for window in [*examples, *((*PLAIN, *made_examples()) if examples else ())]:
         spans = truth(window)
         pick = zlib.crc32(window.encode("utf-8", "surrogatepass"))
         new, moved = rewritten(window, spans, pick)
@@ -473,11 +539,11 @@ def train(examples: list[str]) -> Field | None:
     cases.sort(key=lambda c: (zlib.crc32(c[0].encode("utf-8", "surrogatepass")), c[0]))
     inside, outside = np.zeros((len(ALL_KINDS), len(FEATURES))), np.zeros(len(OUTSIDE))
     seen_in, seen_out = np.full_like(inside, 1e-6), np.full_like(outside, 1e-6)
+    parts = [Cases([c[1:] for c in cases[start : start + 16]]) for start in range(0, len(cases), 16)]
     for _ in range(EPOCHS):
-        for start in range(0, len(cases), 16):
-            part = cases[start : start + 16]
-            steps = [gradient(segments, alone, gold, inside, outside) for _, segments, alone, gold in part]
-            g_in, g_out = sum(a for a, _ in steps) / len(part) - RIDGE * inside, sum(b for _, b in steps) / len(part) - RIDGE * outside
+        for part in parts:
+            a, b = part.gradient(inside, outside)
+            g_in, g_out = a / len(part.sizes) - RIDGE * inside, b / len(part.sizes) - RIDGE * outside
             seen_in += g_in**2
             seen_out += g_out**2
             inside += RATE * g_in / np.sqrt(seen_in)
@@ -485,7 +551,7 @@ def train(examples: list[str]) -> Field | None:
     return Field(inside, outside)
 
 
-#: Bytes without which a text has no span: digits, which secrets have too, "@", and brackets before a spelt "at".
+#: Bytes without which a text has no span but a secret: digits, "@", and brackets before a spelt "at".
 @lru_cache(maxsize=1)
 def _triggers() -> np.ndarray:
     table = np.zeros(256, bool)
@@ -494,8 +560,9 @@ def _triggers() -> np.ndarray:
 
 
 def _candidates(texts: pa.Array) -> np.ndarray:
-    """Whether each text has a character without which there is no span."""
-    out = np.zeros(len(texts), bool)
+    """Whether each text has a character without which there is no span, or a word that a secret may follow."""
+    word = "|".join(SECRET_WORDS)
+    out = np.array(pc.fill_null(pc.match_substring_regex(texts, rf"(?i)(?:{word})[\"']? ?[=:]"), False).to_numpy(zero_copy_only=False), bool)
     bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
     if texts.buffers()[2]:
         places = np.flatnonzero(_triggers()[np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]]) + bounds[0]
@@ -508,7 +575,7 @@ def windows(text: str) -> Iterator[str]:
     at a token's end. Triggers that a stretch has taken in get none of their own."""
     lattice = Lattice(text)
     p, pad = lattice.p, lattice.pad
-    hot = np.flatnonzero((p["digits"] | p["sign"] | p["may_at"] | p["mixed"])[pad : pad + lattice.count])
+    hot = np.flatnonzero((p["digits"] | p["sign"] | p["may_at"] | p["mixed"] | p["value"])[pad : pad + lattice.count])
     done = 0
     for t in hot.tolist():
         if t < done:
