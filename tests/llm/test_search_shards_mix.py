@@ -196,3 +196,34 @@ def test_repeated_counts_rows_without_or_with_equal_ids(spark):
     counts = [n for _, n in mixing.mix_sources(df.select("doc_id", "source", mixing.word_count("text").alias("size"))).select("doc_id", F.ceil(F.col("taken") / F.col("size"))).collect()]
     again = mixing.repeated(df.repartition(7), weights=(5, 2, 1), budget=1.5, cap=2)
     assert some.count() == sum(counts) and some.where("doc_id is null").count() > 0 and some.exceptAll(again).count() == again.exceptAll(some).count() == 0
+
+
+def test_very_many_sources_of_one_row(spark):
+    """All fractions are 1/2: the order goes by the source, counts differ by one at most, and tasks share the rows."""
+    n = 3000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("host%05d", F.pmod(F.xxhash64("id"), F.lit(10**5))).alias("source")).dropDuplicates(["source"])
+    n = rows.count()
+    got = sharding.interleaved_shards(rows, 7).orderBy("shard", "slot").collect()
+    assert [r.source for r in got] == sorted(r.source for r in got)
+    sizes = [sum(r.shard == k for r in got) for k in range(7)]
+    assert sum(sizes) == n and max(sizes) - min(sizes) <= 1 and [r.slot for r in got if r.shard == 3] == list(range(sizes[3]))
+
+
+def test_schedule_of_very_many_sources_equals_a_search(spark):
+    """Each slot is in the share that its point falls in, also where one cell has hundreds of shares."""
+    rng = random.Random(7)
+    goals = [(None if i == 0 else f"s{i:04}", float(rng.choice([3, 40, 900, 30_000 if i == 9 else 5]))) for i in range(800)]
+    found = mixing.schedule(spark.createDataFrame(goals, "source string, target double"), 16).collect()
+    order = sorted(goals, key=lambda g: (g[0] is None, g[0] or ""))
+    ends, total = [], 0.0
+    for _, t in order:
+        total += t
+        ends.append(total)
+    bounds = [int(e / total * mixing.POINTS) for e in ends[:-1]] + [mixing.POINTS]
+    words: dict = {}
+    for r in found:
+        words[r.source] = words.get(r.source, 0) + r.words
+        if r.slot < -(-total // 16):
+            at = next(k for k, b in enumerate(bounds) if r.slot * mixing.GOLDEN % mixing.POINTS < b)
+            assert r.source == order[at][0]
+    assert words == {s: int(t) for s, t in goals}

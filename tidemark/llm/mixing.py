@@ -9,8 +9,9 @@ last block ends where its target does, slots beyond that stay empty, and what is
 a source's words are its target, whatever the size of blocks.
 
 Points are integers modulo 2**31, and ranks and running sums of documents and slots come from buckets
-(``shared.running``), so reruns agree and neither a hot source nor the schedule is ever in one task. Slots meet the
-sources' shares by the first bits of their points, an equality join that is even however unequal the shares are. A
+(``shared.running``), so reruns agree and neither a hot source nor the schedule is ever in one task. Slots and
+the beginnings of shares stand in one order of points, in which each slot takes the last share before it, so neither a
+large source nor very many small ones make pairs. A
 document meets the blocks that it lies in: one, and one more for each block's end in it. Only the sources' own rows,
 one each and a few for missing blocks, are ranked together: some ten million sources would still fit into a task.
 
@@ -64,12 +65,9 @@ def schedule(goals: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     ends = goals.where("target > 0").select("source", F.floor(upto * POINTS).cast("long").alias("_end"), F.row_number().over(by_name).alias("_n"), F.count("*").over(whole).alias("_of"))
     ends = ends.withColumn("_end", F.when(F.col("_n") == F.col("_of"), POINTS).otherwise(F.col("_end")))
     shares = ends.withColumn("_begin", F.lag("_end", 1, 0).over(by_name)).where("_begin < _end")
-    width = POINTS // CELLS
-    cells = shares.select("source", "_begin", "_end", F.explode(F.sequence(F.expr(f"_begin div {width}"), F.expr(f"(_end - 1) div {width}"))).alias("_cell"))
     total = int(goals.agg(F.ceil(F.sum("target") / block)).first()[0] or 0)
-    slots = goals.sparkSession.range(total).withColumnRenamed("id", "slot")
-    slots = slots.withColumn("_point", F.expr(f"((slot % {POINTS}) * {GOLDEN}) % {POINTS}")).withColumn("_cell", F.expr(f"_point div {width}"))
-    taken = slots.join(cells, "_cell").where("_point >= _begin and _point < _end").select("slot", "source")
+    slots = goals.sparkSession.range(total).select(F.col("id").alias("slot"), F.expr(f"((id % {POINTS}) * {GOLDEN}) % {POINTS}").alias("_point"))
+    taken = _shares_of(slots, shares).select("slot", "source")
     taken = taken.withColumn("_bucket", F.expr(f"cast(slot div {SLOTS_A_BUCKET} as int)"))
     taken = running(taken, ["source"], "_bucket", [F.col("slot")], F.lit(1), "block").select("slot", "source", "block")
     wanted = goals.select(F.col("source").alias("_of"), F.floor("target").cast("long").alias("_words"))
@@ -81,6 +79,21 @@ def schedule(goals: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     return every.where(F.col("block") * block < F.col("_words")).select("slot", "source", "block", F.least(F.lit(block).cast("long"), F.col("_words") - F.col("block") * block).alias("words"))
 
 
+def _shares_of(slots: DataFrame, shares: DataFrame) -> DataFrame:
+    """``slots`` (slot, _point) with the source in whose share (from _begin on) each point falls. Both stand in one order,
+    cut into ``CELLS`` stretches of points, and a share goes on until the next begins, in later stretches too: so neither
+    slots times sources nor a stretch with very many sources costs more than its rows."""
+    cell = F.expr(f"_point div {POINTS // CELLS}")
+    begins = shares.select(F.lit(None).cast("long").alias("slot"), F.col("_begin").alias("_point"), F.struct("source").alias("_share"))
+    rows = slots.withColumn("_share", F.lit(None).cast(begins.schema["_share"].dataType)).unionByName(begins).withColumn("_cell", cell)
+    upto = Window.partitionBy("_cell").orderBy("_point", F.col("slot").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_own", F.last("_share", ignorenulls=True).over(upto)).where("slot is not null")
+    ends = begins.withColumn("_cell", cell).groupBy("_cell").agg(F.max_by("_share", "_point").alias("_last"))
+    every = slots.sparkSession.range(CELLS).select(F.col("id").alias("_cell")).join(ends, "_cell", "left")
+    before = every.select("_cell", F.last("_last", ignorenulls=True).over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))  # CELLS rows
+    return found.join(F.broadcast(before), "_cell").select("slot", F.coalesce("_own", "_earlier")["source"].alias("source"))
+
+
 def laid_out(docs: DataFrame, epochs: int, block: int, seed: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """The pieces into which blocks cut the documents of size > 0 (doc_id, source, size, ``keys``): a row for each epoch,
     document and block with the words (first, end) of the document in it. row_at tells rows of a source apart; start is
