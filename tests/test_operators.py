@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.functions import series as S
-from tidemark.operators import backtest, compare, hot, intervals, metrics, ranking, regimes, relational, risk, signals, single
+from tidemark.operators import backtest, compare, correlations, hot, intervals, metrics, ranking, regimes, relational, risk, signals, single
 from tidemark.session import written
 from tidemark.sources import panels, sinks
 
@@ -385,3 +385,23 @@ def test_the_best_of_one_day_equal_the_rankings(spark, every):
         want = ranking.as_of_rankings(bars, assets, spark.createDataFrame([(when or day, every)], "dt date, every int")).where("rank <= 8")
         got = ranking.top_as_of(bars, assets, when, 8, every)
         assert sorted((r["rank"], r.asset, round(r.score, 9), r.seen) for r in got.collect()) == sorted((r["rank"], r.asset, round(r.score, 9), r.seen) for r in want.collect())
+
+
+@pytest.mark.parametrize(("series", "days"), [(64, 256), (2, 7)])
+def test_correlations_by_blocks_equal_pairwise_ones(spark, series, days):
+    """Series with days of their own, one that doesn't move, one without common days, and missing values."""
+    rng, start = random.Random(days), datetime.date(2019, 12, 20)
+    rows = [(f"s{k}", start + datetime.timedelta(days=i), 0.5 if k == 3 else rng.gauss(5, 1)) for k in range(7) for i in range(60) if rng.random() < 0.8]
+    rows += [("late", start + datetime.timedelta(days=500 + i), 1.0 * i) for i in range(5)] + [("s1", start + datetime.timedelta(days=99), None), ("one", start + datetime.timedelta(days=3), 2.0)]
+    data = written(spark.createDataFrame(rows, "asset string, dt date, ret double"), "returns")
+    held = F.col("asset").isin("s0", "s1", "s3")
+    got = {(r.asset, r.other): (r.n, r["corr"]) for r in correlations.common_correlations(data.where(~held), data.where(held), series, days).collect()}
+    wide = pd.DataFrame(rows, columns=["a", "dt", "r"]).pivot(index="dt", columns="a", values="r")
+    for a in ("s2", "s4", "s5", "s6", "one", "late"):
+        for b in ("s0", "s1", "s3"):
+            both = wide[[a, b]].dropna()
+            if len(both) == 0:
+                assert (a, b) not in got
+            else:
+                n, c = got[a, b]
+                assert n == len(both) and (c is None if len(both) == 1 or b == "s3" else c == pytest.approx(both[a].corr(both[b])))

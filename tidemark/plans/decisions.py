@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules, scans
 from tidemark.functions import series as S
-from tidemark.operators import intervals, metrics, ranking, relational, signals
+from tidemark.operators import correlations, intervals, metrics, ranking, relational, signals
 from tidemark.plans.metrics import METRICS
 from tidemark.plans.rolling import registry, rounded
 from tidemark.plans.sql import ASSETS, BARS, RETS, TYPES
@@ -197,11 +197,10 @@ def availability_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT asset, round(max(c), 6) AS highest, round(avg(c), 6) AS mean FROM c GROUP BY asset""")
 def portfolio_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How closely each asset follows the ones that are held."""
-    rows = signals.returns(panels.bars(spark, sf_dir)).where("ret is not null").select("asset", "dt", "ret")
+    rows = written(signals.returns(panels.bars(spark, sf_dir)).where("ret is not null").select("asset", "dt", "ret"), "returns")
     held = F.col("asset").isin("Brand#1", "Brand#2", "Brand#3")
-    own = rows.where(held).select(F.col("asset").alias("held"), "dt", F.col("ret").alias("other"))
-    c = rows.where(~held).join(own, "dt").groupBy("asset", "held").agg(F.corr("ret", "other").alias("c"))
-    return rounded(c.groupBy("asset").agg(F.max("c").alias("highest"), F.avg("c").alias("mean")), "highest", "mean")
+    c = correlations.common_correlations(rows.where(~held), rows.where(held))
+    return rounded(c.groupBy("asset").agg(F.max("corr").alias("highest"), F.avg("corr").alias("mean")), "highest", "mean")
 
 
 # Ranking.
