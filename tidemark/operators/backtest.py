@@ -20,14 +20,23 @@ CAPITAL = 100_000.0
 HELD = 3
 
 
+def days_between(first: Column, last: Column, every: Column) -> Column:
+    """An array of ``first`` and each ``every`` days after it, before ``last``; none if there's no day between."""
+    return F.when(first < last, F.sequence(first, F.date_sub(last, 1), F.make_interval(days=every))).otherwise(F.array().cast("array<date>"))
+
+
 def check_dates(scenarios: DataFrame, start: str, end: str) -> DataFrame:
     """``scenarios`` (scenario, every and more) with dt: ``start``, and each ``every`` days after it before ``end``."""
-    days = F.expr(f"sequence(date '{start}', date_sub(date '{end}', 1), make_interval(0, 0, 0, every))")
-    return scenarios.withColumn("dt", F.explode(days))
+    return scenarios.withColumn("dt", F.explode(days_between(F.lit(start).cast("date"), F.lit(end).cast("date"), F.col("every").cast("int"))))
+
+
+def months_between(first: Column, last: Column) -> Column:
+    """An array of the ends of months from that of ``first`` on, as far as whole months from ``first`` reach up to ``last``."""
+    return F.transform(F.sequence(first, last, F.expr("interval 1 month")), lambda d: F.last_day(d))
 
 
 def month_ends(start: str, end: str) -> Column:
-    return F.explode(F.transform(F.expr(f"sequence(date '{start}', date '{end}', interval 1 month)"), lambda d: F.last_day(d)))
+    return F.explode(months_between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def rankings(panel: DataFrame, assets: DataFrame, dates: DataFrame) -> DataFrame:

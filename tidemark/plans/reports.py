@@ -66,57 +66,53 @@ def growth_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores.growth(analysed(spark, sf_dir)), "single", "momentum", digits=4)
 
 
-#: Values of the inputs of the scores, which stand in a grid: forecasts in per cent, hit rates, signals, tail risks, confidence.
-_GRID = {"forecast": (-12.0, -4.0, 0.0, 2.5, 7.5, 25.0), "hit_rate": (0.0, 0.4, 0.52, 0.6, 0.7, 1.0), "signal": (-0.5, 0.0, 0.3, 0.9, 1.4), "cvar": (-0.9, -0.25, -0.08, -0.01, 0.0, None), "confidence": (0.1, 0.4, 0.6, 0.9)}
+#: Inputs of the scores from every twentieth day of each asset: its return as the forecast in per cent and as tail risk, and
+#: numbers of its volume and history that walk through all ladders.
+_INPUTS = """g AS (SELECT asset, dt, 100 * ret AS forecast, (CAST(volume AS BIGINT) % 101) / 100.0::DOUBLE AS hit_rate, (CAST(volume AS BIGINT) % 23) / 12.0::DOUBLE - 0.5 AS signal,
+    CASE WHEN rn % 3 = 0 THEN NULL ELSE least(0, ret) END AS cvar, (rn % 17) / 16.0::DOUBLE AS confidence FROM rets WHERE rn % 20 = 5)"""
 
 
-def _grid_sql() -> str:
-    lists = {k: ", ".join("NULL" if x is None else f"{x}::DOUBLE" for x in v) for k, v in _GRID.items()}
-    return "g AS (SELECT * FROM " + ", ".join(f"(SELECT unnest([{v}]) AS {k})" for k, v in lists.items()) + ")"
-
-
-@query(f"""WITH {_grid_sql()},
+@query(f"""WITH {RETS}, {_INPUTS},
   c AS (
     SELECT *, greatest(0, least(1, 0.4 * CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.1) / 0.1)) END + 0.3 * greatest(0, least(1,
         (forecast + 15) / 30)) * confidence
         + 0.3 * greatest(0, least(1, (signal + 1) / 2)))) AS composite,
-      greatest(0, least(100, greatest(-40, least(40, forecast / 10 * 40)) + hit_rate * 20 + greatest(0, least(20, signal * 20))
-        + CASE WHEN cvar < 0 THEN least(20, -greatest(cvar, -0.5) * 200) ELSE 0 END)) AS single,
+      round(greatest(0, least(100, greatest(-40, least(40, forecast / 10 * 40)) + hit_rate * 20 + greatest(0, least(20, signal * 20))
+        + CASE WHEN cvar < 0 THEN least(20, -greatest(cvar, -0.5) * 200) ELSE 0 END)), 6) AS single,
       CASE WHEN hit_rate > 0.65 AND confidence > 0.7 THEN 'EXCELLENT' WHEN hit_rate > 0.55 AND confidence > 0.5 THEN 'FAIR'
           WHEN hit_rate < 0.45 OR confidence < 0.15 THEN 'POOR' ELSE 'WARNING' END AS flag,
       CASE WHEN cvar IS NULL THEN 0.5 ELSE greatest(0, least(1, (cvar + 0.30) / 0.30)) END AS tail FROM g)
-  SELECT forecast, hit_rate, signal, cvar, confidence, round(composite, 6) AS composite, round(single, 6) AS single, flag, round(tail, 6) AS tail,
+  SELECT asset, dt, round(composite, 6) AS composite, single, flag, round(tail, 6) AS tail,
     CASE WHEN single >= 80 THEN 'very strong' WHEN single >= 60 THEN 'strong' WHEN single >= 40 THEN 'neutral' WHEN single >= 20 THEN 'weak' ELSE 'very weak' END AS words
         FROM c""")
 def score_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scores, ladders and flags over a grid of inputs."""
-    rows = spark.range(0, 1, 1, 1)
-    for name, values in _GRID.items():
-        rows = rows.withColumn(name, F.explode(F.array(*(F.lit(v).cast("double") for v in values))))
+    """The scores, ladders and flags of inputs that the panel gives."""
     c = F.col
-    rows = rows.drop("id").withColumns({
-        "composite": scores.composite(c("cvar"), c("forecast"), c("confidence"), c("signal")), "single": scores.single(c("forecast"), c("hit_rate"), c("signal"), c("cvar")),
+    rows = signals.returns(panels.bars(spark, sf_dir)).withColumn("rn", F.row_number().over(S.by_asset())).where("rn % 20 = 5")
+    volume = c("volume").cast("long")
+    rows = rows.select(
+        "asset", "dt", (100 * c("ret")).alias("forecast"), (volume % 101 / 100).alias("hit_rate"), (volume % 23 / 12 - 0.5).alias("signal"),
+        F.when(c("rn") % 3 != 0, F.least(F.lit(0.0), c("ret"))).alias("cvar"), (c("rn") % 17 / 16).alias("confidence"),
+    )
+    rows = rows.withColumns({
+        "composite": scores.composite(c("cvar"), c("forecast"), c("confidence"), c("signal")), "single": F.round(scores.single(c("forecast"), c("hit_rate"), c("signal"), c("cvar")), 6),
         "flag": rules.quality_flag(c("hit_rate"), c("confidence")), "tail": risk.tail_scale(c("cvar")),
     })
-    return rounded(rows.withColumn("words", scores.interpretation(c("single"))), "composite", "single", "tail")
-
+    return rounded(rows.select("asset", "dt", "composite", "single", "flag", "tail", scores.interpretation(c("single")).alias("words")), "composite", "tail")
 
-#: Risk classes over a grid of volatilities and betas.
-_CELLS = {"volatility": (0.05, 0.12, 0.14, 0.22, 0.25, 0.30, None), "beta": (0.5, 0.8, 1.0, 1.2, 1.5, None)}
 
-
-@query(f"""WITH g AS (SELECT * FROM (SELECT unnest([0.05, 0.12, 0.14, 0.22, 0.25, 0.30, NULL]::DOUBLE[]) AS volatility), (SELECT unnest([0.5, 0.8, 1.0, 1.2, 1.5,
-    NULL]::DOUBLE[]) AS beta))
+@query(f"""WITH {RETS}, g AS (SELECT asset, dt, CASE WHEN rn % 9 > 0 THEN round(least(abs(ret), 0.4), 6) END AS volatility, CASE WHEN rn % 7 > 0 THEN (CAST(volume AS BIGINT) % 17) / 10.0::DOUBLE END AS beta
+    FROM rets WHERE rn % 20 = 5)
   SELECT *, CASE WHEN volatility IS NULL OR beta IS NULL THEN 'UNKNOWN' WHEN volatility < 0.12 AND beta <= 1.2 THEN 'LOW' WHEN volatility < 0.12 THEN 'MEDIUM'
       WHEN volatility <= 0.22 AND beta <= 1.2 THEN 'MEDIUM' WHEN volatility <= 0.22 THEN 'HIGH' WHEN beta < 0.8 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_class,
     CASE WHEN volatility IS NULL THEN 'UNKNOWN' WHEN volatility < 0.15 THEN 'LOW' WHEN volatility < 0.30 THEN 'MEDIUM' ELSE 'HIGH' END AS alone FROM g""")
 def risk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of risk classes, and the class by volatility alone."""
-    rows = spark.range(0, 1, 1, 1)
-    for name, values in _CELLS.items():
-        rows = rows.withColumn(name, F.explode(F.array(*(F.lit(v).cast("double") for v in values))))
-    vol = F.col("volatility")
-    return rows.select("volatility", "beta", risk.risk_class(vol, F.col("beta")).alias("risk_class"), risk.volatility_class(vol).alias("alone"))
+    """The matrix of risk classes, and the class by volatility alone, of days' moves and volumes."""
+    c = F.col
+    rows = signals.returns(panels.bars(spark, sf_dir)).withColumn("rn", F.row_number().over(S.by_asset())).where("rn % 20 = 5")
+    vol = F.when(c("rn") % 9 > 0, F.round(F.least(F.abs("ret"), F.lit(0.4)), 6))
+    rows = rows.select("asset", "dt", vol.alias("volatility"), F.when(c("rn") % 7 > 0, c("volume").cast("long") % 17 / 10).alias("beta"))
+    return rows.select("*", risk.risk_class(c("volatility"), c("beta")).alias("risk_class"), risk.volatility_class(c("volatility")).alias("alone"))
 
 
 @query(f"""WITH {RETS}, {METRICS}, {ASSETS}, now AS (SELECT m.*, kind FROM m JOIN assets USING (asset) {_NOW})
@@ -149,15 +145,15 @@ def top_performers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(means.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "asset"))).where(F.col("rank") <= 3), "mean")  # a row per asset
 
 
-@query("""SELECT kind, CAST(d AS DATE) AS dt FROM (SELECT 'month' AS kind, last_day(CAST(unnest(generate_series(TIMESTAMP '1996-01-15', TIMESTAMP '1997-01-15',
-    INTERVAL 1 MONTH)) AS DATE)) AS d
-  UNION ALL SELECT 'check', CAST(unnest(generate_series(TIMESTAMP '1996-01-02', TIMESTAMP '1996-12-30', INTERVAL 40 DAY)) AS DATE))""")
+@query(f"""WITH {BARS}, e AS (SELECT asset, min(dt) AS a, max(dt) AS b FROM bars GROUP BY asset)
+  SELECT asset, 'month' AS kind, CAST(last_day(CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE)) AS DATE) AS dt FROM e
+  UNION ALL SELECT asset, 'check', CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP) - INTERVAL 1 DAY, INTERVAL 40 DAY)) AS DATE) FROM e""")
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Month ends, and check dates every forty calendar days."""
-    one = spark.range(0, 1, 1, 1)
-    months = one.select(F.lit("month").alias("kind"), backtest.month_ends("1996-01-15", "1997-01-15").alias("dt"))
-    checks = backtest.check_dates(one.select(F.lit("s").alias("scenario"), F.lit(40).alias("every")), "1996-01-02", "1996-12-31")
-    return months.unionByName(checks.select(F.lit("check").alias("kind"), "dt"))
+    """Month ends, and check dates every forty calendar days, over each asset's life."""
+    ends = panels.bars(spark, sf_dir).groupBy("asset").agg(F.min("dt").alias("a"), F.max("dt").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    kinds = F.array(F.struct(F.lit("month").alias("kind"), backtest.months_between(a, b).alias("days")), F.struct(F.lit("check").alias("kind"), backtest.days_between(a, b, F.lit(40)).alias("days")))
+    return ends.select("asset", F.inline(kinds)).select("asset", "kind", F.explode("days").alias("dt"))
 
 
 _COND = B._conditional_sql("SELECT '40/10' AS scenario, 40 AS every, 10 AS buffer")
