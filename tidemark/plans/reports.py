@@ -47,8 +47,9 @@ def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     vol = risk.volatility(bars)
     band = vol.select("asset", "volatility", risk.volatility_class(F.col("volatility")).alias("band"))
     trend = signals.kalman_hull(bars.join(band.select("asset", "band"), "asset")).select("asset", F.col("signal_strength").alias("signal"), F.col("efficiency_ratio").alias("efficiency"))
-    hits = backtest.walk_forward_hits(bars).select("asset", F.coalesce("hit_rate", F.lit(0.0)).alias("hit_rate"))
+    hits = backtest.walk_forward_hits(bars).select("asset", "hit_rate")
     rows = band.join(backtest.forecasts(bars), "asset").join(hits, "asset", "left").join(risk.cvar(bars), "asset", "left").join(trend, "asset", "left")
+    rows = rows.withColumn("hit_rate", F.coalesce("hit_rate", F.lit(0.0)))  # also of assets too short for any window
     c = F.col
     return rows.withColumns({"composite": scores.composite(c("cvar"), c("forecast"), c("confidence"), c("signal")), "single": scores.single(c("forecast"), c("hit_rate"), c("signal"), c("cvar"))})
 
