@@ -5,6 +5,8 @@ import random
 import re
 import time
 import tracemalloc
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +129,30 @@ def test_distance_is_out_of_place(spark):
     assert (row.lang_pred, row.score) == (best, pytest.approx(1 - distance[best] / (language_id.PROFILE * len(own))))
 
 
+def test_query_equals_plain_profiles_over_all_documents(spark):
+    """op10 over a whole table against counts in plain Python: profiles of the learning folds, ranks, out-of-place distances."""
+    from tidemark.llm.queries import op10_language_id
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    ranked = lambda counts: sorted(counts, key=lambda c: (-counts[c], c))[: language_id.PROFILE]
+    counts: dict = {}
+    for d in docs:
+        if zlib.crc32(str(d.doc_id).encode()) % 5 and d.lang is not None and d.text is not None:
+            counts.setdefault(d.lang, Counter()).update(plain_ngrams(d.text))
+    profiles = {k: {c: i for i, c in enumerate(ranked(v))} for k, v in sorted(counts.items())}
+    got = {r.doc_id: r for r in op10_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        own, r = ranked(Counter(plain_ngrams(d.text))), got[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+        if not own:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        far = {k: sum(abs(i - p[c]) if c in p else language_id.PROFILE for i, c in enumerate(own)) for k, p in profiles.items()}
+        assert far[r.lang_pred] == min(far.values()) and r.score == pytest.approx(1 - far[r.lang_pred] / (language_id.PROFILE * len(own)))
+
+
 def plain_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]

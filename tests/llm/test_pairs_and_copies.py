@@ -252,3 +252,29 @@ def test_copies_take_no_memory(spark, tmp_path):
 def test_nothing_to_dedup(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(empty).collect() == [] and exact_dedup.deduplicated(empty).collect() == []
+
+
+def test_the_orders_alone_find_what_bands_find(spark):
+    """Near copies of some texts, in chains and in one large group: the same components with and without bands."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(80)]
+        for _ in range(rng.choice([1, 3, 25])):
+            texts.append(" ".join(base))
+            base = list(base)
+            base[rng.randrange(80)] = rng.choice(words)
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "", "one two"])), "doc_id long, text string")
+    for join in (ngram_join.Join(3, 90), ngram_join.Join(5, 80)):
+        found = [sorted(map(tuple, ngram_join.similar_components(docs, join, bands=bands).collect())) for bands in (True, False)]
+        assert found[0] == found[1] and len({x[2] for x in found[0]}) < len(texts)
+
+
+def test_slot_counts_that_overflow_two_bytes_are_handed_on(spark):
+    """One shingle in more rows of a task than two bytes count: what has been counted goes on, and nothing is lost."""
+    docs = spark.range(140_000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("the same words").alias("text"))
+    counts = [ngram_join._unpacked(r.counts)[1] for r in ngram_join._summaries(docs, ngram_join.Join(3, 90)).where("slot_row is not null").collect()]
+    assert sum(int(c.sum()) for c in counts) == 140_000 and len(counts) >= 3
+    packed = ngram_join._packed(np.array([3, 9]), np.array([5, 1 << 40]))
+    assert [x.tolist() for x in ngram_join._unpacked(packed)] == [[3, 9], [5, 1 << 40]]

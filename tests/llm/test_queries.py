@@ -1,6 +1,7 @@
 """The registered queries and the pipeline against oracles and plain versions."""
 
 import math
+import os
 import shutil
 import subprocess
 import sys
@@ -150,5 +151,6 @@ def test_labels_do_not_reach_predictions(spark, tmp_path):
 
 def test_the_rest_works_without_this_part(tmp_path):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'quality_rank_asof' in q and 'pipeline' not in q and not [k for k in q if k.startswith('op')]; e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "r")}, timeout=60)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'quality_rank_asof' in q and 'pipeline' not in q and not [k for k in q if k.startswith('op')]; e.oracle_sql(); "
+    code += "from tidemark.session import session; s = session('rest', spark__master='local[2]', spark__ui__enabled='false', spark__sql__shuffle__partitions='2'); assert e.entry(s).count() > 0"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r"), "PYSPARK_PYTHON": sys.executable}, timeout=180)
