@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +30,37 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
+#: The setting that names the folder of the job that runs, if there is one.
+_JOB = "tidemark.job"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder below the shared one."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder below the shared one, or below that of the ``job`` that runs."""
+    return f"{spark.conf.get(_JOB, None) or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[str]:
+    """Gives a folder below which all intermediate tables are written that are made inside, and removes it at the end. Results
+    that are wanted later must have been written elsewhere by then, as they read these tables when they run."""
+    before, folder = spark.conf.get(_JOB, None), f"{shared_dir(spark)}/job-{uuid.uuid4().hex}"
+    spark.conf.set(_JOB, folder)
+    try:
+        yield folder
+    finally:
+        if before is None:
+            spark.conf.unset(_JOB)
+        else:
+            spark.conf.set(_JOB, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: what several branches of a plan need is computed once."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: what several branches of a plan need is computed once,
+    and lost executors cost no more than what they were at."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
