@@ -67,9 +67,10 @@ def schedule(goals: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     shares = ends.withColumn("_begin", F.lag("_end", 1, 0).over(by_name)).where("_begin < _end")
     total = int(goals.agg(F.ceil(F.sum("target") / block)).first()[0] or 0)
     slots = goals.sparkSession.range(total).select(F.col("id").alias("slot"), F.expr(f"((id % {POINTS}) * {GOLDEN}) % {POINTS}").alias("_point"))
-    taken = _shares_of(slots, shares).select("slot", "source")
+    # Both are read twice; written, they keep the plan and what the driver holds of it small.
+    taken = _shares_of(slots, written(shares.select("source", "_begin"), "shares")).select("slot", "source")
     taken = taken.withColumn("_bucket", F.expr(f"cast(slot div {SLOTS_A_BUCKET} as int)"))
-    taken = running(taken, ["source"], "_bucket", [F.col("slot")], F.lit(1), "block").select("slot", "source", "block")
+    taken = written(running(written(taken, "taken"), ["source"], "_bucket", [F.col("slot")], F.lit(1), "block").select("slot", "source", "block"), "slots")
     wanted = goals.select(F.col("source").alias("_of"), F.floor("target").cast("long").alias("_words"))
     counts = taken.groupBy("source").agg(F.count("*").alias("_slots"))
     missing = wanted.join(counts, F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("_slots", F.coalesce("_slots", F.lit(0)))
