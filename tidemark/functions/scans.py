@@ -87,10 +87,16 @@ def _carried(maps: DataFrame, keys: list[str], levels: list[tuple[str, Column |
     first = F.get("m", F.lit(0))
     if parents:
         one = F.struct(*(c for i in range(count) for c in (F.lit(1.0).alias(f"a{i}"), F.lit(0.0).alias(f"b{i}"))))
-        whole = F.aggregate("m", one, lambda acc, m: F.struct(*(c for i in range(count) for c in ((m[f"a{i}"] * acc[f"a{i}"]).alias(f"a{i}"), (m[f"a{i}"] * acc[f"b{i}"] + m[f"b{i}"]).alias(f"b{i}")))))
+
+        def then(acc: Column, m: Column) -> Column:
+            each = [((m[f"a{i}"] * acc[f"a{i}"]).alias(f"a{i}"), (m[f"a{i}"] * acc[f"b{i}"] + m[f"b{i}"]).alias(f"b{i}")) for i in range(count)]
+            return F.struct(*(c for pair in each for c in pair))
+
+        whole = F.aggregate("m", one, then)
         above = sets.select(*keys, *parents, whole.alias("w"), first.alias("f")).select(*keys, *parents, "w.*", *(F.col(f"f.s{i}").alias(f"s{i}") for i in range(count)))
         before = _carried(above, keys, levels[1:], count)
-        sets = sets.alias("r").join(before.alias("b"), _same("r", "b", [*keys, *parents])).select(*(F.col(f"r.{c}").alias(c) for c in (*keys, *parents, "m")), F.struct(*(F.col(f"b.e{i}").alias(f"e{i}") for i in range(count))).alias("e"))
+        both = sets.alias("r").join(before.alias("b"), _same("r", "b", [*keys, *parents]))
+        sets = both.select(*(F.col(f"r.{c}").alias(c) for c in (*keys, *parents, "m")), F.struct(*(F.col(f"b.e{i}").alias(f"e{i}") for i in range(count))).alias("e"))
     else:
         sets = sets.withColumn("e", F.struct(*(first[f"s{i}"].alias(f"e{i}") for i in range(count))))
     each = F.transform("m", lambda m, i: F.struct(m[at].alias(at), F.aggregate(F.slice("m", F.lit(1), i), F.col("e"), lambda acc, x: _step(acc, x, count)).alias("e")))
@@ -117,7 +123,8 @@ def affine(df: DataFrame, keys: list[str], order: list[str], period: Column, val
     upto = stretch.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_n", F.row_number().over(stretch))
     rows = rows.withColumns({f"_q{i}": F.product(F.when(F.col("_n") == 1, 1.0).otherwise(F.col(f"_a{i}"))).over(upto) for i in range(count)})
-    rows = rows.withColumns({f"_b{i}": F.col(f"_q{i}") * F.sum(F.col(f"_x{i}") / F.col(f"_q{i}")).over(upto) for i in range(count)} | {f"_w{i}": F.col(f"_q{i}") * F.first(f"_a{i}").over(upto) for i in range(count)})
+    sums = {f"_b{i}": F.col(f"_q{i}") * F.sum(F.col(f"_x{i}") / F.col(f"_q{i}")).over(upto) for i in range(count)}
+    rows = rows.withColumns(sums | {f"_w{i}": F.col(f"_q{i}") * F.first(f"_a{i}").over(upto) for i in range(count)})
     rows = written(rows.drop("_n", *(f"_{x}{i}" for x in "axq" for i in range(count))), "scan")
 
     at = F.struct(*order)

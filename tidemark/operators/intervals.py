@@ -90,7 +90,8 @@ def signals_as_of(rows: DataFrame, checks: DataFrame, least: int = 100) -> DataF
     """(asset, dt, signal) for each day of ``checks`` (dt): each asset's newest metrics by then against its intervals as
     they stood with them. ``rows``: asset, dt and the metrics, a written table; an asset counts from its ``least``-th row."""
     known = rows.withColumn("_rn", F.row_number().over(S.by_asset())).withColumn("_next", F.lead("dt").over(S.by_asset())).where(F.col("_rn") >= least)
-    seen = relational.as_of(known.select("asset").distinct().crossJoin(checks.select("dt").distinct()).withColumn("_day", F.lit(1)), known.select("asset", "dt", F.col("dt").alias("seen"), *METRICS), ["asset"]).where("seen is not null")
+    grid = known.select("asset").distinct().crossJoin(checks.select("dt").distinct()).withColumn("_day", F.lit(1))
+    seen = relational.as_of(grid, known.select("asset", "dt", F.col("dt").alias("seen"), *METRICS), ["asset"]).where("seen is not null")
     days = F.broadcast(checks.agg(F.collect_set("dt").alias("_days")))  # one row; check dates are some hundreds at most
     wanted = F.exists("_days", lambda d: (d >= F.col("dt")) & (F.col("_next").isNull() | (d < F.col("_next"))))
     bounds = as_of_each(known.crossJoin(days).withColumn("_used", wanted), wanted=F.col("_used")).withColumnRenamed("dt", "seen")

@@ -175,11 +175,13 @@ def ci_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CHECKS = f"""steps AS (SELECT d, 40 AS every FROM (SELECT CAST(unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}' - INTERVAL 1 DAY, INTERVAL 40 DAY)) AS DATE) AS d))"""
-_POINT = "list_sort(s)[CAST(floor({p} * (len(s) - 1)) AS BIGINT) + 1] + ({p} * (len(s) - 1) - floor({p} * (len(s) - 1))) * (list_sort(s)[CAST(ceil({p} * (len(s) - 1)) AS BIGINT) + 1] - list_sort(s)[CAST(floor({p} * (len(s) - 1)) AS BIGINT) + 1])"
 
 
 def _point(p: float) -> str:
-    return _POINT.format(p=f"{p}::DOUBLE")
+    """A quantile of list s, between its values as if they stood at even distances."""
+    at = f"({p}::DOUBLE * (len(s) - 1))"
+    low, high = (f"list_sort(s)[CAST({f}({at}) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+    return f"{low} + ({at} - floor({at})) * ({high} - {low})"
 
 
 def _machine(pick: str, guard: str) -> str:

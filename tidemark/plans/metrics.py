@@ -178,7 +178,9 @@ def enhanced_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.enhanced_volatility(written(panels.bars(spark, sf_dir), "bars")), "volatility", digits=4)
 
 
-_T_STEP = "s{n} AS (SELECT asset, c + sum(w * (ret - c)) / sum(w) AS c, sqrt((sum(w * (ret - c) * (ret - c)) - pow(sum(w * (ret - c)), 2) / sum(w)) / sum(w)) AS s FROM (SELECT r.asset, ret, c, 5.0::DOUBLE / (4 + pow((ret - c) / s, 2)) AS w FROM r JOIN s{m} USING (asset)) GROUP BY asset, c)"
+_T_STEP = """s{n} AS (
+    SELECT asset, c + sum(w * (ret - c)) / sum(w) AS c, sqrt((sum(w * (ret - c) * (ret - c)) - pow(sum(w * (ret - c)), 2) / sum(w)) / sum(w)) AS s
+    FROM (SELECT r.asset, ret, c, 5.0::DOUBLE / (4 + pow((ret - c) / s, 2)) AS w FROM r JOIN s{m} USING (asset)) GROUP BY asset, c)"""
 
 
 @query(f"""WITH {RETS}, r AS (SELECT asset, ret FROM rets WHERE ret IS NOT NULL), s0 AS (SELECT asset, avg(ret) AS c, stddev_pop(ret) AS s FROM r GROUP BY asset),

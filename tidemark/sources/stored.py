@@ -30,7 +30,10 @@ def store(panel: DataFrame, name: str = "panel", buckets: int = BUCKETS, key: st
     return table
 
 
-def stored(spark: SparkSession, table: str, assets: Sequence[str] | None = None, start: datetime.date | str | None = None, end: datetime.date | str | None = None, key: str = "asset", day: str = "dt") -> DataFrame:
+Day = datetime.date | str
+
+
+def stored(spark: SparkSession, table: str, assets: Sequence[str] | None = None, start: Day | None = None, end: Day | None = None, key: str = "asset", day: str = "dt") -> DataFrame:
     """The table's rows of some assets and from ``start`` to ``end``, both inclusive; all if not given."""
     rows = spark.table(table)
     if assets is not None:
