@@ -3,12 +3,14 @@
 import datetime
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark import registry
 from tidemark.functions import rules
 from tidemark.functions import series as S
 from tidemark.operators import backtest, compare, correlations, hot, intervals, metrics, ranking, regimes, relational, risk, signals, single
@@ -405,3 +407,24 @@ def test_correlations_by_blocks_equal_pairwise_ones(spark, series, days):
             else:
                 n, c = got[a, b]
                 assert n == len(both) and (c is None if len(both) == 1 or b == "s3" else c == pytest.approx(both[a].corr(both[b])))
+
+
+@pytest.mark.parametrize(("micros", "state"), [(-1, "active"), (0, "active"), (1, "stale"), (999_999, "stale"), (1_000_000, "stale")])
+def test_activity_ends_at_its_bound_to_the_microsecond(spark, micros, state):
+    now = datetime.datetime(2024, 2, 4, 12)  # a Sunday: 48 hours since a Friday
+    last = now - datetime.timedelta(hours=48, microseconds=micros)
+    row = spark.createDataFrame([(last, now)], "last timestamp_ntz, now timestamp_ntz")
+    assert row.select(rules.activity(F.col("last"), F.col("now")).alias("state")).first().state == state
+
+
+def test_activity_equals_its_sql_beside_the_bound(spark, tmp_path):
+    now = datetime.datetime(2024, 1, 30, 12)  # a Tuesday: 36 hours since the day before
+    rows = [(user, "view", now - datetime.timedelta(hours=36, microseconds=micros)) for user, micros in enumerate([-300_000, 0, 1, 700_000, 1_200_000])]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    columns = ["event_type", "now", "active", "stale", "bound"]
+    got = registry.queries()["activity"](spark, str(tmp_path)).select(*columns).collect()
+    want = con.sql(registry.oracle_sql()["activity"]).select(*columns).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert ("view", now, 2, 3, 36) in want

@@ -42,9 +42,9 @@ def activity_bound(last: Column, now: Column) -> Column:
 
 
 def activity(last: Column, now: Column) -> Column:
-    """Whether a series is alive: hours since its last bar against ``activity_bound``."""
-    hours = F.timestamp_diff("SECOND", last, now) / 3600
-    return F.when(last.isNull(), "missing").when(hours <= activity_bound(last, now), "active").otherwise("stale")
+    """Whether a series is alive: the time since its last bar, to the microsecond, against ``activity_bound``."""
+    allowed = activity_bound(last, now) * F.lit(3_600_000_000)
+    return F.when(last.isNull(), "missing").when(F.timestamp_diff("MICROSECOND", last, now) <= allowed, "active").otherwise("stale")
 
 
 def activity_reason(last: Column, now: Column) -> Column:
