@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import OrderedWindow
 from tidemark.operators import intervals, signals
+from tidemark.plans import streams
 from tidemark.session import new_folder
 from tidemark.streaming import events
 from tidemark.streaming.replay import BandFold, IntervalFold, LevelFold, replayed
@@ -130,6 +131,39 @@ def test_bands_equal_the_batch_whatever_the_order_and_repeats(spark):
     assert not want
 
 
+def test_a_part_of_many_files_is_one_batch_and_none_of_it_is_late(spark):
+    rng = random.Random(18)
+    schema = "asset string, ts timestamp, high double, low double, close double"
+    panel = spark.createDataFrame([r for asset in "abcdefgh" for r in bars(rng, asset, 400)], schema).withColumn("dt", F.to_date("ts"))
+    rows = panel.join(signals.band_parameters(panel), "asset").repartition(8, "asset")
+    found = events.run_to_end(replayed(streams._bar_stream(rows), BandFold(), ["asset"], "40 days", 30 * 86_400), "update")
+    assert {r.batch for r in found.select("batch").distinct().collect()} <= {0, 1, 2, 3}  # three parts, and one without rows at the end
+    got = {r.asset: (r.trend, r.kalman_price, r.upper_band, r.lower_band) for r in events.newest(found, ["asset"]).collect()}
+    for w in signals.kalman_hull(panel).collect():
+        assert got.pop(w.asset) == pytest.approx((w.trend, w.kalman_price, w.upper_band, w.lower_band))
+    assert not got
+
+
+def test_parts_have_as_many_files_as_a_batch_takes_however_few_their_rows(spark):
+    rows = spark.range(1000, numPartitions=7).withColumn("part", F.when(F.col("id") < 2, 1).when(F.col("id") < 5, 2).otherwise(0))
+    folder = events.files_in_turn(rows, F.col("part"), 4, "few", 3)
+    assert [len(spark.read.schema(rows.schema).parquet(f"{folder}/part={i}").inputFiles()) for i in range(4)] == [3] * 4
+    found = events.run_to_end(events.file_stream(spark, folder, 3), "append")
+    assert sorted(tuple(r) for r in found.groupBy("batch").agg(F.count("*"), F.min("part"), F.max("part")).collect()) == [(0, 995, 0, 0), (1, 2, 1, 1), (2, 3, 2, 2)]
+
+
+def test_streams_have_no_more_stores_than_cores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for number, most in (("200", max(events.LEAST_STORES, spark.sparkContext.defaultParallelism)), ("2", 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", number)
+            with events.state_stores(spark):
+                assert spark.conf.get("spark.sql.shuffle.partitions") == str(most)
+            assert spark.conf.get("spark.sql.shuffle.partitions") == number
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_band_parameters_leave_short_series_out(spark):
     panel = spark.createDataFrame(bars(random.Random(1), "x", 29), "asset string, ts timestamp, high double, low double, close double").withColumn("dt", F.to_date("ts"))
     assert signals.band_parameters(panel).collect() == []
