@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, ngram_join, shingles
-from tidemark.llm.components import components
+from tidemark.llm.components import _star, components, contracted
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,3 +278,41 @@ def test_slot_counts_that_overflow_two_bytes_are_handed_on(spark):
     assert sum(int(c.sum()) for c in counts) == 140_000 and len(counts) >= 3
     packed = ngram_join._packed(np.array([3, 9]), np.array([5, 1 << 40]))
     assert [x.tolist() for x in ngram_join._unpacked(packed)] == [[3, 9], [5, 1 << 40]]
+
+
+def plain_roots(edges):
+    found = roots({x for edge in edges for x in edge}, edges)
+    return sorted((node, root) for node, root in found.items() if node != root)
+
+
+def tangled(rng):
+    """A long chain in no order, a star, random edges, and edges that come twice or lead to their own node."""
+    chain = rng.sample(range(1000, 1400), 400)
+    found = list(zip(chain, chain[1:], strict=False)) + [(5, x) for x in range(2000, 2300)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(250)]
+    found += found[:50] + [(b, a) for a, b in found[50:90]] + [(7, 7)]
+    rng.shuffle(found)
+    return found
+
+
+def test_components_of_one_task_take_no_step(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr("tidemark.llm.components._star", lambda edges, small, star=_star: steps.append(small) or star(edges, small))
+    edges = tangled(random.Random(3))
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == plain_roots(edges)
+    assert not steps
+
+
+def test_components_over_many_tasks_and_small_pieces(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr("tidemark.llm.components._star", lambda edges, small, star=_star: steps.append(small) or star(edges, small))
+    monkeypatch.setattr("tidemark.llm.components.contracted", lambda edges: contracted(edges.repartition(7), 16))
+    edges = tangled(random.Random(4))
+    found = components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == plain_roots(edges)
+    assert steps
+
+
+def test_components_of_nothing(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long")).collect() == []
